@@ -64,3 +64,148 @@ def reward_metrics(scored: DataFrame, score="score", by=()) -> DataFrame:
 
 def round6(c) -> Column:
     return F.round(col(c), 6)
+
+
+def _unpivot(df: DataFrame, ids, names) -> DataFrame:
+    return df.select(*ids, *[F.col(f"`{n}`").cast("double").alias(n) for n in names]) \
+             .unpivot(ids, names, "metric", "value")
+
+
+def data_metrics(tokens: DataFrame, rows: DataFrame, batch="batch_id", row_key="rollout_id",
+                 mask="mask", score="score_tok", reward="reward_tok", advantage="advantage",
+                 returns="returns", values="values", use_critic: bool = True) -> DataFrame:
+    """M2: per-batch training metrics as a long ``(batch, metric, value)`` table.
+
+    ``tokens``: one row per response token; ``rows``: one row per rollout with
+    ``prompt_length``, ``response_length``, ``max_prompt_length``,
+    ``max_response_length`` (the padded widths).  Sequence sums are a
+    row-level aggregate, token statistics a batch-level one over valid
+    tokens; both are partial aggregates joined on the batch key.
+    """
+    seq = tokens.groupBy(batch, row_key).agg(F.sum(score).alias("_s"), F.sum(reward).alias("_r"))
+    seq = seq.join(rows, [batch, row_key])
+    rl = F.col("response_length")
+    pl = F.col("prompt_length")
+    r_agg = seq.groupBy(batch).agg(
+        F.avg("_s").alias("critic/score/mean"), F.max("_s").alias("critic/score/max"), F.min("_s").alias("critic/score/min"),
+        F.avg("_r").alias("critic/rewards/mean"), F.max("_r").alias("critic/rewards/max"), F.min("_r").alias("critic/rewards/min"),
+        F.avg(rl).alias("response_length/mean"), F.max(rl).alias("response_length/max"), F.min(rl).alias("response_length/min"),
+        F.avg(F.when(rl == F.col("max_response_length"), 1.0).otherwise(0.0)).alias("response_length/clip_ratio"),
+        F.avg(pl).alias("prompt_length/mean"), F.max(pl).alias("prompt_length/max"), F.min(pl).alias("prompt_length/min"),
+        F.avg(F.when(pl == F.col("max_prompt_length"), 1.0).otherwise(0.0)).alias("prompt_length/clip_ratio"))
+    v = tokens.filter(col(mask) != 0)
+    t_exprs = [F.avg(advantage).alias("critic/advantages/mean"), F.max(advantage).alias("critic/advantages/max"),
+               F.min(advantage).alias("critic/advantages/min"), F.avg(returns).alias("critic/returns/mean"),
+               F.max(returns).alias("critic/returns/max"), F.min(returns).alias("critic/returns/min")]
+    if use_critic:
+        t_exprs += [F.avg(values).alias("critic/values/mean"), F.max(values).alias("critic/values/max"),
+                    F.min(values).alias("critic/values/min"),
+                    (1.0 - F.var_samp(col(returns) - col(values)) / (F.var_samp(returns) + 1e-5))
+                    .alias("critic/vf_explained_var")]
+    t_agg = v.groupBy(batch).agg(*t_exprs)
+    wide = r_agg.join(t_agg, batch)
+    names = [c for c in wide.columns if c != batch]
+    return _unpivot(wide, [batch], names)
+
+
+def response_info(rows: DataFrame, mask="attention_mask", prompt_width="prompt_width") -> DataFrame:
+    """M1: prompt and response lengths of each row from its attention mask."""
+    from kestrel.operators.tokens import prompt_response_lengths
+    lens = prompt_response_lengths(mask, F.col(prompt_width) if isinstance(prompt_width, str) else prompt_width)
+    return rows.withColumns(lens)
+
+
+def timing_metrics(timings: DataFrame, token_totals: DataFrame, batch="batch_id") -> DataFrame:
+    """M3: ``timing_s/<name>`` and ``timing_per_token_ms/<name>``.
+
+    ``timings``: (batch, name, seconds); ``token_totals``: (batch,
+    prompt_tokens, response_tokens).  Generation is normalised by response
+    tokens, the other known sections by all tokens; unknown names get only
+    the seconds metric.
+    """
+    per_tok_sections = ["gen", "ref", "values", "adv", "update_critic", "update_actor"]
+    j = timings.join(token_totals, batch)
+    tokens = F.when(F.col("name") == "gen", F.col("response_tokens")) \
+        .otherwise(F.col("prompt_tokens") + F.col("response_tokens"))
+    secs = j.select(batch, F.concat(F.lit("timing_s/"), "name").alias("metric"), F.col("seconds").alias("value"))
+    per = j.filter(F.col("name").isin(per_tok_sections)).select(
+        batch, F.concat(F.lit("timing_per_token_ms/"), "name").alias("metric"),
+        (F.col("seconds") * 1000 / tokens).alias("value"))
+    return secs.unionByName(per)
+
+
+# Peak dense throughput per device family (FLOP/s), matched by
+# substring in this order; unknown devices count as infinite.
+DEVICE_PEAK_FLOPS = [("H100", 989e12), ("H800", 989e12), ("A100", 312e12), ("A800", 312e12),
+                     ("L40", 181.05e12), ("L20", 119.5e12), ("H20", 148e12), ("910B", 354e12)]
+
+
+def device_peak_flops(device_name) -> Column:
+    d = col(device_name)
+    out = None
+    for name, flops in DEVICE_PEAK_FLOPS:
+        out = (F.when(d.contains(name), F.lit(flops)) if out is None else out.when(d.contains(name), F.lit(flops)))
+    return out.otherwise(F.lit(float("inf")))
+
+
+def estimate_flops(seqlens: DataFrame, models: DataFrame, batch="batch_id", seqlen="seqlen",
+                   delta_time="delta_time") -> DataFrame:
+    """M8: achieved TFLOP/s per batch for decoder models.
+
+    ``6 * N_dense * tokens + 12 * sum(len^2) * head_dim * heads * layers``
+    divided by the step time.  ``models`` holds one row per model config
+    (hidden_size, vocab_size, num_hidden_layers, num_key_value_heads,
+    num_attention_heads, intermediate_size) keyed by ``model``; ``seqlens``
+    carries the model key, so the join is on a tiny dimension table.
+    """
+    per = seqlens.groupBy(batch, "model").agg(F.sum(seqlen).cast("double").alias("tokens_sum"),
+                                              F.sum(col(seqlen).cast("double") * col(seqlen)).alias("sq_sum"),
+                                              F.max(delta_time).alias("delta_time"))
+    m = models.select("model", *[F.col(c).cast("double").alias(c) for c in (
+        "hidden_size", "vocab_size", "num_hidden_layers", "num_key_value_heads", "num_attention_heads",
+        "intermediate_size")])
+    head_dim = F.floor(F.col("hidden_size") / F.col("num_attention_heads"))
+    q = F.col("num_attention_heads") * head_dim
+    kv = F.col("num_key_value_heads") * head_dim
+    mlp = F.col("hidden_size") * F.col("intermediate_size") * 3
+    attn_lin = F.col("hidden_size") * (q + kv + kv + F.col("num_attention_heads") * head_dim)
+    emb = F.col("vocab_size") * F.col("hidden_size") * 2
+    dense = (mlp + attn_lin) * F.col("num_hidden_layers") + emb
+    j = per.join(F.broadcast(m), "model")
+    flops = 6 * dense.cast("double") * F.col("tokens_sum") + \
+        12 * F.col("sq_sum") * head_dim * F.col("num_attention_heads") * F.col("num_hidden_layers")
+    return j.select(batch, "model", (flops / F.col("delta_time") / 1e12).alias("tflops_achieved"))
+
+
+def flatten_json(df: DataFrame, key, json_col, sep: str = "/", max_depth: int = 4) -> DataFrame:
+    """Flatten a nested JSON document to ``a/b/c`` leaf keys.
+
+    Lists become ``list_len`` plus index keys.  Each level is one
+    ``explode`` of a parsed map; values that are themselves objects or
+    arrays are expanded on the next level (up to ``max_depth``).
+    """
+    cur = df.select(key, F.lit("").alias("path"), col(json_col).alias("v"))
+    leaves = None
+    for _ in range(max_depth):
+        is_obj = F.col("v").startswith("{")
+        is_arr = F.col("v").startswith("[")
+        done = cur.filter(~(is_obj | is_arr) | F.col("v").isNull())
+        leaves = done if leaves is None else leaves.unionByName(done)
+        obj = cur.filter(is_obj).select(key, "path", F.explode(F.from_json("v", "map<string,string>")).alias("k", "v2"))
+        arr = cur.filter(is_arr).select(key, "path", F.from_json("v", "array<string>").alias("a"))
+        arr_items = arr.select(key, "path", F.posexplode("a").alias("i", "v2")) \
+            .select(key, "path", F.col("i").cast("string").alias("k"), "v2")
+        arr_len = arr.select(key, "path", F.lit("list_len").alias("k"), F.size("a").cast("string").alias("v2"))
+        nxt = obj.unionByName(arr_items).unionByName(arr_len)
+        cur = nxt.select(key, F.when(F.col("path") == "", F.col("k"))
+                         .otherwise(F.concat(F.col("path"), F.lit(sep), F.col("k"))).alias("path"),
+                         F.col("v2").alias("v"))
+    leaves = leaves.unionByName(cur)
+    return leaves.withColumnRenamed("v", "value")
+
+
+def best_metric(metrics: DataFrame, metric_name: str, threshold: float, run="run", step="step",
+                metric="metric", value="value") -> DataFrame:
+    """Best value of one metric over a run and whether it passes."""
+    x = metrics.filter(col(metric) == metric_name).groupBy(run).agg(F.max(value).alias("best"))
+    return x.withColumn("passed", F.col("best") > threshold)
