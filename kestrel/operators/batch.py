@@ -21,13 +21,18 @@ def global_index(df: DataFrame, order, name: str = "row_idx") -> DataFrame:
     """0-based contiguous index in ``order`` (ties broken by all columns).
 
     Range-sorted (distributed), then each row gets its partition's offset
-    plus its position inside the partition.  The offset table has one row
-    per partition and is broadcast.
+    plus its position inside the partition.  Partition ids are
+    non-deterministic expressions, so the numbered rows are materialised
+    once with a reliable checkpoint (in ``spark.checkpoint.dir``) before the
+    per-partition counts are taken; the offset table has one row per
+    partition and is broadcast.
     """
+    from kestrel.session import cut_lineage
     order = [order] if isinstance(order, (str, Column)) else list(order)
     s = (df.orderBy(*order)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
+    s = cut_lineage(s)
     s = s.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
