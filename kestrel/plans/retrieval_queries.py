@@ -267,3 +267,133 @@ def r12(spark, sf):
     out = ro.join(nd.withColumnRenamed("qid", "rollout_id"), "rollout_id")
     reward = F.col("ndcg") + F.when(F.col("format_ok"), 1.0).otherwise(-1.0)
     return out.select("rollout_id", r6(reward).alias("reward"))
+
+
+# ------------------------------------------------------------------ dense
+
+def dense_inputs(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    qs = e.filter(F.col("vec_id") % 10 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"),
+                                                    F.col("label").alias("qlabel"), F.lit("all").alias("task"))
+    docs = e.filter(F.col("vec_id") % 10 != 0).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"),
+                                                      "label", F.lit("all").alias("task"))
+    docs = index_within(docs, "task", "doc_id", "doc_order")
+    qrels_d = qs.join(docs.select("doc_id", F.col("label").alias("qlabel")), "qlabel") \
+        .select("qid", "doc_id", F.lit(1).alias("rel"))
+    excl = qs.join(docs.select("doc_id", (F.col("doc_id") % 37).alias("m")), (F.col("qid") % 37) == F.col("m")) \
+        .select("qid", "doc_id")
+    return qs, docs, qrels_d, excl
+
+
+DENSE_SQL = """
+qs AS (SELECT vec_id AS qid, embedding AS vec, label AS qlabel, 'all' AS task FROM embeddings WHERE vec_id % 10 = 0),
+ds AS (SELECT vec_id AS doc_id, embedding AS vec, label, 'all' AS task,
+              row_number() OVER (ORDER BY vec_id) - 1 AS doc_order FROM embeddings WHERE vec_id % 10 <> 0),
+qr AS (SELECT qid, doc_id, 1 AS rel FROM qs JOIN ds ON ds.label = qs.qlabel),
+exd AS (SELECT qid, doc_id FROM qs JOIN ds ON ds.doc_id % 37 = qs.qid % 37),
+sc AS (SELECT qid, doc_id, doc_order, round(list_cosine_similarity(list_transform(qs.vec, lambda x: CAST(x AS DOUBLE)),
+                                                 list_transform(ds.vec, lambda x: CAST(x AS DOUBLE))), 9) AS score
+       FROM qs JOIN ds ON qs.task = ds.task
+       WHERE NOT EXISTS (SELECT 1 FROM exd WHERE exd.qid = qs.qid AND exd.doc_id = ds.doc_id)),
+run AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_order) AS rank FROM sc QUALIFY rank <= 1000),
+er AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, CAST(doc_id AS VARCHAR) DESC) AS erank FROM run),
+dcg AS (SELECT er.qid, sum(rel / log2(erank + 1)) AS dcg FROM er JOIN qr USING (qid, doc_id) WHERE erank <= 10 GROUP BY er.qid),
+idcg AS (SELECT qid, sum(rel / log2(i + 1)) AS idcg
+         FROM (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC) AS i FROM qr) x WHERE i <= 10 GROUP BY qid),
+nd AS (SELECT idcg.qid, coalesce(dcg, 0) / idcg AS ndcg FROM idcg LEFT JOIN dcg USING (qid))
+"""
+
+
+def _dense_run(spark, sf, qs=None):
+    q0, docs, qrels_d, excl = dense_inputs(spark, sf)
+    qs = q0 if qs is None else qs
+    s = RT.dense_scores(qs, docs, 1000, "qid", "vec", "doc_id", "vec", "doc_order")
+    s = s.withColumn("score", F.round("score", 9)).withColumn("task", F.lit("all"))
+    run = RT.ranked_run(s.drop("doc_order"), qs, excl, docs, 1000, fill=False)
+    return run, qrels_d
+
+
+@reg("R8_l2_normalize", """
+SELECT vec_id, CAST(i - 1 AS INT) AS i, round(x, 6) + 0.0 AS x
+FROM (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS i,
+             unnest(list_transform(embedding, lambda v: CAST(v AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))))) AS x
+      FROM embeddings) z""")
+def r8(spark, sf):
+    e = read_table(spark, sf, "embeddings").withColumn("u", RT.l2_normalize("embedding"))
+    return e.select("vec_id", F.posexplode("u").alias("i", "x")).select(
+        "vec_id", F.col("i").cast("int").alias("i"), r6(F.col("x")).alias("x"))
+
+
+@reg("R9_dense_top10", "WITH " + DENSE_SQL.strip() + """
+SELECT qid, doc_id, CAST(rank AS INT) AS rank, round(score, 6) + 0.0 AS score FROM run WHERE rank <= 10""")
+def r9(spark, sf):
+    run, _ = _dense_run(spark, sf)
+    return run.filter(F.col("rank") <= 10).select("qid", "doc_id", "rank", r6(F.col("score")).alias("score"))
+
+
+@reg("R13_dense_reward", "WITH " + DENSE_SQL.strip() + """
+SELECT qid, round(ndcg, 6) + 0.0 AS reward FROM nd""")
+def r13(spark, sf):
+    run, qr = _dense_run(spark, sf)
+    nd = RT.ndcg_at_k(run, qr, 10)
+    return nd.select("qid", r6(F.col("ndcg")).alias("reward"))
+
+
+@reg("R14_gated_dense_reward", "WITH " + DENSE_SQL.strip() + """,
+nd2 AS (SELECT qs.qid, coalesce(n2.ndcg, 0) AS ndcg_full FROM qs
+        LEFT JOIN (SELECT e.qid - 1 AS src, nd.ndcg FROM nd JOIN (SELECT qid FROM qs) e USING (qid)) n2 ON n2.src = qs.qid)
+SELECT qs.qid, round(CASE WHEN qs.qid % 3 = 0 THEN -1.0
+                          WHEN coalesce(nd.ndcg, 0) > 0 THEN nd.ndcg
+                          ELSE 0.5 * coalesce((SELECT ndcg FROM nd x WHERE x.qid = qs.qid + 10), 0) END, 6) + 0.0 AS reward
+FROM qs LEFT JOIN nd USING (qid)""")
+def r14(spark, sf):
+    run, qr = _dense_run(spark, sf)
+    nd = RT.ndcg_at_k(run, qr, 10)
+    qs, _, _, _ = dense_inputs(spark, sf)
+    # second pass for zero-nDCG rows: the "full response" of query q is query q + 10
+    retry = nd.select((F.col("qid") - 10).alias("qid"), F.col("ndcg").alias("ndcg_full"))
+    out = qs.select("qid").join(nd, "qid", "left").join(retry, "qid", "left")
+    reward = (F.when(F.col("qid") % 3 == 0, F.lit(-1.0))
+              .when(F.coalesce(F.col("ndcg"), F.lit(0.0)) > 0, F.col("ndcg"))
+              .otherwise(0.5 * F.coalesce(F.col("ndcg_full"), F.lit(0.0))))
+    return out.select("qid", r6(reward).alias("reward"))
+
+
+@reg("R15_delta_reward", """
+WITH qs AS (SELECT vec_id AS qid, embedding AS qv, label FROM embeddings WHERE vec_id % 10 = 0),
+rw AS (SELECT vec_id - 1 AS qid, embedding AS rv FROM embeddings WHERE vec_id % 10 = 1),
+ds AS (SELECT vec_id AS doc_id, embedding AS dv, label FROM embeddings WHERE vec_id % 10 > 1)
+SELECT qs.qid AS rollout_id,
+       round(sum(list_cosine_similarity(list_transform(rv, lambda x: CAST(x AS DOUBLE)), list_transform(dv, lambda x: CAST(x AS DOUBLE)))
+               - list_cosine_similarity(list_transform(qv, lambda x: CAST(x AS DOUBLE)), list_transform(dv, lambda x: CAST(x AS DOUBLE)))), 6) + 0.0 AS delta_reward,
+       count(*) AS n_docs
+FROM qs JOIN rw USING (qid) JOIN ds ON ds.label = qs.label GROUP BY qs.qid""")
+def r15(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    qs = e.filter(F.col("vec_id") % 10 == 0).select(F.col("vec_id").alias("rollout_id"),
+                                                    F.col("embedding").alias("question_vec"), "label")
+    rw = e.filter(F.col("vec_id") % 10 == 1).select((F.col("vec_id") - 1).alias("rollout_id"),
+                                                    F.col("embedding").alias("rewritten_vec"))
+    ds = e.filter(F.col("vec_id") % 10 > 1).select(F.col("embedding").alias("doc_vec"), "label")
+    pairs = qs.join(rw, "rollout_id").join(ds, "label")
+    out = RT.delta_similarity(pairs)
+    return out.select("rollout_id", r6(F.col("delta_reward")).alias("delta_reward"), "n_docs")
+
+
+@reg("R7_encode_documents")
+def r7(spark, sf):
+    enc = RT.hashed_bow_encoder(64)
+    d = read_table(spark, sf, "documents").select("doc_id", enc(F.col("text")).alias("vec"))
+    return d.select("doc_id", F.size("vec").alias("dim"),
+                    F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm_sq"))
+
+
+@reg("R17_vector_cache", """
+SELECT doc_id, sha256(text) AS content_hash, CAST(64 AS INT) AS dim FROM documents""")
+def r17(spark, sf):
+    enc = RT.hashed_bow_encoder(64)
+    docs = read_table(spark, sf, "documents").select("doc_id", "text").withColumn("task", F.lit("all"))
+    old = docs.filter(F.col("doc_id") % 2 == 0).select("task", "doc_id", F.sha2("text", 256).alias("content_hash"),
+                                                        enc(F.col("text")).alias("vec"))
+    vec = RT.refresh_vectors(old, docs, enc)
+    return vec.select("doc_id", "content_hash", F.size("vec").alias("dim"))
