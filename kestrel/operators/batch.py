@@ -86,7 +86,7 @@ def union_columns(a: DataFrame, b: DataFrame, row_key="row_idx"):
     shared = [c for c in a.columns if c in b.columns and c != row_key]
     only_b = [c for c in b.columns if c not in a.columns]
     j = a.alias("a").join(b.alias("b"), row_key, "full_outer")
-    merged = j.select(row_key, *[F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c)
+    merged = j.select(row_key, *[(F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")) if c in shared else F.col(f"a.{c}")).alias(c)
                                  for c in a.columns if c != row_key],
                       *[F.col(f"b.{c}") for c in only_b])
     if shared:
@@ -109,7 +109,7 @@ def concat(parts, row_key="row_idx") -> DataFrame:
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_part", "_off")
     return (u.join(F.broadcast(offs), "_part")
-             .withColumn(row_key, F.col(row_key) + F.col("_off")).drop("_off"))
+             .withColumn(row_key, F.col(row_key) + F.col("_off")).drop("_off", "_part"))
 
 
 def chunk(df: DataFrame, k: int, n: int | None = None, row_key="row_idx", by=()) -> DataFrame:
@@ -143,12 +143,12 @@ def repeat(df: DataFrame, times: int, interleave: bool = True, n: int | Column |
     return x.withColumn(row_key, idx.cast("bigint")).drop("_rep")
 
 
-def reorder(df: DataFrame, indices: DataFrame, row_key="row_idx", src="src_idx") -> DataFrame:
+def reorder(df: DataFrame, indices: DataFrame, row_key="row_idx", src="src_idx", by=()) -> DataFrame:
     """New position p takes old row ``indices[p]`` (index table
-    ``(row_idx, src_idx)``)."""
-    idx = indices.select(F.col(row_key).alias("_new"), F.col(src).alias("_src"))
-    return (df.join(idx, df[row_key] == idx["_src"])
-              .drop(row_key, "_src").withColumnRenamed("_new", row_key))
+    ``(by..., row_idx, src_idx)``)."""
+    by = list(by)
+    idx = indices.select(*by, F.col(row_key).alias("_new"), F.col(src).alias(row_key))
+    return df.join(idx, [*by, row_key]).drop(row_key).withColumnRenamed("_new", row_key)
 
 
 def pad_to_divisor(df: DataFrame, divisor: int, row_key="row_idx", by=()):
