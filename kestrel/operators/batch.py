@@ -30,16 +30,16 @@ def global_index(df: DataFrame, order, name: str = "row_idx") -> DataFrame:
     from kestrel.session import cut_lineage
     order = [order] if isinstance(order, (str, Column)) else list(order)
     s = (df.orderBy(*order)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id()))
+           .withColumn("__gi_pid", F.spark_partition_id())
+           .withColumn("__gi_mid", F.monotonically_increasing_id()))
     s = cut_lineage(s)
-    s = s.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).select("_pid", "_off")
-    return (s.join(F.broadcast(offs), "_pid")
-             .withColumn(name, (F.col("_off") + F.col("_pos")).cast("bigint"))
-             .drop("_pid", "_mid", "_pos", "_off"))
+    s = s.withColumn("__gi_pos", F.col("__gi_mid") - F.shiftleft(F.col("__gi_pid").cast("bigint"), 33))
+    counts = s.groupBy("__gi_pid").agg(F.count(F.lit(1)).alias("__gi_cnt"))
+    w = Window.orderBy("__gi_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("__gi_off", F.coalesce(F.sum("__gi_cnt").over(w), F.lit(0))).select("__gi_pid", "__gi_off")
+    return (s.join(F.broadcast(offs), "__gi_pid")
+             .withColumn(name, (F.col("__gi_off") + F.col("__gi_pos")).cast("bigint"))
+             .drop("__gi_pid", "__gi_mid", "__gi_pos", "__gi_off"))
 
 
 def index_within(df: DataFrame, by, order, name: str = "row_idx") -> DataFrame:

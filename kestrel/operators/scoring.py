@@ -248,3 +248,144 @@ def digit_prefix_reward(df: DataFrame, expected="expected", response="response",
                   lambda i: F.when(i < F.col("n_match"), per).otherwise(F.lit(0.0))))
               .withColumn("token_rewards", F.when(F.length(r) == 0, F.array().cast("array<double>"))
                           .otherwise(F.col("token_rewards"))))
+
+
+# --------------------------------------------------------------- MATH (V3, V4)
+# Per-row string helpers run inside one Arrow pandas_udf; the job around
+# them (dispatch, aggregation per source) stays in Spark.
+
+def last_boxed(text: str | None) -> str | None:
+    """V3: the last ``\\boxed{...}`` (or ``\\fbox{...}``) with balanced braces;
+    the ``\\boxed <expr>`` form runs up to the next ``$``."""
+    if text is None:
+        return None
+    if "\\boxed " in text:
+        return "\\boxed " + text.rsplit("\\boxed ", 1)[1].split("$", 1)[0]
+    start = text.rfind("\\boxed")
+    if start < 0:
+        start = text.rfind("\\fbox")
+        if start < 0:
+            return None
+    depth = 0
+    for j in range(start, len(text)):
+        ch = text[j]
+        if ch == "{":
+            depth += 1
+        elif ch == "}":
+            depth -= 1
+            if depth == 0:
+                return text[start:j + 1]
+    return None
+
+
+def unbox(s: str) -> str:
+    for head in ("\\boxed ",):
+        if s.startswith(head):
+            return s[len(head):]
+    if not (s.startswith("\\boxed{") and s.endswith("}")):
+        raise ValueError("not a boxed expression")
+    return s[len("\\boxed{"):-1]
+
+
+def _fracs(s: str) -> str:
+    head, *rest = s.split("\\frac")
+    out = [head]
+    for piece in rest:
+        out.append("\\frac")
+        if piece[0] == "{":          # IndexError on an empty piece, as in the reference
+            out.append(piece)
+            continue
+        if len(piece) < 2:
+            return s
+        a, b, tail = piece[0], piece[1], piece[2:]
+        out.append("{" + a + "}{" + b + "}" + tail if b != "{" else "{" + a + "}" + b + tail)
+    return "".join(out)
+
+
+def _slash(s: str) -> str:
+    parts = s.split("/")
+    if len(parts) != 2:
+        return s
+    try:
+        a, b = int(parts[0]), int(parts[1])
+    except ValueError:
+        return s
+    return "\\frac{" + str(a) + "}{" + str(b) + "}" if s == f"{a}/{b}" else s
+
+
+def _sqrt(s: str) -> str:
+    if "\\sqrt" not in s:
+        return s
+    head, *rest = s.split("\\sqrt")
+    return head + "".join("\\sqrt" + (p if p[0] == "{" else "{" + p[0] + "}" + p[1:]) for p in rest)
+
+
+# Literal rewrites applied in order before the structural fixes.
+MATH_LITERAL_REWRITES = [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"),
+                         ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")]
+
+
+def normalize_math(s: str) -> str:
+    """V4 answer normalisation (raises on malformed input, like the reference)."""
+    for a, b in MATH_LITERAL_REWRITES:
+        s = s.replace(a, b)
+    if "\\text{ " in s:
+        units = s.split("\\text{ ")
+        if len(units) != 2:
+            raise ValueError("units")
+        s = units[0]
+    s = s.replace("\\%", "")
+    s = s.replace(" .", " 0.").replace("{.", "{0.")
+    if not s:
+        return s
+    if s[0] == ".":
+        s = "0" + s
+    eq = s.split("=")
+    if len(eq) == 2 and len(eq[0]) <= 2:
+        s = eq[1]
+    s = _sqrt(s).replace(" ", "")
+    s = _fracs(s)
+    if s == "0.5":
+        s = "\\frac{1}{2}"
+    return _slash(s)
+
+
+def math_equiv(a: str | None, b: str | None) -> bool:
+    if a is None and b is None:
+        return True
+    if a is None or b is None:
+        return False
+    try:
+        return normalize_math(a) == normalize_math(b)
+    except Exception:  # noqa: BLE001 - normalisation failure -> raw compare
+        return a == b
+
+
+def math_score_one(response: str | None, truth: str | None) -> float:
+    try:
+        box = last_boxed(response)
+        if box is None:
+            return 0.0
+        return 1.0 if math_equiv(unbox(box), truth) else 0.0
+    except Exception:  # noqa: BLE001 - any other failure scores 0
+        return 0.0
+
+
+@F.pandas_udf(T.StringType())
+def boxed_answer(s: pd.Series) -> pd.Series:
+    """V3 as a column: content of the last boxed expression (null if none)."""
+    def one(x):
+        b = last_boxed(x)
+        if b is None:
+            return None
+        try:
+            return unbox(b)
+        except ValueError:
+            return None
+    return s.map(one)
+
+
+@F.pandas_udf(T.DoubleType())
+def math_score(response: pd.Series, truth: pd.Series) -> pd.Series:
+    """V4: 1.0 when the last boxed answer equals the truth after normalising."""
+    return pd.Series([math_score_one(r, t) for r, t in zip(response, truth)], dtype="float64")
