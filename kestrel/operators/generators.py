@@ -75,3 +75,43 @@ def digit_completion_answer(prompt) -> Column:
     terms = F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(n, F.lit(1).cast("bigint"))),
                         lambda k: F.pmod(b + k * diff, m).cast("string"))
     return F.when(n <= 0, F.lit("")).otherwise(F.array_join(terms, ","))
+
+
+def digit_completion_space(params: DataFrame, max_number="max_number", max_diff="max_diff",
+                           max_n="max_num_in_response") -> DataFrame:
+    """G4 per parameter row: every prompt of the space (first x diff x n),
+    generated with ``explode(sequence)`` on the executors."""
+    x = params.withColumn("first", F.explode(F.sequence(F.lit(0), col(max_number).cast("int"))))
+    x = x.withColumn("diff", F.explode(F.sequence(F.lit(0), col(max_diff).cast("int"))))
+    x = x.withColumn("n", F.explode(F.sequence(F.lit(0), col(max_n).cast("int"))))
+    second = F.pmod(F.col("first") + F.col("diff"), col(max_number))
+    return x.withColumn("prompt", F.concat(F.col("first").cast("string"), F.lit(","), second.cast("string"), F.lit(":"),
+                                           col(max_number).cast("string"), F.lit(","), F.col("n").cast("string")))
+
+
+def digit_completion_sample(keys: DataFrame, key, max_number: int, max_diff: int, max_n: int,
+                            seed: int = 0) -> DataFrame:
+    """One prompt per key row, drawn from G4's space with hash uniforms."""
+    first = uniform_int(seed, key, 1, 0, max_number)
+    diff = uniform_int(seed, key, 2, 0, max_diff)
+    n = uniform_int(seed, key, 3, 0, max_n)
+    second = F.pmod(first + diff, F.lit(max_number))
+    return keys.withColumn("prompt", F.concat(first.cast("string"), F.lit(","), second.cast("string"),
+                                              F.lit(f":{max_number},"), n.cast("string")))
+
+
+def random_attention_mask(ids, key, max_ratio_valid: float, max_ratio_left_pad: float,
+                          min_ratio_valid: float = 0.0, seed: int = 0) -> Column:
+    """Per row a random left pad in [0, max_left] and a valid length in
+    [min_valid, max_valid] (ratios of the row length), hash-derived."""
+    if not (0 < max_ratio_valid <= 1 and 0 <= max_ratio_left_pad < 1 and min_ratio_valid <= max_ratio_valid):
+        raise ValueError("invalid ratios")
+    L = F.size(col(ids))
+    max_valid = F.floor(L * max_ratio_valid).cast("bigint")
+    min_valid = F.greatest(F.lit(1), F.floor(L * min_ratio_valid)).cast("bigint")
+    max_left = F.floor(L * max_ratio_left_pad).cast("bigint")
+    h1 = F.pmod(F.xxhash64(F.lit(seed), col(key), F.lit(1)), max_left + 1)
+    # short rows: the valid length is clamped so it never exceeds the row
+    max_valid = F.greatest(max_valid, min_valid)
+    h2 = min_valid + F.pmod(F.xxhash64(F.lit(seed), col(key), F.lit(2)), max_valid - min_valid + 1)
+    return F.transform(col(ids), lambda x, i: F.when((i >= h1) & (i < h1 + h2), 1).otherwise(0))

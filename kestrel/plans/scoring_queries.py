@@ -278,3 +278,37 @@ c AS (SELECT rollout_id, response, expected,
                       lambda i: substr(response, i, 1) = substr(expected, i, 1)), false) - 1,
                       least(length(response), length(expected))) AS n_match FROM e)
 SELECT rollout_id, expected, CAST(n_match AS INT) AS n_match, round(n_match / (length(expected) + 1.0), 6) AS reward FROM c""")
+
+
+# MATH (V3, V4): responses with boxed answers derived from the benchmark ids.
+FX_MATH = r"""
+SELECT item_id AS rollout_id,
+       CASE CAST(item_id % 4 AS INT)
+            WHEN 0 THEN CONCAT(text, ' so \boxed{', CAST(item_id AS VARCHAR(20)), '} and \boxed{\dfrac{', CAST(item_id AS VARCHAR(20)), '}{2}}')
+            WHEN 1 THEN CONCAT(text, ' answer \boxed ', CAST(item_id AS VARCHAR(20)), '/2$ done')
+            WHEN 2 THEN CONCAT(text, ' \fbox{', CAST(item_id + 1 AS VARCHAR(20)), '}')
+            ELSE CONCAT(text, ' no box') END AS response,
+       CONCAT('\frac{', CAST(item_id AS VARCHAR(20)), '}{2}') AS ground_truth
+FROM benchmark"""
+
+
+def v3_boxed(spark, sf):
+    # built with the DataFrame API: Spark SQL literals would read "\\b" as an escape
+    b = read_table(spark, sf, "benchmark")
+    i = F.col("item_id").cast("string")
+    resp = (F.when(F.col("item_id") % 4 == 0, F.concat("text", F.lit(" so \\boxed{"), i, F.lit("} and \\boxed{\\dfrac{"), i, F.lit("}{2}}")))
+            .when(F.col("item_id") % 4 == 1, F.concat("text", F.lit(" answer \\boxed "), i, F.lit("/2$ done")))
+            .when(F.col("item_id") % 4 == 2, F.concat("text", F.lit(" \\fbox{"), (F.col("item_id") + 1).cast("string"), F.lit("}")))
+            .otherwise(F.concat("text", F.lit(" no box"))))
+    df = b.select(F.col("item_id").alias("rollout_id"), resp.alias("response"),
+                  F.concat(F.lit("\\frac{"), i, F.lit("}{2}")).alias("ground_truth"))
+    return df.select("rollout_id", S.boxed_answer("response").alias("answer"),
+                     S.math_score("response", "ground_truth").alias("score"))
+
+
+Q["V3_V4_math_score"] = (v3_boxed, "WITH fx_math AS (" + FX_MATH + r""")
+SELECT rollout_id,
+       CASE CAST(rollout_id % 4 AS INT) WHEN 0 THEN '\dfrac{' || CAST(rollout_id AS VARCHAR) || '}{2}'
+            WHEN 1 THEN CAST(rollout_id AS VARCHAR) || '/2' WHEN 2 THEN NULL ELSE NULL END AS answer,
+       CAST(CASE WHEN rollout_id % 4 IN (0, 1) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score
+FROM fx_math""")
