@@ -242,3 +242,13 @@ def l7(spark, sf):
     even = d.join(n, "batch_id").filter(F.col("n") % 2 == 0).drop("n")
     bal = L.balance_batch(even, 2)
     return bal.groupBy("batch_id", "rank").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("seqlen").alias("tokens"))
+
+
+@reg("B12_unfold", """
+SELECT batch_id, row_idx, row_id FROM fx_lengths""", ("fx_lengths",))
+def b12(spark, sf):
+    # collate each batch into groups of 8 ordered rows (nested), then unfold back to flat rows
+    d = lengths(spark, sf).withColumn("part", (F.col("row_idx") / 8).cast("bigint"))
+    nested = to_arrays(d, ["batch_id", "part"], "row_idx", ["row_idx", "row_id"])
+    flat = nested.select("batch_id", F.inline(F.arrays_zip("row_idx", "row_id")))
+    return flat.select("batch_id", F.col("row_idx").cast("bigint").alias("row_idx"), "row_id")

@@ -312,3 +312,26 @@ SELECT rollout_id,
             WHEN 1 THEN CAST(rollout_id AS VARCHAR) || '/2' WHEN 2 THEN NULL ELSE NULL END AS answer,
        CAST(CASE WHEN rollout_id % 4 IN (0, 1) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score
 FROM fx_math""")
+
+
+# The sequence score placed at the last valid response token.
+Q["V13_token_level_scores"] = (None, with_fixtures("""
+WITH r AS (SELECT rollout_id, CAST(sum(mask) AS INT) AS valid, count(*) AS n, CAST(rollout_id % 7 - 3 AS DOUBLE) AS score
+           FROM fx_tokens GROUP BY rollout_id)
+SELECT rollout_id, CAST(n AS INT) AS n, CAST(CASE WHEN score <> 0 THEN valid - 1 END AS INT) AS pos, score AS total FROM r""",
+                                                   "fx_tokens"))
+
+
+def v13_token_scores(spark, sf):
+    from kestrel.operators.tokens import expand_to_tokens, to_arrays
+    arr = to_arrays(fixture(spark, sf, "fx_tokens"), "rollout_id", "t", ["mask"])
+    arr = arr.withColumn("valid", F.aggregate("mask", F.lit(0), lambda a, x: a + x)) \
+             .withColumn("score", (F.col("rollout_id") % 7 - 3).cast("double")) \
+             .withColumn("n", F.size("mask"))
+    tok = arr.withColumn("scores", expand_to_tokens("score", F.col("valid") - 1, "n"))
+    nz = F.array_position(F.transform("scores", lambda x: x != 0), True)
+    return tok.select("rollout_id", "n", F.when(nz > 0, nz - 1).cast("int").alias("pos"),
+                      F.aggregate("scores", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+Q["V13_token_level_scores"] = (v13_token_scores, Q["V13_token_level_scores"][1])
