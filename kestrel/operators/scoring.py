@@ -152,36 +152,47 @@ def puzzle_truth(solution_text) -> Column:
         F.slice(parsed, i + 2, F.size(parsed)), lambda o: o["name"] == e["name"]))
 
 
-def puzzle_score_columns(response, solution_text, format_reward: int = 1) -> dict[str, Column]:
-    """V7-V10 as named columns: header split, structure, answer and score."""
-    hdr = split_header(response)
-    processed = hdr["processed"]
-    answer = F.when(hdr["has_header"], py_strip(last_tag_content(processed, "answer")))
-    fmt_ok = tags_in_order(processed, THINK_ANSWER_TAGS)
-    truth = puzzle_truth(solution_text)
-    low = F.lower(answer)
-    n_roles = count_substr(low, "knight") + count_substr(low, "knave")
-    preds = F.transform(truth, lambda e: F.lower(F.call_function(
-        "regexp_extract", answer,
-        F.concat(F.lit(r"(?i)\b"), e["name"], F.lit(r"\b\s+is\s+a\s+\b(knight|knave)\b")), F.lit(1))))
-    all_found = F.forall(preds, lambda p: p != "")
-    all_right = F.forall(F.arrays_zip(truth.alias("t"), preds.alias("p")),
+def score_puzzle(df: DataFrame, response="response", solution_text="solution_text_format",
+                 format_reward: int = 1, keep_intermediate: bool = False) -> DataFrame:
+    """V7-V10 as staged columns: every intermediate (header split, answer,
+    parsed truth, predictions) is computed once per row and referenced by
+    name, so no regex runs twice.  Adds ``format_ok`` and ``score``."""
+    h = split_header(response)
+    x = df.withColumn("_proc", h)
+    proc = F.col("_proc.processed")
+    x = x.withColumns({
+        "_ans": F.when(F.col("_proc.has_header"), py_strip(last_tag_content(proc, "answer"))),
+        "format_ok": tags_in_order(proc, THINK_ANSWER_TAGS),
+        "_lines": F.filter(F.transform(F.split(col(solution_text), "\n"), lambda l: py_strip(l)),
+                           lambda l: (l != "") & l.rlike(GT_LINE)),
+    })
+    x = x.withColumn("_parsed", F.transform("_lines", lambda l: F.struct(
+        F.regexp_extract(l, GT_LINE, 1).alias("name"), F.lower(F.regexp_extract(l, GT_LINE, 2)).alias("role"))))
+    x = x.withColumn("_truth", F.filter("_parsed", lambda e, i: ~F.exists(
+        F.slice(F.col("_parsed"), i + 2, F.size("_parsed")), lambda o: o["name"] == e["name"])))
+    low = F.lower(F.col("_ans"))
+    x = x.withColumns({
+        "_n_roles": count_substr(low, "knight") + count_substr(low, "knave"),
+        "_preds": F.transform("_truth", lambda e: F.lower(F.call_function(
+            "regexp_extract", F.col("_ans"),
+            F.concat(F.lit(r"(?i)\b"), e["name"], F.lit(r"\b\s+is\s+a\s+\b(knight|knave)\b")), F.lit(1)))),
+    })
+    n_truth = F.size("_truth")
+    all_found = F.forall("_preds", lambda p: p != "")
+    all_right = F.forall(F.arrays_zip(F.col("_truth").alias("t"), F.col("_preds").alias("p")),
                          lambda z: z["t"]["role"] == z["p"])
-    answer_score = (F.when(~fmt_ok | answer.isNull() | (answer == ""), F.lit(-2.0))
-                    .when(F.size(truth) == 0, F.lit(-2.0))
-                    .when(n_roles != F.size(truth), F.lit(-2.0))
+    ans = F.col("_ans")
+    answer_score = (F.when(~F.col("format_ok") | ans.isNull() | (ans == ""), F.lit(-2.0))
+                    .when(n_truth == 0, F.lit(-2.0))
+                    .when(F.col("_n_roles") != n_truth, F.lit(-2.0))
                     .when(~all_found, F.lit(-2.0))
                     .when(all_right, F.lit(2.0))
                     .otherwise(F.lit(-1.5)))
-    fmt_score = F.when(fmt_ok, F.lit(float(format_reward))).otherwise(F.lit(-abs(float(format_reward))))
-    return {"has_header": hdr["has_header"], "processed": processed, "answer_text": answer,
-            "format_ok": fmt_ok, "score": fmt_score + answer_score}
-
-
-def score_puzzle(df: DataFrame, response="response", solution_text="solution_text_format",
-                 format_reward: int = 1) -> DataFrame:
-    c = puzzle_score_columns(response, solution_text, format_reward)
-    return df.withColumns({"format_ok": c["format_ok"], "score": c["score"]})
+    fmt_score = F.when(F.col("format_ok"), F.lit(float(format_reward))).otherwise(F.lit(-abs(float(format_reward))))
+    x = x.withColumn("score", fmt_score + answer_score)
+    if keep_intermediate:
+        return x
+    return x.drop("_proc", "_ans", "_lines", "_parsed", "_truth", "_n_roles", "_preds")
 
 
 # ---------------------------------------------------- scorer dispatch
@@ -212,16 +223,20 @@ def dispatch_scores(df: DataFrame, data_source="data_source", response="response
     """
     name = scorer_name(data_source)
     gt = col(ground_truth)
+    x = df.withColumn("scorer", name)
+    x = x.withColumn("_kk_sol", F.when(F.col("scorer") == "kk", F.get_json_object(gt, "$.solution_text_format")))
+    x = score_puzzle(x.withColumn("_kk_resp", F.when(F.col("scorer") == "kk", col(response))),
+                     "_kk_resp", "_kk_sol").withColumnRenamed("score", "_kk_score").drop("format_ok")
     cd = F.from_json(gt, "target bigint, numbers array<bigint>")
-    kk = F.get_json_object(gt, "$.solution_text_format")
+    name = F.col("scorer")
     s = (F.when(name == "gsm8k", gsm8k_score(response, gt))
          .when(name == "multiply", multiply_score(response, gt))
          .when(name == "countdown", countdown_score(response, cd["target"], cd["numbers"]))
-         .when(name == "kk", puzzle_score_columns(response, kk)["score"]))
+         .when(name == "kk", F.col("_kk_score")))
     if strict:
         s = F.when(name.isNull(), F.raise_error(F.concat(F.lit("no scorer for "), col(data_source)))
                    .cast("double")).otherwise(s)
-    return df.withColumn("scorer", name).withColumn("score", s)
+    return x.withColumn("score", s).drop("_kk_sol", "_kk_resp", "_kk_score")
 
 
 # ------------------------------------------------ digit completion

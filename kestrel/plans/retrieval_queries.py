@@ -34,8 +34,13 @@ def r6(c):
 def corpus(spark, sf, tasks: int = 1):
     d = read_table(spark, sf, "documents").select("doc_id", "text")
     task = F.lit("all") if tasks == 1 else F.concat(F.lit("t"), (F.col("doc_id") % tasks).cast("string"))
-    d = RT.tokenize(d.withColumn("task", task))
-    return index_within(d, "task", "doc_id", "doc_order")
+    return RT.tokenize(d.withColumn("task", task))
+
+
+def positions(docs):
+    """Corpus order: 0-based position of each document within its task
+    (numbered on the two key columns only)."""
+    return index_within(docs.select("task", "doc_id"), "task", "doc_id", "doc_order")
 
 
 def bench_queries(spark, sf, tasks: int = 1, text="text"):
@@ -45,13 +50,15 @@ def bench_queries(spark, sf, tasks: int = 1, text="text"):
 
 
 def bm25_pipeline(spark, sf, queries=None, tasks: int = 1):
+    from kestrel.session import cut_lineage
     docs = corpus(spark, sf, tasks)
-    post = RT.postings(docs)
+    # the postings table is the index: materialised once in the shared folder
+    post = cut_lineage(RT.postings(docs))
     stats = RT.corpus_stats(docs)
     queries = queries if queries is not None else bench_queries(spark, sf, tasks)
     qw = RT.query_weights(queries, post, stats, k1=K1, b=B)
     scores = RT.bm25_scores(qw, post, k1=K1, b=B).withColumn("score", F.round("score", 9))
-    return docs, queries, scores
+    return positions(docs), queries, scores
 
 
 def excluded(spark, sf):

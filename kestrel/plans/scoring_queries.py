@@ -69,8 +69,7 @@ s AS (
 
 def _puzzle_scored(spark, sf):
     df = fixture(spark, sf, "fx_puzzle")
-    c = S.puzzle_score_columns("response", "solution_text_format")
-    return df.select("rollout_id", "uid", c["format_ok"].alias("format_ok"), c["score"].alias("score"))
+    return S.score_puzzle(df).select("rollout_id", "uid", "format_ok", "score")
 
 
 # -------------------------------------------------------------------- queries
@@ -117,7 +116,8 @@ Q["V8_structure"] = (v8_structure, _puzzle_sql("SELECT rollout_id, format_ok FRO
 
 def v9_truth(spark, sf):
     df = fixture(spark, sf, "fx_puzzle")
-    return (df.select("rollout_id", F.inline(S.puzzle_truth("solution_text_format"))))
+    t = S.score_puzzle(df, keep_intermediate=True)
+    return t.select("rollout_id", F.inline("_truth"))
 
 
 Q["V9_puzzle_truth"] = (v9_truth, _puzzle_sql(
