@@ -216,8 +216,11 @@ def qrels_from_json(df: DataFrame, key="rollout_id", ground_truth="ground_truth"
 def l2_normalize(vec) -> Column:
     """X / ||x||; a zero vector stays zero."""
     v = F.transform(col(vec), lambda x: x.cast("double"))
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    n = F.sqrt(F.aggregate(col(vec), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    # the norm is computed once and zipped in (a reference inside the lambda
+    # would be re-evaluated per element)
+    return F.zip_with(v, F.array_repeat(n, F.size(col(vec))),
+                      lambda x, nn: F.when(nn > 0, x / nn).otherwise(F.lit(0.0)))
 
 
 def dot(a, b) -> Column:

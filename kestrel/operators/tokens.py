@@ -69,9 +69,14 @@ def attention_mask(ids, pad_id: int = 0) -> Column:
 
 
 def eos_mask(ids, eos_id: int = 2) -> Column:
-    """T5: 1 up to and including the first EOS, 0 after; all 1 without EOS."""
+    """T5: 1 up to and including the first EOS, 0 after; all 1 without EOS.
+
+    Built as ones ++ zeros so the EOS position is found once per row (a
+    reference inside a lambda would be re-evaluated for every element)."""
+    n = F.size(col(ids))
     p = F.array_position(col(ids), eos_id)
-    return F.transform(col(ids), lambda x, i: F.when((p == 0) | (i + 1 <= p), 1).otherwise(0))
+    ones = F.when(p == 0, n).otherwise(p).cast("int")
+    return F.concat(F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), n - ones))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -144,7 +149,7 @@ def sft_encode(prompt_ids, response_ids, eos_id: int, max_length: int, pad_id: i
     with the prompt (first ``min(prompt_len, L) - 1`` positions, when the
     prompt is longer than one token) and the last valid position zeroed."""
     full = F.concat(col(prompt_ids), col(response_ids), F.array(F.lit(eos_id)))
-    n = F.size(full)
+    n = F.size(col(prompt_ids)) + F.size(col(response_ids)) + 1
     ids = truncate(full, max_length, "right" if truncation == "right" else
                    "left" if truncation == "left" else "error")
     att = F.transform(ids, lambda x: F.lit(1))
@@ -228,12 +233,19 @@ def analyse(text, stopwords=()) -> Column:
 def build_dictionary(docs: DataFrame, doc_key="doc_id", tokens="tokens", by=()) -> DataFrame:
     """Term -> dense id (sorted term order), document frequency.
 
-    Dense ids come from ``zipWithIndex`` over the sorted vocabulary, which
-    numbers rows partition by partition without funnelling into one task.
+    Dense ids come from a distributed global index over the sorted
+    vocabulary (numbered partition by partition, never in one task).
     """
-    from kestrel.operators.batch import global_index
     by = list(by)
     post = docs.select(*by, doc_key, F.explode(col(tokens)).alias("term")).distinct()
+    return dictionary_from_postings(post, by)
+
+
+def dictionary_from_postings(post: DataFrame, by=()) -> DataFrame:
+    """T1 from an existing postings table (one row per (term, doc)): the
+    document frequency is a count per term, no second pass over the text."""
+    from kestrel.operators.batch import global_index
+    by = list(by)
     df = post.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
     return global_index(df, [*by, "term"], "term_id")
 
