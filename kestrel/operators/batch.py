@@ -156,13 +156,14 @@ def pad_to_divisor(df: DataFrame, divisor: int, row_key="row_idx", by=()):
     (cycling when the pad is larger than the batch).  Returns the padded
     table with ``is_pad`` and the pad size per batch."""
     by = list(by)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else \
-        df.agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("pad_size", F.pmod(-F.col("_n"), F.lit(divisor)))
     if by:
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = sizes.withColumn("pad_size", F.pmod(-F.col("_n"), F.lit(divisor)))
         x = df.join(sizes, by)
-    else:  # one-row size table, joined on a constant key
-        x = df.withColumn("_one", F.lit(1)).join(F.broadcast(sizes.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    else:  # one batch: its size is a scalar
+        n = df.count()
+        sizes = df.sparkSession.createDataFrame([(n, (-n) % divisor)], "_n bigint, pad_size bigint")
+        x = df.withColumn("_n", F.lit(n).cast("bigint")).withColumn("pad_size", F.lit((-n) % divisor).cast("bigint"))
     # each source row i is copied for k = i, i+n, i+2n, ... < pad_size
     copies = x.withColumn("_k", F.explode(F.sequence(F.col(row_key),
                                                     F.greatest(F.col("pad_size") - 1, F.col(row_key)),

@@ -162,15 +162,12 @@ def sft_rows(df: DataFrame, prompt="prompt", chosen="chosen", rejected="rejected
 
 
 def rm_split(df: DataFrame, order, train_frac: float = 0.75) -> DataFrame:
-    """P10: first 75 % of rows -> train, the rest -> test."""
+    """P10: first 75 % of rows -> train, the rest -> test (row count as a scalar)."""
     g = global_index(df, order, "_pos")
-    n = g.agg(F.count(F.lit(1)).alias("_n"))
-    # one-row count table joined on a constant key
-    x = g.withColumn("_one", F.lit(1)).join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one")
-    cut = F.floor(F.col("_n") * train_frac)
-    return x.withColumn("split", F.when(F.col("_pos") < cut, "train").otherwise("test")) \
+    cut = int(g.count() * train_frac)
+    return g.withColumn("split", F.when(F.col("_pos") < cut, "train").otherwise("test")) \
         .withColumn("index", F.when(F.col("_pos") < cut, F.col("_pos")).otherwise(F.col("_pos") - cut).cast("bigint")) \
-        .drop("_pos", "_n", "_one")
+        .drop("_pos")
 
 
 def rl_prompts(df: DataFrame, prompt="prompt", response="response", data_source: str = "Dahoas/full-hh-rlhf") -> DataFrame:

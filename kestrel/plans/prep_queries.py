@@ -258,7 +258,8 @@ FROM benchmark b LEFT JOIN ({FIXTURES['fx_qrels']}) q ON q.qid = b.item_id GROUP
 
 def examples(spark, sf):
     b = read_table(spark, sf, "benchmark")
-    qr = fixture(spark, sf, "fx_qrels").groupBy("qid").agg(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("gold_ids"))
+    from kestrel.plans.retrieval_queries import qrels
+    qr = qrels(spark, sf).groupBy("qid").agg(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("gold_ids"))
     ex = fixture(spark, sf, "fx_excluded").groupBy("qid").agg(
         F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("excluded_ids"))
     e = b.select(F.col("item_id").alias("qid"), F.col("text").alias("query"),
@@ -378,12 +379,13 @@ def p21(spark, sf):
 
 
 @reg("P22_length_filter", f"""
-SELECT count(*) AS n_all, count(*) FILTER (WHERE len(string_split(text, ' ')) <= 64) AS n_kept FROM ({USER_TURNS}) u""")
+SELECT false AS enabled, count(*) AS n FROM ({USER_TURNS}) u
+UNION ALL SELECT true, count(*) FROM ({USER_TURNS}) u WHERE len(string_split(text, ' ')) <= 64""")
 def p22(spark, sf):
     u = read_table(spark, sf, "conversations").filter(F.col("role") == "user").withColumn("prompt_ids", F.split("text", " "))
-    n_all = P.filter_long_prompts(u, max_len=64, enabled=False).agg(F.count(F.lit(1)).alias("n_all"))
-    n_kept = P.filter_long_prompts(u, max_len=64, enabled=True).agg(F.count(F.lit(1)).alias("n_kept"))
-    return n_all.withColumn("_k", F.lit(1)).join(n_kept.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    off = P.filter_long_prompts(u, max_len=64, enabled=False).agg(F.count(F.lit(1)).alias("n"))
+    on = P.filter_long_prompts(u, max_len=64, enabled=True).agg(F.count(F.lit(1)).alias("n"))
+    return off.select(F.lit(False).alias("enabled"), "n").unionByName(on.select(F.lit(True).alias("enabled"), "n"))
 
 
 @reg("P23_nested_field", """
