@@ -45,9 +45,12 @@ STOPWORDS_EN = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is proven small."""
-    n = df.count()
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
+    """Broadcast hint only when the row count is proven small.
+
+    ``known_rows`` is an upper bound already established (e.g. the query-term
+    count bounds the query-weight rows), which saves a counting job."""
+    n = df.count() if known_rows is None else known_rows
     return F.broadcast(df) if n <= max_rows else df
 
 
@@ -60,10 +63,22 @@ def tokenize(df: DataFrame, text="text", stopwords=STOPWORDS_EN, out="tokens") -
 
 def postings(docs: DataFrame, doc_key="doc_id", tokens="tokens", task="task") -> DataFrame:
     """(task, term, doc, tf, dl): term frequencies per document and the
-    document length in tokens.  The explode is narrow and the aggregation is
-    combined map-side (a document's tokens sit in one partition)."""
-    d = docs.select(task, doc_key, F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
-    return d.groupBy(task, "term", doc_key).agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    document length in tokens.
+
+    A document is one row, so its term counts are computed in the row: sort
+    the tokens, mark where a run of equal tokens starts, and take run
+    lengths.  The postings come out of a narrow map (no shuffle of the token
+    stream), partitioned like the documents."""
+    x = docs.select(task, doc_key, F.sort_array(col(tokens)).alias("_s"))
+    x = x.withColumn("dl", F.size("_s"))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.col("dl"), F.lit(1))),
+                      lambda i: (F.col("dl") > 0) & ((i == 1) | (F.element_at("_s", i) != F.element_at("_s", i - 1))))
+    x = x.withColumn("_st", starts)
+    # run ends; an empty document has no runs (zip_with would pad with nulls)
+    ends = F.when(F.col("dl") > 0, F.concat(F.slice("_st", 2, F.greatest(F.size("_st"), F.lit(1))),
+                                           F.array(F.col("dl") + 1))).otherwise(F.array().cast("array<int>"))
+    runs = F.zip_with("_st", ends, lambda a, b: F.struct(F.element_at("_s", a).alias("term"), (b - a).alias("tf")))
+    return x.select(task, doc_key, "dl", F.inline(runs)).select(task, "term", doc_key, F.col("tf").cast("bigint").alias("tf"), "dl")
 
 
 def corpus_stats(docs: DataFrame, tokens="tokens", task="task") -> DataFrame:
@@ -72,6 +87,15 @@ def corpus_stats(docs: DataFrame, tokens="tokens", task="task") -> DataFrame:
                                   (F.sum(F.size(tokens)) / F.count(F.lit(1))).alias("avgdl"))
 
 
+def corpus_stats_from_postings(post: DataFrame, doc_keys: DataFrame, doc_key="doc_id", task="task") -> DataFrame:
+    """R2 without a second pass over the text: N from the document keys
+    (documents without tokens count too), total length from the postings."""
+    n = doc_keys.groupBy(task).agg(F.count(F.lit(1)).alias("n_docs"))
+    tot = post.groupBy(task).agg(F.sum("tf").alias("_tot"))
+    return n.join(tot, task, "left").select(task, "n_docs",
+                                            (F.coalesce(F.col("_tot"), F.lit(0)) / F.col("n_docs")).alias("avgdl"))
+
+
 def document_frequency(post: DataFrame, terms: DataFrame | None = None, doc_key="doc_id", task="task") -> DataFrame:
     """R2: df per term; restricted to ``terms`` (task, term) when given."""
     p = post
@@ -121,10 +145,18 @@ def query_weights(queries: DataFrame, post: DataFrame, stats: DataFrame, qid="qi
     return k.select(task, qid, "term", wq.alias("wq"), idf.alias("idf"), "avgdl")
 
 
+def query_term_rows(queries: DataFrame, qid="qid", tokens="tokens", task="task") -> int:
+    """Upper bound of the query-weight rows: distinct (task, query, term)."""
+    return queries.select(task, qid, F.explode(tokens).alias("term")).distinct().count()
+
+
 def bm25_scores(qw: DataFrame, post: DataFrame, qid="qid", doc_key="doc_id", task="task",
-                k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """Sparse dot product of query and document weights, (task, qid, doc, score)."""
-    j = post.join(bounded_broadcast(qw), [task, "term"])
+                k1: float = 0.9, b: float = 0.4, query_rows: int | None = None) -> DataFrame:
+    """Sparse dot product of query and document weights, (task, qid, doc, score).
+
+    The query side is broadcast when its (bounded) row count is small, so
+    the postings are never shuffled for scoring."""
+    j = post.join(bounded_broadcast(qw, known_rows=query_rows), [task, "term"])
     contrib = F.col("wq") * F.col("idf") * tf_part("tf", "dl", "avgdl", k1, b)
     return j.groupBy(task, qid, doc_key).agg(F.sum(contrib).alias("score"))
 

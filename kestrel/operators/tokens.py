@@ -224,10 +224,10 @@ def analyse(text, stopwords=()) -> Column:
     """R1/T1 analyser: lower case, split on non letters/digits, drop empty
     tokens and stop words."""
     toks = F.split(F.lower(col(text)), WORD_SPLIT)
-    stop = F.array(*[F.lit(s) for s in stopwords]) if stopwords else None
-    if stop is None:
+    if not stopwords:
         return F.filter(toks, lambda x: x != "")
-    return F.filter(toks, lambda x: (x != "") & ~F.array_contains(stop, x))
+    # a literal IN list becomes a hash-set lookup
+    return F.filter(toks, lambda x: (x != "") & ~x.isin(*stopwords))
 
 
 def build_dictionary(docs: DataFrame, doc_key="doc_id", tokens="tokens", by=()) -> DataFrame:

@@ -54,10 +54,11 @@ def bm25_pipeline(spark, sf, queries=None, tasks: int = 1):
     docs = corpus(spark, sf, tasks)
     # the postings table is the index: materialised once in the shared folder
     post = cut_lineage(RT.postings(docs))
-    stats = RT.corpus_stats(docs)
+    stats = RT.corpus_stats_from_postings(post, docs.select("task", "doc_id"))
     queries = queries if queries is not None else bench_queries(spark, sf, tasks)
     qw = RT.query_weights(queries, post, stats, k1=K1, b=B)
-    scores = RT.bm25_scores(qw, post, k1=K1, b=B).withColumn("score", F.round("score", 9))
+    scores = RT.bm25_scores(qw, post, k1=K1, b=B, query_rows=RT.query_term_rows(queries)) \
+        .withColumn("score", F.round("score", 9))
     return positions(docs), queries, scores
 
 
