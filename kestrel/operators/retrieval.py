@@ -210,6 +210,10 @@ def ranked_run(scores: DataFrame, queries: DataFrame, excluded: DataFrame, docs:
     hits = hits.select(task, qid, doc_key, "score", "doc_order", F.col("rank").cast("int").alias("rank"))
     if not fill:
         return hits
+    # the hits feed the run, the hit counts and the blocked set: written once
+    # (at most k rows per query), so scoring is not re-run per consumer
+    from kestrel.session import cut_lineage
+    hits = cut_lineage(hits, "hits")
     return hits.unionByName(zero_fill(queries, hits, excluded, docs, k, qid, doc_key, task))
 
 

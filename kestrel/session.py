@@ -60,7 +60,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss); never a local one."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "table"):
+    """Cut the lineage by writing a parquet table under the shared
+    ``spark.checkpoint.dir`` and reading it back.
+
+    Reliable like ``checkpoint()`` (survives executor loss, never a local
+    checkpoint), but columnar: later reads prune columns and push filters."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kestrel-tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
