@@ -278,8 +278,9 @@ _DENSE_OUT = T.StructType([T.StructField("qid", T.LongType()), T.StructField("do
 def dense_scores(queries: DataFrame, docs: DataFrame, k: int = 1000, qid="qid", qvec="vec",
                  doc_key="doc_id", dvec="vec", order="doc_order", max_queries: int = 4096) -> DataFrame:
     """Cosine of every query with every document, keeping each query's
-    top ``k`` per partition (exact: the global top-k is a subset of the union
-    of per-partition top-k).  Queries are broadcast in chunks of at most
+    top ``k`` per partition, merged across the partition's Arrow batches and
+    emitted once (exact: the global top-k is a subset of the union of
+    per-partition top-k; at most k rows per query and partition leave).  Queries are broadcast in chunks of at most
     ``max_queries`` rows (checked count), documents are scanned once per
     chunk; no (query, doc) pair table is ever materialised.
     """
@@ -300,23 +301,33 @@ def dense_scores(queries: DataFrame, docs: DataFrame, k: int = 1000, qid="qid",
 
         def score_part(it, bq=bq):
             q_ids, qm = bq.value
+            nq = len(q_ids)
+            # running top-k per query over all batches of the partition:
+            # (score, -order) kept as the k best, emitted once at the end
+            best_s = np.full((nq, 0), -np.inf)
+            best_id = np.zeros((nq, 0), dtype=np.int64)
+            best_ord = np.zeros((nq, 0), dtype=np.int64)
             for pdf in it:
                 if pdf.empty:
                     continue
                 dm = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[dvec]])
                 dn = np.linalg.norm(dm, axis=1)
                 dm = np.divide(dm, dn[:, None], out=np.zeros_like(dm), where=dn[:, None] > 0)
-                s = qm @ dm.T
-                d_ids = pdf[doc_key].to_numpy(dtype=np.int64)
-                d_ord = pdf[order].to_numpy(dtype=np.int64)
-                kk = min(k, s.shape[1])
-                out = []
-                for i in range(s.shape[0]):
-                    row = s[i]
-                    idx = np.lexsort((d_ord, -row))[:kk]
-                    out.append(pd.DataFrame({"qid": q_ids[i], "doc_id": d_ids[idx], "score": row[idx],
-                                             "doc_order": d_ord[idx]}))
-                yield pd.concat(out, ignore_index=True)
+                sc = qm @ dm.T
+                ids = np.broadcast_to(pdf[doc_key].to_numpy(dtype=np.int64), sc.shape)
+                ords = np.broadcast_to(pdf[order].to_numpy(dtype=np.int64), sc.shape)
+                all_s = np.concatenate([best_s, sc], axis=1)
+                all_id = np.concatenate([best_id, ids], axis=1)
+                all_ord = np.concatenate([best_ord, ords], axis=1)
+                kk = min(k, all_s.shape[1])
+                keep = np.empty((nq, kk), dtype=np.int64)
+                for i in range(nq):
+                    keep[i] = np.lexsort((all_ord[i], -all_s[i]))[:kk]
+                rows = np.arange(nq)[:, None]
+                best_s, best_id, best_ord = all_s[rows, keep], all_id[rows, keep], all_ord[rows, keep]
+            if best_s.shape[1]:
+                yield pd.DataFrame({"qid": np.repeat(q_ids, best_s.shape[1]), "doc_id": best_id.ravel(),
+                                    "score": best_s.ravel(), "doc_order": best_ord.ravel()})
 
         parts.append(docs.select(doc_key, dvec, order).mapInPandas(score_part, _DENSE_OUT))
     out = parts[0]

@@ -11,6 +11,7 @@ buffered in state until contiguous, then applied in step order.
 
 from __future__ import annotations
 
+import json
 from typing import Iterator
 
 import pandas as pd
@@ -34,8 +35,9 @@ def stream_step_metrics(spark: SparkSession, source_dir: str, schema, sink_dir:
         rm = M.reward_metrics(df, "score", by=["batch_id"])
         adv = R.grpo_advantage(df, "score", ["batch_id", "uid"]).groupBy("batch_id").agg(
             F.avg("advantage").alias("adv_mean"), F.count(F.lit(1)).alias("n_rows"))
-        rm.join(adv, "batch_id").withColumn("epoch", F.lit(epoch_id)) \
-            .write.mode("append").parquet(sink_dir)
+        # one folder per epoch, overwritten on a retry: a re-run micro-batch
+        # replaces its own output instead of appending duplicates
+        rm.join(adv, "batch_id").write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch_id}")
 
     q = (src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
@@ -52,7 +54,7 @@ def kl_state_fn(init: float, target: float, horizon: float):
         run = int(key[0])
         if state.exists:
             nxt, coef, pending = state.get
-            buf = pd.read_json(pending, orient="records") if pending else pd.DataFrame(columns=["step", "current_kl", "n_rows"])
+            buf = pd.DataFrame(json.loads(pending) if pending else [], columns=["step", "current_kl", "n_rows"])
         else:
             nxt, coef, buf = 0, init, pd.DataFrame(columns=["step", "current_kl", "n_rows"])
         parts = [buf] + [p[["step", "current_kl", "n_rows"]] for p in pdfs]
@@ -71,7 +73,9 @@ def kl_state_fn(init: float, target: float, horizon: float):
         pend = pd.DataFrame(rest, columns=["step", "current_kl", "n_rows"])
         # drop buffered steps that became contiguous
         pend = pend[pend["step"] >= nxt] if len(pend) else pend
-        state.update((int(nxt), float(coef), pend.to_json(orient="records") if len(pend) else ""))
+        pending_rows = [{"step": int(r.step), "current_kl": float(r.current_kl), "n_rows": int(r.n_rows)}
+                        for r in pend.itertuples(index=False)]
+        state.update((int(nxt), float(coef), json.dumps(pending_rows) if pending_rows else ""))
         if out:
             yield pd.DataFrame(out, columns=["run", "step", "kl_coef"])
     return fn

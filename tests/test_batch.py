@@ -96,3 +96,10 @@ def test_index_within(spark):
     df = spark.createDataFrame([(g, v) for g in "ab" for v in range(5)], "g string, v int").repartition(3)
     out = {(r.g, r.v): r.i for r in B.index_within(df, "g", "v", "i").collect()}
     assert out == {(g, v): v for g in "ab" for v in range(5)}
+
+
+def test_flatten_nested_config(spark):
+    from kestrel.operators.metrics import flatten_json
+    df = spark.createDataFrame([(1, '{"a": {"b": 1, "c": [5, 6]}, "d": "x"}')], "id int, cfg string")
+    got = {r.path: r.value for r in flatten_json(df, "id", "cfg").collect()}
+    assert got == {"a/b": "1", "a/c/list_len": "2", "a/c/0": "5", "a/c/1": "6", "d": "x"}

@@ -81,3 +81,27 @@ def test_postings_in_row_counts(spark):
     assert got == [(1, "x", 1, 5), (1, "y", 3, 5), (1, "z", 1, 5)]
     st = RT.corpus_stats_from_postings(RT.postings(docs), docs.select("task", "doc_id")).first()
     assert st.n_docs == 3 and st.avgdl == pytest.approx(5 / 3)
+
+
+def test_dense_topk_across_batches(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    qv, dv = rng.normal(size=(5, 8)), rng.normal(size=(60, 8))
+    qs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(qv)], "qid bigint, vec array<double>")
+    ds = spark.createDataFrame([(100 + j, [float(x) for x in v], j) for j, v in enumerate(dv)],
+                               "doc_id bigint, vec array<double>, doc_order bigint").repartition(2)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = RT.dense_scores(qs, ds, k=4, max_queries=2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    cos = (qv / np.linalg.norm(qv, axis=1)[:, None]) @ (dv / np.linalg.norm(dv, axis=1)[:, None]).T
+    got = {}
+    for r in out:
+        got.setdefault(r.qid, []).append((r.score, r.doc_id))
+    for i in range(5):
+        best = sorted(got[i], reverse=True)[:4]
+        exp = sorted(((cos[i, j], 100 + j) for j in range(60)), reverse=True)[:4]
+        assert [d for _, d in best] == [d for _, d in exp]
+        assert len(got[i]) <= 4 * 2          # at most k per query and partition
