@@ -177,6 +177,14 @@ def estimate_flops(seqlens: DataFrame, models: DataFrame, batch="batch_id", seql
     return j.select(batch, "model", (flops / F.col("delta_time") / 1e12).alias("tflops_achieved"))
 
 
+def mfu(flops: DataFrame, device="device", world_size: int = 1, epochs: int = 1,
+        achieved="tflops_achieved") -> DataFrame:
+    """M8: model FLOPs utilisation = achieved TFLOP/s * epochs / device peak
+    (TFLOP/s) / world size; unknown devices have an infinite peak (MFU 0)."""
+    peak_t = device_peak_flops(device) / F.lit(1e12)
+    return flops.withColumn("mfu", F.col(achieved) * epochs / peak_t / F.lit(world_size))
+
+
 def flatten_json(df: DataFrame, key, json_col, sep: str = "/", max_depth: int = 4) -> DataFrame:
     """Flatten a nested JSON document to ``a/b/c`` leaf keys.
 

@@ -136,11 +136,12 @@ WITH m AS (SELECT * FROM (VALUES ('qwen2-0.5b', 896.0, 151936.0, 24.0, 2.0, 14.0
            t(model, hs, vs, nl, kvh, nh, inter)),
 s AS (SELECT batch_id, CASE WHEN row_id % 2 = 0 THEN 'qwen2-0.5b' ELSE 'llama-7b' END AS model,
              sum(seqlen)::DOUBLE AS tok, sum(seqlen::DOUBLE * seqlen) AS sq FROM fx_lengths GROUP BY ALL),
-d AS (SELECT *, floor(hs / nh) AS hd FROM m)
-SELECT batch_id, model,
-       round((6 * ((hs * inter * 3 + hs * (nh * hd + kvh * hd + kvh * hd + nh * hd)) * nl + vs * hs * 2) * tok
-              + 12 * sq * hd * nh * nl) / 2.0 / 1e12, 6) AS tflops_achieved
-FROM s JOIN d USING (model)""", ("fx_lengths",))
+d AS (SELECT *, floor(hs / nh) AS hd FROM m),
+f AS (SELECT batch_id, model,
+       (6 * ((hs * inter * 3 + hs * (nh * hd + kvh * hd + kvh * hd + nh * hd)) * nl + vs * hs * 2) * tok
+              + 12 * sq * hd * nh * nl) / 2.0 / 1e12 AS t,
+       CASE WHEN model = 'llama-7b' THEN 989.0 ELSE 312.0 END AS peak FROM s JOIN d USING (model))
+SELECT batch_id, model, round(t, 6) AS tflops_achieved, round(t * 1 / peak / 8, 6) AS mfu FROM f""", ("fx_lengths",))
 def m8(spark, sf):
     lens = fixture(spark, sf, "fx_lengths").select(
         "batch_id", "seqlen", F.when(F.col("row_id") % 2 == 0, "qwen2-0.5b").otherwise("llama-7b").alias("model"),
@@ -148,7 +149,10 @@ def m8(spark, sf):
     models = spark.createDataFrame(MODEL_DIMS, "model string, hidden_size int, vocab_size int, num_hidden_layers int, "
                                                "num_key_value_heads int, num_attention_heads int, intermediate_size int")
     out = M.estimate_flops(lens, models)
-    return out.select("batch_id", "model", F.round("tflops_achieved", 6).alias("tflops_achieved"))
+    dev = F.when(F.col("model") == "llama-7b", "NVIDIA H100 80GB HBM3").otherwise("NVIDIA A100-SXM4-80GB")
+    out = M.mfu(out.withColumn("device", dev), "device", world_size=8, epochs=1)
+    return out.select("batch_id", "model", F.round("tflops_achieved", 6).alias("tflops_achieved"),
+                      F.round("mfu", 6).alias("mfu"))
 
 
 @register("M9_valid_tokens", """
