@@ -231,7 +231,8 @@ def st1(spark, sf):
     src = IO.shared_path(spark, "rollouts")
     fixture(spark, sf, "fx_rollouts").repartition(8, "batch_id").write.mode("overwrite").parquet(src)
     sink, ckpt = IO.shared_path(spark, "st1-sink"), IO.shared_path(spark, "st1-ckpt")
-    stream_step_metrics(spark, src, ROLLOUT_SCHEMA, sink, ckpt)
+    stream_step_metrics(spark, src, ROLLOUT_SCHEMA, sink, ckpt, test_freq=2,
+                        validation_dir=IO.shared_path(spark, "st1-validation"))
     return spark.read.parquet(sink).select("batch_id", "reward_mean", "recall_fail_ratio",
                                            (F.round("adv_mean", 6) + F.lit(0.0)).alias("adv_mean"), "n_rows")
 

@@ -24,10 +24,12 @@ from kestrel.operators import rl as R
 
 
 def stream_step_metrics(spark: SparkSession, source_dir: str, schema, sink_dir: str, checkpoint_dir: str,
-                        max_files_per_trigger: int = 1) -> None:
+                        max_files_per_trigger: int = 1, test_freq: int = 0, validation_dir: str | None = None,
+                        target_score: float = 3.0) -> None:
     """ST1: file source -> per micro-batch reward metrics and GRPO advantage
-    statistics per batch -> appended parquet table.  Runs until the folder
-    is drained (``availableNow``)."""
+    statistics per batch -> parquet table.  Every ``test_freq``-th step also
+    writes validation accuracy per data source (M5) to ``validation_dir``.
+    Runs until the folder is drained (``availableNow``)."""
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_dir))
 
@@ -38,6 +40,9 @@ def stream_step_metrics(spark: SparkSession, source_dir: str, schema, sink_dir:
         # one folder per epoch, overwritten on a retry: a re-run micro-batch
         # replaces its own output instead of appending duplicates
         rm.join(adv, "batch_id").write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch_id}")
+        if test_freq and validation_dir and epoch_id % test_freq == 0:
+            M.accuracy_by_source(df, "data_source", "score", target_score) \
+                .write.mode("overwrite").parquet(f"{validation_dir}/epoch={epoch_id}")
 
     q = (src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
