@@ -30,25 +30,30 @@ def countdown_tasks(spark: SparkSession, num_samples: int, num_operands: int = 6
                        nums.alias("nums"))
 
 
-def arithmetic_pairs(spark: SparkSession, n: int, digit: int = 3, ops=("*", "+", "-"),
-                     seed: int = 42) -> DataFrame:
-    """Digit length r in {1,2,3}: r == 1 -> DIGIT-1 digits, else DIGIT
-    digits; operator drawn from ``ops``; for '-' the larger number comes first."""
-    base = spark.range(n)
-
-    def number(draw):
-        r = uniform_int(seed, "id", draw, 1, 3)
-        d = F.when(r == 1, F.lit(digit - 1)).otherwise(F.lit(digit))
-        lo = F.when(d <= 1, F.lit(0)).otherwise(F.pow(F.lit(10), d - 1).cast("bigint"))
-        hi = (F.pow(F.lit(10), d).cast("bigint") - 1)
-        h = F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(draw + 100)), hi - lo + 1)
-        return (lo + h).cast("bigint")
-
-    op = F.element_at(F.array(*[F.lit(o) for o in ops]), uniform_int(seed, "id", 9, 1, len(ops)).cast("int"))
-    df = base.select(F.col("id").alias("row_id"), number(1).alias("x"), number(2).alias("y"), op.alias("op"))
-    return df.select("row_id",
-                     F.when(F.col("op") == "-", F.greatest("x", "y")).otherwise(F.col("x")).alias("num1"),
-                     F.when(F.col("op") == "-", F.least("x", "y")).otherwise(F.col("y")).alias("num2"), "op")
+def arith_number(seed: int, key, draw: int, digit: int, less_or_equal: bool = True) -> Column:
+    """One operand: r in {1,2,3}; r == 1 draws below 10^(DIGIT-1), otherwise
+    below 10^DIGIT.  The lower bound is 0 with ``less_or_equal`` (default),
+    else a tenth of the upper bound (no leading-zero shortening)."""
+    r = uniform_int(seed, key, draw, 1, 3)
+    hi = F.when(r == 1, F.lit(10 ** (digit - 1))).otherwise(F.lit(10 ** digit)).cast("bigint")
+    lo = F.lit(0).cast("bigint") if less_or_equal else (hi / 10).cast("bigint")
+    return (lo + F.pmod(F.xxhash64(F.lit(seed), col(key), F.lit(draw + 100)), hi - lo)).cast("bigint")
+
+
+def pair_rows(df: DataFrame, key, digit: int = 3, ops=("*",), seed: int = 42, less_or_equal: bool = True) -> DataFrame:
+    """G2/G3 on existing key rows: (num1, num2, op), larger number first for '-'."""
+    op = F.element_at(F.array(*[F.lit(o) for o in ops]), uniform_int(seed, key, 9, 1, len(ops)).cast("int"))
+    x = df.select(col(key).alias("_k"), arith_number(seed, key, 1, digit, less_or_equal).alias("_a"),
+                  arith_number(seed, key, 2, digit, less_or_equal).alias("_b"), op.alias("op"))
+    return x.select(F.col("_k").alias("row_id"),
+                    F.when(F.col("op") == "-", F.greatest("_a", "_b")).otherwise(F.col("_a")).alias("num1"),
+                    F.when(F.col("op") == "-", F.least("_a", "_b")).otherwise(F.col("_b")).alias("num2"), "op")
+
+
+def arithmetic_pairs(spark: SparkSession, n: int, digit: int = 3, ops=("*",), seed: int = 42,
+                     less_or_equal: bool = True) -> DataFrame:
+    """``n`` generated pairs (``spark.range`` rows)."""
+    return pair_rows(spark.range(n), "id", digit, ops, seed, less_or_equal)
 
 
 def digit_completion_prompts(spark: SparkSession, max_number: int, max_diff: int,

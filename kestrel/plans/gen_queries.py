@@ -32,18 +32,7 @@ def g1(spark, sf):
 SELECT count(*) AS n_pairs, true AS valid FROM orders""")
 def g2(spark, sf):
     o = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    x = o.select("id")
-    d = 3
-    def number(draw):
-        r = G.uniform_int(42, "id", draw, 1, 3)
-        nd = F.when(r == 1, F.lit(d - 1)).otherwise(F.lit(d))
-        lo = F.when(nd <= 1, F.lit(0)).otherwise(F.pow(F.lit(10), nd - 1).cast("bigint"))
-        hi = F.pow(F.lit(10), nd).cast("bigint") - 1
-        return lo + F.pmod(F.xxhash64(F.lit(42), F.col("id"), F.lit(draw + 100)), hi - lo + 1)
-    ops = F.element_at(F.array(F.lit("*"), F.lit("+"), F.lit("-")), G.uniform_int(42, "id", 9, 1, 3).cast("int"))
-    p = x.select(number(1).alias("a"), number(2).alias("b"), ops.alias("op"))
-    p = p.select(F.when(F.col("op") == "-", F.greatest("a", "b")).otherwise(F.col("a")).alias("num1"),
-                 F.when(F.col("op") == "-", F.least("a", "b")).otherwise(F.col("b")).alias("num2"), "op")
+    p = G.pair_rows(o, "id", 3, ops=("*", "+", "-"), seed=42)
     ok = (F.col("num1").between(0, 999)) & (F.col("num2").between(0, 999)) & \
         ((F.col("op") != "-") | (F.col("num1") >= F.col("num2")))
     return p.agg(F.count(F.lit(1)).alias("n_pairs"), F.bool_and(ok).alias("valid"))
@@ -52,8 +41,7 @@ def g2(spark, sf):
 @reg("G3_multiply_pairs", "SELECT count(*) AS n_pairs, true AS valid FROM part")
 def g3(spark, sf):
     ids = read_table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    n = ids.count()
-    p = G.arithmetic_pairs(spark, n, 3, ops=("*",), seed=11)
+    p = G.pair_rows(ids, "id", 3, ops=("*",), seed=11)
     ok = (F.col("op") == "*") & F.col("num1").between(0, 999) & F.col("num2").between(0, 999)
     return p.agg(F.count(F.lit(1)).alias("n_pairs"), F.bool_and(ok).alias("valid"))
 
