@@ -20,14 +20,20 @@ def uniform_int(seed: int, key, draw: int, lo, hi) -> Column:
     return (F.lit(lo) + F.pmod(F.xxhash64(F.lit(seed), col(key), F.lit(draw)), span)).cast("bigint")
 
 
+def countdown_rows(df: DataFrame, key, num_operands: int = 6, max_target: int = 1000, min_number: int = 1,
+                   max_number: int = 100, seed: int = 42) -> DataFrame:
+    """G1 on existing key rows: target in [1, max_target], ``num_operands``
+    numbers in [min_number, max_number]."""
+    nums = F.array(*[uniform_int(seed, key, i + 1, min_number, max_number) for i in range(num_operands)])
+    return df.select(col(key).alias("row_id"), uniform_int(seed, key, 0, 1, max_target).alias("target"),
+                     nums.alias("nums"))
+
+
 def countdown_tasks(spark: SparkSession, num_samples: int, num_operands: int = 6,
                     max_target: int = 1000, min_number: int = 1, max_number: int = 100,
                     seed: int = 42) -> DataFrame:
-    """G1: target in [1, max_target], ``num_operands`` numbers in [min, max]."""
-    base = spark.range(num_samples)
-    nums = F.array(*[uniform_int(seed, "id", i + 1, min_number, max_number) for i in range(num_operands)])
-    return base.select(F.col("id").alias("row_id"), uniform_int(seed, "id", 0, 1, max_target).alias("target"),
-                       nums.alias("nums"))
+    """G1: ``num_samples`` generated tasks (``spark.range`` rows)."""
+    return countdown_rows(spark.range(num_samples), "id", num_operands, max_target, min_number, max_number, seed)
 
 
 def arith_number(seed: int, key, draw: int, digit: int, less_or_equal: bool = True) -> Column:

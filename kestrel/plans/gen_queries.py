@@ -22,8 +22,7 @@ def reg(name, sql=None):
 @reg("G1_countdown_tasks", "SELECT count(*) AS n_tasks, true AS all_in_range FROM orders")
 def g1(spark, sf):
     o = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    t = o.select(G.uniform_int(42, "id", 0, 1, 1000).alias("target"),
-                 F.array(*[G.uniform_int(42, "id", i + 1, 1, 100) for i in range(6)]).alias("nums"))
+    t = G.countdown_rows(o, "id")
     ok = (F.col("target").between(1, 1000)) & F.forall("nums", lambda x: x.between(1, 100)) & (F.size("nums") == 6)
     return t.agg(F.count(F.lit(1)).alias("n_tasks"), F.bool_and(ok).alias("all_in_range"))
 
