@@ -11,6 +11,7 @@ from __future__ import annotations
 import ast
 import math
 import operator
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -328,11 +329,16 @@ def _slash(s: str) -> str:
     return "\\frac{" + str(a) + "}{" + str(b) + "}" if s == f"{a}/{b}" else s
 
 
+_SQRT_BARE = re.compile(r"\\sqrt([^{])")
+_SQRT_EMPTY = re.compile(r"\\sqrt(?=\\sqrt|$)")
+
+
 def _sqrt(s: str) -> str:
-    if "\\sqrt" not in s:
-        return s
-    head, *rest = s.split("\\sqrt")
-    return head + "".join("\\sqrt" + (p if p[0] == "{" else "{" + p[0] + "}" + p[1:]) for p in rest)
+    """``\\sqrt3`` -> ``\\sqrt{3}`` (one character); a ``\\sqrt`` with nothing
+    after it is malformed (the caller then compares the raw strings)."""
+    if _SQRT_EMPTY.search(s):
+        raise ValueError("empty sqrt argument")
+    return _SQRT_BARE.sub(lambda m: "\\sqrt{" + m.group(1) + "}", s)
 
 
 # Literal rewrites applied in order before the structural fixes.
