@@ -217,7 +217,7 @@ def l4(spark, sf):
 
 
 @reg("L5_micro_batches", """
-SELECT batch_id, CAST(ceil(sum(seqlen) / 2048.0) AS INT) AS n_micro_batches, count(*) AS n_items FROM fx_lengths GROUP BY batch_id""",
+SELECT batch_id, CAST(ceil(sum(seqlen) / 2048.0) AS BIGINT) AS n_micro_batches, count(*) AS n_items FROM fx_lengths GROUP BY batch_id""",
      ("fx_lengths",))
 def l5(spark, sf):
     mb = L.micro_batches(lengths(spark, sf), 2048, max_seq_len=512)
@@ -225,7 +225,7 @@ def l5(spark, sf):
                                       F.count(F.lit(1)).alias("n_items"))
 
 
-@reg("L6_reverse_index", "SELECT batch_id, row_idx, row_id FROM fx_lengths", ("fx_lengths",))
+@reg("L6_reverse_index", "SELECT batch_id, CAST(row_idx AS BIGINT) AS row_idx, row_id FROM fx_lengths", ("fx_lengths",))
 def l6(spark, sf):
     d = lengths(spark, sf)
     bal = L.balance_batch(d, 2)
@@ -245,7 +245,7 @@ def l7(spark, sf):
 
 
 @reg("B12_unfold", """
-SELECT batch_id, row_idx, row_id FROM fx_lengths""", ("fx_lengths",))
+SELECT batch_id, CAST(row_idx AS BIGINT) AS row_idx, row_id FROM fx_lengths""", ("fx_lengths",))
 def b12(spark, sf):
     # collate each batch into groups of 8 ordered rows (nested), then unfold back to flat rows
     d = lengths(spark, sf).withColumn("part", (F.col("row_idx") / 8).cast("bigint"))

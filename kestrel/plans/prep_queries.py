@@ -125,7 +125,7 @@ def p3(spark, sf):
 @reg("P4_kk_prompts", f"""
 WITH x AS (SELECT *, row_number() OVER (ORDER BY rollout_id) - 1 AS pos FROM fx_puzzle)
 SELECT 'kk_logic' AS data_source, 'user' AS role, {sql_render(TPL.KK_QWEN, quiz='response')} AS content, 'logic' AS ability,
-       'rule' AS style, to_json({{'solution_text_format': solution_text_format, 'statements': CAST(uid AS VARCHAR)}}) AS ground_truth,
+       'rule' AS style, CAST(to_json({{'solution_text_format': solution_text_format, 'statements': CAST(uid AS VARCHAR)}}) AS VARCHAR) AS ground_truth,
        CASE WHEN pos < 1000 THEN 'train' ELSE 'test' END AS split, CAST(CASE WHEN pos < 1000 THEN pos ELSE pos - 1000 END AS BIGINT) AS idx
 FROM x WHERE pos < 1200""", ("fx_puzzle",))
 def p4(spark, sf):
@@ -139,7 +139,7 @@ def p4(spark, sf):
 WITH x AS (SELECT *, row_number() OVER (ORDER BY rollout_id) - 1 AS pos FROM fx_countdown)
 SELECT 'countdown' AS data_source, 'user' AS role,
        {sql_render(TPL.COUNTDOWN_BASE, numbers="'[' || CAST(a AS VARCHAR) || ', ' || CAST(b AS VARCHAR) || ']'", target='CAST(target AS VARCHAR)')} AS content,
-       'math' AS ability, 'rule' AS style, to_json({{'target': target, 'numbers': [a, b]}}) AS ground_truth,
+       'math' AS ability, 'rule' AS style, CAST(to_json({{'target': target, 'numbers': [a, b]}}) AS VARCHAR) AS ground_truth,
        CASE WHEN pos < 1000 THEN 'train' ELSE 'test' END AS split, CAST(CASE WHEN pos < 1000 THEN pos ELSE pos - 1000 END AS BIGINT) AS idx
 FROM x WHERE pos < 1200""", ("fx_countdown",))
 def p5(spark, sf):
@@ -270,8 +270,8 @@ def examples(spark, sf):
 
 
 def _qrels_json_sql() -> str:
-    return ("to_json({'qrels': map_from_entries([(CAST(qid AS VARCHAR), "
-            "map_from_entries(list_transform(gold_ids, lambda g: (g, 1))))])})")
+    return ("CAST(to_json({'qrels': map_from_entries([(CAST(qid AS VARCHAR), "
+            "map_from_entries(list_transform(gold_ids, lambda g: (g, 1))))])}) AS VARCHAR)")
 
 
 @reg("P12_retrieval_prompts", f"""
@@ -311,7 +311,7 @@ x AS (SELECT e.*, coalesce(g.docs, []) AS pos_docs_list FROM e LEFT JOIN g USING
 s AS (SELECT *, 'train' AS split, row_number() OVER (PARTITION BY task ORDER BY qid) - 1 AS idx FROM x)
 SELECT 'BRIGHT_bm25_reasoner_' || task AS data_source, 'user' AS role,
        {sql_render(TPL.CHATML_USER, prompt=sql_render(TPL.DELTA_PROMPT, query='query'))} AS content, 'math' AS ability, 'rule' AS style,
-       to_json({{'query': query, 'pos_docs_list': pos_docs_list}}) AS ground_truth, split, CAST(idx AS BIGINT) AS idx FROM s""")
+       CAST(to_json({{'query': query, 'pos_docs_list': pos_docs_list}}) AS VARCHAR) AS ground_truth, split, CAST(idx AS BIGINT) AS idx FROM s""")
 def p13(spark, sf):
     e = examples(spark, sf).withColumn("split", F.lit("train"))
     e = index_within(e, "task", "qid", "idx")
@@ -321,7 +321,7 @@ def p13(spark, sf):
 
 @reg("P15_chat_only_prompts", DELTA_SQL + f"""
 SELECT qid, 'system' AS role0, {sql_str(TPL.SYSTEM_HELPFUL)} AS content0, {sql_render(TPL.DELTA_PROMPT, query='query')} AS content1,
-       to_json({{'query': query, 'pos_docs_list': pos_docs_list}}) AS answer FROM x""")
+       CAST(to_json({{'query': query, 'pos_docs_list': pos_docs_list}}) AS VARCHAR) AS answer FROM x""")
 def p15(spark, sf):
     e = examples(spark, sf).withColumn("split", F.lit("train")).withColumn("idx", F.lit(0))
     docs = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")

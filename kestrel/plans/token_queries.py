@@ -217,7 +217,7 @@ def t15(spark, sf):
 
 @reg("T16_render_chat", """
 SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) || '<|assistant|>' || chr(10) AS rendered,
-       count(*) AS n_turns FROM conversations GROUP BY conv_id""")
+       CAST(count(*) AS INTEGER) AS n_turns FROM conversations GROUP BY conv_id""")
 def t16(spark, sf):
     c = read_table(spark, sf, "conversations")
     return TK.render_chat(c, add_generation_prompt="<|assistant|>\n")

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from kestrel.sources.tables import TABLES
-from tools.oracle_check import rows_of
+from tools.oracle_check import rows_of, type_diff
 
 SF = "/root/testdata/sf0.001"
 QUERIES = E.queries()
@@ -33,6 +33,7 @@ def test_query(spark, con, name):
     got = [tuple(r) for r in df.collect()]
     if name not in ORACLE:
         return
+    assert type_diff(df.schema, con.sql(ORACLE[name])) == {}
     cur = con.execute(ORACLE[name])
     dcols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(dcols)
