@@ -194,3 +194,52 @@ def m12(spark, sf):
         R.logprob_of_label("embedding", "label").alias("logprob"))
     per = R.sft_loss(x)
     return per.agg(F.round(F.avg("sft_loss"), 6).alias("val_loss"), F.count(F.lit(1)).alias("n_batches"))
+
+
+# ---------------------------------------------------------------- step plan
+
+STEP_SQL = """
+WITH tok AS (SELECT batch_id, rollout_id, rollout_id % 37 AS uid, t, mask, n, reward AS score, v,
+                    reward - 0.1 * (old_lp - ref_lp) * mask AS rw, (old_lp - ref_lp) * mask AS kld FROM fx_tokens),
+sc AS (SELECT batch_id, rollout_id, uid, sum(rw) AS s FROM tok GROUP BY ALL),
+g AS (SELECT batch_id, uid, count(*) AS gn, avg(s) AS gm, stddev_samp(s) AS gsd FROM sc GROUP BY ALL),
+a AS (SELECT sc.batch_id, sc.rollout_id, (s - CASE WHEN gn = 1 THEN 0 ELSE gm END) / (CASE WHEN gn = 1 THEN 1 ELSE gsd END + 1e-6) AS adv
+      FROM sc JOIN g USING (batch_id, uid)),
+ta AS (SELECT tok.*, a.adv * tok.mask AS advantage, a.adv * tok.mask AS returns FROM tok JOIN a USING (batch_id, rollout_id)),
+rw AS (SELECT batch_id, rollout_id, sum(mask) AS rl, max(n) AS nn, 20 + rollout_id % 7 AS pl, sum(score) AS s, sum(rw) AS r
+       FROM ta GROUP BY batch_id, rollout_id),
+wd AS (SELECT batch_id, max(nn) AS mrl FROM rw GROUP BY batch_id),
+ra AS (SELECT batch_id, avg(s) AS "critic/score/mean", max(s) AS "critic/score/max", min(s) AS "critic/score/min",
+             avg(r) AS "critic/rewards/mean", max(r) AS "critic/rewards/max", min(r) AS "critic/rewards/min",
+             avg(rl) AS "response_length/mean", max(rl) AS "response_length/max", min(rl) AS "response_length/min",
+             avg(CASE WHEN rl = mrl THEN 1.0 ELSE 0.0 END) AS "response_length/clip_ratio",
+             avg(pl) AS "prompt_length/mean", max(pl) AS "prompt_length/max", min(pl) AS "prompt_length/min",
+             avg(CASE WHEN pl = 26 THEN 1.0 ELSE 0.0 END) AS "prompt_length/clip_ratio"
+      FROM rw JOIN wd USING (batch_id) GROUP BY batch_id),
+tb AS (SELECT batch_id, avg(advantage) AS "critic/advantages/mean", max(advantage) AS "critic/advantages/max",
+             min(advantage) AS "critic/advantages/min", avg(returns) AS "critic/returns/mean", max(returns) AS "critic/returns/max",
+             min(returns) AS "critic/returns/min", avg(v) AS "critic/values/mean", max(v) AS "critic/values/max",
+             min(v) AS "critic/values/min", 1.0 - var_samp(returns - v) / (var_samp(returns) + 1e-5) AS "critic/vf_explained_var"
+      FROM ta WHERE mask <> 0 GROUP BY batch_id),
+w AS (SELECT * FROM ra JOIN tb USING (batch_id)),
+u AS (UNPIVOT (SELECT batch_id, COLUMNS(* EXCLUDE (batch_id))::DOUBLE FROM w) ON COLUMNS(* EXCLUDE (batch_id)) INTO NAME metric VALUE value),
+k AS (SELECT batch_id, avg(row_kl) AS kl FROM (SELECT batch_id, rollout_id, sum(kld * mask) / sum(mask) AS row_kl FROM tok GROUP BY ALL) x
+      GROUP BY batch_id)
+SELECT batch_id, metric, round(value, 6) + 0.0 AS value FROM u
+UNION ALL SELECT batch_id, 'critic/kl', round(kl, 6) + 0.0 FROM k
+UNION ALL SELECT batch_id, 'critic/kl_coeff', 0.1 FROM k"""
+
+
+@register("A18_training_step", STEP_SQL, ("fx_tokens",))
+def a18_step(spark, sf):
+    from kestrel.plans.step import training_step
+    tok = fixture(spark, sf, "fx_tokens").select(
+        "batch_id", "rollout_id", (F.col("rollout_id") % 37).alias("uid"), "t", "mask", "n",
+        F.col("reward").alias("score"), "old_lp", "ref_lp", "v")
+    rows = tok.groupBy("batch_id", "rollout_id").agg(F.sum("mask").alias("response_length"), F.max("n").alias("_n"))
+    widths = rows.groupBy("batch_id").agg(F.max("_n").alias("max_response_length"))
+    rows = rows.join(widths, "batch_id").select(
+        "batch_id", "rollout_id", "response_length", "max_response_length",
+        (20 + F.col("rollout_id") % 7).alias("prompt_length"), F.lit(26).alias("max_prompt_length"))
+    _, metrics = training_step(tok, rows, kl_coef=0.1, estimator="grpo")
+    return metrics.select("batch_id", "metric", r6(F.col("value")).alias("value"))
