@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.operators import inference as U
-from kestrel.operators import metrics as M
 from kestrel.operators import scoring as S
 from kestrel.operators import tokens as TK
 from kestrel.plans import prep_queries as PQ

@@ -7,8 +7,6 @@ benchmark, documents, orders); prompt rows are compared flattened:
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from kestrel.functions import templates as TPL

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from kestrel.functions.text import split_header, last_tag_content, tags_in_order, THINK_QUERY_TAGS
 from kestrel.operators import retrieval as RT
 from kestrel.operators.batch import index_within
-from kestrel.operators.tokens import build_dictionary
-from kestrel.sources.tables import FIXTURES, fixture, read_table, register_tables
+from kestrel.sources.tables import FIXTURES, fixture, read_table
 
 Q: dict = {}
 K1, B = 0.9, 0.4

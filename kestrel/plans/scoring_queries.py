@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kestrel.functions.text import split_header, tags_in_order, THINK_ANSWER_TAGS, THINK_QUERY_TAGS
+from kestrel.functions.text import split_header, tags_in_order, THINK_ANSWER_TAGS
 from kestrel.operators import metrics as M
 from kestrel.operators import scoring as S
 from kestrel.sources.tables import fixture, read_table, with_fixtures

@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kestrel.operators import tokens as TK
-from kestrel.operators.batch import index_within
-from kestrel.operators.rl import masked_sum  # noqa: F401  (shared helpers)
 from kestrel.sources.tables import fixture, read_table, with_fixtures
 from kestrel.plans.retrieval_queries import corpus, tok_sql
 
