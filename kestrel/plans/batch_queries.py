@@ -119,13 +119,16 @@ def b10(spark, sf):
 
 
 @reg("B11_fold_unfold", """
-SELECT o_orderkey AS row_idx, o_totalprice FROM orders WHERE o_orderkey < (SELECT count(*) FROM orders) // 3 * 3""")
+WITH n AS (SELECT count(*) AS n FROM orders)
+SELECT o_orderkey AS row_idx, o_totalprice, false AS is_pad FROM orders
+UNION ALL SELECT n + o_orderkey, o_totalprice, true FROM orders, n WHERE o_orderkey < (3 - n % 3) % 3""")
 def b11(spark, sf):
+    # pad to a multiple of 3 first (as before any fold), so every row is kept
     o = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_idx"), "o_totalprice")
-    n = o.count()
-    n3 = n // 3 * 3
-    f = B.fold(o.filter(F.col("row_idx") < n3), n3 // 3, n3, ["o_totalprice"])
-    return B.unfold(f, ["o_totalprice"])
+    padded, sizes = B.pad_to_divisor(o, 3)
+    total = o.count() + int(sizes.first()["pad_size"])
+    f = B.fold(padded, total // 3, total, ["o_totalprice", "is_pad"])
+    return B.unfold(f, ["o_totalprice", "is_pad"])
 
 
 @reg("B13_mini_batches", """
@@ -237,10 +240,10 @@ def l6(spark, sf):
 
 @reg("L7_balance_batch")
 def l7(spark, sf):
-    d = lengths(spark, sf)
-    n = d.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-    even = d.join(n, "batch_id").filter(F.col("n") % 2 == 0).drop("n")
-    bal = L.balance_batch(even, 2)
+    # equal rows per rank needs a batch size divisible by the world size:
+    # pad each batch first (as the reference pads to the data-parallel size)
+    padded, _ = B.pad_to_divisor(lengths(spark, sf), 2, by=["batch_id"])
+    bal = L.balance_batch(padded.select("batch_id", "row_idx", "row_id", "seqlen"), 2)
     return bal.groupBy("batch_id", "rank").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("seqlen").alias("tokens"))
 
 

@@ -121,28 +121,32 @@ def p3(spark, sf):
 
 
 @reg("P4_kk_prompts", f"""
-WITH x AS (SELECT *, row_number() OVER (ORDER BY rollout_id) - 1 AS pos FROM fx_puzzle)
+WITH x AS (SELECT *, row_number() OVER (ORDER BY rollout_id) - 1 AS pos, count(*) OVER () AS n FROM fx_puzzle)
 SELECT 'kk_logic' AS data_source, 'user' AS role, {sql_render(TPL.KK_QWEN, quiz='response')} AS content, 'logic' AS ability,
        'rule' AS style, CAST(to_json({{'solution_text_format': solution_text_format, 'statements': CAST(uid AS VARCHAR)}}) AS VARCHAR) AS ground_truth,
-       CASE WHEN pos < 1000 THEN 'train' ELSE 'test' END AS split, CAST(CASE WHEN pos < 1000 THEN pos ELSE pos - 1000 END AS BIGINT) AS idx
-FROM x WHERE pos < 1200""", ("fx_puzzle",))
+       CASE WHEN pos < n - n // 10 THEN 'train' ELSE 'test' END AS split,
+       CAST(CASE WHEN pos < n - n // 10 THEN pos ELSE pos - (n - n // 10) END AS BIGINT) AS idx
+FROM x""", ("fx_puzzle",))
 def p4(spark, sf):
     x = fixture(spark, sf, "fx_puzzle").select("rollout_id", F.col("response").alias("quiz"), "solution_text_format",
                                                 F.col("uid").cast("string").alias("statements"))
-    x = P.positional_split(x, "rollout_id", 1000, 200)
+    n = x.count()
+    x = P.positional_split(x, "rollout_id", n - n // 10, n // 10, n=n)
     return flat(P.kk_prompts(x, "qwen-instruct"))
 
 
 @reg("P5_countdown_prompts", f"""
-WITH x AS (SELECT *, row_number() OVER (ORDER BY rollout_id) - 1 AS pos FROM fx_countdown)
+WITH x AS (SELECT *, row_number() OVER (ORDER BY rollout_id) - 1 AS pos, count(*) OVER () AS n FROM fx_countdown)
 SELECT 'countdown' AS data_source, 'user' AS role,
        {sql_render(TPL.COUNTDOWN_BASE, numbers="'[' || CAST(a AS VARCHAR) || ', ' || CAST(b AS VARCHAR) || ']'", target='CAST(target AS VARCHAR)')} AS content,
        'math' AS ability, 'rule' AS style, CAST(to_json({{'target': target, 'numbers': [a, b]}}) AS VARCHAR) AS ground_truth,
-       CASE WHEN pos < 1000 THEN 'train' ELSE 'test' END AS split, CAST(CASE WHEN pos < 1000 THEN pos ELSE pos - 1000 END AS BIGINT) AS idx
-FROM x WHERE pos < 1200""", ("fx_countdown",))
+       CASE WHEN pos < n - n // 10 THEN 'train' ELSE 'test' END AS split,
+       CAST(CASE WHEN pos < n - n // 10 THEN pos ELSE pos - (n - n // 10) END AS BIGINT) AS idx
+FROM x""", ("fx_countdown",))
 def p5(spark, sf):
     x = fixture(spark, sf, "fx_countdown").select("rollout_id", F.array("a", "b").alias("nums"), "target")
-    x = P.positional_split(x, "rollout_id", 1000, 200)
+    n = x.count()
+    x = P.positional_split(x, "rollout_id", n - n // 10, n // 10, n=n)
     return flat(P.countdown_prompts(x, "base"))
 
 
@@ -162,13 +166,13 @@ WITH x AS (SELECT *, row_number() OVER (ORDER BY num1, num2, op) - 1 AS pos, cou
 SELECT 'arithmetic' AS data_source, 'user' AS role,
        {sql_render(TPL.ARITH, num1='CAST(num1 AS VARCHAR)', op='op', num2='CAST(num2 AS VARCHAR)')} AS content, 'math' AS ability,
        'rule' AS style, CAST(CASE op WHEN '*' THEN num1 * num2 WHEN '+' THEN num1 + num2 ELSE num1 - num2 END AS VARCHAR) AS ground_truth,
-       CASE WHEN pos < n * 3 // 5 THEN 'train' ELSE 'test' END AS split,
-       CAST(CASE WHEN pos < n * 3 // 5 THEN pos ELSE pos - (n - n // 5) END AS BIGINT) AS idx
-FROM x WHERE pos < n * 3 // 5 OR pos >= n - n // 5""")
+       CASE WHEN pos < n - n // 5 THEN 'train' ELSE 'test' END AS split,
+       CAST(CASE WHEN pos < n - n // 5 THEN pos ELSE pos - (n - n // 5) END AS BIGINT) AS idx
+FROM x""")
 def p6(spark, sf):
     x = _num_pairs(spark, sf)
     n = x.count()
-    s = P.positional_split(x, ["num1", "num2", "op"], n * 3 // 5, n // 5, "head_tail", n=n)
+    s = P.positional_split(x, ["num1", "num2", "op"], n - n // 5, n // 5, "head_tail", n=n)
     return flat(P.arithmetic_prompts(s))
 
 
@@ -177,13 +181,13 @@ WITH x AS (SELECT *, row_number() OVER (ORDER BY num1, num2, op) - 1 AS pos, cou
 SELECT 'multiply' AS data_source, 'user' AS role,
        {sql_render(TPL.MULTIPLY, num1='CAST(num1 AS VARCHAR)', num2='CAST(num2 AS VARCHAR)')} AS content, 'math' AS ability,
        'rule' AS style, CAST(num1 * num2 AS VARCHAR) AS ground_truth,
-       CASE WHEN pos < n * 3 // 5 THEN 'train' ELSE 'test' END AS split,
-       CAST(CASE WHEN pos < n * 3 // 5 THEN pos ELSE pos - (n - n // 5) END AS BIGINT) AS idx
-FROM x WHERE pos < n * 3 // 5 OR pos >= n - n // 5""")
+       CASE WHEN pos < n - n // 5 THEN 'train' ELSE 'test' END AS split,
+       CAST(CASE WHEN pos < n - n // 5 THEN pos ELSE pos - (n - n // 5) END AS BIGINT) AS idx
+FROM x""")
 def p7(spark, sf):
     x = _num_pairs(spark, sf)
     n = x.count()
-    s = P.positional_split(x, ["num1", "num2", "op"], n * 3 // 5, n // 5, "head_tail", n=n)
+    s = P.positional_split(x, ["num1", "num2", "op"], n - n // 5, n // 5, "head_tail", n=n)
     return flat(P.arithmetic_prompts(s, multiply=True, data_source="multiply"))
 
 
@@ -345,13 +349,13 @@ def p17(spark, sf):
 
 @reg("P18_positional_split", """
 WITH x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)
-SELECT doc_id, CASE WHEN pos < n * 3 // 5 THEN 'train' ELSE 'test' END AS split,
-       CAST(CASE WHEN pos < n * 3 // 5 THEN pos ELSE pos - (n * 3 // 5) END AS BIGINT) AS "index"
-FROM x WHERE pos < n * 3 // 5 + n // 5""")
+SELECT doc_id, CASE WHEN pos < n - n // 5 THEN 'train' ELSE 'test' END AS split,
+       CAST(CASE WHEN pos < n - n // 5 THEN pos ELSE pos - (n - n // 5) END AS BIGINT) AS "index"
+FROM x""")
 def p18(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id")
     n = d.count()
-    return P.positional_split(d, "doc_id", n * 3 // 5, n // 5, "head_next", n=n).select("doc_id", "split", "index")
+    return P.positional_split(d, "doc_id", n - n // 5, n // 5, "head_next", n=n).select("doc_id", "split", "index")
 
 
 @reg("P19_longest_query", f"""
