@@ -176,36 +176,48 @@ def top_k(scores: DataFrame, k: int = 1000, qid="qid", doc_key="doc_id", order="
 
 
 def zero_fill(queries: DataFrame, hits: DataFrame, excluded: DataFrame, docs: DataFrame, k: int = 1000,
-              qid="qid", doc_key="doc_id", task="task", block: int = 1024) -> DataFrame:
+              qid="qid", doc_key="doc_id", task="task", order: str | None = None) -> DataFrame:
     """R6 (zero part): documents with score 0 that complete a run of ``k``.
 
-    ``docs`` carries ``doc_order`` (0-based position in corpus order per
-    task).  For a query with n positive hits, the run continues with the
-    first ``k - n`` documents in corpus order that are neither hits nor
-    excluded.  Candidates come from the first ``k - n + |blocked|`` positions
-    through an equi-join on (task, block of 1024 positions).
+    For a query with n positive hits, the run continues with the first
+    ``k - n`` documents in corpus order (``order``, default the document id)
+    that are neither hits nor excluded.  Those lie among the first
+    ``N = k + max |blocked|`` documents of the task, taken with a literal
+    top-N per task (a WindowGroupLimit, so at most N rows per task and
+    partition are shuffled); only queries that need a fill join them.  The
+    corpus is never numbered or sorted as a whole.
     """
+    order = order or doc_key
     npos = hits.groupBy(qid).agg(F.count(F.lit(1)).alias("n_pos"))
     blocked = hits.select(qid, doc_key).unionByName(excluded.select(qid, doc_key)).distinct()
     nblk = blocked.groupBy(qid).agg(F.count(F.lit(1)).alias("n_blocked"))
     q = (queries.select(task, qid).distinct().join(npos, qid, "left").join(nblk, qid, "left")
          .fillna(0, ["n_pos", "n_blocked"])
-         .withColumn("need", F.lit(k) - F.col("n_pos")).filter(F.col("need") > 0)
-         .withColumn("limit", F.col("need") + F.col("n_blocked")))
-    qb = q.withColumn("blk", F.explode(F.sequence(F.lit(0), ((F.col("limit") - 1) / block).cast("int"))))
-    db = docs.select(task, doc_key, "doc_order", (F.col("doc_order") / block).cast("int").alias("blk"))
-    cand = qb.join(db, [task, "blk"]).filter(F.col("doc_order") < F.col("limit"))
+         .withColumn("need", F.lit(k) - F.col("n_pos")).filter(F.col("need") > 0))
+    max_blocked = q.agg(F.max("n_blocked")).first()[0] or 0
+    n_cand = k + int(max_blocked)
+    cand_t = (docs.select(task, doc_key, F.col(order).alias("_ord"))
+              .withColumn("_pos", F.row_number().over(Window.partitionBy(task).orderBy("_ord")))
+              .filter(F.col("_pos") <= n_cand))
+    cand = q.join(cand_t, task).filter(F.col("_pos") <= F.col("need") + F.col("n_blocked"))
     cand = cand.join(blocked, [qid, doc_key], "left_anti")
-    w = Window.partitionBy(qid).orderBy("doc_order")
+    w = Window.partitionBy(qid).orderBy("_ord")
     z = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("need"))
-    return z.select(task, qid, doc_key, F.lit(0.0).alias("score"), "doc_order",
+    return z.select(task, qid, doc_key, F.lit(0.0).alias("score"), F.col("_ord").alias("doc_order"),
                     (F.col("n_pos") + F.col("_r")).cast("int").alias("rank"))
 
 
 def ranked_run(scores: DataFrame, queries: DataFrame, excluded: DataFrame, docs: DataFrame, k: int = 1000,
-               qid="qid", doc_key="doc_id", task="task", fill: bool = True) -> DataFrame:
-    """R5 + R6: exclusion, top-k by score then corpus order, zero fill."""
-    s = exclude(scores, excluded, qid, doc_key).join(docs.select(task, doc_key, "doc_order"), [task, doc_key])
+               qid="qid", doc_key="doc_id", task="task", fill: bool = True, order: str | None = None) -> DataFrame:
+    """R5 + R6: exclusion, top-k by score then corpus order, zero fill.
+
+    Corpus order is ``order`` (default: the document id); ``docs`` lists the
+    documents per task (task, doc id[, order])."""
+    order = order or doc_key
+    s = exclude(scores, excluded, qid, doc_key)
+    if order != doc_key:
+        s = s.join(docs.select(task, doc_key, order), [task, doc_key])
+    s = s.withColumn("doc_order", F.col(order))
     hits = top_k(s.filter(F.col("score") > 0) if fill else s, k, qid, doc_key)
     hits = hits.select(task, qid, doc_key, "score", "doc_order", F.col("rank").cast("int").alias("rank"))
     if not fill:
@@ -214,7 +226,7 @@ def ranked_run(scores: DataFrame, queries: DataFrame, excluded: DataFrame, docs:
     # (at most k rows per query), so scoring is not re-run per consumer
     from kestrel.session import cut_lineage
     hits = cut_lineage(hits, "hits")
-    return hits.unionByName(zero_fill(queries, hits, excluded, docs, k, qid, doc_key, task))
+    return hits.unionByName(zero_fill(queries, hits, excluded, docs, k, qid, doc_key, task, order))
 
 
 def ndcg_at_k(run: DataFrame, qrels: DataFrame, k: int = 10, qid="qid", doc_key="doc_id", rel="rel") -> DataFrame:
@@ -329,7 +341,8 @@ def dense_scores(queries: DataFrame, docs: DataFrame, k: int = 1000, qid="qid",
                 yield pd.DataFrame({"qid": np.repeat(q_ids, best_s.shape[1]), "doc_id": best_id.ravel(),
                                     "score": best_s.ravel(), "doc_order": best_ord.ravel()})
 
-        parts.append(docs.select(doc_key, dvec, order).mapInPandas(score_part, _DENSE_OUT))
+        cols = [doc_key, dvec] + ([order] if order != doc_key else [])
+        parts.append(docs.select(*cols).mapInPandas(score_part, _DENSE_OUT))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

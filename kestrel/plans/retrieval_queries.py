@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.text import split_header, last_tag_content, tags_in_order, THINK_QUERY_TAGS
 from kestrel.operators import retrieval as RT
-from kestrel.operators.batch import index_within
 from kestrel.sources.tables import FIXTURES, fixture, read_table
 
 Q: dict = {}
@@ -36,12 +35,6 @@ def corpus(spark, sf, tasks: int = 1):
     return RT.tokenize(d.withColumn("task", task))
 
 
-def positions(docs):
-    """Corpus order: 0-based position of each document within its task
-    (numbered on the two key columns only)."""
-    return index_within(docs.select("task", "doc_id"), "task", "doc_id", "doc_order")
-
-
 def bench_queries(spark, sf, tasks: int = 1, text="text"):
     q = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col(text).alias("text"))
     task = F.concat(F.lit("t"), (F.col("qid") % tasks).cast("string"))
@@ -58,7 +51,7 @@ def bm25_pipeline(spark, sf, queries=None, tasks: int = 1):
     qw = RT.query_weights(queries, post, stats, k1=K1, b=B)
     scores = RT.bm25_scores(qw, post, k1=K1, b=B, query_rows=RT.query_term_rows(queries)) \
         .withColumn("score", F.round("score", 9))
-    return positions(docs), queries, scores
+    return docs.select("task", "doc_id"), queries, scores
 
 
 def excluded(spark, sf):
@@ -310,7 +303,6 @@ def dense_inputs(spark, sf):
                                                     F.col("label").alias("qlabel"), F.lit("all").alias("task"))
     docs = e.filter(F.col("vec_id") % 10 != 0).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"),
                                                       "label", F.lit("all").alias("task"))
-    docs = index_within(docs, "task", "doc_id", "doc_order")
     qrels_d = qs.join(docs.select("doc_id", F.col("label").alias("qlabel")), "qlabel") \
         .select("qid", "doc_id", F.lit(1).alias("rel"))
     excl = qs.join(docs.select("doc_id", (F.col("doc_id") % 37).alias("m")), (F.col("qid") % 37) == F.col("m")) \
@@ -340,7 +332,7 @@ nd AS (SELECT idcg.qid, coalesce(dcg, 0) / idcg AS ndcg FROM idcg LEFT JOIN dcg
 def _dense_run(spark, sf, qs=None):
     q0, docs, qrels_d, excl = dense_inputs(spark, sf)
     qs = q0 if qs is None else qs
-    s = RT.dense_scores(qs, docs, 1000, "qid", "vec", "doc_id", "vec", "doc_order")
+    s = RT.dense_scores(qs, docs, 1000, "qid", "vec", "doc_id", "vec", "doc_id")
     s = s.withColumn("score", F.round("score", 9)).withColumn("task", F.lit("all"))
     run = RT.ranked_run(s.drop("doc_order"), qs, excl, docs, 1000, fill=False)
     return run, qrels_d
