@@ -16,8 +16,8 @@ Scale design
   WindowGroupLimit, so at most k rows per query and partition are shuffled.
 * Zero-score fill (BM25 scores every document) is exact and bounded: only
   queries with fewer than k positive hits get candidates, taken from the
-  first ``need + |blocked|`` documents in corpus order through a
-  block-bucketed equi-join (no cross join).
+  first ``k + max |blocked|`` documents of their task in corpus order (a
+  literal top-N per task, never a sort of the whole corpus; no cross join).
 * Dense retrieval is a blocked matrix product in ``mapInPandas`` against a
   size-checked broadcast of the query matrix, with per-partition top-k
   before the merge; queries beyond the broadcast bound are processed in
