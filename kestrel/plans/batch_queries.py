@@ -196,8 +196,27 @@ def l3(spark, sf):
                                      F.sum("seqlen").cast("bigint").alias("total_seqlen"))
 
 
-@reg("L1_karmarkar_karp_sums")
+PADDED2 = """
+WITH l AS (SELECT *, count(*) OVER (PARTITION BY batch_id) AS n FROM fx_lengths),
+p AS (SELECT batch_id, row_idx, seqlen, n FROM l
+      UNION ALL SELECT batch_id, n + row_idx, seqlen, n FROM l WHERE row_idx < (2 - n % 2) % 2)"""
+
+
+@reg("L1_karmarkar_karp_equal", PADDED2 + """
+SELECT batch_id, CAST(2 AS BIGINT) AS n_parts, CAST((n + n % 2) / 2 AS BIGINT) AS min_items,
+       CAST((n + n % 2) / 2 AS BIGINT) AS max_items, CAST(sum(seqlen) AS BIGINT) AS total FROM p GROUP BY batch_id, n""",
+     ("fx_lengths",))
 def l1(spark, sf):
+    # equal-size largest differencing: every part gets the same number of rows
+    padded, _ = B.pad_to_divisor(lengths(spark, sf), 2, by=["batch_id"])
+    a = L.assign_partitions(padded.select("batch_id", "row_idx", "seqlen"), 2, True)
+    per = a.groupBy("batch_id", "partition").agg(F.count(F.lit(1)).alias("c"), F.sum("seqlen").alias("s"))
+    return per.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_parts"), F.min("c").alias("min_items"),
+                                       F.max("c").alias("max_items"), F.sum("s").cast("bigint").alias("total"))
+
+
+@reg("L1_karmarkar_karp_sums")
+def l1_sums(spark, sf):
     a = L.assign_partitions(lengths(spark, sf), 4, False)
     return a.groupBy("batch_id", "partition").agg(F.sum("seqlen").alias("part_sum"), F.count(F.lit(1)).alias("n"))
 
@@ -238,20 +257,17 @@ def l6(spark, sf):
     return restored.select("batch_id", F.col("reverse_idx").alias("row_idx"), "row_id")
 
 
-@reg("L7_balance_batch")
+@reg("L7_balance_batch", PADDED2 + """
+SELECT batch_id, CAST(2 AS BIGINT) AS n_ranks, CAST((n + n % 2) / 2 AS BIGINT) AS rows_per_rank,
+       CAST(sum(seqlen) AS BIGINT) AS tokens, CAST(count(*) - 1 AS BIGINT) AS max_new_idx FROM p GROUP BY batch_id, n""",
+     ("fx_lengths",))
 def l7(spark, sf):
     # equal rows per rank needs a batch size divisible by the world size:
     # pad each batch first (as the reference pads to the data-parallel size)
     padded, _ = B.pad_to_divisor(lengths(spark, sf), 2, by=["batch_id"])
     bal = L.balance_batch(padded.select("batch_id", "row_idx", "row_id", "seqlen"), 2)
-    return bal.groupBy("batch_id", "rank").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("seqlen").alias("tokens"))
-
-
-@reg("B12_unfold", """
-SELECT batch_id, CAST(row_idx AS BIGINT) AS row_idx, row_id FROM fx_lengths""", ("fx_lengths",))
-def b12(spark, sf):
-    # collate each batch into groups of 8 ordered rows (nested), then unfold back to flat rows
-    d = lengths(spark, sf).withColumn("part", (F.col("row_idx") / 8).cast("bigint"))
-    nested = to_arrays(d, ["batch_id", "part"], "row_idx", ["row_idx", "row_id"])
-    flat = nested.select("batch_id", F.inline(F.arrays_zip("row_idx", "row_id")))
-    return flat.select("batch_id", F.col("row_idx").cast("bigint").alias("row_idx"), "row_id")
+    per = bal.groupBy("batch_id", "rank").agg(F.count(F.lit(1)).alias("c"))
+    tot = bal.groupBy("batch_id").agg(F.sum("seqlen").cast("bigint").alias("tokens"), F.max("new_idx").alias("max_new_idx"))
+    return per.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_ranks"), F.max("c").alias("rows_per_rank"),
+                                       F.min("c").alias("_min")) \
+        .filter(F.col("_min") == F.col("rows_per_rank")).drop("_min").join(tot, "batch_id")
