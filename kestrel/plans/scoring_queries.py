@@ -315,11 +315,11 @@ FROM fx_math""")
 
 
 # The sequence score placed at the last valid response token.
-Q["V13_token_level_scores"] = (None, with_fixtures("""
+V13_SQL = with_fixtures("""
 WITH r AS (SELECT rollout_id, CAST(sum(mask) AS INT) AS valid, count(*) AS n, CAST(rollout_id % 7 - 3 AS DOUBLE) AS score
            FROM fx_tokens GROUP BY rollout_id)
 SELECT rollout_id, CAST(n AS INT) AS n, CAST(CASE WHEN score <> 0 THEN valid - 1 END AS INT) AS pos, score AS total FROM r""",
-                                                   "fx_tokens"))
+                        "fx_tokens")
 
 
 def v13_token_scores(spark, sf):
@@ -334,4 +334,4 @@ def v13_token_scores(spark, sf):
                       F.aggregate("scores", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-Q["V13_token_level_scores"] = (v13_token_scores, Q["V13_token_level_scores"][1])
+Q["V13_token_level_scores"] = (v13_token_scores, V13_SQL)
