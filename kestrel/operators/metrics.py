@@ -185,31 +185,40 @@ def mfu(flops: DataFrame, device="device", world_size: int = 1, epochs: int = 1,
     return flops.withColumn("mfu", F.col(achieved) * epochs / peak_t / F.lit(world_size))
 
 
-def flatten_json(df: DataFrame, key, json_col, sep: str = "/", max_depth: int = 4) -> DataFrame:
+def flatten_json(df: DataFrame, key, json_col, sep: str = "/", max_depth: int = 8) -> DataFrame:
     """Flatten a nested JSON document to ``a/b/c`` leaf keys.
 
-    Lists become ``list_len`` plus index keys.  Each level is one
-    ``explode`` of a parsed map; values that are themselves objects or
-    arrays are expanded on the next level (up to ``max_depth``).
+    The document is parsed once into a VARIANT, so JSON types survive: only
+    real objects and arrays are expanded (a string that merely looks like
+    JSON stays a leaf).  Lists contribute ``list_len`` plus index keys.
+    Each level is one ``explode`` over a linear chain (finished leaves are
+    carried along), up to ``max_depth`` levels; deeper containers are kept
+    as JSON text.  Malformed documents give one null leaf.
     """
-    cur = df.select(key, F.lit("").alias("path"), col(json_col).alias("v"))
-    leaves = None
+    def node(path, v, done):
+        return F.struct(path.alias("path"), v.alias("v"), F.lit(done).alias("done"))
+
+    def child(parent, k):
+        return F.when(parent == "", k).otherwise(F.concat(parent, F.lit(sep), k))
+
+    cur = df.select(key, F.inline(F.array(node(F.lit(""), F.try_parse_json(col(json_col)), False))))
     for _ in range(max_depth):
-        is_obj = F.col("v").startswith("{")
-        is_arr = F.col("v").startswith("[")
-        done = cur.filter(~(is_obj | is_arr) | F.col("v").isNull())
-        leaves = done if leaves is None else leaves.unionByName(done)
-        obj = cur.filter(is_obj).select(key, "path", F.explode(F.from_json("v", "map<string,string>")).alias("k", "v2"))
-        arr = cur.filter(is_arr).select(key, "path", F.from_json("v", "array<string>").alias("a"))
-        arr_items = arr.select(key, "path", F.posexplode("a").alias("i", "v2")) \
-            .select(key, "path", F.col("i").cast("string").alias("k"), "v2")
-        arr_len = arr.select(key, "path", F.lit("list_len").alias("k"), F.size("a").cast("string").alias("v2"))
-        nxt = obj.unionByName(arr_items).unionByName(arr_len)
-        cur = nxt.select(key, F.when(F.col("path") == "", F.col("k"))
-                         .otherwise(F.concat(F.col("path"), F.lit(sep), F.col("k"))).alias("path"),
-                         F.col("v2").alias("v"))
-    leaves = leaves.unionByName(cur)
-    return leaves.withColumnRenamed("v", "value")
+        as_map = F.try_variant_get("v", "$", "map<string,variant>")
+        as_arr = F.try_variant_get("v", "$", "array<variant>")
+        path = F.col("path")
+        kids_obj = F.transform(F.map_entries(as_map), lambda e: node(child(path, e["key"]), e["value"], False))
+        kids_arr = F.concat(
+            F.transform(as_arr, lambda x, i: node(child(path, i.cast("string")), x, False)),
+            F.array(node(child(path, F.lit("list_len")), F.parse_json(F.size(as_arr).cast("string")), True)))
+        keep = F.array(node(path, F.col("v"), True))
+        nxt = (F.when(F.col("done"), keep)
+               .when(as_map.isNotNull() & (F.size(as_map) > 0), kids_obj)
+               .when(as_arr.isNotNull(), kids_arr)
+               .otherwise(keep))
+        cur = cur.select(key, F.inline(nxt))
+    still_open = ~F.col("done") & (F.try_variant_get("v", "$", "map<string,variant>").isNotNull()
+                                   | F.try_variant_get("v", "$", "array<variant>").isNotNull())
+    return cur.select(key, "path", F.when(still_open, F.to_json("v")).otherwise(F.col("v").cast("string")).alias("value"))
 
 
 def best_metric(metrics: DataFrame, metric_name: str, threshold: float, run="run", step="step",

@@ -103,3 +103,12 @@ def test_flatten_nested_config(spark):
     df = spark.createDataFrame([(1, '{"a": {"b": 1, "c": [5, 6]}, "d": "x"}')], "id int, cfg string")
     got = {r.path: r.value for r in flatten_json(df, "id", "cfg").collect()}
     assert got == {"a/b": "1", "a/c/list_len": "2", "a/c/0": "5", "a/c/1": "6", "d": "x"}
+
+
+def test_flatten_keeps_json_looking_strings(spark):
+    from kestrel.operators.metrics import flatten_json
+    df = spark.createDataFrame([(1, '{"s": "[not a list", "o": "{x", "n": null, "b": true, "l": [[1], {"q": 2}]}')],
+                               "id int, cfg string")
+    got = {r.path: r.value for r in flatten_json(df, "id", "cfg").collect()}
+    assert got == {"s": "[not a list", "o": "{x", "n": None, "b": "true", "l/list_len": "2",
+                   "l/0/list_len": "1", "l/0/0": "1", "l/1/q": "2"}
