@@ -23,7 +23,7 @@ def global_index(df: DataFrame, order, name: str = "row_idx") -> DataFrame:
     Range-sorted (distributed), then each row gets its partition's offset
     plus its position inside the partition.  Partition ids are
     non-deterministic expressions, so the numbered rows are materialised
-    once with a reliable checkpoint (in ``spark.checkpoint.dir``) before the
+    once as a parquet table under ``spark.checkpoint.dir`` (``cut_lineage``) before the
     per-partition counts are taken; the offset table has one row per
     partition and is broadcast.
     """
