@@ -18,7 +18,7 @@ from kestrel.functions.text import col
 
 
 def global_index(df: DataFrame, order, name: str = "row_idx") -> DataFrame:
-    """0-based contiguous index in ``order`` (ties broken by all columns).
+    """0-based contiguous index in ``order`` (ties numbered in an arbitrary but fixed order).
 
     Range-sorted (distributed), then each row gets its partition's offset
     plus its position inside the partition.  Partition ids are
