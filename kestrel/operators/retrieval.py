@@ -299,10 +299,14 @@ def dense_scores(queries: DataFrame, docs: DataFrame, k: int = 1000, qid="qid",
     spark = docs.sparkSession
     n_q = queries.count()
     parts = []
-    n_chunks = max(1, math.ceil(n_q / max_queries))
+    # hash chunks with headroom: each chunk is expected at half the bound
+    n_chunks = max(1, math.ceil(2 * n_q / max_queries))
     qidx = queries.select(qid, qvec).withColumn("_c", F.pmod(F.xxhash64(qid), F.lit(n_chunks)))
     for c in range(n_chunks):
-        qrows = qidx.filter(F.col("_c") == c).select(qid, qvec).collect()  # bounded by max_queries (checked)
+        chunk = qidx.filter(F.col("_c") == c).select(qid, qvec)
+        if chunk.count() > max_queries:
+            raise ValueError(f"query chunk above {max_queries} rows; lower the chunk bound")
+        qrows = chunk.collect()  # bounded by max_queries (checked above)
         if not qrows:
             continue
         ids = np.array([r[0] for r in qrows], dtype=np.int64)
