@@ -75,6 +75,8 @@ def with_fixtures(sql: str, *names: str) -> str:
     """Prefix an oracle query with the fixture CTEs it uses."""
     ctes = ",\n".join(f"{n} AS ({FIXTURES[n]}\n)" for n in names)
     body = sql.lstrip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{sql}"
