@@ -64,7 +64,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def cut_lineage(df, name: str = "table"):
+def cut_lineage(df, name: str = "table", compression: str = "snappy"):
     """Cut the lineage by writing a parquet table under the shared
     ``spark.checkpoint.dir`` and reading it back.
 
@@ -73,5 +73,5 @@ def cut_lineage(df, name: str = "table"):
     import uuid
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kestrel-tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.parquet(path)
