@@ -7,6 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from kestrel.sources.tables import read_table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.packing import pack
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, digest=True)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.exact import exact_dedup
     return exact_dedup(read_table(spark, sf_dir, "documents"))
@@ -23,7 +33,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from kestrel.llm.binary_ids import read_ids, work_folder, write_ids
+    folder = work_folder(spark, "ids")
+    write_ids(read_table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 Q = {
+    "op1_best_fit_packing": (op1_best_fit_packing, None),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
     "op9_quality_rules": (op9_quality_rules, None),
+    "op10_token_files": (op10_token_files, None),
 }
