@@ -17,6 +17,21 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, digest=True)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.langid import identify
+    return identify(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by sampled segmentation, decoded again, and compared."""
+    from pyspark.sql import functions as F
+
+    from kestrel.llm.sampled_pieces import decode, encode
+    docs, path = read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
+    coded = encode(docs, path, seed=2026).withColumn("ids_crc32", F.crc32("ids"))
+    return decode(coded, path).select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.exact import exact_dedup
     return exact_dedup(read_table(spark, sf_dir, "documents"))
@@ -44,6 +59,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
+    "op2_language_id": (op2_language_id, None),
+    "op4_sampled_pieces": (op4_sampled_pieces, None),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_token_files": (op10_token_files, None),
