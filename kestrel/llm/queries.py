@@ -43,6 +43,11 @@ g AS (SELECT s, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY s
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, n.s AS text_sha256 FROM n JOIN g ON n.s = g.s"""
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.pii import pseudonymise
+    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key="kestrel")
+
+
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.quality_crf import score_quality
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -67,6 +72,7 @@ Q = {
     "op2_language_id": (op2_language_id, None),
     "op4_sampled_pieces": (op4_sampled_pieces, None),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
+    "op6_pseudonyms": (op6_pseudonyms, None),
     "op7_quality_crf": (op7_quality_crf, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_token_files": (op10_token_files, None),

@@ -160,13 +160,15 @@ def judge(table: DataFrame, lang_col: str = "lang", source_col: str = "source")
     ok = table.filter(~F.col("__base_failed"))
     group = lambda source: F.to_json(F.struct(F.col(lang_col).cast("string").alias("l"), source.alias("s")))
     own, pool = group(F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))), group(F.lit("*"))
-    sizes = ok.groupBy(own.alias("__own")).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = cut_lineage(sizes, "mcd-sizes")
-    named = (table.withColumn("__own", own).join(sizes, "__own", "left")
-             .withColumn("__group", F.when(F.col("__n") >= MIN_GROUP, F.col("__own")).otherwise(pool)).drop("__own", "__n"))
-    fitted = named.filter(~F.col("__base_failed")).select("__group", *STATS)
-    large = fitted.groupBy("__group").count().filter(F.col("count") >= MIN_GROUP).select("__group")
-    est = estimates(fitted.join(large, "__group", "left_semi"))
+    sizes = cut_lineage(ok.groupBy(own.alias("__own"), pool.alias("__pool")).agg(F.count(F.lit(1)).alias("__n")), "mcd-sizes")
+    # a row per language and source: the group that its rows are judged in
+    small = sizes.filter(F.col("__n") < MIN_GROUP).groupBy("__pool").agg(F.sum("__n").alias("__m"))
+    groups = cut_lineage(
+        sizes.join(small, "__pool", "left")
+        .withColumn("__group", F.when(F.col("__n") >= MIN_GROUP, F.col("__own")).when(F.col("__m") >= MIN_GROUP, F.col("__pool")))
+        .select("__own", "__group"), "mcd-groups")
+    named = table.withColumn("__own", own).join(groups, "__own", "left").drop("__own")
+    est = estimates(named.filter(~F.col("__base_failed") & F.col("__group").isNotNull()).select("__group", *STATS))
     return (named.join(est, "__group", "left")
             .withColumn("__distance2", _distance(len(STATS)) / F.col("__scale"))
             .withColumn("__kept", ~F.col("__base_failed") & F.coalesce(F.col("__distance2") <= CHI2_CUT, F.lit(True)))
