@@ -53,6 +53,11 @@ def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.jaccard import similar_components
+    return similar_components(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.rules import quality_rules
     return quality_rules(read_table(spark, sf_dir, "documents"))
@@ -74,6 +79,7 @@ Q = {
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
     "op6_pseudonyms": (op6_pseudonyms, None),
     "op7_quality_crf": (op7_quality_crf, None),
+    "op8_ngram_jaccard": (op8_ngram_jaccard, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_token_files": (op10_token_files, None),
 }
