@@ -22,6 +22,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.substring import remove_repeats
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by sampled segmentation, decoded again, and compared."""
     from pyspark.sql import functions as F
@@ -75,6 +80,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
     "op2_language_id": (op2_language_id, None),
+    "op3_substring_dedup": (op3_substring_dedup, None),
     "op4_sampled_pieces": (op4_sampled_pieces, None),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
     "op6_pseudonyms": (op6_pseudonyms, None),

@@ -94,6 +94,20 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray, lower: bool = False, seeds:
     return [np.concatenate(x) for x in out], counts
 
 
+def word_spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and bytes of every word of all rows; words per row."""
+    a, b = int(bounds[0]), int(bounds[-1])
+    solid = np.zeros(b - a + 2, bool)
+    solid[1:-1] = ~SPACE[raw[a:b]]
+    inner = bounds[1:-1] - a
+    inner = inner[(inner > 0) & (inner < b - a)]
+    begin, end = solid[1:-1] & ~solid[:-2], solid[1:-1] & ~solid[2:]
+    begin[inner] = solid[inner + 1]
+    end[inner - 1] = solid[inner]
+    at = np.flatnonzero(begin)
+    return at + a, np.flatnonzero(end) + 1 - at, np.diff(np.searchsorted(at, bounds - a))
+
+
 def word_batches(column: pa.Array, lower: bool = False, seeds: int = 1) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
     """Row range, word hashes and words per row, for a few megabytes of rows at a time."""
     raw, bounds = utf8(column)
