@@ -208,7 +208,7 @@ def pseudonym(f: Feistel, x: Column) -> Column:
             d = F.when(iso, get(2)).when(us, get(1)).otherwise(get(0))
             day = F.try_to_timestamp(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
             sep = F.regexp_extract(x, "[-/.]", 0)
-            padded = F.length(get(1)) == 2
+            padded = F.length(x) == 10
 
             def spelt(l: Column, r: Column) -> Column:
                 def shown(new: Column) -> Column:
