@@ -63,6 +63,12 @@ def _register_defaults():
     register_reward("multiply")(lambda r, gt: S.multiply_score(r, gt))
     register_reward("math")(lambda r, gt: S.math_score(r, gt))
 
+    def countdown(r, gt):
+        truth = F.from_json(gt, "target bigint, numbers array<bigint>")
+        return S.countdown_score(r, truth["target"], truth["numbers"])
+
+    register_reward("countdown")(countdown)
+
 
 _register_defaults()
 

@@ -8,16 +8,13 @@ arithmetic evaluation of countdown answers needs Python, done in an Arrow
 
 from __future__ import annotations
 
-import ast
-import math
-import operator
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.operators.arithmetic import safe_arith
+from kestrel.operators.math_answers import boxed_answer, last_boxed, math_equiv, math_score, math_score_one, normalize_math  # noqa: F401
 from kestrel.functions.text import (
     ASSISTANT_HEADER, CHATML_ASSISTANT_HEADER, THINK_ANSWER_TAGS, after_first,
     col, contains, count_substr, last_tag_content, py_strip, split_header, tags_in_order,
@@ -54,59 +51,28 @@ def gsm8k_score(response, ground_truth, method="strict", format_score=0.0, score
 def multiply_score(response, ground_truth, format_score=0.1, score=1.0) -> Column:
     a = _int_answer(response)
     gt = F.col(ground_truth).cast("string") if isinstance(ground_truth, str) else ground_truth
-    gt_int = _try_bigint(py_strip(gt))
     return (F.when(a.isNull(), F.lit(0.0))
-            .when(a == gt_int, F.lit(float(score)))
+            .when(a == whole_number(py_strip(gt)), F.lit(float(score)))
             .otherwise(F.lit(float(format_score))))
 
 
-def _try_bigint(c: Column) -> Column:
-    # Python int(): optional sign, digits, surrounding whitespace already stripped.
-    return F.when(c.rlike(r"^[+-]?[0-9]+$"), c.try_cast("bigint"))
+def whole_number(c: Column) -> Column:
+    """A whole number of any length in one spelling (no plus sign, no leading
+    zeros, no negative zero); null where it is none."""
+    digits = F.regexp_replace(F.regexp_replace(c, "^[+-]", ""), "^0+(?=.)", "")
+    return F.when(c.rlike("^[+-]?[0-9]+$"), F.when(c.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits))
 
 
 def _int_answer(response) -> Column:
     r = col(response)
     body = F.when(contains(r, ASSISTANT_HEADER), after_first(r, ASSISTANT_HEADER))
-    return _try_bigint(py_strip(last_tag_content(body, "answer", dotall=False)))
+    return whole_number(py_strip(last_tag_content(body, "answer", dotall=False)))
 
 
 # ----------------------------------------------------------- countdown (V6)
 
 # characters an answer expression may contain (Unicode digits/space, as Python)
 ALLOWED_EXPR = r"(?U)^[\d+\-*/().\s]+$"
-_BIN = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul,
-        ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Pow: operator.pow}
-_UN = {ast.UAdd: operator.pos, ast.USub: operator.neg}
-MAX_EXPR_CHARS = 512
-MAX_POW_EXPONENT = 64
-
-
-def _eval_node(n):
-    if isinstance(n, ast.Expression):
-        return _eval_node(n.body)
-    if isinstance(n, ast.Constant) and type(n.value) in (int, float):
-        return n.value
-    if isinstance(n, ast.BinOp) and type(n.op) in _BIN:
-        a, b = _eval_node(n.left), _eval_node(n.right)
-        if isinstance(n.op, ast.Pow) and (abs(b) > MAX_POW_EXPONENT or abs(a) > 1e6):
-            raise OverflowError("power bound")
-        return _BIN[type(n.op)](a, b)
-    if isinstance(n, ast.UnaryOp) and type(n.op) in _UN:
-        return _UN[type(n.op)](_eval_node(n.operand))
-    raise ValueError("not arithmetic")
-
-
-def safe_arith(expr: str | None):
-    """Evaluate +,-,*,/,//,** over number literals; None when invalid."""
-    if expr is None or len(expr) > MAX_EXPR_CHARS:
-        return None
-    try:
-        v = _eval_node(ast.parse(expr, mode="eval"))
-        v = float(v)
-        return v if math.isfinite(v) else None
-    except Exception:  # noqa: BLE001 - any failure is "cannot evaluate"
-        return None
 
 
 @F.pandas_udf(T.DoubleType())
@@ -124,9 +90,8 @@ def countdown_answer(response) -> Column:
 
 def countdown_score(response, target, numbers, format_score=0.1, score=1.0) -> Column:
     eq = countdown_answer(response)
-    used = F.array_sort(F.transform(F.regexp_extract_all(eq, F.lit(r"(?U)(\d+)"), 1),
-                                    lambda x: x.try_cast("bigint")))
-    given = F.array_sort(F.transform(col(numbers), lambda x: x.cast("bigint")))
+    used = F.array_sort(F.transform(F.regexp_extract_all(eq, F.lit(r"(?U)(\d+)"), 1), whole_number))
+    given = F.array_sort(F.transform(col(numbers), lambda x: whole_number(x.cast("string"))))
     nums_ok = F.coalesce(used == given, F.lit(False))
     chars_ok = eq.rlike(ALLOWED_EXPR)
     value = arith_value(F.when(nums_ok & chars_ok, eq))
@@ -205,28 +170,32 @@ def eval_scorer_name(data_source) -> Column:
 
 
 def dispatch_scores(df: DataFrame, data_source="data_source", response="response",
-                    ground_truth="ground_truth", strict: bool = False) -> DataFrame:
+                    ground_truth="ground_truth", strict: bool = False,
+                    scored: DataFrame | None = None, row_key=("rollout_id",)) -> DataFrame:
     """Score a mixed-source rollout table in one pass (V12 + U1).
 
-    ``ground_truth`` is the canonical JSON string.  Unknown sources raise
-    (``strict``) or get a null score to be routed to a quarantine table.
+    ``ground_truth`` is the canonical JSON string.  The registered reward
+    functions score by scorer name; retrieval rows, which need the corpus, take
+    their reward from ``scored`` (row key, score).  Rows without a score raise
+    (``strict``) or keep null, to be routed to a quarantine table.
     """
-    name = scorer_name(data_source)
+    from kestrel.operators.inference import REWARD_FUNCTIONS
     gt = col(ground_truth)
-    x = df.withColumn("scorer", name)
+    x = df.withColumn("scorer", scorer_name(data_source))
     x = x.withColumn("_kk_sol", F.when(F.col("scorer") == "kk", F.get_json_object(gt, "$.solution_text_format")))
     x = score_puzzle(x.withColumn("_kk_resp", F.when(F.col("scorer") == "kk", col(response))),
                      "_kk_resp", "_kk_sol").withColumnRenamed("score", "_kk_score").drop("format_ok")
-    cd = F.from_json(gt, "target bigint, numbers array<bigint>")
     name = F.col("scorer")
-    s = (F.when(name == "gsm8k", gsm8k_score(response, gt))
-         .when(name == "multiply", multiply_score(response, gt))
-         .when(name == "countdown", countdown_score(response, cd["target"], cd["numbers"]))
-         .when(name == "kk", F.col("_kk_score")))
+    s = F.when(name == "kk", F.col("_kk_score"))
+    if scored is not None:  # scores of a source that needs other tables, by row key
+        x = x.join(scored.select(*row_key, F.col("score").alias("_given")), list(row_key), "left")
+        s = s.when(name == "retrieval", F.col("_given"))
+    for known, fn in REWARD_FUNCTIONS.items():
+        s = s.when(name == known, fn(col(response), gt))
     if strict:
-        s = F.when(name.isNull(), F.raise_error(F.concat(F.lit("no scorer for "), col(data_source)))
+        s = F.when(s.isNull(), F.raise_error(F.concat(F.lit("no score for "), col(data_source)))
                    .cast("double")).otherwise(s)
-    return x.withColumn("score", s).drop("_kk_sol", "_kk_resp", "_kk_score")
+    return x.withColumn("score", s).drop("_kk_sol", "_kk_resp", "_kk_score", "_given")
 
 
 # ------------------------------------------------ digit completion
@@ -253,149 +222,3 @@ def digit_prefix_reward(df: DataFrame, expected="expected", response="response",
                   lambda i: F.when(i < F.col("n_match"), per).otherwise(F.lit(0.0))))
               .withColumn("token_rewards", F.when(F.length(r) == 0, F.array().cast("array<double>"))
                           .otherwise(F.col("token_rewards"))))
-
-
-# --------------------------------------------------------------- MATH (V3, V4)
-# Per-row string helpers run inside one Arrow pandas_udf; the job around
-# them (dispatch, aggregation per source) stays in Spark.
-
-def last_boxed(text: str | None) -> str | None:
-    """V3: the last ``\\boxed{...}`` (or ``\\fbox{...}``) with balanced braces;
-    the ``\\boxed <expr>`` form runs up to the next ``$``."""
-    if text is None:
-        return None
-    if "\\boxed " in text:
-        return "\\boxed " + text.rsplit("\\boxed ", 1)[1].split("$", 1)[0]
-    start = text.rfind("\\boxed")
-    if start < 0:
-        start = text.rfind("\\fbox")
-        if start < 0:
-            return None
-    depth = 0
-    for j in range(start, len(text)):
-        ch = text[j]
-        if ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if depth == 0:
-                return text[start:j + 1]
-    return None
-
-
-def unbox(s: str) -> str:
-    for head in ("\\boxed ",):
-        if s.startswith(head):
-            return s[len(head):]
-    if not (s.startswith("\\boxed{") and s.endswith("}")):
-        raise ValueError("not a boxed expression")
-    return s[len("\\boxed{"):-1]
-
-
-def _fracs(s: str) -> str:
-    head, *rest = s.split("\\frac")
-    out = [head]
-    for piece in rest:
-        out.append("\\frac")
-        if piece[0] == "{":          # IndexError on an empty piece, as in the reference
-            out.append(piece)
-            continue
-        if len(piece) < 2:
-            return s
-        a, b, tail = piece[0], piece[1], piece[2:]
-        out.append("{" + a + "}{" + b + "}" + tail if b != "{" else "{" + a + "}" + b + tail)
-    return "".join(out)
-
-
-def _slash(s: str) -> str:
-    parts = s.split("/")
-    if len(parts) != 2:
-        return s
-    try:
-        a, b = int(parts[0]), int(parts[1])
-    except ValueError:
-        return s
-    return "\\frac{" + str(a) + "}{" + str(b) + "}" if s == f"{a}/{b}" else s
-
-
-_SQRT_BARE = re.compile(r"\\sqrt([^{])")
-_SQRT_EMPTY = re.compile(r"\\sqrt(?=\\sqrt|$)")
-
-
-def _sqrt(s: str) -> str:
-    """``\\sqrt3`` -> ``\\sqrt{3}`` (one character); a ``\\sqrt`` with nothing
-    after it is malformed (the caller then compares the raw strings)."""
-    if _SQRT_EMPTY.search(s):
-        raise ValueError("empty sqrt argument")
-    return _SQRT_BARE.sub(lambda m: "\\sqrt{" + m.group(1) + "}", s)
-
-
-# Literal rewrites applied in order before the structural fixes.
-MATH_LITERAL_REWRITES = [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"),
-                         ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")]
-
-
-def normalize_math(s: str) -> str:
-    """V4 answer normalisation (raises on malformed input, like the reference)."""
-    for a, b in MATH_LITERAL_REWRITES:
-        s = s.replace(a, b)
-    if "\\text{ " in s:
-        units = s.split("\\text{ ")
-        if len(units) != 2:
-            raise ValueError("units")
-        s = units[0]
-    s = s.replace("\\%", "")
-    s = s.replace(" .", " 0.").replace("{.", "{0.")
-    if not s:
-        return s
-    if s[0] == ".":
-        s = "0" + s
-    eq = s.split("=")
-    if len(eq) == 2 and len(eq[0]) <= 2:
-        s = eq[1]
-    s = _sqrt(s).replace(" ", "")
-    s = _fracs(s)
-    if s == "0.5":
-        s = "\\frac{1}{2}"
-    return _slash(s)
-
-
-def math_equiv(a: str | None, b: str | None) -> bool:
-    if a is None and b is None:
-        return True
-    if a is None or b is None:
-        return False
-    try:
-        return normalize_math(a) == normalize_math(b)
-    except Exception:  # noqa: BLE001 - normalisation failure -> raw compare
-        return a == b
-
-
-def math_score_one(response: str | None, truth: str | None) -> float:
-    try:
-        box = last_boxed(response)
-        if box is None:
-            return 0.0
-        return 1.0 if math_equiv(unbox(box), truth) else 0.0
-    except Exception:  # noqa: BLE001 - any other failure scores 0
-        return 0.0
-
-
-@F.pandas_udf(T.StringType())
-def boxed_answer(s: pd.Series) -> pd.Series:
-    """V3 as a column: content of the last boxed expression (null if none)."""
-    def one(x):
-        b = last_boxed(x)
-        if b is None:
-            return None
-        try:
-            return unbox(b)
-        except ValueError:
-            return None
-    return s.map(one)
-
-
-@F.pandas_udf(T.DoubleType())
-def math_score(response: pd.Series, truth: pd.Series) -> pd.Series:
-    """V4: 1.0 when the last boxed answer equals the truth after normalising."""
-    return pd.Series([math_score_one(r, t) for r, t in zip(response, truth)], dtype="float64")

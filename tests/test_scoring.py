@@ -54,6 +54,8 @@ def test_gsm8k_answers(spark, resp, strict, flex):
     ("Assistant: <answer>x</answer>", "42", 0.0),
     ("no header <answer>42</answer>", "42", 0.0),
     ("Assistant: <answer>1</answer><answer>\n42</answer>", "42", 0.1),
+    ("Assistant: <answer>+012345678901234567890</answer>", "12345678901234567890", 1.0),
+    ("Assistant: <answer>-0</answer>", "0", 1.0),
 ])
 def test_multiply(spark, resp, gt, score):
     df = spark.createDataFrame([(resp, gt)], "r string, g string")
@@ -64,7 +66,11 @@ def test_safe_arith():
     assert S.safe_arith("(1 + 2) / 3") == 1.0
     assert S.safe_arith("2 ** 3") == 8.0
     assert S.safe_arith("7 // 2") == 3.0
-    assert S.safe_arith("9 ** 9 ** 9") is None        # bounded power
+    assert S.safe_arith("9 ** 9 ** 9") == float("inf")  # too large for any target, held by its logarithm
+    assert S.safe_arith("(2**65)/(2**64)") == 2.0
+    assert S.safe_arith("1" + " " * 600 + "+ 1") == 2.0
+    assert S.safe_arith("1000001**1") == 1000001.0
+    assert S.safe_arith("9**9**9 - 9**9**9 + 3") == 3.0
     assert S.safe_arith("1 / 0") is None
     assert S.safe_arith("__import__('os')") is None
     assert S.safe_arith("05") is None                  # not a Python literal
@@ -95,6 +101,32 @@ def test_math_rules():
     assert S.last_boxed("a \\fbox{1} b") == "\\fbox{1}"
 
 
+@pytest.mark.parametrize("a,b,same", [
+    ("x / 2", "x/2", False), ("\\pi / 2", "\\pi/2", False), ("3 / 4", "\\frac{3}{4}", True), ("\\sqrt", "\\sqrt ", False),
+    ("\\left(3\\right)", "(3)", True), ("5\\text{ cm}", "5", True), ("90^{\\circ}", "90", True), (".5", "\\frac{1}{2}", True),
+    ("\\tfrac1{72}", "\\frac{1}{72}", True), ("k=\\dfrac34", "\\frac{3}{4}", True), ("abc=4", "4", False)])
+def test_math_equality(a, b, same):
+    assert S.math_equiv(a, b) is same
+
+
+def test_dispatch_scores_every_known_source(spark):
+    rows = [(1, "openai/gsm8k", "#### 7", "7"), (2, "lighteval/MATH", "\\boxed{\\frac12}", "0.5"), (3, "BRIGHT_bm25_reasoner_x", "q", "{}"),
+            (4, "countdown", "Assistant: x\n<answer>3+4</answer>", '{"target":7,"numbers":[3,4]}'), (5, "yolo/multiply-3_digit", "Assistant: <answer>6</answer>", "6")]
+    df = spark.createDataFrame(rows, "rollout_id int, data_source string, response string, ground_truth string")
+    given = spark.createDataFrame([(3, 0.25)], "rollout_id int, score double")
+    got = {r.rollout_id: r.score for r in S.dispatch_scores(df, strict=True, scored=given).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 0.25, 4: 1.0, 5: 1.0}
+    with pytest.raises(Exception):
+        S.dispatch_scores(df, strict=True).collect()
+
+
+def test_registered_reward_is_used(spark, monkeypatch):
+    from kestrel.operators import inference as I
+    monkeypatch.setitem(I.REWARD_FUNCTIONS, "gsm8k", lambda r, gt: F.lit(9.0))
+    df = spark.createDataFrame([("openai/gsm8k", "#### 7", "7")], "data_source string, response string, ground_truth string")
+    assert S.dispatch_scores(df).first().score == 9.0
+
+
 def test_digit_reward_golden(spark):
     # prompt 9,10:20,2 -> expected "11,12"; response "11,12,13": 5 chars match, 1/6 each
     from kestrel.operators.generators import digit_completion_answer
