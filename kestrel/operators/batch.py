@@ -112,6 +112,12 @@ def concat(parts, row_key="row_idx") -> DataFrame:
              .withColumn(row_key, F.col(row_key) + F.col("_off")).drop("_off", "_part"))
 
 
+def divided(total, k: int, what: str) -> Column:
+    """``total / k``; an error where it is not whole."""
+    n = col(total)
+    return F.when(n % k != 0, F.raise_error(F.concat(F.lit(f"{what} not divisible by {k}: "), n.cast("string"))).cast("bigint")).otherwise(F.floor(n / k))
+
+
 def chunk(df: DataFrame, k: int, n: int | None = None, row_key="row_idx", by=()) -> DataFrame:
     """Split into k equal contiguous chunks; not divisible -> error.
 
@@ -121,9 +127,8 @@ def chunk(df: DataFrame, k: int, n: int | None = None, row_key="row_idx", by=())
     if by:
         sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
         x = df.join(sizes, by)
-        x = x.withColumn("_chk", F.when(F.col("_n") % k != 0, F.raise_error(
-            F.concat(F.lit("chunk: batch size not divisible by "), F.lit(str(k))))))
-        return x.withColumn("chunk_id", (F.col(row_key) / (F.col("_n") / k)).cast("int")).drop("_n", "_chk")
+        size = divided("_n", k, "chunk: batch size")  # within the result, so the check always runs
+        return x.withColumn("chunk_id", F.floor(F.col(row_key) / size).cast("int")).drop("_n")
     if n is None:
         n = df.count()
     if n % k != 0:
@@ -185,6 +190,8 @@ def unpad(df: DataFrame, pad_size: int | Column, n: int | Column, row_key="row_i
 def fold(df: DataFrame, new_batch: int, n: int, cols, row_key="row_idx") -> DataFrame:
     """``[n] -> [m, n/m]``: row groups of n/m consecutive rows, each
     column becoming an ordered array (groups are bounded by n/m rows)."""
+    if n % new_batch:
+        raise ValueError(f"fold: {n} rows cannot form {new_batch} equal groups")
     size = n // new_batch
     g = df.withColumn("_g", (F.col(row_key) / F.lit(size)).cast("bigint"))
     packed = F.sort_array(F.collect_list(F.struct(F.col(row_key).alias("_o"), *[F.col(c) for c in cols])))
@@ -206,11 +213,21 @@ def shuffle_order(seed: int, *keys) -> Column:
 
 
 def mini_batches(df: DataFrame, mini_batch_size: int, epochs: int = 1, seed: int = 0,
-                 row_key="row_idx", by=(), drop_last: bool = False) -> DataFrame:
+                 row_key="row_idx", by=(), drop_last: bool = False, exact: bool = False) -> DataFrame:
     """One copy per epoch, shuffled with a seeded hash, cut into
     mini-batches of ``mini_batch_size``; ``drop_last`` removes the final
-    partial batch."""
+    partial batch; ``exact`` (B13) fails where a batch does not divide."""
     by = list(by)
+    if exact:
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        whole = divided("_n", mini_batch_size, "mini-batches: batch size")
+        if by:
+            df = df.join(sizes.select(*by, whole.alias("_w")), by)
+            df = df.filter(F.col("_w") >= 0).drop("_w")
+        else:
+            n = sizes.first()["_n"]
+            if n % mini_batch_size:
+                raise ValueError(f"mini-batches: {n} rows not divisible by {mini_batch_size}")
     e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     e = e.withColumn("_h", shuffle_order(seed, "epoch", row_key))
     e = index_within(e, [*by, "epoch"], ["_h", row_key], "_pos")

@@ -60,7 +60,7 @@ SELECT b.item_id AS qid, d.doc_id, 1 AS rel FROM benchmark b JOIN documents d ON
     "fx_excluded": """
 SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id AND NOT contains(d.text, b.text)""",
     "fx_lengths": """
-SELECT doc_id AS row_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS row_idx, source AS batch_id, CAST(n_chars % 512 + 1 AS INT) AS seqlen FROM documents""",
+SELECT doc_id AS row_id, CAST(doc_id % 512 AS INT) AS row_idx, CAST(FLOOR(doc_id / 512) AS INT) AS batch_id, CAST(n_chars % 512 + 1 AS INT) AS seqlen FROM documents""",
     "fx_metrics": """
 SELECT CAST(event_id % 4 AS INT) AS run, CAST(FLOOR(event_id / 200) AS INT) AS step, event_type AS metric, value FROM events""",
 }

@@ -112,3 +112,26 @@ def test_flatten_keeps_json_looking_strings(spark):
     got = {r.path: r.value for r in flatten_json(df, "id", "cfg").collect()}
     assert got == {"s": "[not a list", "o": "{x", "n": None, "b": "true", "l/list_len": "2",
                    "l/0/list_len": "1", "l/0/0": "1", "l/1/q": "2"}
+
+
+def test_sizes_that_do_not_divide_fail(spark):
+    df = spark.createDataFrame([(0, i) for i in range(7)], "batch_id int, row_idx bigint")
+    with pytest.raises(Exception, match="not divisible"):
+        B.chunk(df, 2, by=["batch_id"]).collect()
+    with pytest.raises(ValueError):
+        B.fold(df, 2, 7, ["batch_id"])
+    with pytest.raises(Exception, match="not divisible"):
+        B.mini_batches(df, 2, by=["batch_id"], exact=True).collect()
+    assert B.mini_batches(df, 7, by=["batch_id"], exact=True).count() == 7
+
+
+def test_json_of_any_depth_reaches_its_leaves(spark):
+    import json
+
+    from kestrel.operators.metrics import flatten_json
+    doc = {"leaf": 1}
+    for _ in range(19):
+        doc = {"k": doc}
+    df = spark.createDataFrame([(1, json.dumps(doc)), (2, "[]"), (3, "{}")], "id int, j string")
+    got = {(r.id, r.path): r.value for r in flatten_json(df, "id", "j").collect()}
+    assert got == {(1, "k/" * 19 + "leaf"): "1", (2, "list_len"): "0", (3, ""): "{}"}
