@@ -161,17 +161,23 @@ def bm25_scores(qw: DataFrame, post: DataFrame, qid="qid", doc_key="doc_id", tas
     return j.groupBy(task, qid, doc_key).agg(F.sum(contrib).alias("score"))
 
 
-def exclude(scores: DataFrame, excluded: DataFrame, qid="qid", doc_key="doc_id") -> DataFrame:
+def query_keys(qid: str, task: str, *tables: DataFrame) -> list[str]:
+    """What names a query: its task and id, or its id alone where a table has no tasks."""
+    return [task, qid] if all(task in t.columns for t in tables) else [qid]
+
+
+def exclude(scores: DataFrame, excluded: DataFrame, qid="qid", doc_key="doc_id", task="task") -> DataFrame:
     """Drop each query's excluded documents before ranking ("N/A" ignored)."""
-    ex = excluded.select(qid, doc_key)
+    keys = [*query_keys(qid, task, scores, excluded), doc_key]
+    ex = excluded.select(*keys)
     if dict(ex.dtypes)[doc_key] == "string":
         ex = ex.filter(F.col(doc_key) != "N/A")
-    return scores.join(ex, [qid, doc_key], "left_anti")
+    return scores.join(ex, keys, "left_anti")
 
 
-def top_k(scores: DataFrame, k: int = 1000, qid="qid", doc_key="doc_id", order="doc_order") -> DataFrame:
+def top_k(scores: DataFrame, k: int = 1000, qid="qid", doc_key="doc_id", order="doc_order", task="task") -> DataFrame:
     """R6 (positive part): first k per query by score desc, corpus order asc."""
-    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(order).asc())
+    w = Window.partitionBy(*query_keys(qid, task, scores)).orderBy(F.col("score").desc(), F.col(order).asc())
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -182,26 +188,33 @@ def zero_fill(queries: DataFrame, hits: DataFrame, excluded: DataFrame, docs: Da
     For a query with n positive hits, the run continues with the first
     ``k - n`` documents in corpus order (``order``, default the document id)
     that are neither hits nor excluded.  Those lie among the first
-    ``N = k + max |blocked|`` documents of the task, taken with a literal
-    top-N per task (a WindowGroupLimit, so at most N rows per task and
-    partition are shuffled); only queries that need a fill join them.  The
-    corpus is never numbered or sorted as a whole.
+    ``N = k + max |blocked|`` documents of the task: the first N of each of
+    many slices of the task, sorted side by side, then the first N of those.
+    So the corpus is never sorted in one task, whatever N is; only queries
+    that need a fill join these documents.
     """
     order = order or doc_key
-    npos = hits.groupBy(qid).agg(F.count(F.lit(1)).alias("n_pos"))
-    blocked = hits.select(qid, doc_key).unionByName(excluded.select(qid, doc_key)).distinct()
-    nblk = blocked.groupBy(qid).agg(F.count(F.lit(1)).alias("n_blocked"))
-    q = (queries.select(task, qid).distinct().join(npos, qid, "left").join(nblk, qid, "left")
+    keys = query_keys(qid, task, queries, hits)
+    npos = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pos"))
+    if task in keys and task not in excluded.columns:
+        excluded = excluded.join(queries.select(*keys).distinct(), qid)
+    blocked = hits.select(*keys, doc_key).unionByName(excluded.select(*keys, doc_key)).distinct()
+    nblk = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_blocked"))
+    q = (queries.select(task, qid).distinct().join(npos, keys, "left").join(nblk, keys, "left")
          .fillna(0, ["n_pos", "n_blocked"])
          .withColumn("need", F.lit(k) - F.col("n_pos")).filter(F.col("need") > 0))
     max_blocked = q.agg(F.max("n_blocked")).first()[0] or 0
     n_cand = k + int(max_blocked)
+    slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cand_t = (docs.select(task, doc_key, F.col(order).alias("_ord"))
+              .withColumn("_slice", F.pmod(F.xxhash64(doc_key), F.lit(slices)))
+              .withColumn("_pos", F.row_number().over(Window.partitionBy(task, "_slice").orderBy("_ord")))
+              .filter(F.col("_pos") <= n_cand).drop("_slice")
               .withColumn("_pos", F.row_number().over(Window.partitionBy(task).orderBy("_ord")))
               .filter(F.col("_pos") <= n_cand))
     cand = q.join(cand_t, task).filter(F.col("_pos") <= F.col("need") + F.col("n_blocked"))
-    cand = cand.join(blocked, [qid, doc_key], "left_anti")
-    w = Window.partitionBy(qid).orderBy("_ord")
+    cand = cand.join(blocked, [*keys, doc_key], "left_anti")
+    w = Window.partitionBy(*keys).orderBy("_ord")
     z = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("need"))
     return z.select(task, qid, doc_key, F.lit(0.0).alias("score"), F.col("_ord").alias("doc_order"),
                     (F.col("n_pos") + F.col("_r")).cast("int").alias("rank"))
@@ -214,11 +227,11 @@ def ranked_run(scores: DataFrame, queries: DataFrame, excluded: DataFrame, docs:
     Corpus order is ``order`` (default: the document id); ``docs`` lists the
     documents per task (task, doc id[, order])."""
     order = order or doc_key
-    s = exclude(scores, excluded, qid, doc_key)
+    s = exclude(scores, excluded, qid, doc_key, task)
     if order != doc_key:
         s = s.join(docs.select(task, doc_key, order), [task, doc_key])
     s = s.withColumn("doc_order", F.col(order))
-    hits = top_k(s.filter(F.col("score") > 0) if fill else s, k, qid, doc_key)
+    hits = top_k(s.filter(F.col("score") > 0) if fill else s, k, qid, doc_key, task=task)
     hits = hits.select(task, qid, doc_key, "score", "doc_order", F.col("rank").cast("int").alias("rank"))
     if not fill:
         return hits
@@ -229,22 +242,22 @@ def ranked_run(scores: DataFrame, queries: DataFrame, excluded: DataFrame, docs:
     return hits.unionByName(zero_fill(queries, hits, excluded, docs, k, qid, doc_key, task, order))
 
 
-def ndcg_at_k(run: DataFrame, qrels: DataFrame, k: int = 10, qid="qid", doc_key="doc_id", rel="rel") -> DataFrame:
+def ndcg_at_k(run: DataFrame, qrels: DataFrame, k: int = 10, qid="qid", doc_key="doc_id", rel="rel", task="task") -> DataFrame:
     """nDCG@k with the evaluator's own order: score desc, document id
     desc (as strings) on ties; gain = relevance, discount log2(rank + 1);
     the ideal ranking comes from all judged documents.  Queries without
     relevant judgments are dropped."""
-    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(doc_key).cast("string").desc())
+    keys = query_keys(qid, task, run, qrels)
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col(doc_key).cast("string").desc())
     top = run.withColumn("_erank", F.row_number().over(w)).filter(F.col("_erank") <= k)
-    pos = qrels.filter(F.col(rel) > 0)
-    dcg = top.join(pos, [qid, doc_key]).groupBy(qid).agg(
+    pos = qrels.filter(F.col(rel) > 0).select(*keys, doc_key, rel)
+    dcg = top.select(*keys, doc_key, "_erank").join(pos, [*keys, doc_key]).groupBy(*keys).agg(
         F.sum(F.col(rel) / F.log2(F.col("_erank") + 1)).alias("dcg"))
-    wi = Window.partitionBy(qid).orderBy(F.col(rel).desc())
+    wi = Window.partitionBy(*keys).orderBy(F.col(rel).desc())
     ideal = pos.withColumn("_i", F.row_number().over(wi)).filter(F.col("_i") <= k) \
-        .groupBy(qid).agg(F.sum(F.col(rel) / F.log2(F.col("_i") + 1)).alias("idcg"),
-                          F.lit(1).alias("_one"))
-    out = ideal.join(dcg, qid, "left").fillna(0.0, ["dcg"])
-    return out.select(qid, (F.col("dcg") / F.col("idcg")).alias("ndcg"))
+        .groupBy(*keys).agg(F.sum(F.col(rel) / F.log2(F.col("_i") + 1)).alias("idcg"))
+    out = ideal.join(dcg, keys, "left").fillna(0.0, ["dcg"])
+    return out.select(*keys, (F.col("dcg") / F.col("idcg")).alias("ndcg"))
 
 
 def qrels_from_json(df: DataFrame, key="rollout_id", ground_truth="ground_truth") -> DataFrame:
@@ -253,9 +266,9 @@ def qrels_from_json(df: DataFrame, key="rollout_id", ground_truth="ground_truth"
     m = F.from_json(col(ground_truth), "struct<qrels: map<string, map<string, int>>>")["qrels"]
     x = df.select(key, F.explode(m).alias("qid", "docs")).filter(F.col("docs").isNotNull())
     nq = x.groupBy(key).agg(F.count(F.lit(1)).alias("_nq"))
-    x = x.join(nq, key).withColumn("_chk", F.when(F.col("_nq") != 1, F.raise_error(
-        F.lit("qrels must hold exactly one query"))))
-    return x.select(key, "qid", F.explode("docs").alias("doc_id", "rel"), "_chk") \
+    one = F.when(F.col("_nq") != 1, F.raise_error(F.lit("qrels must hold exactly one query")).cast("string")).otherwise(F.col("qid"))
+    x = x.join(nq, key).withColumn("qid", one)  # within the result, so the check always runs
+    return x.select(key, "qid", F.explode("docs").alias("doc_id", "rel")) \
         .select(key, "qid", "doc_id", F.col("rel").cast("int").alias("rel"))
 
 
@@ -283,74 +296,58 @@ def cosine(a, b) -> Column:
     return F.when((na > 0) & (nb > 0), dot(a, b) / (na * nb)).otherwise(F.lit(0.0))
 
 
-_DENSE_OUT = T.StructType([T.StructField("qid", T.LongType()), T.StructField("doc_id", T.LongType()),
-                           T.StructField("score", T.DoubleType()), T.StructField("doc_order", T.LongType())])
+BLOCK_DOCS = 4096  # documents scored by one task at a time
+
+
+def _unit_rows(vectors) -> np.ndarray:
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
 def dense_scores(queries: DataFrame, docs: DataFrame, k: int = 1000, qid="qid", qvec="vec",
-                 doc_key="doc_id", dvec="vec", order="doc_order", max_queries: int = 4096) -> DataFrame:
-    """Cosine of every query with every document, keeping each query's
-    top ``k`` per partition, merged across the partition's Arrow batches and
-    emitted once (exact: the global top-k is a subset of the union of
-    per-partition top-k; at most k rows per query and partition leave).  Queries are broadcast in chunks of at most
-    ``max_queries`` rows (checked count), documents are scanned once per
-    chunk; no (query, doc) pair table is ever materialised.
-    """
-    spark = docs.sparkSession
-    n_q = queries.count()
-    parts = []
-    # hash chunks with headroom: each chunk is expected at half the bound
-    n_chunks = max(1, math.ceil(2 * n_q / max_queries))
-    qidx = queries.select(qid, qvec).withColumn("_c", F.pmod(F.xxhash64(qid), F.lit(n_chunks)))
-    for c in range(n_chunks):
-        chunk = qidx.filter(F.col("_c") == c).select(qid, qvec)
-        if chunk.count() > max_queries:
-            raise ValueError(f"query chunk above {max_queries} rows; lower the chunk bound")
-        qrows = chunk.collect()  # bounded by max_queries (checked above)
-        if not qrows:
-            continue
-        ids = np.array([r[0] for r in qrows], dtype=np.int64)
-        mat = np.array([np.asarray(r[1], dtype=np.float64) for r in qrows])
-        norms = np.linalg.norm(mat, axis=1)
-        mat = np.divide(mat, norms[:, None], out=np.zeros_like(mat), where=norms[:, None] > 0)
-        bq = spark.sparkContext.broadcast((ids, mat))
-
-        def score_part(it, bq=bq):
-            q_ids, qm = bq.value
-            nq = len(q_ids)
-            # running top-k per query over all batches of the partition:
-            # (score, -order) kept as the k best, emitted once at the end
-            best_s = np.full((nq, 0), -np.inf)
-            best_id = np.zeros((nq, 0), dtype=np.int64)
-            best_ord = np.zeros((nq, 0), dtype=np.int64)
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                dm = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[dvec]])
-                dn = np.linalg.norm(dm, axis=1)
-                dm = np.divide(dm, dn[:, None], out=np.zeros_like(dm), where=dn[:, None] > 0)
-                sc = qm @ dm.T
-                ids = np.broadcast_to(pdf[doc_key].to_numpy(dtype=np.int64), sc.shape)
-                ords = np.broadcast_to(pdf[order].to_numpy(dtype=np.int64), sc.shape)
-                all_s = np.concatenate([best_s, sc], axis=1)
-                all_id = np.concatenate([best_id, ids], axis=1)
-                all_ord = np.concatenate([best_ord, ords], axis=1)
-                kk = min(k, all_s.shape[1])
-                keep = np.empty((nq, kk), dtype=np.int64)
-                for i in range(nq):
-                    keep[i] = np.lexsort((all_ord[i], -all_s[i]))[:kk]
-                rows = np.arange(nq)[:, None]
-                best_s, best_id, best_ord = all_s[rows, keep], all_id[rows, keep], all_ord[rows, keep]
-            if best_s.shape[1]:
-                yield pd.DataFrame({"qid": np.repeat(q_ids, best_s.shape[1]), "doc_id": best_id.ravel(),
-                                    "score": best_s.ravel(), "doc_order": best_ord.ravel()})
-
-        cols = [doc_key, dvec] + ([order] if order != doc_key else [])
-        parts.append(docs.select(*cols).mapInPandas(score_part, _DENSE_OUT))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("qid", qid).withColumnRenamed("doc_id", doc_key)
+                 doc_key="doc_id", dvec="vec", order="doc_order", max_queries: int = 1024) -> DataFrame:
+    """Cosine of every query with every document, the best ``k`` of each
+    query and block of documents (ties by ``order``).  The global best k are
+    among them; rank afterwards.
+
+    Queries and documents are dealt into blocks by hash; every pair of blocks
+    is one matrix product in one task, so nothing passes through the driver,
+    memory is bounded by the blocks, and no pair of rows is materialised."""
+    sizes = queries.agg(F.count(F.lit(1)).alias("n")).first()["n"], docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    q_blocks, d_blocks = max(1, -(-sizes[0] // max_queries)), max(1, -(-sizes[1] // BLOCK_DOCS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = (queries.select(F.col(qid).alias("_q"), F.col(qvec).alias("_qv"))
+         .withColumns({"_qb": F.pmod(F.xxhash64("_q"), F.lit(q_blocks)), "_db": every(d_blocks)})
+         .withColumn("_db", F.col("_db").cast("bigint")))
+    d = (docs.select(F.col(doc_key).alias("_d"), F.col(dvec).alias("_dv"), F.col(order).cast("bigint").alias("_o"))
+         .withColumns({"_db": F.pmod(F.xxhash64("_d"), F.lit(d_blocks)), "_qb": every(q_blocks)})
+         .withColumn("_qb", F.col("_qb").cast("bigint")))
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"q": [], "d": [], "score": [], "o": []}).astype({"score": "float64"})
+        right = right.sort_values("_o", kind="stable")
+        sc = _unit_rows(left["_qv"]) @ _unit_rows(right["_dv"]).T
+        best = np.argsort(-sc, axis=1, kind="stable")[:, :k]
+        ids, pos = right["_d"].to_numpy(), right["_o"].to_numpy()
+        return pd.DataFrame({"q": np.repeat(left["_q"].to_numpy(), best.shape[1]), "d": ids[best].ravel(),
+                             "score": np.take_along_axis(sc, best, axis=1).ravel(), "o": pos[best].ravel()})
+
+    kinds = dict(q.dtypes)["_q"], dict(d.dtypes)["_d"]
+    out = (q.groupBy("_qb", "_db").cogroup(d.groupBy("_qb", "_db"))
+           .applyInPandas(score, f"q {kinds[0]}, d {kinds[1]}, score double, o bigint"))
+    return out.select(F.col("q").alias(qid), F.col("d").alias(doc_key), "score", F.col("o").alias("doc_order"))
+
+
+def dense_run(queries: DataFrame, docs: DataFrame, excluded: DataFrame, k: int = 1000, qid="qid", qvec="vec",
+              doc_key="doc_id", dvec="vec", order="doc_id") -> DataFrame:
+    """R9 with exclusions: each query's best ``k`` of the documents it does
+    not exclude.  Blocks keep ``k`` and as many more as the longest exclusion
+    list, so that what is excluded never costs a place."""
+    longest = excluded.groupBy(qid).count().agg(F.max("count")).first()[0] or 0
+    s = dense_scores(queries, docs, k + int(longest), qid, qvec, doc_key, dvec, order)
+    return exclude(s, excluded, qid, doc_key)
 
 
 def hashed_bow_encoder(dim: int = 64, seed: int = 0):
@@ -383,9 +380,11 @@ def delta_similarity(pairs: DataFrame, rewritten="rewritten_vec", question="ques
 
 def refresh_vectors(cache: DataFrame, docs: DataFrame, encoder, keys=("task", "doc_id"), text="text") -> DataFrame:
     """Vectors keyed by (keys, content_hash); only documents missing
-    from the cache (anti join) are encoded, then unioned with the cache."""
+    from the cache (anti join) are encoded, then unioned with the cache's rows
+    of live documents: changed and deleted ones go."""
     keys = list(keys)
     d = docs.withColumn("content_hash", F.sha2(col(text), 256))
     missing = d.join(cache.select(*keys, "content_hash"), [*keys, "content_hash"], "left_anti")
     fresh = missing.select(*keys, "content_hash", encoder(col(text)).alias("vec"))
-    return cache.select(*keys, "content_hash", "vec").unionByName(fresh)
+    live = cache.join(d.select(*keys, "content_hash"), [*keys, "content_hash"], "left_semi")
+    return live.select(*keys, "content_hash", "vec").unionByName(fresh)

@@ -332,7 +332,7 @@ nd AS (SELECT idcg.qid, coalesce(dcg, 0) / idcg AS ndcg FROM idcg LEFT JOIN dcg
 def _dense_run(spark, sf, qs=None):
     q0, docs, qrels_d, excl = dense_inputs(spark, sf)
     qs = q0 if qs is None else qs
-    s = RT.dense_scores(qs, docs, 1000, "qid", "vec", "doc_id", "vec", "doc_id")
+    s = RT.dense_run(qs, docs, excl, 1000)
     s = s.withColumn("score", F.round("score", 9)).withColumn("task", F.lit("all"))
     run = RT.ranked_run(s.drop("doc_order"), qs, excl, docs, 1000, fill=False)
     return run, qrels_d

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 """BM25 run with zero fill and nDCG against a brute-force Python version."""
 
 import math
@@ -105,3 +106,39 @@ def test_dense_topk_across_batches(spark):
         exp = sorted(((cos[i, j], 100 + j) for j in range(60)), reverse=True)[:4]
         assert [d for _, d in best] == [d for _, d in exp]
         assert len(got[i]) <= 4 * 2          # at most k per query and partition
+
+
+def test_same_query_id_in_two_tasks(spark):
+    scores = spark.createDataFrame([("a", 1, 10, 0.5), ("a", 1, 11, 0.4), ("b", 1, 10, 0.9), ("b", 1, 12, 0.1)],
+                                   "task string, qid bigint, doc_id bigint, score double")
+    qs = scores.select("task", "qid").distinct()
+    docs = spark.createDataFrame([(t, d) for t in "ab" for d in range(10, 16)], "task string, doc_id bigint")
+    ex = spark.createDataFrame([("a", 1, 10)], "task string, qid bigint, doc_id bigint")
+    run = RT.ranked_run(scores, qs, ex, docs, 3).collect()
+    assert sorted((r.task, r["rank"], r.doc_id) for r in run) == [("a", 1, 11), ("a", 2, 12), ("a", 3, 13), ("b", 1, 10), ("b", 2, 12), ("b", 3, 11)]
+    qr = spark.createDataFrame([("a", 1, 11, 1), ("b", 1, 12, 1)], "task string, qid bigint, doc_id bigint, rel int")
+    nd = {r.task: r.ndcg for r in RT.ndcg_at_k(RT.ranked_run(scores, qs, ex, docs, 3), qr).collect()}
+    assert nd["a"] == 1.0 and 0 < nd["b"] < 1
+
+
+def test_excluded_documents_cost_no_place(spark, monkeypatch):
+    monkeypatch.setattr(RT, "BLOCK_DOCS", 6)
+    qs = spark.createDataFrame([(1, [1.0, 0.0])], "qid bigint, vec array<double>")
+    ds = spark.createDataFrame([(j, [1.0, j / 10]) for j in range(20)], "doc_id bigint, vec array<double>")
+    ex = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "qid bigint, doc_id bigint")
+    run = RT.ranked_run(RT.dense_run(qs, ds, ex, 4).drop("doc_order").withColumn("task", F.lit("t")), qs, ex, ds, 4, fill=False)
+    assert sorted(r.doc_id for r in run.collect()) == [3, 4, 5, 6]
+
+
+def test_cache_keeps_live_documents_only(spark):
+    enc = lambda c: F.array(F.length(c).cast("float"))
+    old = spark.createDataFrame([("t", 1, "same"), ("t", 2, "before"), ("t", 3, "deleted")], "task string, doc_id bigint, text string")
+    cache = RT.refresh_vectors(old.limit(0).select("task", "doc_id", F.lit("").alias("content_hash"), F.array(F.lit(0.0).cast("float")).alias("vec")), old, enc)
+    new = spark.createDataFrame([("t", 1, "same"), ("t", 2, "after it")], "task string, doc_id bigint, text string")
+    assert sorted((r.doc_id, r.vec[0]) for r in RT.refresh_vectors(cache, new, enc).collect()) == [(1, 4.0), (2, 8.0)]
+
+
+def test_two_queries_in_one_ground_truth_fail(spark):
+    df = spark.createDataFrame([(1, '{"qrels":{"a":{"d":1},"b":{"d":1}}}')], "rollout_id int, ground_truth string")
+    with pytest.raises(Exception, match="exactly one query"):
+        RT.qrels_from_json(df).collect()
