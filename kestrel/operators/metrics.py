@@ -185,15 +185,19 @@ def mfu(flops: DataFrame, device="device", world_size: int = 1, epochs: int = 1,
     return flops.withColumn("mfu", F.col(achieved) * epochs / peak_t / F.lit(world_size))
 
 
-def flatten_json(df: DataFrame, key, json_col, sep: str = "/", max_depth: int = 8) -> DataFrame:
+LEVELS = 8  # levels of a JSON document flattened between two looks at the data
+
+
+def flatten_json(df: DataFrame, key, json_col, sep: str = "/") -> DataFrame:
     """Flatten a nested JSON document to ``a/b/c`` leaf keys.
 
     The document is parsed once into a VARIANT, so JSON types survive: only
     real objects and arrays are expanded (a string that merely looks like
     JSON stays a leaf).  Lists contribute ``list_len`` plus index keys.
     Each level is one ``explode`` over a linear chain (finished leaves are
-    carried along), up to ``max_depth`` levels; deeper containers are kept
-    as JSON text.  Malformed documents give one null leaf.
+    carried along).  After every LEVELS levels one look at the data says
+    whether a container is left, so documents of any depth reach their
+    leaves.  Malformed documents give one null leaf.
     """
     def node(path, v, done):
         return F.struct(path.alias("path"), v.alias("v"), F.lit(done).alias("done"))
@@ -201,24 +205,30 @@ def flatten_json(df: DataFrame, key, json_col, sep: str = "/", max_depth: int =
     def child(parent, k):
         return F.when(parent == "", k).otherwise(F.concat(parent, F.lit(sep), k))
 
+    def is_open():
+        as_map, as_arr = F.try_variant_get("v", "$", "map<string,variant>"), F.try_variant_get("v", "$", "array<variant>")
+        return ~F.col("done") & ((as_map.isNotNull() & (F.size(as_map) > 0)) | as_arr.isNotNull())
+
     cur = df.select(key, F.inline(F.array(node(F.lit(""), F.try_parse_json(col(json_col)), False))))
-    for _ in range(max_depth):
-        as_map = F.try_variant_get("v", "$", "map<string,variant>")
-        as_arr = F.try_variant_get("v", "$", "array<variant>")
-        path = F.col("path")
-        kids_obj = F.transform(F.map_entries(as_map), lambda e: node(child(path, e["key"]), e["value"], False))
-        kids_arr = F.concat(
-            F.transform(as_arr, lambda x, i: node(child(path, i.cast("string")), x, False)),
-            F.array(node(child(path, F.lit("list_len")), F.parse_json(F.size(as_arr).cast("string")), True)))
-        keep = F.array(node(path, F.col("v"), True))
-        nxt = (F.when(F.col("done"), keep)
-               .when(as_map.isNotNull() & (F.size(as_map) > 0), kids_obj)
-               .when(as_arr.isNotNull(), kids_arr)
-               .otherwise(keep))
-        cur = cur.select(key, F.inline(nxt))
-    still_open = ~F.col("done") & (F.try_variant_get("v", "$", "map<string,variant>").isNotNull()
-                                   | F.try_variant_get("v", "$", "array<variant>").isNotNull())
-    return cur.select(key, "path", F.when(still_open, F.to_json("v")).otherwise(F.col("v").cast("string")).alias("value"))
+    while True:
+        for _ in range(LEVELS):
+            as_map = F.try_variant_get("v", "$", "map<string,variant>")
+            as_arr = F.try_variant_get("v", "$", "array<variant>")
+            path = F.col("path")
+            kids_obj = F.transform(F.map_entries(as_map), lambda e: node(child(path, e["key"]), e["value"], False))
+            kids_arr = F.concat(
+                F.transform(as_arr, lambda x, i: node(child(path, i.cast("string")), x, False)),
+                F.array(node(child(path, F.lit("list_len")), F.parse_json(F.size(as_arr).cast("string")), True)))
+            keep = F.array(node(path, F.col("v"), True))
+            nxt = (F.when(F.col("done"), keep)
+                   .when(as_map.isNotNull() & (F.size(as_map) > 0), kids_obj)
+                   .when(as_arr.isNotNull(), kids_arr)
+                   .otherwise(keep))
+            cur = cur.select(key, F.inline(nxt))
+        if cur.filter(is_open()).isEmpty():
+            break
+    as_map = F.try_variant_get("v", "$", "map<string,variant>")
+    return cur.select(key, "path", F.when(as_map.isNotNull(), F.to_json("v")).otherwise(F.col("v").cast("string")).alias("value"))
 
 
 def best_metric(metrics: DataFrame, metric_name: str, threshold: float, run="run", step="step",

@@ -112,8 +112,13 @@ def countdown_prompts(df: DataFrame, template_type: str = "base", nums="nums", t
                                             "math", "rule", gt, F.col("split"), F.col("index")))
 
 
-def arithmetic_prompts(df: DataFrame, multiply: bool = False, data_source: str = "arithmetic") -> DataFrame:
+# Data sources of the two arithmetic tasks.
+ARITHMETIC_SOURCE, MULTIPLY_SOURCE = "yolo/arithmetic-3_digit", "yolo/multiply-3_digit"
+
+
+def arithmetic_prompts(df: DataFrame, multiply: bool = False, data_source: str | None = None) -> DataFrame:
     """``{num1} {op} {num2}`` prompts; ground truth = the exact result."""
+    data_source = data_source or (MULTIPLY_SOURCE if multiply else ARITHMETIC_SOURCE)
     n1, n2 = F.col("num1").cast("string"), F.col("num2").cast("string")
     if multiply:
         content = TPL.render(TPL.MULTIPLY, num1=n1, num2=n2)
@@ -140,13 +145,18 @@ def py_capitalize(s) -> Column:
     return F.concat(F.upper(F.substring(col(s), 1, 1)), F.lower(F.substr(col(s), F.lit(2))))
 
 
+def labelled(df: DataFrame, label="label") -> DataFrame:
+    return df.filter(F.length(label) > 0)
+
+
 def hellaswag_prompts(df: DataFrame) -> DataFrame:
-    """Rows with an empty label dropped; query and endings cleaned."""
-    x = df.filter(F.length("label") > 0)
+    """Rows with an empty label dropped; query and endings cleaned.  The
+    index (``labelled``) counts the labelled rows alone."""
+    x = labelled(df)
     ctx = F.concat(F.col("ctx_a"), F.lit(" "), py_capitalize("ctx_b"))
     query = hellaswag_clean(F.concat(F.col("activity_label"), F.lit(": "), ctx))
     choices = F.transform("endings", lambda e: hellaswag_clean(e))
-    f = {"data_source": F.lit("hellaswag"),
+    f = {"data_source": F.lit("Rowan/hellaswag"),
          "prompt": F.array(F.struct(F.lit("user").alias("role"), query.alias("content"))),
          "ability": F.lit("nlp"),
          "reward_model": F.struct(F.lit("model").alias("style"), F.lit("multiple_choice").alias("eval"),

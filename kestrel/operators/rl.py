@@ -337,12 +337,20 @@ def actor_loss(tokens: DataFrame, advantage="advantage", old_lp="old_lp", lp="lp
     return out.withColumn("policy_loss", loss)
 
 
+def shifted_mask(tokens: DataFrame, mask="mask", row_key="rollout_id", t="t", name="mask_at") -> DataFrame:
+    """The mask of position t - 1, where the value that predicts token t sits;
+    the last prompt position is always valid."""
+    w = Window.partitionBy(row_key).orderBy(t)
+    return tokens.withColumn(name, F.lag(col(mask), 1, 1).over(w))
+
+
 def shifted_values(tokens: DataFrame, value="v", mask="mask", row_key="rollout_id", t="t",
                    first_value=0.0) -> DataFrame:
-    """Value predicting token t sits at position t-1; masked by the
-    response mask.  ``first_value`` is the value at the last prompt position."""
+    """The value predicting token t sits at position t-1, and so does its
+    mask.  ``first_value`` is the value at the last prompt position."""
     w = Window.partitionBy(row_key).orderBy(t)
-    return tokens.withColumn("value_at", F.lag(col(value), 1, first_value).over(w) * col(mask))
+    x = shifted_mask(tokens, mask, row_key, t, "_mask_at")
+    return x.withColumn("value_at", F.lag(col(value), 1, first_value).over(w) * F.col("_mask_at")).drop("_mask_at")
 
 
 # ------------------------------------------------------------ logits

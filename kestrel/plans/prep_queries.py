@@ -163,7 +163,7 @@ def _num_pairs(spark, sf):
 
 @reg("P6_arithmetic_prompts", f"""
 WITH x AS (SELECT *, row_number() OVER (ORDER BY num1, num2, op) - 1 AS pos, count(*) OVER () AS n FROM ({PAIRS_NUM}) d)
-SELECT 'arithmetic' AS data_source, 'user' AS role,
+SELECT 'yolo/arithmetic-3_digit' AS data_source, 'user' AS role,
        {sql_render(TPL.ARITH, num1='CAST(num1 AS VARCHAR)', op='op', num2='CAST(num2 AS VARCHAR)')} AS content, 'math' AS ability,
        'rule' AS style, CAST(CASE op WHEN '*' THEN num1 * num2 WHEN '+' THEN num1 + num2 ELSE num1 - num2 END AS VARCHAR) AS ground_truth,
        CASE WHEN pos < n - n // 5 THEN 'train' ELSE 'test' END AS split,
@@ -178,7 +178,7 @@ def p6(spark, sf):
 
 @reg("P7_multiply_prompts", f"""
 WITH x AS (SELECT *, row_number() OVER (ORDER BY num1, num2, op) - 1 AS pos, count(*) OVER () AS n FROM ({PAIRS_NUM}) d)
-SELECT 'multiply' AS data_source, 'user' AS role,
+SELECT 'yolo/multiply-3_digit' AS data_source, 'user' AS role,
        {sql_render(TPL.MULTIPLY, num1='CAST(num1 AS VARCHAR)', num2='CAST(num2 AS VARCHAR)')} AS content, 'math' AS ability,
        'rule' AS style, CAST(num1 * num2 AS VARCHAR) AS ground_truth,
        CASE WHEN pos < n - n // 5 THEN 'train' ELSE 'test' END AS split,
@@ -188,7 +188,7 @@ def p7(spark, sf):
     x = _num_pairs(spark, sf)
     n = x.count()
     s = P.positional_split(x, ["num1", "num2", "op"], n - n // 5, n // 5, "head_tail", n=n)
-    return flat(P.arithmetic_prompts(s, multiply=True, data_source="multiply"))
+    return flat(P.arithmetic_prompts(s, multiply=True))
 
 
 def _clean_sql(e: str) -> str:
@@ -200,25 +200,20 @@ def _clean_sql(e: str) -> str:
 WITH x AS (SELECT doc_id, lang AS activity_label, text AS ctx_a, source AS ctx_b, string_split(text, chr(10)) AS endings,
                   CASE WHEN doc_id % 7 = 0 THEN '' ELSE CAST(doc_id % 4 AS VARCHAR) END AS label,
                   {split_mod('doc_id')} AS split FROM documents),
-y AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS idx FROM x)
-SELECT doc_id, {_clean_sql("activity_label || ': ' || ctx_a || ' ' || upper(left(ctx_b, 1)) || lower(substr(ctx_b, 2))")} AS query,
+y AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS idx FROM x WHERE length(label) > 0)
+SELECT {_clean_sql("activity_label || ': ' || ctx_a || ' ' || upper(left(ctx_b, 1)) || lower(substr(ctx_b, 2))")} AS query,
        array_to_string(list_transform(endings, lambda e: {_clean_sql('e')}), '|') AS choices,
-       CAST(label AS INT) AS ground_truth, split, CAST(idx AS BIGINT) AS idx FROM y WHERE length(label) > 0""")
+       'Rowan/hellaswag' AS data_source, CAST(label AS INT) AS ground_truth, split, CAST(idx AS BIGINT) AS idx FROM y""")
 def p8(spark, sf):
     d = read_table(spark, sf, "documents")
     x = d.select("doc_id", F.col("lang").alias("activity_label"), F.col("text").alias("ctx_a"), F.col("source").alias("ctx_b"),
                  F.split("text", "\n").alias("endings"),
                  F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise((F.col("doc_id") % 4).cast("string")).alias("label"),
                  P.hash_split("doc_id", method="modulo").alias("split"))
-    x = P.with_split_index(x, "doc_id")
-    out = P.hellaswag_prompts(x.withColumnRenamed("doc_id", "doc_id"))
-    # keep doc_id for comparison: recompute the same rows with the key attached
-    keyed = x.filter(F.length("label") > 0).select("doc_id", "split", "index")
-    rows = out.select(F.col("prompt")[0]["content"].alias("query"), F.array_join("reward_model.choices", "|").alias("choices"),
-                      F.col("reward_model.ground_truth").alias("ground_truth"), F.col("extra_info.split").alias("split"),
+    out = P.hellaswag_prompts(P.with_split_index(P.labelled(x), "doc_id"))
+    return out.select(F.col("prompt")[0]["content"].alias("query"), F.array_join("reward_model.choices", "|").alias("choices"),
+                      "data_source", F.col("reward_model.ground_truth").alias("ground_truth"), F.col("extra_info.split").alias("split"),
                       F.col("extra_info.index").alias("idx"))
-    return rows.join(keyed.withColumnRenamed("index", "idx"), ["split", "idx"]).select(
-        "doc_id", "query", "choices", "ground_truth", "split", "idx")
 
 
 @reg("P9_sft_rows", f"""

@@ -176,7 +176,7 @@ def a19(spark, sf):
 
 
 @register("A20_value_loss", """
-WITH x AS (SELECT batch_id, mask, v + (t % 3) / 16.0 AS vpred, v, reward AS ret FROM fx_tokens),
+WITH x AS (SELECT batch_id, coalesce(lag(mask) OVER (PARTITION BY rollout_id ORDER BY t), 1) AS mask, v + (t % 3) / 16.0 AS vpred, v, reward AS ret FROM fx_tokens),
 y AS (SELECT *, greatest(least(vpred, v + 0.0625), v - 0.0625) AS vc FROM x),
 z AS (SELECT batch_id, mask, (vpred - ret) * (vpred - ret) AS l1, (vc - ret) * (vc - ret) AS l2 FROM y)
 SELECT batch_id, round(0.5 * sum(greatest(l1, l2) * mask) / sum(mask), 6) AS vf_loss,
@@ -184,7 +184,7 @@ SELECT batch_id, round(0.5 * sum(greatest(l1, l2) * mask) / sum(mask), 6) AS vf_
           ("fx_tokens",))
 def a20(spark, sf):
     x = tok(spark, sf).withColumn("vpred", F.col("v") + (F.col("t") % 3) / 16.0)
-    out = R.value_loss(x, "vpred", "reward", "v", clip=0.0625)
+    out = R.value_loss(R.shifted_mask(x), "vpred", "reward", "v", "mask_at", clip=0.0625)
     return out.select("batch_id", r6(F.col("vf_loss")).alias("vf_loss"), r6(F.col("vf_clipfrac")).alias("vf_clipfrac"))
 
 
@@ -203,7 +203,8 @@ def a21(spark, sf):
 
 
 @register("A24_shifted_values", """
-SELECT rollout_id, t, coalesce(lag(v) OVER (PARTITION BY rollout_id ORDER BY t), 0.0) * mask AS value_at FROM fx_tokens""",
+SELECT rollout_id, t, coalesce(lag(v) OVER (PARTITION BY rollout_id ORDER BY t), 0.0)
+       * coalesce(lag(mask) OVER (PARTITION BY rollout_id ORDER BY t), 1) AS value_at FROM fx_tokens""",
           ("fx_tokens",))
 def a24(spark, sf):
     return R.shifted_values(tok(spark, sf)).select("rollout_id", "t", "value_at")

@@ -232,19 +232,20 @@ SELECT data_source, rollout_id, score FROM fx_rollouts
 QUALIFY row_number() OVER (PARTITION BY data_source ORDER BY rollout_id) <= 3""", ("fx_rollouts",))(v15_examine)
 
 
-# Two generations compared by edit distance (documents vs. their page text).
+# Two generations compared by edit distance: each reply and the next
+# turn of its conversation, whole texts.
 def v16_similarity(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", "text")
-    a = d.select("doc_id", F.substring("text", 1, 200).alias("a"))
-    b = d.select("doc_id", F.lower(F.substring("text", 1, 200)).alias("b"))
-    return M.generations_similar(a.join(b, "doc_id"), "a", "b", 0.1)
+    # one character for every letter beyond ASCII: the oracle's distance counts bytes
+    c = read_table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text"))
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return M.generations_similar(c.withColumnRenamed("text", "a").join(nxt, ["conv_id", "turn"]), "a", "b", 0.1)
 
 
 register("V16_generation_similarity", """
 SELECT CAST(sum(levenshtein(a, b)) AS BIGINT) AS total_distance, CAST(sum(greatest(length(a), length(b))) AS BIGINT) AS total_length,
        round(sum(levenshtein(a, b)) / nullif(sum(greatest(length(a), length(b))), 0), 6) AS ratio,
        coalesce(sum(levenshtein(a, b)) / nullif(sum(greatest(length(a), length(b))), 0), 0) <= 0.1 AS similar
-FROM (SELECT doc_id, substr(text, 1, 200) AS a, lower(substr(text, 1, 200)) AS b FROM documents) x""")(v16_similarity)
+FROM (SELECT regexp_replace(x.text, '[^\\x00-\\x7F]', '?', 'g') AS a, regexp_replace(y.text, '[^\\x00-\\x7F]', '?', 'g') AS b FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1) z""")(v16_similarity)
 
 
 # V11 + G6: dense digit-completion reward.

@@ -8,7 +8,6 @@ cluster setting get a scratch folder from ``kestrel.session``.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +27,7 @@ def read_parquet_many(spark: SparkSession, paths) -> DataFrame:
     """Read one or many parquet paths and concatenate; columns missing
     in some inputs become null."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(p) for p in paths])
+    return spark.read.option("mergeSchema", "true").parquet(*paths)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
