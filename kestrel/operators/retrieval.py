@@ -351,22 +351,15 @@ def dense_run(queries: DataFrame, docs: DataFrame, excluded: DataFrame, k: int =
 
 
 def hashed_bow_encoder(dim: int = 64, seed: int = 0):
-    """R7 default test encoder: hashed bag of words, L2-normalised, as an
-    Arrow ``pandas_udf`` over a text column (a pluggable stand-in for a
-    sentence encoder called with ``predict_batch_udf``)."""
-    import zlib
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def encode(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            v = np.zeros(dim, dtype=np.float64)
-            if t:
-                for w in str(t).lower().split():
-                    v[zlib.crc32(f"{seed}:{w}".encode()) % dim] += 1.0
-            n = np.linalg.norm(v)
-            out.append((v / n if n > 0 else v).astype(np.float32))
-        return pd.Series(out)
+    """R7 default encoder: a text's words counted in ``dim`` buckets of their
+    MD5, L2-normalised, in built-in expressions (a stand-in for a sentence
+    encoder; any function of a column plugs in, such as ``predict_batch_udf``)."""
+    def encode(text) -> Column:
+        words = F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+        at = F.transform(words, lambda w: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), w)), 1, 7), 16, 10).cast("bigint") % dim)
+        count = lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"))
+        once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+        return once(at, lambda b: once(count(b), lambda v: l2_normalize(v).cast("array<float>")))
     return encode
 
 

@@ -215,10 +215,15 @@ def l1(spark, sf):
                                        F.max("c").alias("max_items"), F.sum("s").cast("bigint").alias("total"))
 
 
-@reg("L1_karmarkar_karp_sums")
+@reg("L1_karmarkar_karp_sums", """
+SELECT batch_id, CAST(4 AS BIGINT) AS n_parts, CAST(sum(seqlen) AS BIGINT) AS total, count(*) AS n_items, true AS tight
+FROM fx_lengths GROUP BY batch_id""", ("fx_lengths",))
 def l1_sums(spark, sf):
+    # largest differencing: the parts' sums differ by less than the longest row
     a = L.assign_partitions(lengths(spark, sf), 4, False)
-    return a.groupBy("batch_id", "partition").agg(F.sum("seqlen").alias("part_sum"), F.count(F.lit(1)).alias("n"))
+    per = a.groupBy("batch_id", "partition").agg(F.sum("seqlen").alias("s"), F.count(F.lit(1)).alias("n"), F.max("seqlen").alias("m"))
+    return per.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("s").cast("bigint").alias("total"),
+                                       F.sum("n").cast("bigint").alias("n_items"), (F.max("s") - F.min("s") <= F.max("m")).alias("tight"))
 
 
 @reg("L2_greedy_partition", """

@@ -356,6 +356,13 @@ def r9(spark, sf):
     return run.filter(F.col("rank") <= 10).select("qid", "doc_id", "rank", r6(F.col("score")).alias("score"))
 
 
+@reg("R9_dense_run", "WITH " + DENSE_SQL.strip() + """
+SELECT qid, doc_id, CAST(rank AS INT) AS rank FROM run""")
+def r9_run(spark, sf):
+    run, _ = _dense_run(spark, sf)
+    return run.select("qid", "doc_id", "rank")
+
+
 @reg("R13_dense_reward", "WITH " + DENSE_SQL.strip() + """
 SELECT qid, round(ndcg, 6) + 0.0 AS reward FROM nd""")
 def r13(spark, sf):
@@ -405,12 +412,19 @@ def r15(spark, sf):
     return out.select("rollout_id", r6(F.col("delta_reward")).alias("delta_reward"), "n_docs")
 
 
-@reg("R7_encode_documents")
+@reg("R7_encode_documents", r"""
+WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')) AS w FROM documents),
+c AS (SELECT doc_id, CAST('0x' || substr(md5('0:' || w), 1, 7) AS BIGINT) % 64 AS b, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY ALL),
+v AS (SELECT doc_id, b, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM c)
+SELECT d.doc_id, CAST(64 AS INT) AS dim, CAST(count(b) AS INT) AS nonzero, round(coalesce(sum(x), 0), 3) AS total,
+       round(coalesce(sum(b * x), 0), 2) AS weighted FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY d.doc_id""")
 def r7(spark, sf):
     enc = RT.hashed_bow_encoder(64)
     d = read_table(spark, sf, "documents").select("doc_id", enc(F.col("text")).alias("vec"))
-    return d.select("doc_id", F.size("vec").alias("dim"),
-                    F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm_sq"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return d.select("doc_id", F.size("vec").alias("dim"), F.size(F.filter("vec", lambda x: x > 0)).alias("nonzero"),
+                    F.round(total(F.col("vec")), 3).alias("total"),
+                    F.round(total(F.transform("vec", lambda x, i: x.cast("double") * i)), 2).alias("weighted"))
 
 
 @reg("R17_vector_cache", """

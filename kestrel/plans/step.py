@@ -31,9 +31,9 @@ def training_step(tokens: DataFrame, rows: DataFrame, kl_coef: float = 0.001, kl
     shaped, kl = R.apply_kl_penalty(tokens, kl_coef, score="score", kind=kl_kind, row_key=row_key, batch_key=batch)
     adv = R.compute_advantage(shaped.drop("kld", "kl_coeff"), estimator, gamma, lam, reward="reward", value="v",
                               mask="mask", row_key=(batch, row_key), uid=uid, batch_key=batch)
-    # the estimators keep the key and token columns; bring the scores back
-    toks = adv.join(shaped.select(batch, row_key, "t", "score", "v"), [batch, row_key, "t"]) \
-        if "score" not in adv.columns else adv
+    # what an estimator's result does not carry comes back from the shaped tokens
+    absent = [c for c in ("mask", "score", "reward", "v") if c not in adv.columns]
+    toks = adv.join(shaped.select(batch, row_key, "t", *absent), [batch, row_key, "t"]) if absent else adv
     m = M.data_metrics(toks.withColumn("values", F.col("v")), rows, batch, row_key, "mask",
                        score="score", reward="reward", advantage="advantage", returns="returns", values="values")
     klm = kl.select(batch, F.lit("critic/kl").alias("metric"), F.col("current_kl").cast("double").alias("value")) \
