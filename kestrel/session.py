@@ -64,14 +64,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+#: Shuffle files of a query go as soon as its result is written.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df, name: str = "table", compression: str = "snappy"):
     """Cut the lineage by writing a parquet table under the shared
     ``spark.checkpoint.dir`` and reading it back.
 
     Reliable like ``checkpoint()`` (survives executor loss, never a local
-    checkpoint), but columnar: later reads prune columns and push filters."""
+    checkpoint), but columnar: later reads prune columns and push filters.
+    The write's shuffle files are removed with its end, not when the driver
+    happens to collect its garbage."""
     import uuid
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kestrel-tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").option("compression", compression).parquet(path)
-    return spark.read.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    out = spark.read.parquet(path)
+    out._kestrel_path = path
+    return out
+
+
+def drop_tables(*tables) -> None:
+    """Delete tables that ``cut_lineage`` wrote and that nothing lazy reads any
+    more; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_kestrel_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
