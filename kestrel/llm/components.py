@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.session import cut_lineage
+from kestrel.session import cut_lineage, drop_tables
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,14 +23,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels = cut_lineage(live.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("label")), "cc-labels")
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-hook")
+        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-hook")
+        hook = least
         for _ in range(2):
             up = hook.select(F.col("u").alias("m"), F.col("m").alias("__up"))
             hook = hook.join(up, "m").select("u", F.col("__up").alias("m"))
         hook = cut_lineage(hook, "cc-jump")
-        to = lambda c: hook.select(F.col("u").alias(c), F.col("m").alias(f"__{c}"))
+        to = lambda c: hook.select(F.col("u").alias(c), F.col("m").alias(f"__{c}"))  # noqa: E731, B023
+        done = live, labels, least, hook
         live = cut_lineage(live.join(to("u"), "u").join(to("v"), "v").filter(F.col("__u") != F.col("__v"))
                            .select(F.least("__u", "__v").alias("u"), F.greatest("__u", "__v").alias("v")).distinct(), "cc-edges")
         labels = cut_lineage(labels.join(to("label"), "label", "left")
                              .select("node", F.coalesce("__label", "label").alias("label")), "cc-labels")
+        drop_tables(*done)
     return labels

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.components import connected_components
 from kestrel.llm.words import mix, word_batches
-from kestrel.session import cut_lineage
+from kestrel.session import cut_lineage, drop_tables
 
 SKETCH_BITS = 20
 SLICES = 64             # parts in which the sketch is summed
@@ -446,6 +446,7 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     shared = (prefix.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("b"))
               .filter(F.col("a") != F.col("b")).select("gram"))
     members = cut_lineage(prefix.join(shared, "gram", "left_semi").dropDuplicates(["gram", "node"]), "jaccard-members")
+    drop_tables(prefix)
     parts = (members.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
              .select("gram", F.ceil(F.col("k") / GROUP).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -457,6 +458,7 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
              .select("gram", "i", "j", "part", "node", "n", "place", "histogram")
              .repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n", "node"))
     clusters = connected_components(dealt.mapInArrow(possible_edges(t), "u long, v long")).withColumnRenamed("label", "cluster")
+    drop_tables(members)
 
     # trees: one block of a cluster each
     wanted = clusters.join(classes.select("node", "cid"), "node")
@@ -470,6 +472,7 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     if not many.isEmpty():
         links = links.unionByName(_across_blocks(placed.join(many.select("cluster"), "cluster", "left_semi"), links, t))
     labels = connected_components(links)
+    drop_tables(sets)
 
     home = classes.select("node", "cid").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = home.groupBy("label").agg(F.min("cid").alias("component_id"))
