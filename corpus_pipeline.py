@@ -18,7 +18,7 @@ from kestrel.llm.packing import pack
 from kestrel.llm.pii import pseudonymise
 from kestrel.llm.queries import tokenizer_path
 from kestrel.llm.rules import keep_good
-from kestrel.session import cut_lineage
+from kestrel.session import cut_lineage, drop_tables
 from kestrel.sources.tables import read_table
 
 KEY = "kestrel"
@@ -71,7 +71,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_tables(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

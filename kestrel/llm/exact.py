@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kestrel.session import cut_lineage
 
@@ -90,8 +91,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns only."""
-    table = recipes(docs, text_col, tuple(docs.columns))
-    slim = table.select(F.col(id_col), "__row", "__sha", "__recipe")
-    kept = assign(slim, disputed_chunks(docs, text_col), id_col).filter("kept").select("__row")
-    return table.drop("__sha", "__recipe").join(kept, "__row", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that stay, with their own columns only.  The texts
+    move once, to meet the list of (id, text hash) that stay."""
+    table = recipes(docs, text_col, (id_col,))
+    kept = (assign(table, disputed_chunks(docs, text_col), id_col).filter("kept")
+            .select(F.col(id_col).alias("__kept_id"), F.col("__sha").alias("__kept_sha")))
+    key = (F.col(id_col).eqNullSafe(F.col("__kept_id"))) & (F.col("__sha") == F.col("__kept_sha"))
+    found = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).join(kept, key, "left_semi")
+    one = F.row_number().over(Window.partitionBy(id_col, "__sha").orderBy("__sha"))  # of rows equal in both
+    return found.withColumn("__nth", one).filter(F.col("__nth") == 1).select(*docs.columns)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.session import cut_lineage
+from kestrel.session import cut_lineage, drop_tables
 
 WINDOW = 8                     # words of a repeated window
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
@@ -155,37 +155,56 @@ def estimates(rows: DataFrame) -> DataFrame:
         "__scale", F.greatest(F.col("__med") / CHI2_MEDIAN, F.lit(1.0))).drop("__med"), "mcd")
 
 
-def judge(table: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``table`` (written, with counts and statistics) with ``__distance2`` and ``__kept``."""
+class Groups:
+    """The names of a row's own group (language, source) and of its pool."""
+
+    def __init__(self, lang_col: str, source_col: str):
+        name = lambda source: F.to_json(F.struct(F.col(lang_col).cast("string").alias("l"), source.alias("s")))
+        self.own = name(F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")))
+        self.pool = name(F.lit("*"))
+
+
+def fitted(table: DataFrame, groups: Groups) -> DataFrame:
+    """Estimates per own group: ``__own`` and the columns of ``estimates``,
+    from ``table`` (written, with counts and statistics)."""
     ok = table.filter(~F.col("__base_failed"))
-    group = lambda source: F.to_json(F.struct(F.col(lang_col).cast("string").alias("l"), source.alias("s")))
-    own, pool = group(F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))), group(F.lit("*"))
-    sizes = cut_lineage(ok.groupBy(own.alias("__own"), pool.alias("__pool")).agg(F.count(F.lit(1)).alias("__n")), "mcd-sizes")
+    sizes = cut_lineage(ok.groupBy(groups.own.alias("__own"), groups.pool.alias("__pool")).agg(F.count(F.lit(1)).alias("__n")), "mcd-sizes")
     # a row per language and source: the group that its rows are judged in
     small = sizes.filter(F.col("__n") < MIN_GROUP).groupBy("__pool").agg(F.sum("__n").alias("__m"))
-    groups = cut_lineage(
+    homes = cut_lineage(
         sizes.join(small, "__pool", "left")
         .withColumn("__group", F.when(F.col("__n") >= MIN_GROUP, F.col("__own")).when(F.col("__m") >= MIN_GROUP, F.col("__pool")))
-        .select("__own", "__group"), "mcd-groups")
-    named = table.withColumn("__own", own).join(groups, "__own", "left").drop("__own")
-    est = estimates(named.filter(~F.col("__base_failed") & F.col("__group").isNotNull()).select("__group", *STATS))
-    return (named.join(est, "__group", "left")
+        .select("__own", "__group").filter(F.col("__group").isNotNull()), "mcd-groups")
+    rows = ok.withColumn("__own", groups.own).join(homes, "__own").select("__group", *STATS)
+    return cut_lineage(homes.join(estimates(rows), "__group").drop("__group"), "mcd-own")
+
+
+def judge(counted: DataFrame, est: DataFrame, groups: Groups) -> DataFrame:
+    """Rows with counts and statistics, and their ``__distance2`` and ``__kept``."""
+    return (counted.withColumn("__own", groups.own).join(est, "__own", "left")
             .withColumn("__distance2", _distance(len(STATS)) / F.col("__scale"))
             .withColumn("__kept", ~F.col("__base_failed") & F.coalesce(F.col("__distance2") <= CHI2_CUT, F.lit(True)))
-            .select(*table.columns, "__distance2", "__kept"))
+            .select(*counted.columns, "__distance2", "__kept"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, distance2."""
+    groups = Groups(lang_col, source_col)
     table = cut_lineage(with_stats(with_counts(docs, text_col, (id_col, lang_col, source_col))), "rules")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
-    return judge(table, lang_col, source_col).select(id_col, *[F.col(f"__{n}").alias(n) for n in names])
+    return judge(table, fitted(table, groups), groups).select(id_col, *[F.col(f"__{n}").alias(n) for n in names])
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns only."""
-    carry = tuple(docs.columns)
-    table = cut_lineage(with_stats(with_counts(docs, text_col, carry)), "rules")
-    return judge(table, lang_col, source_col).filter("__kept").select(*carry)
+    """The rows of ``docs`` that the rules keep, with their own columns only.
+    A verdict depends on text, language and source alone, so rejected rows are
+    named by 128 bits of hashes of these, and no text is stored again."""
+    groups = Groups(lang_col, source_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.withColumns({"__k1": F.xxhash64(text, groups.own), "__k2": F.xxhash64(groups.own, text)})
+    table = cut_lineage(with_stats(with_counts(named, text_col, (lang_col, source_col, "__k1", "__k2"))), "rules")
+    rejected = cut_lineage(judge(table, fitted(table, groups), groups).filter(~F.col("__kept")).select("__k1", "__k2").distinct(), "rejected")
+    drop_tables(table)
+    return named.join(rejected, ["__k1", "__k2"], "left_anti").select(*docs.columns)
