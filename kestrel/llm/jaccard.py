@@ -41,7 +41,8 @@ from kestrel.session import cut_lineage, drop_tables
 
 SKETCH_BITS = 20
 SLICES = 64             # parts in which the sketch is summed
-HISTOGRAM = 64          # cells of a set's histogram
+HISTOGRAM = 64          # cells of a set's histogram, and more of a large set: one for CELL_GRAMS n-grams
+CELL_GRAMS = 16
 GROUP = 2048            # members of one prefix n-gram compared in one task
 BLOCK = 512             # sets in one tree
 BLOCK_GRAMS = 1 << 20   # and their n-grams, unless one set alone has more
@@ -110,6 +111,25 @@ def _cell(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def histograms(grams: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Counts of each set's n-grams by their lowest bits.  The number of cells
+    follows the set's size: what unrelated sets differ by must stand out."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    few = np.bincount(row * HISTOGRAM + (grams & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=len(sizes) * HISTOGRAM)
+    out = [c.tobytes() for c in np.minimum(few, 65535).astype("<u2").reshape(len(sizes), HISTOGRAM)]
+    start = np.cumsum(sizes) - sizes
+    for k in np.flatnonzero(sizes > HISTOGRAM * CELL_GRAMS).tolist():
+        cells = 1 << (int(sizes[k]) // CELL_GRAMS).bit_length()
+        own = np.bincount((grams[start[k]:start[k] + sizes[k]] & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+        out[k] = np.minimum(own, 65535).astype("<u2").tobytes()
+    return out
+
+
+def folded(histogram: np.ndarray, cells: int) -> np.ndarray:
+    """The histogram with fewer cells: cells of equal lowest bits together."""
+    return histogram.reshape(-1, cells).sum(axis=0, dtype=np.int64)
+
+
 def class_rows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """A written table.  Rows of documents: id, n, node and check (names of the
     set), histogram.  Rows of the sketch: slice and its counts."""
@@ -125,13 +145,10 @@ def class_rows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
                 grams, sizes = gram_sets(words, counts, size)
                 sketch += np.bincount(_cell(grams), minlength=1 << SKETCH_BITS)
                 node, check = set_names(grams, sizes)
-                row = np.repeat(np.arange(b - a), sizes)
-                cells = np.bincount(row * HISTOGRAM + (grams & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=(b - a) * HISTOGRAM)
-                cells = np.minimum(cells, 65535).astype("<u2").reshape(b - a, HISTOGRAM)
                 empty = sizes == 0
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(node.view(np.int64), mask=empty), pa.array(check.view(np.int64), mask=empty),
-                     pa.array([c.tobytes() for c in cells], pa.binary()), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.binary())], names)
+                     pa.array(histograms(grams, sizes), pa.binary()), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.binary())], names)
         if id_type is not None:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(SLICES, id_type), none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(np.arange(SLICES)),
@@ -229,13 +246,19 @@ def possible_edges(t: Threshold, cells: int = HISTOGRAM):
     sorted by (gram, i, j): a spanning forest of pairs that may be linked.
     Of two different parts only pairs across are compared."""
 
+    def near(x: np.ndarray, y: np.ndarray, n: int, m: int) -> bool:
+        """The bound once more, with all cells that both histograms have."""
+        most = min(len(x), len(y))
+        return most == cells or bool(t.reachable((n + m - int(np.abs(folded(x, most) - folded(y, most)).sum())) // 2, n, m))
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             get = lambda k: batch.column(k).to_numpy(zero_copy_only=False)
             gram, i, j, part, node, n, place = (get(k) for k in range(7))
-            hist = np.frombuffer(b"".join(batch.column(7).to_pylist()), "<u2").reshape(-1, cells).astype(np.int32)
+            own = [np.frombuffer(x, "<u2") for x in batch.column(7).to_pylist()]
+            hist = np.stack([x if len(x) == cells else folded(x, cells) for x in own]).astype(np.int32)
             group = np.cumsum(np.concatenate([[0], (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             sizes = np.bincount(group)
             names, at = np.unique(node, return_inverse=True)
@@ -256,10 +279,11 @@ def possible_edges(t: Threshold, cells: int = HISTOGRAM):
                     x, y = a[s:s + 65536], b[s:s + 65536]
                     far = np.abs(hist[x] - hist[y]).sum(axis=1)
                     ok = t.reachable((n[x] + n[y] - far) // 2, n[x], n[y])
-                    for p, q in zip(at[x[ok]].tolist(), at[y[ok]].tolist(), strict=True):
-                        forest.join(p, q)
+                    for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                        if forest.label[at[p]] != forest.label[at[q]] and near(own[p], own[q], n[p], n[q]):
+                            forest.join(at[p], at[q])
                 if forest.edges:
-                    label = np.array(forest.label)
+                    label = np.array(forest.label, np.int64)
             if forest.edges:
                 u, v = zip(*forest.edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names[list(u)]), pa.array(names[list(v)])], ["u", "v"])
