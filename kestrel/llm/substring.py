@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from kestrel.llm.recompression import Parse, parse, words_parse
 from kestrel.llm.words import BASES, mix, utf8, word_batches, word_spans
-from kestrel.session import cut_lineage
+from kestrel.session import cut_lineage, drop_tables
 
 WIDTH = 35
 FINE_ROUNDS, FINE_WORDS, FINER_ROUNDS = 7, 12, 5
@@ -281,8 +281,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     """id, n_words, n_removed, kept_sha256 of every document."""
     rows = _rows(docs, id_col, text_col)
     symbols = symbol_rows(rows, width)
-    candidates = candidate_rows(rows, repeated_symbols(symbols), width)
-    removed = removed_rows(candidates, repeated_windows(candidates), width).dropDuplicates(["rk", "ck"])
-    every = symbols.filter(F.col("kind") == 0).select("rk", "ck", "id", "n_words", "sha")
+    every = cut_lineage(symbols.filter(F.col("kind") == 0).select("rk", "ck", "id", "n_words", "sha"), "words", "zstd")
+    marks = cut_lineage(repeated_symbols(symbols), "marks", "zstd")  # before the texts move
+    drop_tables(symbols)
+    candidates = candidate_rows(rows, marks, width)
+    drop_tables(marks)
+    hits = cut_lineage(repeated_windows(candidates), "hits", "zstd")
+    removed = cut_lineage(removed_rows(candidates, hits, width).dropDuplicates(["rk", "ck"]), "removed", "zstd")
+    drop_tables(candidates, hits)
     return every.join(removed, ["rk", "ck"], "left").select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
