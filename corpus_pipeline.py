@@ -22,6 +22,8 @@ from kestrel.session import cut_lineage, drop_tables
 from kestrel.sources.tables import read_table
 
 KEY = "kestrel"
+#: Near duplicates share 0.8 or more of their 5-word shingles (op8's own query: 3 words, 0.9).
+NEAR = {"size": 5, "num": 80, "den": 100}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest id stays."""
-    found = similar_components(docs)
+    found = similar_components(docs, **NEAR)
     kept = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("doc_id").alias("__kept")).distinct())
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
