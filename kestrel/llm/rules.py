@@ -32,8 +32,10 @@ SUPPORT, STEPS = 0.75, 3       # share of the concentrated subset; concentration
 #: Statistics: log mean word length; log share of symbols, repeated lines and
 #: repeated words (per cent, plus 1).  A floor is the least standard deviation
 #: that counts: a document within a few floors of the bulk is never an outlier.
+#: Each is so low that its statistic alone can pass the cut in a clean group:
+#: log1p(100) / 0.5 (lines) and log1p(MAX_REPEAT_PCT) / 0.5 (words) exceed sqrt(CHI2_CUT).
 STATS = ("__s0", "__s1", "__s2", "__s3")
-FLOORS = (0.05, 0.35, 1.0, 1.0)
+FLOORS = (0.05, 0.35, 0.5, 0.5)
 #: Median and 0.9999 quantile of chi-square with 4 degrees of freedom.
 CHI2_MEDIAN, CHI2_CUT = 3.3567, 23.513
 
