@@ -1,6 +1,8 @@
 """Personal data replaced by format-preserving Feistel pseudonyms (DataFrame functions only).
 
-One pattern finds candidates; each is validated for its kind (Luhn sum, IBAN
+One pattern finds candidates: an IBAN or a telephone number has its country's
+length where that is known, and within a run of digit groups cards are looked
+for from each group on, so text beside a number is kept.  Each is validated for its kind (Luhn sum, IBAN
 remainder, octets, day of a month, number plans) and then permuted within
 exactly that kind's domain by a keyed Feistel network: halves of sizes a and b
 are added modulo a and b to keyed hashes of each other, which is a permutation
@@ -36,15 +38,34 @@ UPPER_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 PASSWORD = r"(?<=password=)[0-9a-f]{8,26}(?![0-9A-Za-z])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_IBAN_OF = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_SIZES.items())
+_IBAN_NEXT = f"(?! ?(?:{'|'.join(IBAN_SIZES.values()).replace(' ', '|')})[0-9]{{2}} )"
+# by the country's length; else groups of four and a rest, to be tried from the longest
+IBAN = (rf"(?<![A-Za-z0-9])(?:{_IBAN_OF}|"
+        rf"[A-Z]{{2}}[0-9]{{2}}(?:{_IBAN_NEXT} ?[A-Z0-9]{{4}}){{2,7}}(?:{_IBAN_NEXT} ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))")
 DATE = (r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2(?:19|20)[0-9]{2})"
         r"(?![0-9])(?![./-][0-9])")
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 US_PHONE = r"(?<![0-9A-Za-z+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
-PHONE = r"(?<![0-9A-Za-z+])\+[2-9](?:[ ().-]{0,2}[0-9]){6,14}(?![0-9])"
+# most and least national digits after a country code; other plans have up to 15 digits in all
+PHONE_SIZES = {
+    "44": (9, 10), "33|34|31|41|48|40|61|27|351|380|420|421|254": (9, 9), "45|47|65|852": (8, 8), "32|36|66|971|972": (8, 9),
+    "7|30|52|63|90|91|92|880": (10, 10), "46": (7, 9), "353": (7, 9), "20|81|84": (9, 10), "54|55|86": (10, 11), "60|64|82|234": (8, 10)}
+_GAP = "[ ().-]{0,2}"
+_PHONE_OF = "|".join(f"(?:{c})(?:{_GAP}[0-9]){{{a},{b}}}(?![0-9])" for c, (a, b) in PHONE_SIZES.items())
+PHONE = rf"(?<![0-9A-Za-z+])\+(?:{_PHONE_OF}|[2-9](?:{_GAP}[0-9]){{6,14}}(?![0-9]))"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+(.-])\(?[2-9][0-9]{2}\)?[ .-]{1,2}[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+# a run of digit groups up to the next value of another kind; cards are looked for within
+_NOT_CARD = "|".join([DATE.replace(r"\1", r"\3").replace(r"\2", r"\4"), EMAIL, IPV4, SSN, LOCAL_PHONE])
+CARD = rf"(?<![0-9A-Za-z.-])(?=(?:[ -]?[0-9]){{13}})[0-9]++(?![A-Za-z])(?:[ -](?!{_NOT_CARD})[0-9]++(?![A-Za-z]))*+"
+CARD_SIZES = (13, 19)
+ISSUED = r"^(?:4[0-9]{15}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|35[0-9]{14}|6[0-9]{15}|3[47][0-9]{13}|3[0689][0-9]{12})$"
 
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days: to the end of 2099
 
@@ -137,7 +158,7 @@ def part(x: Column, at: int, size: int) -> Column:
 
 
 def pseudonym(f: Feistel, x: Column) -> Column:
-    """The pseudonym of one candidate, or the candidate where it is not valid."""
+    """The candidate (``t``) with what is valid in it replaced, and how many values that is (``n``)."""
     digits = only(x, "0-9")
     whole = lambda pattern: x.rlike(f"^(?:{pattern})$")
 
@@ -147,22 +168,56 @@ def pseudonym(f: Feistel, x: Column) -> Column:
         return F.concat(put(numbers, f.text("mail", only(local, "a-z"), LOWER), "[a-z]"), rest)
 
     def card() -> Column:
-        def run(d: Column) -> Column:
-            body = F.substr(d, F.lit(1), F.length(d) - 1)
-            valid = (luhn(body) + F.right(d, F.lit(1)).cast("int")) % 10 == 0
-            fresh = let(F.concat(part(d, 1, 1), f.text("card", F.substr(d, F.lit(2), F.length(d) - 2), DIGITS)),
-                        lambda b: F.concat(b, ((10 - luhn(b) % 10) % 10).cast("string")))
-            return F.when(valid, put(x, fresh, "[0-9]")).otherwise(x)
-        return let(digits, run)
+        """At each group of the run the groups that make a card: an issuer's
+        length first, then the longest, unless an issuer's begins within."""
+        def valid(d: Column) -> Column:
+            return F.length(d).between(*CARD_SIZES) & ((luhn(F.substr(d, F.lit(1), F.length(d) - 1)) + F.right(d, F.lit(1)).cast("int")) % 10 == 0)
+
+        def changed(text: Column) -> Column:
+            return let(only(text, "0-9"), lambda d: put(text, let(
+                F.concat(part(d, 1, 1), f.text("card", F.substr(d, F.lit(2), F.length(d) - 2), DIGITS)),
+                lambda b: F.concat(b, ((10 - luhn(b) % 10) % 10).cast("string"))), "[0-9]"))
+
+        def run(g: Column) -> Column:
+            joined = lambda i, k: F.array_join(F.slice(g, i, k), "")
+            numbers = lambda i: F.transform(
+                F.sequence(F.least(F.lit(CARD_SIZES[1]), F.size(g) - i + 1), F.lit(1)),
+                lambda k: F.struct(k.alias("k"), only(joined(i, k), "0-9").alias("d")))
+            best = lambda own: F.coalesce(
+                F.get(F.filter(own, lambda c: c["d"].rlike(ISSUED)), F.lit(0)), F.get(own, F.lit(0)))
+            places = F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: let(F.filter(numbers(i), lambda c: valid(c["d"])), best))
+
+            def turn(at: Column) -> Column:
+                def step(s: Column, i: Column) -> Column:
+                    own = F.get(at, i - 1)
+                    inner = F.exists(F.slice(at, i + 1, F.coalesce(own["k"], F.lit(1)) - 1), lambda c: F.coalesce(c["d"].rlike(ISSUED), F.lit(False)))
+                    here = own.isNotNull() & (own["d"].rlike(ISSUED) | ~inner)
+                    done = lambda new: F.struct(
+                        F.concat(s["t"], new).alias("t"), (i + own["k"]).alias("next"), (s["n"] + F.when(new == joined(i, own["k"]), 0).otherwise(1)).alias("n"))
+                    return (F.when(i < s["next"], s).when(here, let(changed(joined(i, own["k"])), done))
+                            .otherwise(F.struct(F.concat(s["t"], F.get(g, i - 1)).alias("t"), s["next"].alias("next"), s["n"].alias("n"))))
+                start = F.struct(F.lit("").alias("t"), F.lit(1).alias("next"), F.lit(0).alias("n"))
+                return F.aggregate(F.sequence(F.lit(1), F.size(g)), start, step, lambda s: F.struct(s["t"].alias("t"), s["n"].alias("n")))
+            return let(places, turn)
+
+        return let(F.regexp_extract_all(x, F.lit("[ -]?[0-9]+"), F.lit(0)), run)
 
     def iban() -> Column:
         def run(s: Column) -> Column:
             body = F.substr(s, F.lit(5), F.length(s))
-            valid = mod97(F.concat(body, part(s, 1, 4))) == 1
             fresh = let(put(body, f.text("iban", only(body, "0-9"), DIGITS), "[0-9]"), lambda b: F.concat(
                 part(s, 1, 2), F.lpad((98 - mod97(F.concat(b, part(s, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b))
-            return F.when(valid, put(x, fresh, "[A-Z0-9]")).otherwise(x)
-        return let(F.regexp_replace(x, " ", ""), run)
+            return fresh
+
+        def valid(t: Column) -> Column:
+            s = F.regexp_replace(t, " ", "")
+            return (F.length(s) >= 12) & (mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), part(s, 1, 4))) == 1)
+
+        words = F.split(x, " ")  # whole first, then without the last group, and so on
+        heads = F.transform(F.sequence(F.size(words), F.lit(1)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+        changed = lambda t: F.concat(
+            put(t, run(F.regexp_replace(t, " ", "")), "[A-Z0-9]"), F.substr(x, F.length(t) + 1, F.length(x)))
+        return let(F.get(F.filter(heads, valid), F.lit(0)), lambda t: F.when(t.isNull(), x).otherwise(changed(t)))
 
     def ipv4() -> Column:
         def run(o: Column) -> Column:
@@ -224,14 +279,16 @@ def pseudonym(f: Feistel, x: Column) -> Column:
             return F.when(day.isNull(), x).otherwise(let(since, moved))
         return let(F.split(x, "[-/.]"), run)
 
-    return (F.when(x.contains("@"), email())
-            .when(x.rlike("^AKIA"), F.concat(F.lit("AKIA"), f.text("key", F.substr(x, F.lit(5), F.lit(16)), UPPER_DIGITS)))
-            .when(x.rlike("^[A-Z]{2}[0-9]{2}"), iban())
-            .when(x.rlike("^[0-9a-f]*[a-f]"), f.text("hex", x, HEX))
-            .when(whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), ssn())
-            .when(whole(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}"), date())
-            .when(whole(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"), ipv4())
-            .when(x.rlike(r"^\+") | whole(r"\(?[2-9][0-9]{2}\)?[ .-]{1,2}[2-9][0-9]{2}[ .-][0-9]{4}"), phone())
+    one = lambda new: let(new, lambda v: F.struct(v.alias("t"), F.when(v == x, 0).otherwise(1).alias("n")))
+    local = whole(r"\(?[2-9][0-9]{2}\)?[ .-]{1,2}[2-9][0-9]{2}[ .-][0-9]{4}")
+    return (F.when(x.contains("@"), one(email()))
+            .when(x.rlike("^AKIA"), one(F.concat(F.lit("AKIA"), f.text("key", F.substr(x, F.lit(5), F.lit(16)), UPPER_DIGITS))))
+            .when(x.rlike("^[A-Z]{2}[0-9]{2}"), one(iban()))
+            .when(x.rlike("^[0-9a-f]*[a-f]"), one(f.text("hex", x, HEX)))
+            .when(whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), one(ssn()))
+            .when(whole(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}"), one(date()))
+            .when(whole(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"), one(ipv4()))
+            .when(x.rlike(r"^\+") | local, one(phone()))
             .otherwise(card()))
 
 
@@ -244,7 +301,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", secrets: boo
     names = [c for c in docs.columns if c not in (text_col, count_col)]
     staged = (docs.select(*names, F.col(text_col).alias("__text")).withColumn("__hits", hits)
               .withColumn("__new", F.transform("__hits", lambda x: pseudonym(Feistel(key), x))))
-    spliced = F.array_join(F.zip_with(F.split(t, pattern), F.concat("__new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    found = F.size(F.filter(F.zip_with("__hits", "__new", lambda a, b: a != b), lambda v: v))
+    spliced = F.array_join(F.zip_with(F.split(t, pattern), F.concat(F.col("__new.t"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    found = F.aggregate("__new", F.lit(0), lambda a, v: a + v["n"])
     return staged.select(*names, F.when(F.size("__hits") > 0, spliced).otherwise(t).alias(text_col),
                          F.greatest(F.coalesce(found, F.lit(0)), F.lit(0)).alias(count_col))
