@@ -205,7 +205,8 @@ def candidate_rows(rows: DataFrame, marks: DataFrame, width: int) -> DataFrame:
                 spans = [(begin[k] + x["at"], begin[k] + x["at"] + x["size"] - width + 1, x["alone"]) for k, own in enumerate(blocks) for x in own or []]
                 lo, hi, alone = (np.array(x) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 3
                 inside = _spans_mask(lo, hi, n)
-                covered = _spans_mask(lo[alone == 0], hi[alone == 0], n)
+                # what stands for a block is looked up, also where a repeat of the row has it as another occurrence
+                covered = _spans_mask(lo[alone == 0], hi[alone == 0], n) & ~_spans_mask(lo[alone == 1], hi[alone == 1], n)
                 look = np.flatnonzero(may & ~covered)
                 w1, w2 = _window_hashes(words, width)
                 first, again = _again(w1[look] ^ mix(w2[look].astype(np.uint64)))
@@ -230,8 +231,9 @@ def candidate_rows(rows: DataFrame, marks: DataFrame, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), *(pa.array(x, pa.list_(t)) for x, t in zip(lists, kinds, strict=True))], fields)
 
-    checks = F.array_sort(F.collect_list(F.when(F.col("kind") == CHECK, F.col("at")))).alias("checks")
-    blocks = F.collect_list(F.when(F.col("kind") == BLOCK, F.struct("at", "size", "alone"))).alias("blocks")
+    # sets: the repeats of a row have the same marks
+    checks = F.array_sort(F.collect_set(F.when(F.col("kind") == CHECK, F.col("at")))).alias("checks")
+    blocks = F.collect_set(F.when(F.col("kind") == BLOCK, F.struct("at", "size", "alone"))).alias("blocks")
     found = marks.groupBy("rk", "ck").agg(checks, blocks)
     schema = "rk long, ck int, text string, `from` array<int>, `to` array<int>, at array<int>, w1 array<long>, w2 array<int>, again array<boolean>"
     return cut_lineage(rows.select("rk", "ck", "text").join(found, ["rk", "ck"]).mapInArrow(run, schema), "candidates", "zstd")
@@ -274,7 +276,7 @@ def repeated_windows(candidates: DataFrame) -> DataFrame:
     same = Window.partitionBy("w1", "w2").orderBy("rk", "ck", "at")
     return (each.withColumns({"__before": F.lag("at").over(same), "__after": F.lead("at").over(same)})
             .filter(~F.col("again") & (F.col("__before").isNotNull() | F.col("__after").isNotNull()))
-            .groupBy("rk", "ck").agg(F.collect_list("at").alias("hits")))
+            .groupBy("rk", "ck").agg(F.collect_set("at").alias("hits")))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
