@@ -235,8 +235,7 @@ QUALIFY row_number() OVER (PARTITION BY data_source ORDER BY rollout_id) <= 3"""
 # Two generations compared by edit distance: each reply and the next
 # turn of its conversation, whole texts.
 def v16_similarity(spark, sf):
-    # one character for every letter beyond ASCII: the oracle's distance counts bytes
-    c = read_table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text"))
+    c = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
     return M.generations_similar(c.withColumnRenamed("text", "a").join(nxt, ["conv_id", "turn"]), "a", "b", 0.1)
 
