@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 DIGITS, HEX, LOWER = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+UPPER = LOWER.upper()
 UPPER_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
@@ -79,11 +80,11 @@ class Feistel:
     def __init__(self, key: str):
         self.key = key
 
-    def _noise(self, kind: str, i: Column, value: Column) -> Column:
-        text = F.concat_ws("|", F.lit(self.key), F.lit(kind), i.cast("string"), value.cast("string"))
+    def _noise(self, kind: str | Column, i: Column, value: Column) -> Column:
+        text = F.concat_ws("|", F.lit(self.key), kind if isinstance(kind, Column) else F.lit(kind), i.cast("string"), value.cast("string"))
         return F.conv(F.substr(F.sha2(text, 256), F.lit(1), F.lit(15)), 16, 10).cast("long")
 
-    def permute(self, kind: str, left: Column, right: Column, a: Column, b: Column, then: Callable[[Column, Column], Column]) -> Column:
+    def permute(self, kind: str | Column, left: Column, right: Column, a: Column, b: Column, then: Callable[[Column, Column], Column]) -> Column:
         """``then(left, right)`` after the rounds, ``left`` below a, ``right`` below b."""
         start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
 
@@ -94,21 +95,27 @@ class Feistel:
         return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, turn, lambda s: then(s["l"], s["r"]))
 
     def text(self, kind: str, s: Column, alphabet: str) -> Column:
-        """A string over ``alphabet`` permuted among those of its length; of a
-        very long one the part beyond two halves of 53 bits stays."""
+        """A string over ``alphabet`` permuted among those of its length; a very
+        long one in blocks of two halves of 53 bits at most, one after the
+        other, each by its place and the other blocks."""
         base = len(alphabet)
         most = 2 * int(53 / math.log2(base))
 
-        def run(x: Column) -> Column:
+        def run(x: Column, tweak: Column) -> Column:
             n = F.length(x)
             m = F.floor(n / 2).cast("int")
             size = lambda k: F.pow(F.lit(float(base)), k).cast("long")
-            tweak = f"{kind}{base}"
             return F.when(n == 0, x).otherwise(self.permute(
                 tweak, number(F.substr(x, F.lit(1), m), alphabet), number(F.substr(x, m + 1, n), alphabet), size(m), size(n - m),
                 lambda l, r: F.concat(spell(l, m, alphabet), spell(r, n - m, alphabet))))
 
-        return F.concat(let(F.substr(s, F.lit(1), F.lit(most)), run), F.substr(s, F.lit(most + 1), F.length(s)))
+        def block(t: Column, k: Column) -> Column:
+            before, after = F.substr(t, F.lit(1), k * most), F.substr(t, (k + 1) * most + 1, F.length(t))
+            tweak = F.concat(F.lit(f"{kind}{base}"), F.when(F.length(t) > most, F.concat_ws("|", F.lit(""), k.cast("string"), before, after)).otherwise(""))
+            return let(tweak, lambda w: F.concat(before, run(F.substr(t, k * most + 1, F.lit(most)), w), after))
+
+        last = F.greatest(F.floor((F.length(s) - 1) / most).cast("int"), F.lit(0))
+        return F.aggregate(F.sequence(F.lit(0), last), s, block)
 
 
 def number(s: Column, alphabet: str) -> Column:
@@ -205,7 +212,8 @@ def pseudonym(f: Feistel, x: Column) -> Column:
     def iban() -> Column:
         def run(s: Column) -> Column:
             body = F.substr(s, F.lit(5), F.length(s))
-            fresh = let(put(body, f.text("iban", only(body, "0-9"), DIGITS), "[0-9]"), lambda b: F.concat(
+            letters = put(body, f.text("iban", only(body, "A-Z"), UPPER), "[A-Z]")
+            fresh = let(put(letters, f.text("iban", only(body, "0-9"), DIGITS), "[0-9]"), lambda b: F.concat(
                 part(s, 1, 2), F.lpad((98 - mod97(F.concat(b, part(s, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b))
             return fresh
 
