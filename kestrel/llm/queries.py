@@ -103,6 +103,11 @@ n AS (SELECT p.anchor_id, positive_id, positive_score, other_id AS negative_id,
 SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.mixing import Mix
+    return Mix(read_table(spark, sf_dir, "documents"), seed=2026).taken()
+
+
 Q = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
     "op2_language_id": (op2_language_id, None),
@@ -115,4 +120,5 @@ Q = {
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_token_files": (op10_token_files, None),
     "op11_hard_negatives": (op11_hard_negatives, OP11_SQL),
+    "op12_source_mix": (op12_source_mix, None),
 }
