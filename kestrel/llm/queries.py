@@ -108,6 +108,32 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(read_table(spark, sf_dir, "documents"), seed=2026).taken()
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.phrases import collocations
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, 1 AS size, unnest(w) AS phrase FROM w
+      UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+      UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS (SELECT lang, size, phrase, count(*) AS f, string_split(phrase, ' ') AS x FROM g GROUP BY lang, size, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE size > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, f AS a, 1 AS k, x[1] AS p, CASE size WHEN 2 THEN x[2] ELSE x[2] || ' ' || x[3] END AS q FROM c
+         UNION ALL SELECT lang, phrase, f, 2, x[1] || ' ' || x[2], x[3] FROM c WHERE size = 3),
+s AS (SELECT cuts.lang, cuts.phrase, a, k, l.f AS l, r.f AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+      FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = p JOIN f r ON r.lang = cuts.lang AND r.phrase = q
+      QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, unnest([x[1] || ' ' || x[2], x[2] || ' ' || x[3]]) AS phrase, f FROM c WHERE size = 3),
+t AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank FROM s
+      WHERE NOT EXISTS (SELECT 1 FROM longer g WHERE g.lang = s.lang AND g.phrase = s.phrase AND 100 * g.f >= 50 * s.a))
+SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000"""
+
+
 Q = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
     "op2_language_id": (op2_language_id, None),
@@ -121,4 +147,5 @@ Q = {
     "op10_token_files": (op10_token_files, None),
     "op11_hard_negatives": (op11_hard_negatives, OP11_SQL),
     "op12_source_mix": (op12_source_mix, None),
+    "op13_collocations": (op13_collocations, OP13_SQL),
 }
