@@ -37,9 +37,11 @@ from kestrel.session import cut_lineage
 PART_BYTES = 1 << 25      # bytes of text for one hash partition of n-grams
 FLUSH_WORDS = 1_500_000   # words whose n-grams a task counts together
 ID_BITS = 21              # of a word's number among them
-MERGE = 1 << 20           # keys, or n-grams, gathered before they are summed
+MERGE = 1 << 18           # keys, or n-grams, gathered before they are summed: or as many as the sum has
 MASS, KEYS, WORDS = 0, 1, 2  # kinds of rows, in the order they are read
 NONE = (1 << ID_BITS) - 1
+SHIFTS = (np.uint64(2 * ID_BITS), np.uint64(ID_BITS), np.uint64(0))
+CHUNK = 1 << 19           # n-grams keyed together
 BREAKS = np.zeros(256, bool)
 BREAKS[[*b".,;:!?", *range(10, 14)]] = True
 GAPS = BREAKS.copy()
@@ -160,53 +162,49 @@ class Counter:
         self.held += len(begin)
 
     def rows(self) -> Iterator[tuple]:
-        """Rows of ROWS for everything held."""
+        """Rows of ROWS for everything held; then it begins anew."""
         if self.held == self.carried:
+            self.clear()
             return
         number, first = numbered(np.concatenate(self.h1), np.concatenate(self.h2))
         hashes = np.concatenate(self.h1)[first]
-        known, place = numbered(*(np.concatenate(x) for x in zip(*self.known, strict=True)))
+        _, place = numbered(*(np.concatenate(x) for x in zip(*self.known, strict=True)))
         words = pa.chunked_array(self.words).combine_chunks().take(pa.array(place))  # both numberings follow the hashes
-        piece, lang = np.concatenate(self.piece), np.concatenate(self.lang)
+        piece, lang, names, carried = np.concatenate(self.piece), np.concatenate(self.lang), list(self.names), self.carried
+        self.clear()
         order = np.argsort(lang, kind="stable")
-        number, piece, lang, fresh = number[order], piece[order], lang[order], order >= self.carried
+        number, piece, lang, fresh = number[order].astype(np.uint32), piece[order], lang[order], order >= carried
+        del order, first, place
         cuts = [0, *(np.flatnonzero(np.diff(lang)) + 1).tolist(), len(lang)]
-        names = list(self.names)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield from self._language(names[lang[a]], number[a:b], piece[a:b], fresh[a:b], hashes, words)
 
     def _language(self, lang: str, number: np.ndarray, piece: np.ndarray, fresh: np.ndarray, hashes: np.ndarray, words: pa.Array) -> Iterator[tuple]:
-        w = number.astype(np.uint64)
-        two, three = piece[1:] == piece[:-1], piece[2:] == piece[:-2]
-        s1, s2, none = np.uint64(2 * ID_BITS), np.uint64(ID_BITS), np.uint64(NONE)
-        packed = np.concatenate([
-            (w << s1 | none << s2 | none)[fresh],
-            (w[:-1] << s1 | w[1:] << s2 | none)[two & fresh[1:]],
-            (w[:-2] << s1 | w[1:-1] << s2 | w[2:])[three & fresh[2:]]])
+        packed, count = _counted(number, piece, fresh)
         if not len(packed):
             return
-        packed.sort()
-        at = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]]))
-        count = np.diff(np.append(at, len(packed)))
-        packed = packed[at]
-        ids = [(packed >> s).astype(np.int64) & NONE for s in (s1, s2, np.uint64(0))]
-        size = 1 + (ids[1] != NONE) + (ids[2] != NONE)
-        key = np.empty(len(packed), np.uint64)
-        for k in (1, 2, 3):
-            own = size == k
-            key[own] = gram_keys(hashes, [i[own] for i in ids[:k]])
-        part, short = (key % np.uint64(self.parts)).astype(np.int64), key >> np.uint64(32)
-        order = np.argsort(part.astype(np.uint64) << np.uint64(32) | short)
-        bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
-        seen, local = np.zeros(len(hashes) + 1, bool), np.zeros(len(hashes), np.int64)
+        place = np.empty(len(packed), np.uint64)  # partition and 32-bit key
+        for at in range(0, len(packed), CHUNK):
+            some = packed[at:at + CHUNK]
+            ids, size = _ids(some)
+            key = np.empty(len(some), np.uint64)
+            for k in (1, 2, 3):
+                own = size == k
+                key[own] = gram_keys(hashes, [i[own] for i in ids[:k]])
+            place[at:at + CHUNK] = (key % np.uint64(self.parts)) << np.uint64(32) | key >> np.uint64(32)
+        order = np.argsort(place)
+        packed, count, place = packed[order], count[order], place[order]
+        del order
+        bounds = np.searchsorted(place, np.arange(self.parts + 1, dtype=np.uint64) << np.uint64(32))
+        seen, local = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.uint32)
         for p in np.flatnonzero(np.diff(bounds)).tolist():
-            own = order[bounds[p]:bounds[p + 1]]
-            n = count[own]
-            yield lang, p, MASS, int(n.sum()), int(n[size[own] == 1].sum()), None, None
-            yield lang, p, KEYS, None, None, planes(np.diff(short[own], prepend=np.uint64(0))), narrow(n)
-            own = own[np.argsort(size[own], kind="stable")]
-            sizes = np.bincount(size[own], minlength=4)[1:]
-            cols = [ids[j][own][sizes[:j].sum():] for j in range(3)]
+            own = slice(bounds[p], bounds[p + 1])
+            (ids, size), n = _ids(packed[own]), count[own]
+            yield lang, p, MASS, int(n.sum()), int(n[size == 1].sum()), None, None
+            yield lang, p, KEYS, None, None, planes(np.diff(place[own] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0))), narrow(n)
+            turn = np.argsort(size, kind="stable")
+            sizes = np.bincount(size, minlength=4)[1:]
+            cols = [ids[j][turn][sizes[:j].sum():] for j in range(3)]
             for c in cols:
                 seen[c] = True
             used = np.flatnonzero(seen)
@@ -217,7 +215,26 @@ class Counter:
             text = some.buffers()[2].to_pybytes()[:int(lengths.sum())]
             kind = "<u2" if len(used) <= 1 << 16 else "<u4"
             yield (lang, p, WORDS, None, None, parcels(np.array([len(used)], "<u4").tobytes(), narrow(lengths), text),
-                   parcels(sizes.astype("<u4").tobytes(), *[local[c].astype(kind).tobytes() for c in cols], narrow(count[own])))
+                   parcels(sizes.astype("<u4").tobytes(), *[local[c].astype(kind).tobytes() for c in cols], narrow(n[turn])))
+
+
+def _counted(number: np.ndarray, piece: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams as three word numbers in 63 bits, and how often each occurs."""
+    two, three = (piece[1:] == piece[:-1]) & fresh[1:], (piece[2:] == piece[:-2]) & fresh[2:]
+    w, none = number.astype(np.uint64), np.uint64(NONE)
+    packed = np.concatenate([w[fresh] << SHIFTS[0] | none << SHIFTS[1] | none,
+                             w[:-1][two] << SHIFTS[0] | w[1:][two] << SHIFTS[1] | none,
+                             w[:-2][three] << SHIFTS[0] | w[1:-1][three] << SHIFTS[1] | w[2:][three]])
+    del w
+    packed.sort()
+    at = np.flatnonzero(np.concatenate([np.ones(min(len(packed), 1), bool), packed[1:] != packed[:-1]]))
+    return packed[at], np.diff(np.append(at, len(packed))).astype(np.uint32)
+
+
+def _ids(packed: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Word numbers of packed n-grams, and how many words each has."""
+    ids = [(packed >> s & np.uint64(NONE)).astype(np.uint32) for s in SHIFTS]
+    return ids, 1 + (ids[1] != NONE) + (ids[2] != NONE)
 
 
 def segments(raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -271,12 +288,12 @@ def count_rows(docs: DataFrame, lang_col: str, text_col: str, parts: int) -> Dat
         for r in counter.rows():
             rows.append(r)
             held += len(r[5] or b"") + len(r[6] or b"")
-            if held > 16 << 20:
+            if held > 4 << 20:
                 yield batch_of(rows)
                 rows, held = [], 0
         if rows:
             yield batch_of(rows)
-        counter.clear()
+        pa.default_memory_pool().release_unused()
 
     types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     names = ["lang", "part", "kind", "mass", "n_words", "head", "body"]
@@ -299,7 +316,7 @@ class Summary:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.waiting.append((keys, counts))
         self.held += len(keys)
-        if self.held >= MERGE:
+        if self.held >= max(MERGE, len(self.keys)):
             self.merge()
 
     def merge(self) -> None:
@@ -391,7 +408,7 @@ def frequent(rows: DataFrame, threshold: int) -> DataFrame:
                 t = surviving(head, body, summary.keys)
                 found.append(t)
                 held += len(t)
-                if held >= MERGE:
+                if held >= max(MERGE, len(found[0])):
                     found = [summed(found)]
                     held = 0
         if key is not None:
