@@ -34,8 +34,8 @@ from pyspark.sql.window import Window
 from kestrel.llm.words import BASES, LOWER, PIECE_BYTES, mix, powers, utf8
 from kestrel.session import cut_lineage
 
-PART_BYTES = 1 << 25      # bytes of text for one hash partition of n-grams
-FLUSH_WORDS = 1_500_000   # words whose n-grams a task counts together
+PART_BYTES = 1 << 24      # bytes of text for one hash partition of n-grams
+FLUSH_WORDS = 1_000_000   # words whose n-grams a task counts together
 ID_BITS = 21              # of a word's number among them
 MERGE = 1 << 18           # keys, or n-grams, gathered before they are summed: or as many as the sum has
 MASS, KEYS, WORDS = 0, 1, 2  # kinds of rows, in the order they are read
