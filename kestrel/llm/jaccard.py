@@ -9,7 +9,7 @@
 3. Sets that share a prefix n-gram are compared by exact bounds only: sizes,
    positions, and the distance of their histograms, which never exceeds the
    sets' symmetric difference.  What remains possible joins two sets into a
-   cluster (a spanning forest leaves each task, never all pairs).  Groups of
+   cluster (stars that span them leave each task, never all pairs).  Groups of
    one n-gram larger than GROUP are split, and pairs of parts are compared.
 4. Sets of a cluster meet in a prefix tree with shared paths merged.  A set
    walks the tree, carrying the overlap with the shared path; a subtree is
@@ -24,8 +24,9 @@ Defined results: a null or blank text has an empty set, is linked with
 nothing, and is its own component; fewer words than n count as one n-gram;
 equal sets are linked; a null id is ignored as a component's least id (null if
 there is no other); repeated rows give a row each; an empty table gives an
-empty table; other columns are not read.  Sets are named by 64-bit hashes,
-verified by a second one: a clash raises an error instead of joining them.
+empty table; other columns are not read.  Sets are named by a 64-bit hash; where
+a second hash shows that different sets share a name, they take the second
+hash as their name.
 """
 
 from __future__ import annotations
@@ -107,6 +108,12 @@ def set_names(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return names[0], names[1]
 
 
+def final_names(grams: np.ndarray, sizes: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The names of sets: the second where the first is ``shared`` by different sets."""
+    node, check = set_names(grams, sizes)
+    return np.where(np.isin(node, shared), check, node) if len(shared) else node
+
+
 def _cell(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -175,7 +182,7 @@ def gram_levels(rows: DataFrame) -> np.ndarray:
     return np.floor(np.log2(np.maximum(total / max(1.0, total.mean()), 1.0))).astype(np.uint8)
 
 
-def prefix_rows(docs: DataFrame, text_col: str, size: int, t: Threshold, levels: np.ndarray) -> DataFrame:
+def prefix_rows(docs: DataFrame, text_col: str, size: int, t: Threshold, levels: np.ndarray, shared: np.ndarray) -> DataFrame:
     """(gram, node, n, place) for the prefix of every document's set."""
     def run(batches):
         for batch in batches:
@@ -183,7 +190,7 @@ def prefix_rows(docs: DataFrame, text_col: str, size: int, t: Threshold, levels:
                 grams, sizes = gram_sets(words, counts, size)
                 if not grams.size:
                     continue
-                node, _ = set_names(grams, sizes)
+                node = final_names(grams, sizes, shared)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 order = np.lexsort((grams, levels[_cell(grams)], row))
                 place = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -202,14 +209,11 @@ class Forest:
     def __init__(self, n: int):
         self.label = list(range(n))
         self.members: dict[int, list[int]] = {}
-        self.edges: list[tuple[int, int]] = []
 
-    def join(self, a: int, b: int, edge: bool = True) -> None:
+    def join(self, a: int, b: int) -> None:
         x, y = self.label[a], self.label[b]
         if x == y:
             return
-        if edge:
-            self.edges.append((a, b))
         mx, my = self.members.pop(x, [x]), self.members.pop(y, [y])
         if len(mx) < len(my):
             x, mx, my = y, my, mx
@@ -217,6 +221,16 @@ class Forest:
             self.label[k] = x
         self.members[x] = mx + my
 
+    def stars(self, of: list[int]) -> tuple[list[int], list[int]]:
+        """Pairs (least, other) of each component's numbers among ``of``: trees of depth one."""
+        hub: dict[int, int] = {}
+        u, v = [], []
+        for k in sorted(of):
+            if (h := hub.setdefault(self.label[k], k)) != k:
+                u.append(h)
+                v.append(k)
+        return u, v
+
 
 def _sorted_groups(batches, keys: int):
     """Rows of equal first ``keys`` columns, from batches sorted by them."""
@@ -243,8 +257,7 @@ def _sorted_groups(batches, keys: int):
 
 def possible_edges(t: Threshold, cells: int = HISTOGRAM):
     """Arrow function over rows (gram, i, j, part, node, n, place, histogram)
-    sorted by (gram, i, j): a spanning forest of pairs that may be linked.
-    Of two different parts only pairs across are compared."""
+    sorted by (gram, i, j): stars that span what may be linked.  Of two different parts only pairs across are compared."""
 
     def near(x: np.ndarray, y: np.ndarray, n: int, m: int) -> bool:
         """The bound once more, with all cells that both histograms have."""
@@ -282,11 +295,11 @@ def possible_edges(t: Threshold, cells: int = HISTOGRAM):
                     for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
                         if forest.label[at[p]] != forest.label[at[q]] and near(own[p], own[q], n[p], n[q]):
                             forest.join(at[p], at[q])
-                if forest.edges:
+                if forest.members:
                     label = np.array(forest.label, np.int64)
-            if forest.edges:
-                u, v = zip(*forest.edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names[list(u)]), pa.array(names[list(v)])], ["u", "v"])
+            if forest.members:
+                u, v = forest.stars([k for m in forest.members.values() for k in m])
+                yield pa.RecordBatch.from_arrays([pa.array(names[u]), pa.array(names[v])], ["u", "v"])
 
     def by_group(batches):
         """Batches that end where a group ends."""
@@ -390,7 +403,7 @@ class PrefixTree:
 
 def tree_links(t: Threshold):
     """Arrow function over rows (cluster, block, j, node, label, probe, grams)
-    sorted by (cluster, block, j): a spanning forest of exact links.  Sets of
+    sorted by (cluster, block, j): stars that span the exact links.  Sets of
     one label are already joined; probes walk the tree but are not in it."""
 
     def run(batches):
@@ -411,15 +424,15 @@ def tree_links(t: Threshold):
             label = table.column(4).to_numpy()[own]
             seen: dict[int, int] = {}
             for i, x in enumerate(label.tolist()):
-                forest.join(seen.setdefault(x, i), i, edge=False)
+                forest.join(seen.setdefault(x, i), i)
             tree = PrefixTree(t, forest, len(grams))
             for k, s in enumerate(local):
                 s = np.sort(s)
                 tree.walk(k, s)
                 if not probe[own[k]]:
                     tree.insert(k, s)
-            if forest.edges:
-                u, v = (np.array(x) for x in zip(*forest.edges, strict=True))
+            u, v = forest.stars(list(seen.values()))
+            if u:
                 names = node[own]
                 yield pa.RecordBatch.from_arrays([pa.array(names[u]), pa.array(names[v])], ["u", "v"])
 
@@ -433,7 +446,7 @@ def _links(rows: DataFrame, t: Threshold) -> DataFrame:
     return dealt.mapInArrow(tree_links(t), "u long, v long")
 
 
-def cluster_sets(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def cluster_sets(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, size: int, shared: np.ndarray) -> DataFrame:
     """(node, cluster, n, grams) from the text of one document per class;
     ``clusters``: (node, cluster, id)."""
     def run(batches):
@@ -441,7 +454,7 @@ def cluster_sets(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: st
             wanted = batch.column(0).to_numpy()
             for a, b, (words,), counts in word_batches(batch.column(2), lower=True):
                 grams, sizes = gram_sets(words, counts, size)
-                node, _ = set_names(grams, sizes)
+                node = final_names(grams, sizes, shared)
                 hit = np.flatnonzero(node.view(np.int64) == wanted[a:b])  # not another text of the same id
                 start = np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays(
@@ -453,20 +466,29 @@ def cluster_sets(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: st
     return joined.select("node", "cluster", "__text").mapInArrow(run, "node long, cluster long, n long, grams binary")
 
 
+def class_names(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A written table (node, cid, n) of the classes, and the nodes of different sets."""
+    found = (rows.filter(F.col("node").isNotNull()).groupBy("node")
+             .agg(F.min("id").alias("cid"), F.min("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1")))
+    table = cut_lineage(found, "jaccard-nodes")
+    return table.select("node", "cid", "n"), table.filter(F.col("c0") != F.col("c1")).select("node")
+
+
 def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every document."""
     t = Threshold(num, den)
     rows = class_rows(docs, id_col, text_col, size)
-    classes = cut_lineage(
-        rows.filter(F.col("node").isNotNull()).groupBy("node")
-        .agg(F.min("id").alias("cid"), F.min("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1")), "jaccard-nodes")
-    if not classes.filter(F.col("c0") != F.col("c1")).isEmpty():
-        raise ValueError("two different sets have the same 64-bit name")
-    classes = classes.drop("c0", "c1")
+    classes, clashes = class_names(rows)
+    twice = np.array([r["node"] for r in clashes.collect()], np.int64).view(np.uint64)  # about n * n / 2 ** 65 of n sets
+    if len(twice):
+        rows = rows.withColumn("node", F.when(F.col("node").isin(twice.view(np.int64).tolist()), F.col("check")).otherwise(F.col("node")))
+        classes, clashes = class_names(rows)
+        if not clashes.isEmpty():
+            raise ValueError("different sets share both 64-bit names")
 
     # prefixes: n-grams that two classes share, split where they are many
-    prefix = cut_lineage(prefix_rows(docs, text_col, size, t, gram_levels(rows)), "jaccard-prefix", "zstd")
+    prefix = cut_lineage(prefix_rows(docs, text_col, size, t, gram_levels(rows), twice), "jaccard-prefix", "zstd")
     shared = (prefix.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("b"))
               .filter(F.col("a") != F.col("b")).select("gram"))
     members = cut_lineage(prefix.join(shared, "gram", "left_semi").dropDuplicates(["gram", "node"]), "jaccard-members")
@@ -486,7 +508,7 @@ def similar_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
 
     # trees: one block of a cluster each
     wanted = clusters.join(classes.select("node", "cid"), "node")
-    sets = cut_lineage(cluster_sets(docs, wanted, id_col, text_col, size), "jaccard-sets", "zstd")
+    sets = cut_lineage(cluster_sets(docs, wanted, id_col, text_col, size, twice), "jaccard-sets", "zstd")
     shape = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     shape = cut_lineage(shape, "jaccard-shape")
     placed = (sets.join(shape, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
