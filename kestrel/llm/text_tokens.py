@@ -54,9 +54,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = [t["content"].lower() for t in spec.get("added_tokens", [])]  # found in a text by the library
         self.kind = self._kind(spec)
         self.pieces = re.compile(BYTE_PIECES if self.kind == "byte" else WORD_PIECES)
         self.plain = re.compile(PLAIN_CHUNK)
@@ -95,7 +95,10 @@ class Encoder:
         return keys
 
     def _piece_ids(self, piece: str) -> list[int]:
-        shown = piece.replace(" ", self.alphabet[32]).replace("\n", self.alphabet[10]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        if not piece.isascii():
+            shown = piece.encode().decode("latin-1").translate(self.alphabet)
+        else:  # a space or line feed can only be the first character
+            shown = self.alphabet[ord(piece[0])] + piece[1:] if piece[0] in " \n" else piece
         ids = self.of_piece[piece] = [t.id for t in self.model.tokenize(shown)]
         return ids
 
@@ -106,11 +109,12 @@ class Encoder:
         n = first = len(self.memo)
         for k in keys:
             text = k[0] if isinstance(k, tuple) else k if lower or k[0] == "\n" else " " + k
-            if not plain(text):
+            small = text.lower()
+            if not plain(text) or any(a in small for a in self.added):
                 odd.append((k, text))
                 continue
             if lower:
-                text = text.lower()
+                text = small
             for p in (text,) if k is text and text.isalpha() else split(text):
                 new += known(p) or self._piece_ids(p)
             ends.append(len(new))
