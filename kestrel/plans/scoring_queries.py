@@ -240,11 +240,15 @@ def v16_similarity(spark, sf):
     return M.generations_similar(c.withColumnRenamed("text", "a").join(nxt, ["conv_id", "turn"]), "a", "b", 0.1)
 
 
+# DuckDB's levenshtein counts bytes: every pair's distinct characters are
+# renamed to one-byte characters of their own (up to 127 per pair) first.
 register("V16_generation_similarity", """
-SELECT CAST(sum(levenshtein(a, b)) AS BIGINT) AS total_distance, CAST(sum(greatest(length(a), length(b))) AS BIGINT) AS total_length,
-       round(sum(levenshtein(a, b)) / nullif(sum(greatest(length(a), length(b))), 0), 6) AS ratio,
-       coalesce(sum(levenshtein(a, b)) / nullif(sum(greatest(length(a), length(b))), 0), 0) <= 0.1 AS similar
-FROM (SELECT regexp_replace(x.text, '[^\\x00-\\x7F]', '?', 'g') AS a, regexp_replace(y.text, '[^\\x00-\\x7F]', '?', 'g') AS b FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1) z""")(v16_similarity)
+SELECT CAST(sum(dist) AS BIGINT) AS total_distance, CAST(sum(len) AS BIGINT) AS total_length,
+       round(sum(dist) / nullif(sum(len), 0), 6) AS ratio, coalesce(sum(dist) / nullif(sum(len), 0), 0) <= 0.1 AS similar
+FROM (SELECT CASE WHEN len(chars) > 127 THEN error('too many characters') ELSE levenshtein(translate(a, f, t), translate(b, f, t)) END AS dist, greatest(length(a), length(b)) AS len
+      FROM (SELECT a, b, chars, array_to_string(chars, '') AS f, array_to_string(list_transform(range(1, len(chars) + 1), lambda i: chr(CAST(i AS INT))), '') AS t
+            FROM (SELECT x.text AS a, y.text AS b, list_sort(list_distinct(string_split(x.text || y.text, ''))) AS chars
+                  FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1) p) q) z""")(v16_similarity)
 
 
 # V11 + G6: dense digit-completion reward.
