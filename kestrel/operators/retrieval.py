@@ -11,7 +11,9 @@ Scale design
   broadcast only after a row-count check (``bounded_broadcast``), otherwise
   the join is a regular shuffle join that AQE may still convert.
 * Scores are summed per (query, doc) right after the join, so partial
-  aggregation runs map-side before any shuffle.
+  aggregation runs map-side before any shuffle.  The best k of a query do not
+  need all of them: impact-ordered blocks and a threshold per query
+  (``bm25_top_k``) leave most postings of common terms unread.
 * Top-1000 per query is a ``row_number`` filter: Catalyst inserts a
   WindowGroupLimit, so at most k rows per query and partition are shuffled.
 * Zero-score fill (BM25 scores every document) is exact and bounded: only
@@ -161,6 +163,88 @@ def bm25_scores(qw: DataFrame, post: DataFrame, qid="qid", doc_key="doc_id", tas
     return j.groupBy(task, qid, doc_key).agg(F.sum(contrib).alias("score"))
 
 
+IMPACT_LEVELS = 128  # of a posting's term-frequency part, which lies between 0 and 1
+
+
+def impact_postings(post: DataFrame, stats: DataFrame, k1: float = 0.9, b: float = 0.4, task="task") -> DataFrame:
+    """R3/R4 index: postings with their term-frequency part ``tfp`` and its
+    ``level``.  The postings of a term and level are one impact-ordered block:
+    each part lies in [level, level + 1) / IMPACT_LEVELS, so a block's bounds
+    need neither a sort nor a look at its postings."""
+    j = post.join(F.broadcast(stats.select(task, "avgdl")), task).withColumn("tfp", tf_part("tf", "dl", "avgdl", k1, b))
+    return j.withColumn("level", F.floor(F.col("tfp") * IMPACT_LEVELS).cast("int")).drop("avgdl")
+
+
+def _allowed(scores: DataFrame, excluded: DataFrame, qid: str, doc_key: str, task: str) -> DataFrame:
+    """R5 for ids of any type: exclusions are compared as strings."""
+    keys = query_keys(qid, task, scores, excluded)
+    ex = excluded.select(*keys, F.col(doc_key).cast("string").alias("_x")).filter(F.col("_x") != "N/A").distinct()
+    return scores.withColumn("_x", F.col(doc_key).cast("string")).join(ex, [*keys, "_x"], "left_anti").drop("_x")
+
+
+def bm25_cuts(terms: DataFrame, post: DataFrame, excluded: DataFrame, k: int = 1000, qid="qid", doc_key="doc_id",
+              task="task", query_rows: int | None = None) -> DataFrame:
+    """R6 bounds: (task, qid, term, cut), the first level of each term's
+    postings that must be looked at for a query's best ``k``; terms that need
+    no look are absent.  ``terms``: (task, qid, term, g), written.
+
+    The counts of the impact blocks say from which level on a term has ``k``
+    postings beyond what the query excludes.  These heads are scored; the k-th
+    best partial sum is a threshold that the k-th best score reaches.  Terms
+    then give way in order of their largest possible contribution, the
+    smallest first, while the sum of what is given up stays below the
+    threshold: whole terms, then the low blocks of one more.  A document that
+    occurs only in what was given up cannot reach the threshold.  A query with
+    fewer than ``k`` matches has no threshold and keeps all."""
+    from kestrel.session import cut_lineage
+    small = lambda df: bounded_broadcast(df, known_rows=query_rows) if query_rows is not None else df
+    keys = query_keys(qid, task, terms, excluded)
+    n_ex = excluded.select(*keys, doc_key).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_nx"))
+    blocks = (post.join(small(terms.select(task, "term").distinct()), [task, "term"], "left_semi")
+              .groupBy(task, "term", "level").agg(F.count(F.lit(1)).alias("n")))
+    per = Window.partitionBy(task, qid, "term")
+    level = terms.join(n_ex, keys, "left").join(blocks, [task, "term"])
+    level = (level.withColumn("_from_top", F.sum("n").over(per.orderBy(F.desc("level"))))
+             .withColumn("_need", F.lit(k) + F.coalesce(F.col("_nx"), F.lit(0))))
+    plan = cut_lineage(level.groupBy(task, qid, "term", "g").agg(
+        F.coalesce(F.max(F.when(F.col("_from_top") >= F.col("_need"), F.col("level"))), F.lit(0)).alias("head"),
+        ((F.max("level") + 1) / IMPACT_LEVELS * F.col("g")).alias("most")), "bm25-plan")
+
+    heads = (post.join(small(plan), [task, "term"]).filter(F.col("level") >= F.col("head"))
+             .groupBy(task, qid, doc_key).agg(F.sum(F.col("g") * F.col("tfp")).alias("score")))
+    best = Window.partitionBy(task, qid).orderBy(F.desc("score"))
+    # the margin covers rounded scores and the order of sums
+    kth = (_allowed(heads, excluded, qid, doc_key, task).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == k)
+           .select(task, qid, (F.col("score") * (1 - 1e-9) - 1e-8).alias("threshold")))
+
+    order = Window.partitionBy(task, qid).orderBy("most", "term")
+    given = (plan.join(kth, [task, qid], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+             .withColumn("_sum", F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    slack = F.col("threshold") - (F.col("_sum") - F.col("most"))
+    return (given.filter(F.col("_sum") >= F.col("threshold"))
+            .withColumn("cut", F.when(slack > 0, F.floor(slack / F.col("g") * IMPACT_LEVELS).cast("int")).otherwise(F.lit(0)))
+            .select(task, qid, "term", "cut"))
+
+
+def bm25_top_k(qw: DataFrame, post: DataFrame, excluded: DataFrame, k: int = 1000, qid="qid", doc_key="doc_id",
+               task="task", query_rows: int | None = None) -> DataFrame:
+    """R4 + R6 without scoring every pair: (task, qid, doc, score) with the
+    exact scores of all documents that can be among a query's first ``k``,
+    excluded ones left out, ties with the k-th score included.  ``post``: a
+    written ``impact_postings`` table.  Candidates come from the impact blocks
+    that ``bm25_cuts`` leaves; they get their full scores by an equi-join on
+    (document, term), so a common term's postings meet candidates only."""
+    from kestrel.session import cut_lineage
+    terms = cut_lineage(qw.select(task, qid, "term", (F.col("wq") * F.col("idf")).alias("g")), "bm25-terms")
+    cuts = cut_lineage(bm25_cuts(terms, post, excluded, k, qid, doc_key, task, query_rows), "bm25-cuts")
+    cuts = bounded_broadcast(cuts, known_rows=query_rows) if query_rows is not None else cuts
+    found = post.select(task, "term", doc_key, "level").join(cuts, [task, "term"]).filter(F.col("level") >= F.col("cut"))
+    candidates = _allowed(found.select(task, qid, doc_key).distinct(), excluded, qid, doc_key, task)
+    return (candidates.join(terms, [task, qid])
+            .join(post.select(task, "term", doc_key, "tfp"), [task, "term", doc_key])
+            .groupBy(task, qid, doc_key).agg(F.sum(F.col("g") * F.col("tfp")).alias("score")))
+
+
 def query_keys(qid: str, task: str, *tables: DataFrame) -> list[str]:
     """What names a query: its task and id, or its id alone where a table has no tasks."""
     return [task, qid] if all(task in t.columns for t in tables) else [qid]

@@ -54,6 +54,19 @@ def bm25_pipeline(spark, sf, queries=None, tasks: int = 1):
     return docs.select("task", "doc_id"), queries, scores
 
 
+def bm25_hits(spark, sf, ex, queries=None, tasks: int = 1, k: int = 1000):
+    """Documents, queries, and the scores of all that can be among a query's first ``k``."""
+    from kestrel.session import cut_lineage
+    docs = corpus(spark, sf, tasks)
+    post = cut_lineage(RT.postings(docs))
+    stats = cut_lineage(RT.corpus_stats_from_postings(post, docs.select("task", "doc_id")))
+    queries = queries if queries is not None else bench_queries(spark, sf, tasks)
+    qw = RT.query_weights(queries, post, stats, k1=K1, b=B)
+    index = cut_lineage(RT.impact_postings(post, stats, K1, B))
+    scores = RT.bm25_top_k(qw, index, ex, k, query_rows=RT.query_term_rows(queries))
+    return docs.select("task", "doc_id"), queries, scores.withColumn("score", F.round("score", 9))
+
+
 def excluded(spark, sf):
     return fixture(spark, sf, "fx_excluded")
 
@@ -203,7 +216,7 @@ def r5(spark, sf):
 @reg("R6_top1000_run", "WITH " + bm25_sql().strip().rstrip(",") + """
 SELECT qid, doc_id, CAST(rank AS INT) AS rank, round(score, 6) + 0.0 AS score FROM run""")
 def r6_run(spark, sf):
-    docs, qs, s = bm25_pipeline(spark, sf)
+    docs, qs, s = bm25_hits(spark, sf, excluded(spark, sf))
     run = RT.ranked_run(s, qs, excluded(spark, sf), docs, 1000)
     return run.select("qid", "doc_id", "rank", r6(F.col("score")).alias("score"))
 
@@ -211,7 +224,7 @@ def r6_run(spark, sf):
 @reg("R11_ndcg10", "WITH " + bm25_sql().strip().rstrip(",") + """
 SELECT qid, round(ndcg, 6) + 0.0 AS ndcg FROM nd""")
 def r11(spark, sf):
-    docs, qs, s = bm25_pipeline(spark, sf)
+    docs, qs, s = bm25_hits(spark, sf, excluded(spark, sf))
     run = RT.ranked_run(s, qs, excluded(spark, sf), docs, 1000)
     nd = RT.ndcg_at_k(run, qrels(spark, sf), 10)
     return nd.select("qid", r6(F.col("ndcg")).alias("ndcg"))
@@ -220,7 +233,7 @@ def r11(spark, sf):
 @reg("R16_task_routing", "WITH " + bm25_sql(tasks=2).strip().rstrip(",") + """
 SELECT qid, round(ndcg, 6) + 0.0 AS ndcg FROM nd""")
 def r16(spark, sf):
-    docs, qs, s = bm25_pipeline(spark, sf, tasks=2)
+    docs, qs, s = bm25_hits(spark, sf, excluded(spark, sf), tasks=2)
     run = RT.ranked_run(s, qs, excluded(spark, sf), docs, 1000)
     nd = RT.ndcg_at_k(run, qrels(spark, sf), 10)
     return nd.select("qid", r6(F.col("ndcg")).alias("ndcg"))
@@ -284,9 +297,9 @@ def r12(spark, sf):
                    tags_in_order(h["processed"], THINK_QUERY_TAGS).alias("format_ok"))
     qs = RT.tokenize(ro.select(F.col("rollout_id").alias("qid"), F.col("query_text").alias("text"))
                      .withColumn("task", F.concat(F.lit("t"), (F.col("qid") % 1).cast("string"))))
-    docs, qs, s = bm25_pipeline(spark, sf, queries=qs)
     item = ro.select("rollout_id", F.col("qid").alias("item"))
     ex = excluded(spark, sf).join(item, F.col("qid") == F.col("item")).select(F.col("rollout_id").alias("qid"), "doc_id")
+    docs, qs, s = bm25_hits(spark, sf, ex, queries=qs)
     qr = qrels(spark, sf).join(item, F.col("qid") == F.col("item")).select(F.col("rollout_id").alias("qid"), "doc_id", "rel")
     run = RT.ranked_run(s, qs, ex, docs, 1000)
     nd = RT.ndcg_at_k(run, qr, 10)
