@@ -20,10 +20,9 @@ Scale design
   queries with fewer than k positive hits get candidates, taken from the
   first ``k + max |blocked|`` documents of their task in corpus order (a
   literal top-N per task, never a sort of the whole corpus; no cross join).
-* Dense retrieval is a blocked matrix product in ``mapInPandas`` against a
-  size-checked broadcast of the query matrix, with per-partition top-k
-  before the merge; queries beyond the broadcast bound are processed in
-  chunks.
+* Dense retrieval visits cells (pivot and ring of angles) only while their
+  bound can beat a query's k-th score; a visited part of a cell and its
+  queries are one matrix product in one task.
 """
 
 from __future__ import annotations
@@ -389,64 +388,201 @@ def _unit_rows(vectors) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def dense_scores(queries: DataFrame, docs: DataFrame, k: int = 1000, qid="qid", qvec="vec",
-                 doc_key="doc_id", dvec="vec", order="doc_order", max_queries: int = 1024) -> DataFrame:
-    """Cosine of every query with every document, the best ``k`` of each
-    query and block of documents (ties by ``order``).  The global best k are
-    among them; rank afterwards.
-
-    Queries and documents are dealt into blocks by hash; every pair of blocks
-    is one matrix product in one task, so nothing passes through the driver,
-    memory is bounded by the blocks, and no pair of rows is materialised."""
-    sizes = queries.agg(F.count(F.lit(1)).alias("n")).first()["n"], docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    q_blocks, d_blocks = max(1, -(-sizes[0] // max_queries)), max(1, -(-sizes[1] // BLOCK_DOCS))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = (queries.select(F.col(qid).alias("_q"), F.col(qvec).alias("_qv"))
-         .withColumns({"_qb": F.pmod(F.xxhash64("_q"), F.lit(q_blocks)), "_db": every(d_blocks)})
-         .withColumn("_db", F.col("_db").cast("bigint")))
-    d = (docs.select(F.col(doc_key).alias("_d"), F.col(dvec).alias("_dv"), F.col(order).cast("bigint").alias("_o"))
-         .withColumns({"_db": F.pmod(F.xxhash64("_d"), F.lit(d_blocks)), "_qb": every(q_blocks)})
-         .withColumn("_qb", F.col("_qb").cast("bigint")))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"q": [], "d": [], "score": [], "o": []}).astype({"score": "float64"})
-        right = right.sort_values("_o", kind="stable")
-        sc = _unit_rows(left["_qv"]) @ _unit_rows(right["_dv"]).T
-        best = np.argsort(-sc, axis=1, kind="stable")[:, :k]
-        ids, pos = right["_d"].to_numpy(), right["_o"].to_numpy()
-        return pd.DataFrame({"q": np.repeat(left["_q"].to_numpy(), best.shape[1]), "d": ids[best].ravel(),
-                             "score": np.take_along_axis(sc, best, axis=1).ravel(), "o": pos[best].ravel()})
-
-    kinds = dict(q.dtypes)["_q"], dict(d.dtypes)["_d"]
-    out = (q.groupBy("_qb", "_db").cogroup(d.groupBy("_qb", "_db"))
-           .applyInPandas(score, f"q {kinds[0]}, d {kinds[1]}, score double, o bigint"))
-    return out.select(F.col("q").alias(qid), F.col("d").alias(doc_key), "score", F.col("o").alias("doc_order"))
+PIVOTS = 256       # at most; documents are grouped around their nearest
+RINGS = 64         # equal ranges of the angle to the pivot, from 0 to pi
+ANGLE_MARGIN = 1e-6
+
+
+class DenseIndex:
+    """R9 index: documents by cells, a cell being a pivot and a ring of angles
+    around it.  At most PIVOTS pivots (documents chosen by hash) and PIVOTS *
+    RINGS cells are held by the driver and sent to tasks; documents are a
+    written table (doc, vec, order, cell, part), a part of a cell having about
+    BLOCK_DOCS documents.  Documents without a vector are left out; a zero
+    vector has cosine 0 with all."""
+
+    def __init__(self, docs: DataFrame, doc_key="doc_id", dvec="vec", order="doc_order"):
+        from kestrel.session import cut_lineage
+        d = docs.select(F.col(doc_key).alias("d"), F.col(dvec).alias("v"), F.col(order).cast("bigint").alias("o")).filter(F.col("v").isNotNull())
+        n = d.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+        chosen = d.orderBy(F.xxhash64("d"), "d").limit(max(1, min(PIVOTS, n // 64))).select("v").collect()
+        pivots = self.pivots = _unit_rows([r["v"] for r in chosen]) if chosen else np.zeros((0, 1))
+        kinds = dict(d.dtypes)
+
+        def place(batches):
+            for f in batches:
+                if len(f):
+                    cos = np.clip(_unit_rows(f["v"]) @ pivots.T, -1, 1)
+                    near = cos.argmax(axis=1)
+                    angle = np.arccos(cos[np.arange(len(f)), near])
+                    ring = np.minimum((angle / np.pi * RINGS).astype(np.int64), RINGS - 1)
+                    yield f.assign(cell=near * RINGS + ring, angle=angle)
+
+        placed = cut_lineage(d.mapInPandas(place, f"d {kinds['d']}, v {kinds['v']}, o bigint, cell bigint, angle double"), "dense-placed")
+        rings = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).orderBy("cell")
+        self.cells = rings.toPandas()  # at most PIVOTS * RINGS rows
+        self.cells["parts"] = (-(-self.cells["n"] // BLOCK_DOCS)).astype("int64")
+        self.docs, self.kind, self.spark = placed, kinds["d"], docs.sparkSession
+        self.visited: DataFrame | None = None  # (qid, cell) of the last search
+
+    def visits(self, queries: DataFrame) -> DataFrame:
+        """(q, v, cell) for queries (q, v, need, threshold).  Without a
+        threshold: the nearest cells that hold ``need`` documents.  With one:
+        the further cells that may hold a cosine of at least the threshold, by
+        the triangle inequality of angles: a query at angle ``a`` to a pivot is
+        at least ``a - hi`` and ``lo - a`` away from documents in a ring."""
+        pivots, cells = self.pivots, self.cells
+        kinds = dict(queries.dtypes)
+
+        def plan(batches):
+            of, lo, hi, n, cell = (cells[c].to_numpy() for c in ("cell", "lo", "hi", "n", "cell"))
+            of = of // RINGS
+            for whole in batches if len(of) else ():
+                for at in range(0, len(whole), 256):
+                    f = whole.iloc[at:at + 256]
+                    a = np.arccos(np.clip(_unit_rows(f["v"]) @ pivots.T, -1, 1))[:, of]
+                    least = np.maximum(0, np.maximum(a - hi, lo - a) - ANGLE_MARGIN)
+                    rows, found = [], []
+                    for i, (need, threshold) in enumerate(zip(f["need"].to_numpy(), f["threshold"].to_numpy(), strict=True)):
+                        order = np.argsort(least[i], kind="stable")
+                        first = int(np.searchsorted(np.cumsum(n[order]), need)) + 1
+                        if np.isnan(threshold):
+                            own = order[:first]
+                        else:
+                            rest = order[first:]
+                            own = rest[np.cos(least[i][rest]) >= threshold]
+                        rows += [i] * len(own)
+                        found.append(cell[own])
+                    if rows:
+                        yield pd.DataFrame({"q": f["q"].to_numpy()[rows], "v": f["v"].to_numpy()[rows], "cell": np.concatenate(found)})
+
+        return queries.select("q", "v", "need", F.col("threshold").cast("double")).mapInPandas(plan, f"q {kinds['q']}, v {kinds['v']}, cell bigint")
+
+    def scores(self, visits: DataFrame, k: int, q_blocks: int) -> DataFrame:
+        """(q, d, score, o): the best ``k`` of each query and visited part of a cell."""
+        parts = self.spark.createDataFrame([tuple(map(int, x)) for x in self.cells[["cell", "parts"]].to_numpy()], "cell long, parts long")
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+        q = (visits.join(F.broadcast(parts), "cell").withColumn("part", every(F.col("parts")))
+             .withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(q_blocks))).select("q", "v", "cell", "part", "qb"))
+        met = visits.select("cell").distinct()
+        d = (self.docs.join(F.broadcast(met), "cell", "left_semi").join(F.broadcast(parts), "cell")
+             .withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts"))).withColumn("qb", every(F.lit(q_blocks).cast("bigint")))
+             .select("d", "v", "o", "cell", "part", "qb"))
+
+        def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if left.empty or right.empty:
+                return pd.DataFrame({"q": [], "d": [], "score": [], "o": []}).astype({"score": "float64"})
+            right = right.sort_values("o", kind="stable")
+            sc = _unit_rows(left["v"]) @ _unit_rows(right["v"]).T
+            best = np.argsort(-sc, axis=1, kind="stable")[:, :k]
+            ids, pos = right["d"].to_numpy(), right["o"].to_numpy()
+            return pd.DataFrame({"q": np.repeat(left["q"].to_numpy(), best.shape[1]), "d": ids[best].ravel(),
+                                 "score": np.take_along_axis(sc, best, axis=1).ravel(), "o": pos[best].ravel()})
+
+        return (q.groupBy("cell", "part", "qb").cogroup(d.groupBy("cell", "part", "qb"))
+                .applyInPandas(score, f"q {dict(q.dtypes)['q']}, d {self.kind}, score double, o bigint"))
 
 
 def dense_run(queries: DataFrame, docs: DataFrame, excluded: DataFrame, k: int = 1000, qid="qid", qvec="vec",
-              doc_key="doc_id", dvec="vec", order="doc_id") -> DataFrame:
-    """R9 with exclusions: each query's best ``k`` of the documents it does
-    not exclude.  Blocks keep ``k`` and as many more as the longest exclusion
-    list, so that what is excluded never costs a place."""
-    longest = excluded.groupBy(qid).count().agg(F.max("count")).first()[0] or 0
-    s = dense_scores(queries, docs, k + int(longest), qid, qvec, doc_key, dvec, order)
-    return exclude(s, excluded, qid, doc_key)
-
-
-def hashed_bow_encoder(dim: int = 64, seed: int = 0):
+              doc_key="doc_id", dvec="vec", order="doc_id", max_queries: int = 1024, index: DenseIndex | None = None) -> DataFrame:
+    """R9 with exclusions: (qid, doc, score, doc_order) with each query's best
+    ``k`` by cosine of the documents it does not exclude (rank afterwards).
+
+    Exact in two rounds over a ``DenseIndex``.  First each query visits the
+    nearest cells that hold ``k`` documents beyond its exclusions; its k-th
+    best score there is a threshold.  Then it visits the cells that can still
+    beat it, and no others.  Parts keep ``k`` and as many more as the longest
+    exclusion list, so that what is excluded never costs a place."""
+    from kestrel.session import cut_lineage
+    index = index or DenseIndex(docs, doc_key, dvec, order)
+    lists = excluded.groupBy(F.col(qid).alias("q")).agg(F.count(F.lit(1)).alias("_n"))
+    longest = lists.agg(F.max("_n")).first()[0] or 0
+    q = queries.select(F.col(qid).alias("q"), F.col(qvec).alias("v")).filter(F.col("v").isNotNull())
+    q = q.join(lists, "q", "left").select("q", "v", (F.lit(k) + F.coalesce(F.col("_n"), F.lit(0))).alias("need"))
+    q_blocks = max(1, -(-q.count() // max_queries))
+    out = lambda s: exclude(s.select(F.col("q").alias(qid), F.col("d").alias(doc_key), "score", F.col("o").alias("doc_order")), excluded, qid, doc_key)
+    near = cut_lineage(index.visits(q.withColumn("threshold", F.lit(None))), "dense-near")
+    first = cut_lineage(out(index.scores(near, k + int(longest), q_blocks)), "dense-first")
+    best = Window.partitionBy(qid).orderBy(F.desc("score"))
+    kth = (first.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == k)
+           .select(F.col(qid).alias("q"), (F.col("score") - 1e-8).alias("threshold")))  # covers rounded scores
+    # fewer than k so far means that every cell was visited, or that exclusions are of other documents: visit all
+    more = q.join(kth, "q", "left").withColumn("threshold", F.coalesce("threshold", F.lit(-2.0)))
+    far = cut_lineage(index.visits(more), "dense-far")
+    index.visited = near.select("q", "cell").unionByName(far.select("q", "cell"))
+    return first.unionByName(out(index.scores(far, k + int(longest), q_blocks)))
+
+
+def hashed_bow_encoder(dim: int = 64, seed: int = 0, element: str = "float"):
     """R7 default encoder: a text's words counted in ``dim`` buckets of their
     MD5, L2-normalised, in built-in expressions (a stand-in for a sentence
-    encoder; any function of a column plugs in, such as ``predict_batch_udf``)."""
+    encoder; any function of a column plugs in, such as ``predict_batch_udf``).
+    The buckets are sorted and counted as runs: one pass over the words."""
     def encode(text) -> Column:
         words = F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != "")
         at = F.transform(words, lambda w: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), w)), 1, 7), 16, 10).cast("bigint") % dim)
-        count = lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"))
         once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
-        return once(at, lambda b: once(count(b), lambda v: l2_normalize(v).cast("array<float>")))
+        none = F.array().cast("array<int>")
+        ends = lambda b: F.when(F.size(b) > 0, F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: (i == F.size(b)) | (F.get(b, i - 1) != F.get(b, i)))).otherwise(none)
+        runs = lambda b: once(ends(b), lambda e: F.map_from_arrays(
+            F.transform(e, lambda i: F.get(b, i - 1)), F.zip_with(e, F.slice(F.concat(F.array(F.lit(0)), e), F.lit(1), F.size(e)), lambda x, y: (x - y).cast("double"))))
+        full = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i.cast("bigint")), F.lit(0.0)))
+        return once(F.array_sort(at), lambda b: once(runs(b), lambda m: once(full(m), lambda v: l2_normalize(v).cast(f"array<{element}>"))))
     return encode
 
 
+CHAT_MARK = "<|im_start|>assistant"
+
+
+def dense_ndcg(texts: DataFrame, docs: DataFrame, qrels: DataFrame, excluded: DataFrame, encode, k: int = 1000, cut: int = 10,
+               key="rollout_id", qid="qid", index: DenseIndex | None = None) -> DataFrame:
+    """R7 + R9 + R11 from text: (key, ndcg) of rows (key, qid, text), each
+    encoded and searched as a query of its own, judged by its item's qrels and
+    without its item's excluded documents.  ``docs``: (doc_id, vec).  Rows
+    whose item has no relevant document are dropped."""
+    item = texts.select(F.col(key).alias("_key"), F.col(qid).alias("_item"))
+    own = lambda df, *more: df.join(item, F.col(qid) == F.col("_item")).select(F.col("_key").alias(qid), "doc_id", *more)
+    asked = texts.select(F.col(key).alias(qid), encode(F.col("text")).alias("vec"))
+    found = dense_run(asked, docs, own(excluded), k, qid=qid, order="doc_id", index=index)
+    run = top_k(found.withColumn("score", F.round("score", 9)), k, qid=qid)
+    return ndcg_at_k(run.select(qid, "doc_id", "score"), own(qrels, "rel"), cut, qid=qid).withColumnRenamed(qid, key)
+
+
+def dense_reward(rollouts: DataFrame, docs: DataFrame, qrels: DataFrame, excluded: DataFrame, encode, k: int = 1000, cut: int = 10,
+                 key="rollout_id", qid="qid", response="response", index: DenseIndex | None = None) -> DataFrame:
+    """(key, reward), the nDCG of the dense run for what a response says
+    after the first chat mark (the whole response without one)."""
+    r = F.col(response)
+    text = F.when(r.contains(CHAT_MARK), F.expr(f"substring({response}, locate('{CHAT_MARK}', {response}) + {len(CHAT_MARK)})")).otherwise(r)
+    texts = rollouts.select(key, qid, text.alias("text"))
+    return dense_ndcg(texts, docs, qrels, excluded, encode, k, cut, key, qid, index).select(key, F.col("ndcg").alias("reward"))
+
+
+def gated_dense_reward(rollouts: DataFrame, docs: DataFrame, qrels: DataFrame, excluded: DataFrame, encode, k: int = 1000, cut: int = 10,
+                       format_reward: float = 1.0, key="rollout_id", qid="qid", response="response", index: DenseIndex | None = None) -> DataFrame:
+    """(key, reward).  A response of the wrong structure gets minus
+    ``format_reward`` (only a penalty of 1 ends the scoring) and is not
+    searched; else the nDCG of its tagged query (of the response, without
+    one).  Rows whose nDCG is 0 are encoded and searched once more with their
+    full response, and get half of what that finds."""
+    from kestrel.functions.text import THINK_QUERY_TAGS, last_tag_content, split_header, tags_in_order
+    from kestrel.session import cut_lineage
+    h = split_header(response)
+    parsed = cut_lineage(rollouts.select(key, qid, h["processed"].alias("full"),
+                                         F.coalesce(last_tag_content(h["processed"], "query"), h["processed"]).alias("query"),
+                                         F.coalesce(tags_in_order(h["processed"], THINK_QUERY_TAGS), F.lit(False)).alias("ok")), "gated")
+    searched = parsed if abs(format_reward) != 1 else parsed.filter("ok")
+    index = index or DenseIndex(docs, order="doc_id")
+    first = cut_lineage(dense_ndcg(searched.select(key, qid, F.col("query").alias("text")), docs, qrels, excluded, encode, k, cut, key, qid, index), "gated-first")
+    again = searched.join(first.filter(F.col("ndcg") == 0).select(key), key, "left_semi")
+    second = dense_ndcg(again.select(key, qid, F.col("full").alias("text")), docs, qrels, excluded, encode, k, cut, key, qid, index)
+    both = first.join(second.withColumnRenamed("ndcg", "_full"), key, "left")
+    scored = both.select(key, F.when(F.col("ndcg") > 0, F.col("ndcg")).otherwise(F.coalesce("_full", F.lit(0.0)) / 2).alias("reward"))
+    if abs(format_reward) != 1:
+        return scored
+    return scored.unionByName(parsed.filter(~F.col("ok")).select(key, F.lit(-1.0).alias("reward")))
+
+
 def delta_similarity(pairs: DataFrame, rewritten="rewritten_vec", question="question_vec", doc="doc_vec",
                      key="rollout_id") -> DataFrame:
     """Sum over gold documents of sim(rewritten, d) - sim(question, d)

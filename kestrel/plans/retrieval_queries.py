@@ -376,32 +376,86 @@ def r9_run(spark, sf):
     return run.select("qid", "doc_id", "rank")
 
 
-@reg("R13_dense_reward", "WITH " + DENSE_SQL.strip() + """
-SELECT qid, round(ndcg, 6) + 0.0 AS reward FROM nd""")
+# Dense rewards from text (R13, R14): rollouts of every benchmark item, each
+# encoded (R7) and searched among the encoded documents.
+CHAT_SQL = """
+SELECT item_id * 3 + v AS rollout_id, item_id AS qid,
+       CASE v WHEN 0 THEN CONCAT('<|im_start|>user q<|im_end|><|im_start|>assistant', text) WHEN 1 THEN text ELSE 'nothing of it' END AS response
+FROM (SELECT item_id, text, unnest([0, 1, 2]) AS v FROM benchmark) b"""
+GATED_SQL = """
+SELECT item_id * 3 + v AS rollout_id, item_id AS qid,
+       CASE v WHEN 0 THEN CONCAT('User: q Assistant: <think>t</think><query>', text, '</query>')
+              WHEN 1 THEN CONCAT('Assistant: <think>', text, '</think><query>zz</query>') ELSE CONCAT('Assistant: ', text) END AS response
+FROM (SELECT item_id, text, unnest([0, 1, 2]) AS v FROM benchmark) b"""
+
+
+def bow_sql(name: str, rows: str, key: str) -> str:
+    """Bucket counts of the default encoder, as CTE ``name`` (key, b, n, norm)."""
+    return f"""
+{name}_w AS (SELECT {key}, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')) AS w FROM {rows}),
+{name}_c AS (SELECT {key}, CAST('0x' || substr(md5('0:' || w), 1, 7) AS BIGINT) % 64 AS b, CAST(count(*) AS DOUBLE) AS n FROM {name}_w GROUP BY ALL),
+{name} AS (SELECT {key}, b, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS x FROM {name}_c)"""
+
+
+def text_ndcg_sql(name: str, texts: str) -> str:
+    """nDCG@10 of the dense run of (rollout_id, qid, text) as CTE ``name`` (rollout_id, ndcg)."""
+    return f"""{bow_sql(name + '_q', texts, 'rollout_id')},
+{name}_s AS (SELECT q.rollout_id, q.qid, d.doc_id, round(coalesce(sc.score, 0), 9) AS score
+       FROM {texts} q CROSS JOIN documents d
+       LEFT JOIN (SELECT rollout_id, doc_id, sum({name}_q.x * dv.x) AS score FROM {name}_q JOIN dv ON dv.b = {name}_q.b GROUP BY ALL) sc
+         ON sc.rollout_id = q.rollout_id AND sc.doc_id = d.doc_id
+       WHERE NOT EXISTS (SELECT 1 FROM fx_excluded e WHERE e.qid = q.qid AND e.doc_id = d.doc_id)),
+{name}_r AS (SELECT * FROM {name}_s QUALIFY row_number() OVER (PARTITION BY rollout_id ORDER BY score DESC, doc_id) <= 1000),
+{name}_e AS (SELECT *, row_number() OVER (PARTITION BY rollout_id ORDER BY score DESC, CAST(doc_id AS VARCHAR) DESC) AS i FROM {name}_r),
+{name}_d AS (SELECT rollout_id, sum(rel / log2(i + 1)) AS dcg FROM {name}_e JOIN fx_qrels USING (qid, doc_id) WHERE i <= 10 GROUP BY rollout_id),
+{name} AS (SELECT q.rollout_id, coalesce(dcg, 0) / idcg AS ndcg FROM {texts} q JOIN idcg USING (qid) LEFT JOIN {name}_d USING (rollout_id))"""
+
+
+TEXT_DENSE_SQL = f"""
+fx_qrels AS ({FIXTURES['fx_qrels']}),
+fx_excluded AS ({FIXTURES['fx_excluded']}),
+idcg AS (SELECT qid, sum(rel / log2(i + 1)) AS idcg
+         FROM (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC) AS i FROM fx_qrels) x WHERE i <= 10 GROUP BY qid),{bow_sql('dv', 'documents', 'doc_id')}"""
+
+
+def text_dense_inputs(spark, sf):
+    enc = RT.hashed_bow_encoder(64, element="double")
+    docs = read_table(spark, sf, "documents").select("doc_id", enc(F.col("text")).alias("vec"))
+    items = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text", F.explode(F.array(*map(F.lit, range(3)))).alias("v"))
+    return items.withColumn("rollout_id", F.col("qid") * 3 + F.col("v")), docs, qrels(spark, sf), excluded(spark, sf), enc
+
+
+@reg("R13_dense_reward", "WITH " + TEXT_DENSE_SQL.strip() + f""",
+ro AS ({CHAT_SQL}),
+t AS (SELECT rollout_id, qid, CASE WHEN contains(response, '<|im_start|>assistant')
+        THEN substr(response, strpos(response, '<|im_start|>assistant') + 21) ELSE response END AS text FROM ro),{text_ndcg_sql('nd', 't')}
+SELECT rollout_id, round(ndcg, 6) + 0.0 AS reward FROM nd""")
 def r13(spark, sf):
-    run, qr = _dense_run(spark, sf)
-    nd = RT.ndcg_at_k(run, qr, 10)
-    return nd.select("qid", r6(F.col("ndcg")).alias("reward"))
+    items, docs, qr, ex, enc = text_dense_inputs(spark, sf)
+    said = (F.when(F.col("v") == 0, F.concat(F.lit("<|im_start|>user q<|im_end|><|im_start|>assistant"), "text"))
+            .when(F.col("v") == 1, F.col("text")).otherwise(F.lit("nothing of it")))
+    out = RT.dense_reward(items.select("rollout_id", "qid", said.alias("response")), docs, qr, ex, enc)
+    return out.select("rollout_id", r6(F.col("reward")).alias("reward"))
 
 
-@reg("R14_gated_dense_reward", "WITH " + DENSE_SQL.strip() + """,
-nd2 AS (SELECT qs.qid, coalesce(n2.ndcg, 0) AS ndcg_full FROM qs
-        LEFT JOIN (SELECT e.qid - 1 AS src, nd.ndcg FROM nd JOIN (SELECT qid FROM qs) e USING (qid)) n2 ON n2.src = qs.qid)
-SELECT qs.qid, round(CASE WHEN qs.qid % 3 = 0 THEN -1.0
-                          WHEN coalesce(nd.ndcg, 0) > 0 THEN nd.ndcg
-                          ELSE 0.5 * coalesce((SELECT ndcg FROM nd x WHERE x.qid = qs.qid + 10), 0) END, 6) + 0.0 AS reward
-FROM qs LEFT JOIN nd USING (qid)""")
+@reg("R14_gated_dense_reward", "WITH " + TEXT_DENSE_SQL.strip() + f""",
+ro AS ({GATED_SQL}),
+p AS (SELECT rollout_id, qid, substr(response, strpos(response, 'Assistant:') + 10) AS p FROM ro),
+f AS (SELECT *, (length(p) - length(replace(p, '<think>', ''))) // 7 = 1 AND (length(p) - length(replace(p, '</think>', ''))) // 8 = 1
+          AND (length(p) - length(replace(p, '<query>', ''))) // 7 = 1 AND (length(p) - length(replace(p, '</query>', ''))) // 8 = 1
+          AND strpos(p, '<think>') <= strpos(p, '</think>') AND strpos(p, '</think>') <= strpos(p, '<query>')
+          AND strpos(p, '<query>') <= strpos(p, '</query>') AS ok FROM p),
+t1 AS (SELECT rollout_id, qid, CASE WHEN strpos(p, '<query>') > 0 THEN trim(regexp_extract_all(p, '(?s)<query>(.*?)</query>', 1)[-1]) ELSE p END AS text FROM f WHERE ok),{text_ndcg_sql('n1', 't1')},
+t2 AS (SELECT f.rollout_id, f.qid, p AS text FROM f JOIN n1 USING (rollout_id) WHERE n1.ndcg = 0),{text_ndcg_sql('n2', 't2')}
+SELECT f.rollout_id, round(CASE WHEN NOT ok THEN -1.0 WHEN n1.ndcg > 0 THEN n1.ndcg ELSE coalesce(n2.ndcg, 0) / 2 END, 6) + 0.0 AS reward
+FROM f LEFT JOIN n1 USING (rollout_id) LEFT JOIN n2 USING (rollout_id) WHERE NOT ok OR n1.ndcg IS NOT NULL""")
 def r14(spark, sf):
-    run, qr = _dense_run(spark, sf)
-    nd = RT.ndcg_at_k(run, qr, 10)
-    qs, _, _, _ = dense_inputs(spark, sf)
-    # second pass for zero-nDCG rows: the "full response" of query q is query q + 10
-    retry = nd.select((F.col("qid") - 10).alias("qid"), F.col("ndcg").alias("ndcg_full"))
-    out = qs.select("qid").join(nd, "qid", "left").join(retry, "qid", "left")
-    reward = (F.when(F.col("qid") % 3 == 0, F.lit(-1.0))
-              .when(F.coalesce(F.col("ndcg"), F.lit(0.0)) > 0, F.col("ndcg"))
-              .otherwise(0.5 * F.coalesce(F.col("ndcg_full"), F.lit(0.0))))
-    return out.select("qid", r6(reward).alias("reward"))
+    items, docs, qr, ex, enc = text_dense_inputs(spark, sf)
+    said = (F.when(F.col("v") == 0, F.concat(F.lit("User: q Assistant: <think>t</think><query>"), "text", F.lit("</query>")))
+            .when(F.col("v") == 1, F.concat(F.lit("Assistant: <think>"), "text", F.lit("</think><query>zz</query>")))
+            .otherwise(F.concat(F.lit("Assistant: "), "text")))
+    out = RT.gated_dense_reward(items.select("rollout_id", "qid", said.alias("response")), docs, qr, ex, enc)
+    return out.select("rollout_id", r6(F.col("reward")).alias("reward"))
 
 
 @reg("R15_delta_reward", """
