@@ -228,9 +228,13 @@ SELECT batch_id, round(avg(score), 6) AS reward_mean, round(avg(CASE WHEN score
 def st1(spark, sf):
     from kestrel.streaming.jobs import stream_step_metrics
     src = IO.shared_path(spark, "rollouts")
-    fixture(spark, sf, "fx_rollouts").repartition(8, "batch_id").write.mode("overwrite").parquet(src)
+    rollouts = fixture(spark, sf, "fx_rollouts")
+    sizes = rollouts.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_expected"))
+    # every batch spans all files, and every file is a micro-batch
+    rollouts.join(sizes, "batch_id").repartition(4, "rollout_id").write.mode("overwrite").parquet(src)
     sink, ckpt = IO.shared_path(spark, "st1-sink"), IO.shared_path(spark, "st1-ckpt")
-    stream_step_metrics(spark, src, ROLLOUT_SCHEMA, sink, ckpt, test_freq=2,
+    schema = T.StructType([*ROLLOUT_SCHEMA.fields, T.StructField("n_expected", T.LongType())])
+    stream_step_metrics(spark, src, schema, sink, ckpt, test_freq=2,
                         validation_dir=IO.shared_path(spark, "st1-validation"))
     return spark.read.parquet(sink).select("batch_id", "reward_mean", "recall_fail_ratio",
                                            (F.round("adv_mean", 6) + F.lit(0.0)).alias("adv_mean"), "n_rows")
@@ -255,4 +259,5 @@ def st2(spark, sf):
         steps.filter(F.col("step") % 3 == r).coalesce(1).write.mode("append").parquet(src)
     sink, ckpt = IO.shared_path(spark, "st2-sink"), IO.shared_path(spark, "st2-ckpt")
     stream_kl_coefficients(spark, src, KL_STEP_SCHEMA, sink, ckpt, init=0.2, target=0.05, horizon=100.0)
-    return spark.read.parquet(sink).select("run", "step", F.round("kl_coef", 6).alias("kl_coef"))
+    out = spark.read.parquet(sink).filter(F.col("status") == "step")
+    return out.select("run", "step", F.round("kl_coef", 6).alias("kl_coef"))
