@@ -71,13 +71,29 @@ def excluded(spark, sf):
     return fixture(spark, sf, "fx_excluded")
 
 
+KEY_CHARS = 4  # of a short passage's key
+
+
+def char_grams(text: str, n: int):
+    """Distinct runs of ``n`` characters of a text, in one pass over them."""
+    if n == 0:
+        return F.when(F.col(text).isNotNull(), F.array(F.lit("")))
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    grams = chars
+    for k in range(1, n):  # shorter by one each time: the last place has no next character
+        rest = F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - k, F.lit(0)))
+        grams = F.zip_with(F.slice(grams, F.lit(1), F.size(rest)), rest, lambda a, b: F.concat(a, b))
+    return F.array_distinct(grams)
+
+
 def qrels(spark, sf):
     """fx_qrels (benchmark passages found inside documents) without a
     nested-loop join: a passage contained in a document has each of its
     interior space-delimited words as a whole word of that document, so an
     equi-join on the passage's longest interior word gives exact candidates,
-    verified with ``contains``.  Passages shorter than three words (none in
-    the driver data) are checked against a size-checked broadcast list."""
+    verified with ``contains``.  Passages of fewer than three words are found
+    the same way by their first KEY_CHARS characters (all, if fewer) among the
+    character n-grams of the documents; an empty passage is in every document."""
     b = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("ptext"))
     d = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("dtext"))
     toks = F.split("ptext", " ")
@@ -88,15 +104,11 @@ def qrels(spark, sf):
     cand = words.join(RT.bounded_broadcast(anchors), "word").select("qid", "doc_id").distinct()
     hits = (cand.join(b, "qid").join(d, "doc_id").filter(F.col("dtext").contains(F.col("ptext")))
             .select("qid", "doc_id"))
-    short = b.filter(F.size(toks) < 3)
-    n_short = short.count()
-    if n_short:
-        if n_short > 10_000:
-            raise ValueError("too many short passages for a literal check list")
-        ps = F.array(*[F.struct(F.lit(r.qid).alias("qid"), F.lit(r.ptext).alias("ptext")) for r in short.collect()])
-        extra = d.select("doc_id", F.explode(F.filter(ps, lambda p: F.col("dtext").contains(p["ptext"]))).alias("p")) \
-            .select(F.col("p.qid").alias("qid"), "doc_id")
-        hits = hits.unionByName(extra)
+    short = b.filter(F.size(toks) < 3).withColumn("n", F.least(F.length("ptext"), F.lit(KEY_CHARS)))
+    for n in sorted(r["n"] for r in short.select("n").distinct().collect()):  # at most KEY_CHARS + 1 lengths
+        keys = short.filter(F.col("n") == n).select("qid", "ptext", F.substring("ptext", 1, n).alias("key"))
+        found = d.select("doc_id", "dtext", F.explode(char_grams("dtext", n)).alias("key")).join(keys, "key")
+        hits = hits.unionByName(found.filter(F.col("dtext").contains(F.col("ptext"))).select("qid", "doc_id"))
     return hits.select("qid", "doc_id", F.lit(1).alias("rel"))
 
 
