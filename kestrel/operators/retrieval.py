@@ -229,8 +229,8 @@ def bm25_top_k(qw: DataFrame, post: DataFrame, excluded: DataFrame, k: int = 100
                task="task", query_rows: int | None = None) -> DataFrame:
     """R4 + R6 without scoring every pair: (task, qid, doc, score) with the
     exact scores of all documents that can be among a query's first ``k``,
-    excluded ones left out, ties with the k-th score included.  ``post``: a
-    written ``impact_postings`` table.  Candidates come from the impact blocks
+    excluded ones left out, ties with the k-th score included.  ``post``:
+    ``impact_postings`` of a written table.  Candidates come from the impact blocks
     that ``bm25_cuts`` leaves; they get their full scores by an equi-join on
     (document, term), so a common term's postings meet candidates only."""
     from kestrel.session import cut_lineage

@@ -62,7 +62,7 @@ def bm25_hits(spark, sf, ex, queries=None, tasks: int = 1, k: int = 1000):
     stats = cut_lineage(RT.corpus_stats_from_postings(post, docs.select("task", "doc_id")))
     queries = queries if queries is not None else bench_queries(spark, sf, tasks)
     qw = RT.query_weights(queries, post, stats, k1=K1, b=B)
-    index = cut_lineage(RT.impact_postings(post, stats, K1, B))
+    index = RT.impact_postings(post, stats, K1, B)  # two columns more on the written postings
     scores = RT.bm25_top_k(qw, index, ex, k, query_rows=RT.query_term_rows(queries))
     return docs.select("task", "doc_id"), queries, scores.withColumn("score", F.round("score", 9))
 
