@@ -6,15 +6,16 @@ estimated by the minimum covariance determinant: starting from median and
 median absolute deviation, concentration steps refit mean and covariance on
 the ``SUPPORT`` part of the group that lies nearest, until ``STEPS`` steps are
 done.  A document whose Mahalanobis distance exceeds the cut is rejected.
-All estimates are grouped aggregates with map-side combine, so a source with
-a third of all rows is no hot task; only the tables of estimates (one row per
-language and source) are joined back.
+All estimates are grouped aggregates with map-side combine; the tables of
+estimates (one row per language and source) are broadcast up to a checked size
+and joined on salted keys beyond it, so no group's rows meet in one task.
 
 Defined results: a null text has no words (counts 0, base_failed); a null
-language or source is a group of its own; groups with fewer than MIN_GROUP
-rows that pass the base rules are pooled over sources, and a pool still
-smaller is not judged (kept).  Equal rows get equal verdicts.  An empty table
-gives an empty table.  Working columns start with ``__``.
+language or source is a group of its own; a group with fewer than MIN_GROUP
+rows that pass the base rules is judged by the estimates of its whole language,
+and where that has fewer, too, by those of all rows; a table with fewer has
+base rules only.  Equal rows get equal verdicts.  An empty table gives an empty
+table.  Working columns start with ``__``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ WINDOW = 8                     # words of a repeated window
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
 SYMBOLS = "#*$%&|<>"
 MIN_GROUP = 60                 # rows for estimates of their own
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 256  # estimates sent to every task; a row without its name
+SALTS = 64                     # parts of a group where they are more
 SUPPORT, STEPS = 0.75, 3       # share of the concentrated subset; concentration steps
 #: Statistics: log mean word length; log share of symbols, repeated lines and
 #: repeated words (per cent, plus 1).  A floor is the least standard deviation
@@ -129,12 +132,22 @@ def _cholesky(est: DataFrame, p: int) -> DataFrame:
     return est.select("__group", *[f"__m{i}" for i in range(p)], *[f"__c{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
+def _with(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Rows of a written table joined to a written table with a row per group.
+    The salt is the row's input partition: the same again in a repeated task."""
+    n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).first()
+    if n * ROW_BYTES + size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), key, how)
+    parts = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(parts, [key, "__salt"], how).drop("__salt")
+
+
 def estimates(rows: DataFrame) -> DataFrame:
     """Location and Cholesky factor per ``__group`` by concentration steps."""
     p = len(STATS)
     mid = rows.groupBy("__group").agg(*[F.percentile_approx(s, 0.5, 10000).alias(f"__m{i}") for i, s in enumerate(STATS)])
     mid = cut_lineage(mid, "mcd-median")
-    dev = rows.join(mid, "__group").groupBy("__group").agg(
+    dev = _with(rows, mid, "__group").groupBy("__group").agg(
         *[F.first(f"__m{i}").alias(f"__m{i}") for i in range(p)],
         *[F.percentile_approx(F.abs(F.col(s) - F.col(f"__m{i}")), 0.5, 10000).alias(f"__d{i}") for i, s in enumerate(STATS)])
     for i in range(p):
@@ -142,48 +155,55 @@ def estimates(rows: DataFrame) -> DataFrame:
             dev = dev.withColumn(f"__v{i}{j}", F.pow(1.4826 * F.col(f"__d{i}"), 2) if i == j else F.lit(0.0))
     est = cut_lineage(_cholesky(dev, p), "mcd-start")
     for step in range(STEPS):
-        near = rows.join(est, "__group").select("__group", *STATS, _distance(p).alias("__dist"))
+        near = _with(rows, est, "__group").select("__group", *STATS, _distance(p).alias("__dist"))
         cut = near.groupBy("__group").agg(F.percentile_approx("__dist", SUPPORT, 10000).alias("__cut"))
         cut = cut_lineage(cut, "mcd-cut")
-        fit = near.join(cut, "__group").filter(F.col("__dist") <= F.col("__cut"))
+        fit = _with(near, cut, "__group").filter(F.col("__dist") <= F.col("__cut"))
         est = fit.groupBy("__group").agg(
             *[F.avg(s).alias(f"__m{i}") for i, s in enumerate(STATS)],
             *[F.covar_pop(STATS[i], STATS[j]).alias(f"__v{i}{j}") for i in range(p) for j in range(i + 1)])
         est = cut_lineage(_cholesky(est, p), "mcd-step")
     # scale to chi-square by the median distance; the floors are not shrunk
-    med = (rows.join(est, "__group").select("__group", _distance(p).alias("__dist"))
+    med = (_with(rows, est, "__group").select("__group", _distance(p).alias("__dist"))
            .groupBy("__group").agg(F.percentile_approx("__dist", 0.5, 10000).alias("__med")))
     return cut_lineage(est.join(med, "__group").withColumn(
         "__scale", F.greatest(F.col("__med") / CHI2_MEDIAN, F.lit(1.0))).drop("__med"), "mcd")
 
 
 class Groups:
-    """The names of a row's own group (language, source) and of its pool."""
+    """The names of a row's own group (language, source), its language's and that of all rows."""
+
+    ALL = "*"
 
     def __init__(self, lang_col: str, source_col: str):
         name = lambda source: F.to_json(F.struct(F.col(lang_col).cast("string").alias("l"), source.alias("s")))
         self.own = name(F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")))
-        self.pool = name(F.lit("*"))
+        self.lang = name(F.lit("*"))
 
 
 def fitted(table: DataFrame, groups: Groups) -> DataFrame:
     """Estimates per own group: ``__own`` and the columns of ``estimates``,
     from ``table`` (written, with counts and statistics)."""
     ok = table.filter(~F.col("__base_failed"))
-    sizes = cut_lineage(ok.groupBy(groups.own.alias("__own"), groups.pool.alias("__pool")).agg(F.count(F.lit(1)).alias("__n")), "mcd-sizes")
-    # a row per language and source: the group that its rows are judged in
-    small = sizes.filter(F.col("__n") < MIN_GROUP).groupBy("__pool").agg(F.sum("__n").alias("__m"))
+    sizes = cut_lineage(ok.groupBy(groups.own.alias("__own"), groups.lang.alias("__lang")).agg(F.count(F.lit(1)).alias("__n")), "mcd-sizes")
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    # a row per language and source: the group by whose estimates its rows are judged
     homes = cut_lineage(
-        sizes.join(small, "__pool", "left")
-        .withColumn("__group", F.when(F.col("__n") >= MIN_GROUP, F.col("__own")).when(F.col("__m") >= MIN_GROUP, F.col("__pool")))
-        .select("__own", "__group").filter(F.col("__group").isNotNull()), "mcd-groups")
-    rows = ok.withColumn("__own", groups.own).join(homes, "__own").select("__group", *STATS)
-    return cut_lineage(homes.join(estimates(rows), "__group").drop("__group"), "mcd-own")
+        sizes.join(sizes.groupBy("__lang").agg(F.sum("__n").alias("__m")), "__lang")
+        .withColumn("__group", F.when(F.col("__n") >= MIN_GROUP, F.col("__own")).when(F.col("__m") >= MIN_GROUP, F.col("__lang"))
+                    .when(F.lit(total >= MIN_GROUP), F.lit(groups.ALL)))
+        .select("__own", "__lang", "__group").filter(F.col("__group").isNotNull()), "mcd-groups")
+    # its rows count in each of its groups that somebody is judged by
+    parts = cut_lineage(
+        homes.select("__own", F.explode(F.array("__own", "__lang", F.lit(groups.ALL))).alias("__group"))
+        .join(homes.select("__group").distinct(), "__group", "left_semi"), "mcd-parts")
+    rows = _with(ok.withColumn("__own", groups.own), parts, "__own").select("__group", *STATS)
+    return cut_lineage(homes.select("__own", "__group").join(estimates(rows), "__group").drop("__group"), "mcd-own")
 
 
 def judge(counted: DataFrame, est: DataFrame, groups: Groups) -> DataFrame:
     """Rows with counts and statistics, and their ``__distance2`` and ``__kept``."""
-    return (counted.withColumn("__own", groups.own).join(est, "__own", "left")
+    return (_with(counted.withColumn("__own", groups.own), est, "__own", "left")
             .withColumn("__distance2", _distance(len(STATS)) / F.col("__scale"))
             .withColumn("__kept", ~F.col("__base_failed") & F.coalesce(F.col("__distance2") <= CHI2_CUT, F.lit(True)))
             .select(*counted.columns, "__distance2", "__kept"))
