@@ -9,6 +9,8 @@ stay or go there together.  An empty table passes through as an empty table.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ from kestrel.llm.rules import keep_good
 from kestrel.session import cut_lineage, drop_tables
 from kestrel.sources.tables import read_table
 
-KEY = "kestrel"
+#: Session setting with the secret key of the pseudonyms; without one a run draws its own.
+KEY_SETTING = "spark.kestrel.pseudonym.key"
 #: Near duplicates share 0.8 or more of their 5-word shingles (op8's own query: 3 words, 0.9).
 NEAR = {"size": 5, "num": 80, "den": 100}
 
@@ -44,9 +47,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key that the session names.  One drawn here stays in the session, so
+    its runs agree; values of other sessions are then not linked, and nobody
+    can undo the permutation."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
+
+
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced; ``n_chars`` follows a changed text."""
-    out = pseudonymise(docs, KEY, count_col="__found")
+    out = pseudonymise(docs, pseudonym_key(spark), count_col="__found")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("__found") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
