@@ -57,9 +57,10 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_r
 
 # ------------------------------------------------------------- corpus side
 
-def tokenize(df: DataFrame, text="text", stopwords=STOPWORDS_EN, out="tokens") -> DataFrame:
-    """Analysed tokens (lower case, split on non letters/digits, stop words removed)."""
-    return df.withColumn(out, analyse(text, stopwords))
+def tokenize(df: DataFrame, text="text", stopwords=STOPWORDS_EN, out="tokens", stem: bool = False) -> DataFrame:
+    """Analysed tokens (lower case, split on non letters/digits, stop words
+    removed; with ``stem`` English stems, to be set for corpus and queries alike)."""
+    return df.withColumn(out, analyse(text, stopwords, stem))
 
 
 def postings(docs: DataFrame, doc_key="doc_id", tokens="tokens", task="task") -> DataFrame:
@@ -591,6 +592,22 @@ def delta_similarity(pairs: DataFrame, rewritten="rewritten_vec", question="ques
     return pairs.groupBy(key).agg(F.sum(d).alias("delta_reward"), F.count(F.lit(1)).alias("n_docs"))
 
 
+def delta_similarity_sets(queries: DataFrame, docs: DataFrame, set_key, key="rollout_id", question="question_vec",
+                          rewritten="rewritten_vec", doc="doc_vec") -> DataFrame:
+    """R15 where many queries share a gold set (``set_key`` on both sides): the
+    sum of a query's similarities is one inner product with the sum of the
+    set's unit vectors, so no (query, document) pair is made.  A query whose
+    set has no document has no row; documents without a vector count in
+    ``n_docs`` alone."""
+    n_docs = docs.groupBy(set_key).agg(F.count(F.lit(1)).alias("n_docs"))
+    sums = (docs.select(set_key, F.posexplode(l2_normalize(doc)).alias("_i", "_x"))
+            .groupBy(set_key, "_i").agg(F.sum("_x").alias("_s"))
+            .groupBy(set_key).agg(F.sort_array(F.collect_list(F.struct("_i", "_s"))).alias("_l")))  # an entry per dimension
+    sets = n_docs.join(sums.select(set_key, F.transform("_l", lambda e: e["_s"]).alias("_sum")), set_key, "left")
+    d = dot(l2_normalize(rewritten), F.col("_sum")) - dot(l2_normalize(question), F.col("_sum"))
+    return queries.join(sets, set_key).select(key, d.alias("delta_reward"), "n_docs")
+
+
 def refresh_vectors(cache: DataFrame, docs: DataFrame, encoder, keys=("task", "doc_id"), text="text") -> DataFrame:
     """Vectors keyed by (keys, content_hash); only documents missing
     from the cache (anti join) are encoded, then unioned with the cache's rows

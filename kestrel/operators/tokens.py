@@ -10,11 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.functions.stemming import stem_terms
 from kestrel.functions.text import col
+from kestrel.session import cut_lineage
 
 
 # ---------------------------------------------------- layout conversion
@@ -203,31 +207,74 @@ def retemplate(text, replacements, max_len_of=None, slack: int = 128) -> dict[st
     return {"text": out, "too_long": F.length(out) > F.length(ref) + slack}
 
 
+#: Bytes of a vocabulary (pieces, and 16 per id) that every task may hold.
+PIECE_TABLE_BYTES = 64 << 20
+
+
 def decode(ids_long: DataFrame, vocab: DataFrame, row_key="row_id", t="t", token_id="token_id",
            piece="piece", pad_piece: str | None = None, sep: str = " ") -> DataFrame:
-    """Ids -> text by joining the vocabulary; ordered concat; pad removed."""
-    j = ids_long.join(vocab, token_id, "left")
-    g = j.groupBy(row_key).agg(F.sort_array(F.collect_list(F.struct(col(t), F.coalesce(col(piece), F.lit(""))
-                                                                     .alias("p")))).alias("_l"))
-    out = F.array_join(F.transform(F.col("_l"), lambda s: s["p"]), sep)
+    """Ids -> text; ordered concat; pad removed; unknown and null ids are empty pieces.
+
+    Ids are gathered per row as numbers and looked up in a piece table inside
+    Arrow batches, so nothing is shuffled by token (a frequent token would be
+    one hot key).  The table is sent to the tasks after a check of its bytes;
+    a larger vocabulary is joined.  A vocabulary has each id once."""
+    vocab = cut_lineage(vocab.select(col(token_id).cast("long").alias("_id"), F.coalesce(col(piece), F.lit("")).alias("_p")), "pieces")
+    n, size = vocab.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_p")), F.lit(0))).first()
+    if 16 * n + size <= PIECE_TABLE_BYTES:
+        g = ids_long.groupBy(row_key).agg(F.sort_array(F.collect_list(F.struct(
+            col(t).alias("t"), col(token_id).cast("long").alias("i")))).alias("_l"))
+        out = _pieces_of(vocab, sep)(F.transform("_l", lambda s: s["i"]))
+    else:
+        j = ids_long.withColumn("_id", col(token_id).cast("long")).join(vocab, "_id", "left")
+        g = j.groupBy(row_key).agg(F.sort_array(F.collect_list(F.struct(
+            col(t).alias("t"), F.coalesce("_p", F.lit("")).alias("p")))).alias("_l"))
+        out = F.array_join(F.transform("_l", lambda s: s["p"]), sep)
     if pad_piece is not None:
         out = F.replace(out, F.lit(pad_piece), F.lit(""))
     return g.select(row_key, out.alias("text"))
 
 
+def _pieces_of(vocab: DataFrame, sep: str):
+    """A function from id arrays to joined pieces, by a table sorted by id."""
+    table = vocab.filter(F.col("_id").isNotNull()).toArrow().sort_by("_id")
+    shared = vocab.sparkSession.sparkContext.broadcast(
+        (table["_id"].to_numpy(), pa.array(table["_p"].to_pylist() + [""], pa.large_string())))
+
+    @F.arrow_udf("string")
+    def text_of(lists: pa.Array) -> pa.Array:
+        ids, pieces = shared.value
+        flat = lists.flatten()
+        wanted = flat.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(ids, wanted)
+        known = np.zeros(len(wanted), bool) if not len(ids) else ids[np.minimum(at, len(ids) - 1)] == wanted
+        known &= flat.is_valid().to_numpy(zero_copy_only=False)
+        found = pieces.take(pa.array(np.where(known, at, len(ids))))
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), found), pa.scalar(sep, pa.large_string())).cast(pa.string())
+
+    return text_of
+
+
 # ------------------------------------------------------------ vocabulary
 
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def analyse(text, stopwords=()) -> Column:
+POSSESSIVE = r"['\u2019\uFF07]s(?![\p{L}\p{N}])"
+
+
+def analyse(text, stopwords=(), stem: bool = False) -> Column:
     """R1/T1 analyser: lower case, split on non letters/digits, drop empty
-    tokens and stop words."""
-    toks = F.split(F.lower(col(text)), WORD_SPLIT)
-    if not stopwords:
-        return F.filter(toks, lambda x: x != "")
-    # a literal IN list becomes a hash-set lookup
-    return F.filter(toks, lambda x: (x != "") & ~x.isin(*stopwords))
+    tokens and stop words.  ``stem`` also drops the possessive ``'s`` before the
+    split and reduces each token to its English stem after it."""
+    lower = F.lower(col(text))
+    toks = F.split(F.regexp_replace(lower, POSSESSIVE, "") if stem else lower, WORD_SPLIT)
+    if stopwords:  # a literal IN list becomes a hash-set lookup
+        toks = F.filter(toks, lambda x: (x != "") & ~x.isin(*stopwords))
+    else:
+        toks = F.filter(toks, lambda x: x != "")
+    return stem_terms(toks) if stem else toks
 
 
 def build_dictionary(docs: DataFrame, doc_key="doc_id", tokens="tokens", by=()) -> DataFrame:

@@ -176,6 +176,12 @@ def r1(spark, sf):
     return d.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_distinct"))
 
 
+@reg("R1_stemmed_terms")
+def r1_stemmed(spark, sf):
+    d = RT.tokenize(read_table(spark, sf, "documents").select("doc_id", "text"), stem=True).withColumn("task", F.lit("t0"))
+    return RT.postings(d).select("doc_id", "term", "tf", "dl")
+
+
 @reg("R2_corpus_stats", "WITH " + bm25_sql().strip().rstrip(",") + """
 SELECT count(*) AS n_docs, round(avg(len(tokens)), 6) AS avgdl,
        (SELECT count(DISTINCT term) FROM p) AS vocab_size FROM d""")
@@ -486,8 +492,7 @@ def r15(spark, sf):
     rw = e.filter(F.col("vec_id") % 10 == 1).select((F.col("vec_id") - 1).alias("rollout_id"),
                                                     F.col("embedding").alias("rewritten_vec"))
     ds = e.filter(F.col("vec_id") % 10 > 1).select(F.col("embedding").alias("doc_vec"), "label")
-    pairs = qs.join(rw, "rollout_id").join(ds, "label")
-    out = RT.delta_similarity(pairs)
+    out = RT.delta_similarity_sets(qs.join(rw, "rollout_id"), ds, "label")
     return out.select("rollout_id", r6(F.col("delta_reward")).alias("delta_reward"), "n_docs")
 
 
