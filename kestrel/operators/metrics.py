@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrel.functions.distance import text_distance
 from kestrel.functions.text import col
 
 
@@ -45,8 +46,9 @@ def first_n_per_group(df: DataFrame, group, order, n: int) -> DataFrame:
 
 
 def generations_similar(pairs: DataFrame, a="a", b="b", max_ratio: float = 0.1) -> DataFrame:
-    """Sum of edit distances over sum of max lengths, below ``max_ratio``."""
-    d = F.levenshtein(col(a), col(b))
+    """Sum of edit distances over sum of max lengths, below ``max_ratio``.
+    Texts are whole: long pairs are compared by bit-parallel columns."""
+    d = text_distance(a, b)
     m = F.greatest(F.length(col(a)), F.length(col(b)))
     agg = pairs.agg(F.sum(d).cast("bigint").alias("total_distance"),
                     F.sum(m).cast("bigint").alias("total_length"))

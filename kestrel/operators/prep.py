@@ -252,10 +252,14 @@ def longest_query(df: DataFrame, task="task", query="query", warn_chars: int = 8
         .withColumn("too_long", F.col("max_chars") > warn_chars)
 
 
-def overlap_violations(df: DataFrame, key="qid", gold="gold_ids", excluded="excluded_ids") -> DataFrame:
-    """P20: examples whose gold and excluded ids intersect."""
-    inter = F.array_intersect(col(gold), col(excluded))
-    return df.select(key, F.size(inter).alias("n_overlap")).filter(F.col("n_overlap") > 0)
+def overlap_violations(gold: DataFrame, excluded: DataFrame, key="qid", doc_key="doc_id") -> DataFrame:
+    """P20: examples whose gold and excluded ids intersect, from one row per
+    (example, id) on both sides.  Rows meet by example and id, so an example
+    with millions of exclusions is spread like any others; repeated pairs count
+    once, null ids never."""
+    pair = [key, doc_key]
+    both = gold.select(*pair).distinct().join(excluded.select(*pair), pair, "left_semi")
+    return both.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n_overlap"))
 
 
 def dedupe(df: DataFrame, cols=None) -> DataFrame:

@@ -138,8 +138,9 @@ def kl_coefficients(steps: DataFrame, current_kl="current_kl", n_steps="n_rows",
     """Coefficient used at each step, per run, in step order.
 
     adaptive: ``v_{s+1} = v_s * (1 + clip(kl_s/target - 1, +-0.2) * n_s/horizon)``;
-    the value at step s is ``init * prod(factor_k, k < s)`` (an ordered window
-    product partitioned by run: a run's steps are few, never the token data).
+    the value at step s is ``init * prod(factor_k, k < s)``, a prefix product in
+    levels (``prefix_product``), so a long run is no single window.  Steps are
+    numbers; a null run is a run of its own, null steps come first.
     fixed: ``init`` at every step.
     """
     if mode == "fixed":
@@ -150,10 +151,36 @@ def kl_coefficients(steps: DataFrame, current_kl="current_kl", n_steps="n_rows",
         raise ValueError("horizon must be larger than 0")
     err = F.greatest(F.least(col(current_kl) / F.lit(target) - 1, F.lit(0.2)), F.lit(-0.2))
     factor = 1 + err * col(n_steps) / F.lit(float(horizon))
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    return (steps.withColumn("_f", factor)
-                 .withColumn("kl_coef", F.lit(float(init)) * F.coalesce(F.product("_f").over(w), F.lit(1.0)))
-                 .withColumn("kl_coef_next", F.col("kl_coef") * F.col("_f")).drop("_f"))
+    return (prefix_product(steps.withColumn("_f", factor), run, step, "_f", "_before")
+            .withColumn("kl_coef", F.lit(float(init)) * F.col("_before"))
+            .withColumn("kl_coef_next", F.col("kl_coef") * F.col("_f")).drop("_f", "_before"))
+
+
+#: Places of a run that one window holds; blocks of so many places are the next level's places.
+PREFIX_WIDTH, PREFIX_LEVELS = 1 << 14, 2
+
+
+def prefix_product(rows: DataFrame, key: str, place: str, factor: str, out: str,
+                   width: int | None = None, levels: int | None = None) -> DataFrame:
+    """Add ``out``: the product of ``factor`` over the key's earlier places (1 for the first).
+
+    Blocks of ``width`` places are reduced to one factor each (map-side
+    combine), the blocks' own prefix products are found the same way one level
+    up, and a window runs within a block only, starting from its block's
+    product.  Two levels hold a window below ``width`` rows for keys of up to
+    ``width ** 3`` places."""
+    width = PREFIX_WIDTH if width is None else width
+    levels = PREFIX_LEVELS if levels is None else levels
+    earlier = lambda *by: Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    if levels == 0:
+        return rows.withColumn(out, F.coalesce(F.product(factor).over(earlier(key)), F.lit(1.0)))
+    rows_b = rows.withColumn("_block", F.floor(F.col(place).cast("double") / width))
+    blocks = rows_b.groupBy(key, "_block").agg(F.product(factor).alias("_factor"))
+    blocks = prefix_product(blocks.withColumnRenamed("_block", "_place"), key, "_place", "_factor", "_start", width, levels - 1)
+    blocks = blocks.select(F.col(key).alias("_key"), F.col("_place").alias("_of"), "_start")
+    joined = rows_b.join(blocks, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_of")))
+    within = F.coalesce(F.product(factor).over(earlier(key, "_block")), F.lit(1.0))
+    return joined.withColumn(out, F.col("_start") * within).select(*rows.columns, out)
 
 
 # ---------------------------------------------------------------- advantages
