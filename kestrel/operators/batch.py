@@ -258,6 +258,36 @@ def size_report(df: DataFrame, widths: dict[str, int], by=()) -> DataFrame:
     return out.withColumn("size_gb", total / F.lit(1024.0 ** 3))
 
 
+def row_counts(df: DataFrame, by="batch_id") -> DataFrame:
+    """B15 length: rows per batch."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def take_rows(df: DataFrame, item: int | slice, by="batch_id", row_key="row_idx") -> DataFrame:
+    """B15 row and slice access in every batch at once, as Python indexes a
+    sequence: negative places count from the batch's end (only they need the
+    batches' lengths), a slice is cut to what is there and has a positive step.
+    A single place outside a batch gives no row of it.  Rows keep their index."""
+    one = not isinstance(item, slice)
+    low, high, step = (item, item, 1) if one else (item.start or 0, item.stop, 1 if item.step is None else item.step)
+    if step < 1:
+        raise ValueError("the step of a slice of a batch must be positive")
+    out = df
+    if low < 0 or (high or 0) < 0:
+        sizes = row_counts(df, by).select(F.col(by).alias("__by"), F.col("n").alias("__n"))
+        out = df.join(sizes, F.col(by).eqNullSafe(F.col("__by")))
+    place = lambda x: F.lit(x) if x >= 0 else F.col("__n") + x
+    at = col(row_key)
+    if one:
+        keep = at == place(low)
+    else:
+        first = F.greatest(place(low), F.lit(0))
+        keep = (at >= first) & ((at - first) % step == 0)
+        if high is not None:
+            keep = keep & (at < place(high))
+    return out.filter(keep).select(*df.columns)
+
+
 def prompt_uid(*keys) -> Column:
     """Deterministic id per prompt, shared by all its samples."""
     return F.sha2(F.concat_ws("\u0001", *[col(k).cast("string") for k in keys]), 256)

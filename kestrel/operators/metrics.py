@@ -64,6 +64,19 @@ def reward_metrics(scored: DataFrame, score="score", by=()) -> DataFrame:
         F.round(F.avg(F.when(F.col(score) == 0, 1.0).otherwise(0.0)), 6).alias("recall_fail_ratio"))
 
 
+def reduce_metrics(rows: DataFrame, by=("run", "step"), metric="metric", value="value") -> DataFrame:
+    """M7: mean of each metric's values over the micro-batches of a step; nulls
+    are left out, and a metric with nulls alone has a null mean."""
+    return rows.groupBy(*by, metric).agg(F.avg(value).alias(value))
+
+
+def valid_tokens(tokens: DataFrame, by="batch_id", row_key="rollout_id", mask="mask") -> DataFrame:
+    """M9: tokens that the mask keeps, and rows, per batch.  Tokens are summed
+    per row first, so the count of rows needs no distinct set."""
+    rows = tokens.groupBy(by, row_key).agg(F.sum(mask).cast("bigint").alias("row_tokens"))
+    return rows.groupBy(by).agg(F.sum("row_tokens").alias("valid_tokens"), F.count(row_key).alias("n_rows"))
+
+
 def round6(c) -> Column:
     return F.round(col(c), 6)
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrel.functions.text import col
+from kestrel.functions.text import THINK_QUERY_TAGS, col, last_tag_content, split_header, tags_in_order
 from kestrel.operators.tokens import analyse
 
 # English stop words of the standard Lucene English analyser.
@@ -592,6 +592,35 @@ def delta_similarity(pairs: DataFrame, rewritten="rewritten_vec", question="ques
     return pairs.groupBy(key).agg(F.sum(d).alias("delta_reward"), F.count(F.lit(1)).alias("n_docs"))
 
 
+def bm25_rewards(rollouts: DataFrame, docs: DataFrame, qrels: DataFrame, excluded: DataFrame, key="rollout_id",
+                 item="qid", response="response", task="task", doc_key="doc_id", rel="rel", k: int = 1000,
+                 at: int = 10, format_reward: float = 1.0, k1: float = 0.9, b: float = 0.4, stem: bool = False) -> DataFrame:
+    """(key, ndcg, format_ok, reward) of every rollout whose item has a
+    relevant document.  A rollout (key, item, task, response) asks with the
+    content of its last query tag, or with all of its response, and is judged
+    by its item's ``qrels`` and ``excluded`` (item, doc).  ``docs``: (task, doc,
+    tokens), analysed with the same ``stem``."""
+    from kestrel.session import cut_lineage
+    h = split_header(response)
+    ro = rollouts.select(col(key).alias("_key"), col(item).alias("_item"), col(task).alias(task),
+                         F.coalesce(last_tag_content(h["processed"], "query"), h["processed"]).alias("text"),
+                         tags_in_order(h["processed"], THINK_QUERY_TAGS).alias("format_ok"))
+    own = ro.select(F.col("_key").alias("qid"), "_item")
+    of_item = lambda df, *cols: df.withColumnRenamed(item, "_item").join(own, "_item").select("qid", *cols)
+    ex = of_item(excluded.select(item, doc_key), doc_key)
+    queries = tokenize(ro.select(F.col("_key").alias("qid"), task, "text"), stem=stem)
+    post = cut_lineage(postings(docs, doc_key, task=task))
+    stats = cut_lineage(corpus_stats_from_postings(post, docs.select(task, doc_key), doc_key, task))
+    qw = query_weights(queries, post, stats, task=task, k1=k1, b=b)
+    scores = bm25_top_k(qw, impact_postings(post, stats, k1, b, task), ex, k, "qid", doc_key, task, query_term_rows(queries, task=task))
+    scores = scores.withColumn("score", F.round("score", 9))
+    run = ranked_run(scores, queries, ex, docs.select(task, doc_key), k, "qid", doc_key, task)
+    nd = ndcg_at_k(run, of_item(qrels.select(item, doc_key, rel), doc_key, rel), at, "qid", doc_key, rel, task)
+    reward = F.col("ndcg") + F.when(F.col("format_ok"), format_reward).otherwise(-format_reward)
+    return (ro.join(nd.select(F.col("qid").alias("_key"), "ndcg"), "_key")
+            .select(F.col("_key").alias(key), "ndcg", "format_ok", reward.alias("reward")))
+
+
 def delta_similarity_sets(queries: DataFrame, docs: DataFrame, set_key, key="rollout_id", question="question_vec",
                           rewritten="rewritten_vec", doc="doc_vec") -> DataFrame:
     """R15 where many queries share a gold set (``set_key`` on both sides): the

@@ -156,8 +156,8 @@ SELECT batch_id, count(*) AS n, max(CASE WHEN row_idx = 2 THEN row_id END) AS th
      ("fx_lengths",))
 def b15(spark, sf):
     d = lengths(spark, sf)
-    return d.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"),
-                                     F.max(F.when(F.col("row_idx") == 2, F.col("row_id"))).alias("third_row"))
+    third = B.take_rows(d, 2).select("batch_id", F.col("row_id").alias("third_row"))
+    return B.row_counts(d).join(third, "batch_id", "left")
 
 
 @reg("B16_consistency_check", """

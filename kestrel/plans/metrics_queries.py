@@ -123,7 +123,7 @@ def m5(spark, sf):
 SELECT run, step, metric, round(avg(value), 6) AS value FROM fx_metrics GROUP BY ALL""", ("fx_metrics",))
 def m7(spark, sf):
     m = fixture(spark, sf, "fx_metrics")
-    return m.groupBy("run", "step", "metric").agg(F.round(F.avg("value"), 6).alias("value"))
+    return M.reduce_metrics(m).withColumn("value", F.round("value", 6))
 
 
 # Model dimension table used by the FLOPs estimate (one row per model).
@@ -159,9 +159,7 @@ def m8(spark, sf):
 SELECT batch_id, CAST(sum(mask) AS BIGINT) AS valid_tokens, count(DISTINCT rollout_id) AS n_rows FROM fx_tokens GROUP BY batch_id""",
           ("fx_tokens",))
 def m9(spark, sf):
-    t = fixture(spark, sf, "fx_tokens")
-    return t.groupBy("batch_id").agg(F.sum("mask").cast("bigint").alias("valid_tokens"),
-                                     F.countDistinct("rollout_id").alias("n_rows"))
+    return M.valid_tokens(fixture(spark, sf, "fx_tokens"))
 
 
 @register("M10_best_metric", """

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kestrel.functions.text import split_header, last_tag_content, tags_in_order, THINK_QUERY_TAGS
 from kestrel.operators import retrieval as RT
 from kestrel.sources.tables import FIXTURES, fixture, read_table
 
@@ -308,22 +307,10 @@ fmt AS (SELECT rollout_id,
 SELECT ro.rollout_id, round(nd.ndcg + CASE WHEN ok THEN 1.0 ELSE -1.0 END, 6) + 0.0 AS reward
 FROM ro JOIN fmt USING (rollout_id) JOIN nd ON nd.qid = ro.rollout_id""")
 def r12(spark, sf):
-    ro = _retrieval_rollouts(spark, sf)
-    h = split_header("response")
-    q = F.coalesce(last_tag_content(h["processed"], "query"), h["processed"])
-    ro = ro.select("rollout_id", "qid", q.alias("query_text"),
-                   tags_in_order(h["processed"], THINK_QUERY_TAGS).alias("format_ok"))
-    qs = RT.tokenize(ro.select(F.col("rollout_id").alias("qid"), F.col("query_text").alias("text"))
-                     .withColumn("task", F.concat(F.lit("t"), (F.col("qid") % 1).cast("string"))))
-    item = ro.select("rollout_id", F.col("qid").alias("item"))
-    ex = excluded(spark, sf).join(item, F.col("qid") == F.col("item")).select(F.col("rollout_id").alias("qid"), "doc_id")
-    docs, qs, s = bm25_hits(spark, sf, ex, queries=qs)
-    qr = qrels(spark, sf).join(item, F.col("qid") == F.col("item")).select(F.col("rollout_id").alias("qid"), "doc_id", "rel")
-    run = RT.ranked_run(s, qs, ex, docs, 1000)
-    nd = RT.ndcg_at_k(run, qr, 10)
-    out = ro.join(nd.withColumnRenamed("qid", "rollout_id"), "rollout_id")
-    reward = F.col("ndcg") + F.when(F.col("format_ok"), 1.0).otherwise(-1.0)
-    return out.select("rollout_id", r6(reward).alias("reward"))
+    docs = corpus(spark, sf)
+    ro = _retrieval_rollouts(spark, sf).withColumn("task", F.lit("t0"))
+    out = RT.bm25_rewards(ro, docs, qrels(spark, sf), excluded(spark, sf), k1=K1, b=B)
+    return out.select("rollout_id", r6(F.col("reward")).alias("reward"))
 
 
 # ------------------------------------------------------------------ dense

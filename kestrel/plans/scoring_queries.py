@@ -212,8 +212,8 @@ FROM fx_rollouts GROUP BY ALL""", ("fx_rollouts",))(v12_dispatch)
 # Model score overrides the rule score when present.
 def v14_rm_override(spark, sf):
     df = fixture(spark, sf, "fx_rollouts")
-    rm = F.when(F.col("rollout_id") % 3 == 0, F.col("score") / 2)
-    return df.select("rollout_id", F.coalesce(rm, F.col("score")).alias("reward"))
+    model = df.filter(F.col("rollout_id") % 3 == 0).select("rollout_id", (F.col("score") / 2).alias("rm_score"))
+    return S.prefer_model_scores(df, model).select("rollout_id", "reward")
 
 
 register("V14_rm_override", """
