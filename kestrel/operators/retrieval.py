@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.text import THINK_QUERY_TAGS, col, last_tag_content, split_header, tags_in_order
-from kestrel.operators.tokens import analyse
+from kestrel.operators.tokens import analyse, join_terms
 
 # English stop words of the standard Lucene English analyser.
 STOPWORDS_EN = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it",
@@ -117,8 +117,9 @@ def tf_part(tf, dl, avgdl, k1: float, b: float) -> Column:
 
 def document_weights(post: DataFrame, stats: DataFrame, dfs: DataFrame, k1: float = 0.9, b: float = 0.4,
                      task="task") -> DataFrame:
-    """Lucene BM25 weight of every (doc, term)."""
-    j = post.join(dfs, [task, "term"]).join(F.broadcast(stats), task)
+    """Lucene BM25 weight of every (doc, term); frequent terms are no hot keys."""
+    from kestrel.session import cut_lineage
+    j = join_terms(post, cut_lineage(dfs, "frequencies"), [task]).join(F.broadcast(stats), task)
     return j.withColumn("w", lucene_idf("n_docs", "df") * tf_part("tf", "dl", "avgdl", k1, b))
 
 

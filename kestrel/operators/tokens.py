@@ -297,9 +297,26 @@ def dictionary_from_postings(post: DataFrame, by=()) -> DataFrame:
     return global_index(df, [*by, "term"], "term_id")
 
 
+#: Terms that are sent to every task: at most so many, of at most so many bytes.
+FREQUENT_TERMS, FREQUENT_BYTES = 8192, 1024
+
+
+def join_terms(post: DataFrame, terms: DataFrame, by=(), df="df") -> DataFrame:
+    """Postings joined to a written table with a row per term and its document
+    frequency.  Terms with a FREQUENT_TERMS-th of all postings or more are at
+    most FREQUENT_TERMS: they are broadcast and their postings stay where they
+    are.  The others are shuffled by term, none of them a large group."""
+    on = [*by, "term"]
+    total = terms.agg(F.sum(df)).first()[0] or 0
+    frequent = (F.col(df) * FREQUENT_TERMS >= total) & (F.octet_length("term") <= FREQUENT_BYTES)
+    hot, rest = F.broadcast(terms.filter(frequent)), terms.filter(~frequent)
+    cold = post.join(F.broadcast(terms.filter(frequent).select(*on)), on, "left_anti").join(rest, on)
+    return post.join(hot, on).unionByName(cold)
+
+
 def bag_of_words(docs: DataFrame, dictionary: DataFrame, doc_key="doc_id", tokens="tokens", by=()) -> DataFrame:
     """T1 doc2bow: (doc, term_id, count); unknown tokens are dropped."""
     by = list(by)
     tf = docs.select(*by, doc_key, F.explode(col(tokens)).alias("term")).groupBy(*by, doc_key, "term") \
         .agg(F.count(F.lit(1)).alias("tf"))
-    return tf.join(dictionary.select(*by, "term", "term_id"), [*by, "term"])
+    return join_terms(tf, dictionary.select(*by, "term", "term_id", "df"), by).drop("df")

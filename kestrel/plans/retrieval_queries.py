@@ -196,11 +196,11 @@ def r2(spark, sf):
 voc AS (SELECT term, count(*) AS df, row_number() OVER (ORDER BY term) - 1 AS term_id FROM p GROUP BY term)
 SELECT p.doc_id, voc.term_id, CAST(p.tf AS BIGINT) AS tf, voc.df FROM p JOIN voc USING (term)""")
 def t1(spark, sf):
-    from kestrel.operators.tokens import dictionary_from_postings
+    from kestrel.operators.tokens import dictionary_from_postings, join_terms
     from kestrel.session import cut_lineage
     post = cut_lineage(RT.postings(corpus(spark, sf)))
-    voc = dictionary_from_postings(post.select("term", "doc_id"))
-    return post.join(voc.select("term", "term_id", "df"), "term").select(
+    voc = cut_lineage(dictionary_from_postings(post.select("term", "doc_id")).select("term", "term_id", "df"), "terms")
+    return join_terms(post, voc).select(
         "doc_id", "term_id", F.col("tf").cast("bigint").alias("tf"), "df")
 
 
