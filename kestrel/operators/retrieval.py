@@ -183,35 +183,50 @@ def _allowed(scores: DataFrame, excluded: DataFrame, qid: str, doc_key: str, tas
     return scores.withColumn("_x", F.col(doc_key).cast("string")).join(ex, [*keys, "_x"], "left_anti").drop("_x")
 
 
-def bm25_cuts(terms: DataFrame, post: DataFrame, excluded: DataFrame, k: int = 1000, qid="qid", doc_key="doc_id",
+DIRECT_SHARE = 0.5  # of a run's postings: heads of that many make bounds dearer than scoring every pair
+
+
+def _small(df: DataFrame, query_rows: int | None) -> DataFrame:
+    return bounded_broadcast(df, known_rows=query_rows) if query_rows is not None else df
+
+
+def bm25_plan(terms: DataFrame, post: DataFrame, excluded: DataFrame, k: int = 1000, qid="qid", doc_key="doc_id",
               task="task", query_rows: int | None = None) -> DataFrame:
-    """R6 bounds: (task, qid, term, cut), the first level of each term's
-    postings that must be looked at for a query's best ``k``; terms that need
-    no look are absent.  ``terms``: (task, qid, term, g), written.
+    """R6 planning: a written table (task, qid, term, g, head, n_head, n_all, most).
 
-    The counts of the impact blocks say from which level on a term has ``k``
-    postings beyond what the query excludes.  These heads are scored; the k-th
-    best partial sum is a threshold that the k-th best score reaches.  Terms
-    then give way in order of their largest possible contribution, the
-    smallest first, while the sum of what is given up stays below the
-    threshold: whole terms, then the low blocks of one more.  A document that
-    occurs only in what was given up cannot reach the threshold.  A query with
-    fewer than ``k`` matches has no threshold and keeps all."""
+    The counts of the impact blocks say from which level (``head``) on a term
+    has ``k`` postings beyond what the query excludes; ``n_head`` of its
+    ``n_all`` postings lie there, and none adds more than ``most``."""
     from kestrel.session import cut_lineage
-    small = lambda df: bounded_broadcast(df, known_rows=query_rows) if query_rows is not None else df
     keys = query_keys(qid, task, terms, excluded)
     n_ex = excluded.select(*keys, doc_key).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_nx"))
-    blocks = (post.join(small(terms.select(task, "term").distinct()), [task, "term"], "left_semi")
+    blocks = (post.join(_small(terms.select(task, "term").distinct(), query_rows), [task, "term"], "left_semi")
               .groupBy(task, "term", "level").agg(F.count(F.lit(1)).alias("n")))
     per = Window.partitionBy(task, qid, "term")
     level = terms.join(n_ex, keys, "left").join(blocks, [task, "term"])
     level = (level.withColumn("_from_top", F.sum("n").over(per.orderBy(F.desc("level"))))
              .withColumn("_need", F.lit(k) + F.coalesce(F.col("_nx"), F.lit(0))))
-    plan = cut_lineage(level.groupBy(task, qid, "term", "g").agg(
-        F.coalesce(F.max(F.when(F.col("_from_top") >= F.col("_need"), F.col("level"))), F.lit(0)).alias("head"),
+    enough = F.col("_from_top") >= F.col("_need")
+    return cut_lineage(level.groupBy(task, qid, "term", "g").agg(
+        F.coalesce(F.max(F.when(enough, F.col("level"))), F.lit(0)).alias("head"),
+        F.coalesce(F.min(F.when(enough, F.col("_from_top"))), F.max("_from_top")).alias("n_head"),
+        F.max("_from_top").alias("n_all"),
         ((F.max("level") + 1) / IMPACT_LEVELS * F.col("g")).alias("most")), "bm25-plan")
 
-    heads = (post.join(small(plan), [task, "term"]).filter(F.col("level") >= F.col("head"))
+
+def bm25_cuts(plan: DataFrame, post: DataFrame, excluded: DataFrame, k: int = 1000, qid="qid", doc_key="doc_id",
+              task="task", query_rows: int | None = None) -> DataFrame:
+    """R6 bounds: (task, qid, term, cut), the first level of each term's
+    postings that must be looked at for a query's best ``k``; terms that need
+    no look are absent.  ``plan``: of ``bm25_plan``.
+
+    The heads of the plan are scored; the k-th best partial sum is a threshold that the k-th best score reaches.  Terms
+    then give way in order of their largest possible contribution, the
+    smallest first, while the sum of what is given up stays below the
+    threshold: whole terms, then the low blocks of one more.  A document that
+    occurs only in what was given up cannot reach the threshold.  A query with
+    fewer than ``k`` matches has no threshold and keeps all."""
+    heads = (post.join(_small(plan, query_rows), [task, "term"]).filter(F.col("level") >= F.col("head"))
              .groupBy(task, qid, doc_key).agg(F.sum(F.col("g") * F.col("tfp")).alias("score")))
     best = Window.partitionBy(task, qid).orderBy(F.desc("score"))
     # the margin covers rounded scores and the order of sums
@@ -234,11 +249,18 @@ def bm25_top_k(qw: DataFrame, post: DataFrame, excluded: DataFrame, k: int = 100
     excluded ones left out, ties with the k-th score included.  ``post``:
     ``impact_postings`` of a written table.  Candidates come from the impact blocks
     that ``bm25_cuts`` leaves; they get their full scores by an equi-join on
-    (document, term), so a common term's postings meet candidates only."""
+    (document, term), so a common term's postings meet candidates only.  Where
+    the plan counts DIRECT_SHARE of the run's postings in the heads (``k`` near
+    the number of matches), bounds leave little out: every pair is scored."""
     from kestrel.session import cut_lineage
     terms = cut_lineage(qw.select(task, qid, "term", (F.col("wq") * F.col("idf")).alias("g")), "bm25-terms")
-    cuts = cut_lineage(bm25_cuts(terms, post, excluded, k, qid, doc_key, task, query_rows), "bm25-cuts")
-    cuts = bounded_broadcast(cuts, known_rows=query_rows) if query_rows is not None else cuts
+    plan = bm25_plan(terms, post, excluded, k, qid, doc_key, task, query_rows)
+    heads, every = plan.agg(F.sum("n_head"), F.sum("n_all")).first()
+    if (heads or 0) >= DIRECT_SHARE * (every or 0):
+        scores = (post.select(task, "term", doc_key, "tfp").join(_small(terms, query_rows), [task, "term"])
+                  .groupBy(task, qid, doc_key).agg(F.sum(F.col("g") * F.col("tfp")).alias("score")))
+        return _allowed(scores, excluded, qid, doc_key, task)
+    cuts = _small(cut_lineage(bm25_cuts(plan, post, excluded, k, qid, doc_key, task, query_rows), "bm25-cuts"), query_rows)
     found = post.select(task, "term", doc_key, "level").join(cuts, [task, "term"]).filter(F.col("level") >= F.col("cut"))
     candidates = _allowed(found.select(task, qid, doc_key).distinct(), excluded, qid, doc_key, task)
     return (candidates.join(terms, [task, qid])

@@ -31,8 +31,9 @@ def run(scores, excluded, k):
     return sorted((r.qid, r.rank, r.doc_id, r.score) for r in RT.top_k(s.withColumn("doc_order", F.col("doc_id")), k).collect())
 
 
-@pytest.mark.parametrize("k", [1, 10, 200])
-def test_same_run(spark, index, k):
+@pytest.mark.parametrize("k,share", [(1, 2.0), (10, 2.0), (200, 2.0), (10, 0.0), (200, 0.5)])  # bounds, every pair, as planned
+def test_same_run(spark, index, monkeypatch, k, share):
+    monkeypatch.setattr(RT, "DIRECT_SHARE", share)
     post, qw, impact = index
     top = {r[0]: r[2] for r in run(RT.bm25_scores(qw, post), spark.createDataFrame([], "qid long, doc_id long"), 1)}
     excluded = spark.createDataFrame([(q, d) for q, d in top.items() if q % 2] + [(q, d) for q in range(0, 30, 5) for d in range(0, 400)], "qid long, doc_id long")
@@ -45,7 +46,10 @@ def test_few_postings_are_read(spark, index):
     post, qw, impact = index
     none = spark.createDataFrame([], "qid long, doc_id long")
     terms = cut_lineage(qw.select("task", "qid", "term", (F.col("wq") * F.col("idf")).alias("g")))
-    cuts = RT.bm25_cuts(terms, impact, none, 10)
+    plan = RT.bm25_plan(terms, impact, none, 10)
+    counted = plan.agg(F.sum("n_head").alias("head"), F.sum("n_all").alias("every")).first()
+    assert counted.every == post.join(qw, ["task", "term"]).count() and counted.head < RT.DIRECT_SHARE * counted.every
+    cuts = RT.bm25_cuts(plan, impact, none, 10)
     read = impact.join(cuts, ["task", "term"]).filter(F.col("level") >= F.col("cut")).count()
     every = post.join(qw, ["task", "term"]).count()
     assert 10 * read < every, (read, every)
