@@ -8,7 +8,8 @@ input.  Recompression (see ``recompression``) makes this cheap and exact:
    window: where a window occurs again, so does each check inside it.  Windows
    without a check among FINE_ROUNDS symbols get smaller ones.  *Blocks* are
    high-level symbols of at least ``width`` words: equal blocks are equal
-   passages, and all windows inside are repeated.
+   passages, and all windows inside are repeated.  A block carries a second
+   name, a hash of its own words, so 128 bits say that two blocks are equal.
 2. One shuffle on the symbols' names finds those that occur twice.  Within a
    slice of a task equal names are merged first, so a passage that a third of
    all documents share is a row per slice, not per document.
@@ -89,14 +90,32 @@ def _spans_mask(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def _again(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry: is it the first of its name; does its name occur again."""
-    if not name.size:
-        return np.zeros(0, bool), np.zeros(0, bool)
-    _, first, number, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-    is_first = np.zeros(len(name), bool)
-    is_first[first] = True
-    return is_first, (count > 1)[number]
+def _again(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry: is it the first with its keys; do its keys occur again."""
+    n = len(keys[0])
+    order = np.lexsort(keys[::-1])  # stable: equal keys stay in order
+    change = np.ones(n, bool)
+    if n:
+        change[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    start = np.flatnonzero(change)
+    count = np.diff(np.append(start, n))
+    is_first, again = np.zeros(n, bool), np.zeros(n, bool)
+    is_first[order[start]] = True
+    again[order] = np.repeat(count > 1, count)
+    return is_first, again
+
+
+def _span_hashes(h: np.ndarray, base: np.uint64, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits of the words of each span, whatever its place."""
+    n = len(h)
+    power = np.full(n + 1, base, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    back = np.full(n + 1, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64)
+    back[0] = 1
+    back = np.cumprod(back, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)])
+    return mix((sums[start + size] - sums[start]) * back[start])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,50 +126,52 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def symbol_rows(rows: DataFrame, width: int) -> DataFrame:
     """A written table.  ``kind`` 0: a document with its words and the hash of
-    all of them.  Else a symbol occurrence: name, at, size; ``again`` where the
+    all of them.  Else a symbol occurrence: name, second name (0 for checks), at, size; ``again`` where the
     slice has the name twice; ``first`` where it has to be looked up."""
     kind = rows.schema["id"].dataType.simpleString()
-    fields = ["kind", "rk", "ck", "id", "n_words", "sha", "name", "at", "size", "again", "first"]
+    fields = ["kind", "rk", "ck", "id", "n_words", "sha", "name", "second", "at", "size", "again", "first"]
 
     def run(batches):
         for batch in batches:
             rk, ck, ids = batch.column(0), batch.column(1), batch.column(2)
             raw, bounds = utf8(batch.column(3))
-            for a, b, (names,), counts in word_batches(batch.column(3)):
+            for a, b, (names, others), counts in word_batches(batch.column(3), seeds=2):
                 m = b - a
                 begin, size, _ = word_spans(raw, bounds[a:b + 1])
                 cut = np.concatenate([[0], np.cumsum(counts)])
                 shas = [sha_of(raw, begin[cut[k]:cut[k + 1]], size[cut[k]:cut[k + 1]]) for k in range(m)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(m, np.int32)), rk.slice(a, m), ck.slice(a, m), ids.slice(a, m), pa.array(counts.astype(np.int64)), pa.array(shas),
-                     pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.bool_())], fields)
+                     pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.bool_())], fields)
                 checks, nth, _, _, blocks = checks_and_blocks(names, counts, width)
                 for what, p, at in ((CHECK, checks, nth), (BLOCK, blocks, blocks.start - cut[blocks.text])):
-                    first, again = _again(p.name)
-                    k = len(first)
+                    k = len(p.name)
                     if not k:
                         continue
+                    # a check only sends windows on; a block decides, so its words vouch for its name
+                    second = _span_hashes(others, BASES[1], p.start, p.size) if what == BLOCK else np.zeros(k, np.uint64)
+                    first, again = _again(p.name, second) if what == BLOCK else _again(p.name)
                     row = pa.array(p.text + a)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(k, what, np.int32)), rk.take(row), ck.take(row), pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()),
-                         pa.array(mix(p.name + np.uint64(what)).view(np.int64)), pa.array(at.astype(np.int32)), pa.array(p.size.astype(np.int32)), pa.array(again), pa.array(first)], fields)
+                         pa.array(mix(p.name + np.uint64(what)).view(np.int64)), pa.array(second.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(p.size.astype(np.int32)), pa.array(again), pa.array(first)], fields)
 
                 open_at = (np.arange(len(names)) + width <= cut[1:][np.repeat(np.arange(m), counts)]) & ~_excluded(checks.left, checks.right, width, len(names))
                 row = pa.array(np.unique(np.repeat(np.arange(m), counts)[open_at]) + a)
                 k = len(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(k, OPEN, np.int32)), rk.take(row), ck.take(row), pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()),
-                     pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array([True] * k, pa.bool_()), pa.array([False] * k, pa.bool_())], fields)
+                     pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array([True] * k, pa.bool_()), pa.array([False] * k, pa.bool_())], fields)
 
-    schema = f"kind int, rk long, ck int, id {kind}, n_words long, sha string, name long, at int, size int, again boolean, first boolean"
+    schema = f"kind int, rk long, ck int, id {kind}, n_words long, sha string, name long, second long, at int, size int, again boolean, first boolean"
     return cut_lineage(rows.mapInArrow(run, schema), "symbols", "zstd")
 
 
 def repeated_symbols(symbols: DataFrame) -> DataFrame:
     """(kind, rk, ck, at, size, alone) of the occurrences of names that occur
     twice; ``alone`` is the one occurrence that stands for its name."""
-    found = symbols.filter(F.col("kind") > 0).select("kind", "rk", "ck", "at", "size", "name", "again", "first")
-    same = Window.partitionBy("name").orderBy("rk", "ck", "at")
+    found = symbols.filter(F.col("kind") > 0).select("kind", "rk", "ck", "at", "size", "name", "second", "again", "first")
+    same = Window.partitionBy("name", "second").orderBy("rk", "ck", "at")
     looked = (found.filter("first")
               .withColumns({"__before": F.lag("kind").over(same), "__after": F.lead("kind").over(same)})
               .filter(F.col("again") | F.col("__before").isNotNull() | F.col("__after").isNotNull())
@@ -162,19 +183,9 @@ def repeated_symbols(symbols: DataFrame) -> DataFrame:
 
 def _window_hashes(words: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
     """64 and 32 bits of each window's words, whatever its place."""
-    out = []
-    for h, base in zip(words, BASES, strict=True):
-        n = len(h)
-        power = np.full(n + 1, base, np.uint64)
-        power[0] = 1
-        power = np.cumprod(power, dtype=np.uint64)
-        back = np.full(n + 1, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64)
-        back[0] = 1
-        back = np.cumprod(back, dtype=np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)])
-        m = max(0, n - width + 1)
-        out.append(mix((sums[width:width + m] - sums[:m]) * back[:m]))
-    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+    start = np.arange(max(0, len(words[0]) - width + 1))
+    w1, w2 = (_span_hashes(h, base, start, width) for h, base in zip(words, BASES, strict=True))
+    return w1, (w2 >> np.uint64(32)).astype(np.uint32)
 
 
 def candidate_rows(rows: DataFrame, marks: DataFrame, width: int) -> DataFrame:
@@ -209,7 +220,7 @@ def candidate_rows(rows: DataFrame, marks: DataFrame, width: int) -> DataFrame:
                 covered = _spans_mask(lo[alone == 0], hi[alone == 0], n) & ~_spans_mask(lo[alone == 1], hi[alone == 1], n)
                 look = np.flatnonzero(may & ~covered)
                 w1, w2 = _window_hashes(words, width)
-                first, again = _again(w1[look] ^ mix(w2[look].astype(np.uint64)))
+                first, again = _again(w1[look], w2[look])
                 inside[look[again]] = True
                 again |= inside[look]
                 look, again = look[first], again[first]

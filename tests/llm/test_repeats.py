@@ -165,3 +165,17 @@ def test_equal_passages_have_equal_inner_symbols():
     inner = [{(int(n), int(s - b)) for n, s, lo, hi in zip(p.name, p.start, p.left, p.right, strict=True) if lo >= b and hi <= b + 80} for b in begin]
     assert inner[0] == inner[1] == inner[2] and len(inner[0]) > 5
     assert substring.WIDTH == 35
+
+
+def test_blocks_that_share_a_name_are_told_apart(docs, base_rows, monkeypatch):
+    """All blocks get one 64-bit name: only their second names say which are equal."""
+    true_parse = substring.checks_and_blocks
+
+    def one_name(names, counts, width):
+        *rest, blocks = true_parse(names, counts, width)
+        blocks.name = np.full(len(blocks.name), 7, np.uint64)
+        return *rest, blocks
+
+    monkeypatch.setattr(substring, "checks_and_blocks", one_name)
+    assert result(remove_repeats(docs)) == kept(base_rows, 35)
+    assert sum(n for _, _, n, _ in kept(base_rows, 35)) > 0
