@@ -12,12 +12,14 @@ whole texts.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
 import types
 from collections.abc import Iterable, Iterator
 from itertools import repeat
+from operator import attrgetter
 
 import numpy as np
 
@@ -27,10 +29,10 @@ BYTE_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}
 WORD_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+"
 PLAIN_CHUNK = r"[ \n]?[!-~À-ÿ]+"
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]")
 MEMO_MAX = 700_000          # entries of a worker's memo; it starts anew beyond
 SEGMENT_CHARS = 1_000_000   # longer texts are encoded segment by segment
 BATCH_CHARS = 2_000_000     # texts encoded together
+TOKEN_ID = attrgetter("id")
 
 
 def worker_state(name: str) -> dict:
@@ -79,7 +81,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.memo: dict = {}
-        self.of_piece: dict[str, list[int]] = {}
+        self.of_piece: dict[str, tuple[int, ...]] = {}  # tuples of numbers: the garbage collector does not walk them
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -88,18 +90,20 @@ class Encoder:
         starts with a line feed, or in a tuple, for itself."""
         if not text:
             return []
-        if text[0].isspace() or text[-1].isspace() or IRREGULAR.search(text):
+        words: list = text.split()
+        lines = "\n" in text
+        if (text.replace("\n", " ") if lines else text) != " ".join(words):  # other white space, or more than one
             return [c[1:] if c[0] == " " and len(c) > 1 and not c[1].isspace() else c if c[0] == "\n" and len(c) > 1 and not c[1].isspace() else (c,) for c in CUT.split(text)]
-        keys: list = text.replace("\n", " \n").split(" ")
+        keys = text.replace("\n", " \n").split(" ") if lines else words
         keys[0] = (keys[0],)
         return keys
 
-    def _piece_ids(self, piece: str) -> list[int]:
+    def _piece_ids(self, piece: str) -> tuple[int, ...]:
         if not piece.isascii():
             shown = piece.encode().decode("latin-1").translate(self.alphabet)
         else:  # a space or line feed can only be the first character
             shown = self.alphabet[ord(piece[0])] + piece[1:] if piece[0] in " \n" else piece
-        ids = self.of_piece[piece] = [t.id for t in self.model.tokenize(shown)]
+        ids = self.of_piece[piece] = tuple(map(TOKEN_ID, self.model.tokenize(shown)))
         return ids
 
     def _learn(self, keys: list) -> None:
@@ -107,16 +111,20 @@ class Encoder:
         odd, new, ends = [], [], []
         lower, split, plain, known = self.kind == "word", self.pieces.findall, self.plain.fullmatch, self.of_piece.get
         n = first = len(self.memo)
+        every = " ".join([k[0] if isinstance(k, tuple) else k for k in keys]).lower()
+        added = [a for a in self.added if a in every]  # in any of these chunks
+        letters = not any(a.isalpha() for a in added)
         for k in keys:
-            text = k[0] if isinstance(k, tuple) else k if lower or k[0] == "\n" else " " + k
-            small = text.lower()
-            if not plain(text) or any(a in small for a in self.added):
-                odd.append((k, text))
-                continue
-            if lower:
-                text = small
-            for p in (text,) if k is text and text.isalpha() else split(text):
-                new += known(p) or self._piece_ids(p)
+            if letters and type(k) is str and k.isascii() and k.isalpha():  # one piece
+                text = k.lower() if lower else " " + k
+                new += known(text) or self._piece_ids(text)
+            else:
+                text = k[0] if isinstance(k, tuple) else k if lower or k[0] == "\n" else " " + k
+                if not plain(text) or (added and any(a in text.lower() for a in added)):
+                    odd.append((k, text))
+                    continue
+                for p in split(text.lower() if lower else text):
+                    new += known(p) or self._piece_ids(p)
             ends.append(len(new))
             self.memo[k] = n
             n += 1
@@ -151,7 +159,13 @@ class Encoder:
         missing = np.flatnonzero(idx < 0)
         if missing.size:
             absent = [keys[i] for i in missing]
-            self._learn(list(dict.fromkeys(absent)))
+            collecting = gc.isenabled()
+            gc.disable()  # nothing made there is cyclic, and the memo is large to walk
+            try:
+                self._learn(list(dict.fromkeys(absent)))
+            finally:
+                if collecting:
+                    gc.enable()
             idx[missing] = np.fromiter(map(self.memo.__getitem__, absent), np.int64, len(absent))
         size = self.size[idx]
         ends = np.cumsum(size)
