@@ -21,8 +21,9 @@ Scale design
   first ``k + max |blocked|`` documents of their task in corpus order (a
   literal top-N per task, never a sort of the whole corpus; no cross join).
 * Dense retrieval visits cells (pivot and ring of angles) only while their
-  bound can beat a query's k-th score; a visited part of a cell and its
-  queries are one matrix product in one task.
+  bound can beat a query's k-th score; a block of documents and a block of
+  queries are scored in one task.  Blocks first tell scores at a few ranks,
+  for a threshold near the k-th score; only documents that reach it are sent.
 """
 
 from __future__ import annotations
@@ -403,7 +404,8 @@ def cosine(a, b) -> Column:
     return F.when((na > 0) & (nb > 0), dot(a, b) / (na * nb)).otherwise(F.lit(0.0))
 
 
-BLOCK_DOCS = 4096  # documents scored by one task at a time
+BLOCK_DOCS = 16384  # documents that meet a block of queries in one task
+CHUNK_QUERIES = 512  # queries of a block scored at a time
 
 
 def _unit_rows(vectors) -> np.ndarray:
@@ -412,6 +414,11 @@ def _unit_rows(vectors) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _places(values: pd.Series) -> dict:
+    """The rows (index, rising) of every value; nulls have none."""
+    return {x: i.index.to_numpy() for x, i in values.groupby(values)} if len(values) else {}
+
+
 PIVOTS = 256       # at most; documents are grouped around their nearest
 RINGS = 64         # equal ranges of the angle to the pivot, from 0 to pi
 ANGLE_MARGIN = 1e-6
@@ -421,9 +428,11 @@ class DenseIndex:
     """R9 index: documents by cells, a cell being a pivot and a ring of angles
     around it.  At most PIVOTS pivots (documents chosen by hash) and PIVOTS *
     RINGS cells are held by the driver and sent to tasks; documents are a
-    written table (doc, vec, order, cell, part), a part of a cell having about
-    BLOCK_DOCS documents.  Documents without a vector are left out; a zero
-    vector has cosine 0 with all."""
+    written table (doc, vec, order, cell).  A block is about BLOCK_DOCS
+    documents of cells that follow each other, or of one large cell, so what
+    is sent for scoring is a query per block and a document per block of
+    queries, however small the cells are.  Documents without a vector are left
+    out; a zero vector has cosine 0 with all."""
 
     def __init__(self, docs: DataFrame, doc_key="doc_id", dvec="vec", order="doc_order"):
         from kestrel.session import cut_lineage
@@ -446,95 +455,167 @@ class DenseIndex:
         rings = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).orderBy("cell")
         self.cells = rings.toPandas()  # at most PIVOTS * RINGS rows
         self.cells["parts"] = (-(-self.cells["n"] // BLOCK_DOCS)).astype("int64")
+        blocks, block, held = [], 0, 0
+        for n, parts in zip(self.cells["n"], self.cells["parts"], strict=True):
+            if held and (parts > 1 or held + n > BLOCK_DOCS):
+                block, held = block + 1, 0
+            blocks.append(block)
+            block, held = (block + parts, 0) if parts > 1 else (block, held + n)
+        self.cells["block"] = np.array(blocks, np.int64)
         self.docs, self.kind, self.spark = placed, kinds["d"], docs.sparkSession
         self.visited: DataFrame | None = None  # (qid, cell) of the last search
 
     def visits(self, queries: DataFrame) -> DataFrame:
-        """(q, v, cell) for queries (q, v, need, threshold).  Without a
-        threshold: the nearest cells that hold ``need`` documents.  With one:
-        the further cells that may hold a cosine of at least the threshold, by
-        the triangle inequality of angles: a query at angle ``a`` to a pivot is
-        at least ``a - hi`` and ``lo - a`` away from documents in a ring."""
+        """(q, v, x, threshold, block, cells) for queries (q, v, x, need,
+        threshold), the cells of a block in one row.  Without a threshold: the
+        nearest cells that hold ``need`` documents.  With one: the cells that
+        may hold a cosine of at least the threshold, by the triangle inequality
+        of angles: a query at angle ``a`` to a pivot is at least ``a - hi`` and
+        ``lo - a`` away from documents in a ring."""
         pivots, cells = self.pivots, self.cells
         kinds = dict(queries.dtypes)
 
         def plan(batches):
-            of, lo, hi, n, cell = (cells[c].to_numpy() for c in ("cell", "lo", "hi", "n", "cell"))
+            of, lo, hi, n, cell, block, parts = (cells[c].to_numpy() for c in ("cell", "lo", "hi", "n", "cell", "block", "parts"))
             of = of // RINGS
             for whole in batches if len(of) else ():
                 for at in range(0, len(whole), 256):
                     f = whole.iloc[at:at + 256]
                     a = np.arccos(np.clip(_unit_rows(f["v"]) @ pivots.T, -1, 1))[:, of]
                     least = np.maximum(0, np.maximum(a - hi, lo - a) - ANGLE_MARGIN)
-                    rows, found = [], []
+                    rows, blocks, found = [], [], []
                     for i, (need, threshold) in enumerate(zip(f["need"].to_numpy(), f["threshold"].to_numpy(), strict=True)):
-                        order = np.argsort(least[i], kind="stable")
-                        first = int(np.searchsorted(np.cumsum(n[order]), need)) + 1
                         if np.isnan(threshold):
-                            own = order[:first]
+                            order = np.argsort(least[i], kind="stable")
+                            own = np.sort(order[:int(np.searchsorted(np.cumsum(n[order]), need)) + 1])
                         else:
-                            rest = order[first:]
-                            own = rest[np.cos(least[i][rest]) >= threshold]
-                        rows += [i] * len(own)
-                        found.append(cell[own])
+                            own = np.flatnonzero(np.cos(least[i]) >= threshold)
+                        for some in np.split(own, np.flatnonzero(np.diff(block[own])) + 1) if len(own) else ():
+                            for part in range(int(parts[some[0]])):
+                                rows.append(i)
+                                blocks.append(block[some[0]] + part)
+                                found.append(cell[some])
                     if rows:
-                        yield pd.DataFrame({"q": f["q"].to_numpy()[rows], "v": f["v"].to_numpy()[rows], "cell": np.concatenate(found)})
-
-        return queries.select("q", "v", "need", F.col("threshold").cast("double")).mapInPandas(plan, f"q {kinds['q']}, v {kinds['v']}, cell bigint")
-
-    def scores(self, visits: DataFrame, k: int, q_blocks: int) -> DataFrame:
-        """(q, d, score, o): the best ``k`` of each query and visited part of a cell."""
-        parts = self.spark.createDataFrame([tuple(map(int, x)) for x in self.cells[["cell", "parts"]].to_numpy()], "cell long, parts long")
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-        q = (visits.join(F.broadcast(parts), "cell").withColumn("part", every(F.col("parts")))
-             .withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(q_blocks))).select("q", "v", "cell", "part", "qb"))
-        met = visits.select("cell").distinct()
-        d = (self.docs.join(F.broadcast(met), "cell", "left_semi").join(F.broadcast(parts), "cell")
-             .withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts"))).withColumn("qb", every(F.lit(q_blocks).cast("bigint")))
-             .select("d", "v", "o", "cell", "part", "qb"))
+                        yield f.iloc[rows][["q", "v", "x", "threshold"]].assign(block=blocks, cells=found)
+
+        return queries.select("q", "v", "x", "need", F.col("threshold").cast("double")).mapInPandas(
+            plan, f"q {kinds['q']}, v {kinds['v']}, x {kinds['x']}, threshold double, block bigint, cells array<bigint>")
+
+    def scored(self, visits: DataFrame, lists: DataFrame | None, q_blocks: int, found, schema: str) -> DataFrame:
+        """``found(queries, documents, scores)`` of every block of queries with
+        every block of documents that it visits, a few queries at a time; what
+        is not visited or excluded by ``lists`` (d, xs: names of the exclusion
+        lists that have the document) scores minus infinity."""
+        places = self.spark.createDataFrame([tuple(map(int, x)) for x in self.cells[["cell", "block", "parts"]].to_numpy()], "cell long, block long, parts long")
+        q = visits.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(q_blocks)))
+        met = visits.select("block").distinct()
+        d = self.docs.join(F.broadcast(places), "cell")
+        d = d.withColumn("block", F.col("block") + F.pmod(F.xxhash64("d"), F.col("parts"))).join(F.broadcast(met), "block", "left_semi")
+        d = d.join(lists, "d", "left") if lists is not None else d.withColumn("xs", F.lit(None).cast(f"array<{dict(q.dtypes)['x']}>"))
+        d = (d.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))))
+             .select("d", "v", "o", "cell", "xs", "block", "qb"))
 
         def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame({"q": [], "d": [], "score": [], "o": []}).astype({"score": "float64"})
-            right = right.sort_values("o", kind="stable")
-            sc = _unit_rows(left["v"]) @ _unit_rows(right["v"]).T
-            best = np.argsort(-sc, axis=1, kind="stable")[:, :k]
-            ids, pos = right["d"].to_numpy(), right["o"].to_numpy()
-            return pd.DataFrame({"q": np.repeat(left["q"].to_numpy(), best.shape[1]), "d": ids[best].ravel(),
-                                 "score": np.take_along_axis(sc, best, axis=1).ravel(), "o": pos[best].ravel()})
-
-        return (q.groupBy("cell", "part", "qb").cogroup(d.groupBy("cell", "part", "qb"))
-                .applyInPandas(score, f"q {dict(q.dtypes)['q']}, d {self.kind}, score double, o bigint"))
+            out = []
+            if len(left) and len(right):
+                left, right = left.reset_index(drop=True), right.sort_values("o", kind="stable").reset_index(drop=True)
+                queries, documents = _unit_rows(left["v"]), _unit_rows(right["v"]).T
+                columns = _places(right["cell"])
+                visitors = _places(left["cells"].explode())
+                barred = _places(right["xs"].dropna().explode())
+                askers = _places(left["x"]) if barred else {}
+                barred = {x: ds for x, ds in barred.items() if x in askers}
+                for at in range(0, len(left), CHUNK_QUERIES):
+                    end = min(at + CHUNK_QUERIES, len(left))
+                    own = {c: visitors[c][slice(*np.searchsorted(visitors[c], [at, end]))] - at for c in columns if c in visitors}
+                    if len(own) == len(columns) and all(len(r) == end - at for r in own.values()):
+                        sc = queries[at:end] @ documents
+                    else:
+                        sc = np.full((end - at, len(right)), -np.inf)
+                        for c, rows in own.items():
+                            sc[np.ix_(rows, columns[c])] = queries[at + rows] @ documents[:, columns[c]]
+                    for x, ds in barred.items():
+                        rows = askers[x][slice(*np.searchsorted(askers[x], [at, end]))] - at
+                        if len(rows):
+                            sc[np.ix_(rows, ds)] = -np.inf
+                    out.append(found(left.iloc[at:end], right, sc))
+            out = [f for f in out if len(f)]
+            return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+        return q.groupBy("block", "qb").cogroup(d.groupBy("block", "qb")).applyInPandas(score, schema)
+
+    def bounds(self, visits: DataFrame, lists: DataFrame | None, k: int, q_blocks: int) -> DataFrame:
+        """(q, threshold) of the queries with ``k`` documents in what they
+        visit: a score that ``k`` of them reach.  A block tells the scores at a
+        few ranks (close for the first ones, then a quarter apart), so few
+        numbers are sent and not many more than ``k`` documents reach it."""
+        ranks = [1]
+        while ranks[-1] < k:
+            ranks.append(min(k, ranks[-1] + 1 + ranks[-1] // 4))
+
+        def found(left, right, sc):
+            at = np.array([r for r in ranks if r <= sc.shape[1]])
+            best = -np.partition(-np.nan_to_num(sc, nan=-np.inf, neginf=-np.inf), at - 1, axis=1)[:, at - 1]
+            n = np.broadcast_to(np.diff(at, prepend=0), best.shape)
+            own = best >= np.maximum(np.nan_to_num(left["threshold"].to_numpy(), nan=-2.0), -2.0)[:, None]
+            return pd.DataFrame({"q": np.repeat(left["q"].to_numpy(), own.sum(axis=1)), "score": best[own], "n": n[own]})
+
+        told = self.scored(visits, lists, q_blocks, found, f"q {dict(visits.dtypes)['q']}, score double, n bigint")
+        fall = Window.partitionBy("q").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+        return (told.withColumn("_sum", F.sum("n").over(fall)).filter(F.col("_sum") >= k)
+                .groupBy("q").agg((F.max("score") - 1e-8).alias("threshold")))  # covers rounded scores
+
+    def scores(self, visits: DataFrame, lists: DataFrame | None, k: int, q_blocks: int) -> DataFrame:
+        """(q, d, score, o): the documents that reach a query's threshold, of a block the best ``k``."""
+        def found(left, right, sc):
+            rows, at = np.nonzero(sc >= left["threshold"].to_numpy()[:, None])
+            values = sc[rows, at]
+            turn = np.lexsort((at, -np.round(values, 12), rows))
+            rows, at, values = rows[turn], at[turn], values[turn]
+            first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            rows, at, values = rows[first], at[first], values[first]
+            return pd.DataFrame({"q": left["q"].to_numpy()[rows], "d": right["d"].to_numpy()[at], "score": values, "o": right["o"].to_numpy()[at]})
+
+        return self.scored(visits, lists, q_blocks, found, f"q {dict(visits.dtypes)['q']}, d {self.kind}, score double, o bigint")
 
 
 def dense_run(queries: DataFrame, docs: DataFrame, excluded: DataFrame, k: int = 1000, qid="qid", qvec="vec",
-              doc_key="doc_id", dvec="vec", order="doc_id", max_queries: int = 1024, index: DenseIndex | None = None) -> DataFrame:
+              doc_key="doc_id", dvec="vec", order="doc_id", max_queries: int = 4096, index: DenseIndex | None = None,
+              exclusion_list: str | None = None) -> DataFrame:
     """R9 with exclusions: (qid, doc, score, doc_order) with each query's best
     ``k`` by cosine of the documents it does not exclude (rank afterwards).
-
-    Exact in two rounds over a ``DenseIndex``.  First each query visits the
-    nearest cells that hold ``k`` documents beyond its exclusions; its k-th
-    best score there is a threshold.  Then it visits the cells that can still
-    beat it, and no others.  Parts keep ``k`` and as many more as the longest
-    exclusion list, so that what is excluded never costs a place."""
+    ``excluded``: (qid, doc); with ``exclusion_list``, a column of both
+    ``queries`` and ``excluded``: (that column, doc), so that queries which
+    exclude the same documents share one list and no pairs are made.
+
+    Exact in three rounds over a ``DenseIndex``.  First each query visits the
+    nearest cells that hold ``k`` documents beyond its exclusions; a score that
+    ``k`` of them reach is a threshold.  Then it visits the cells that can
+    still reach it, for a threshold that not many more than ``k`` of all
+    documents reach.  Only those are returned.  Excluded documents are left out
+    where scores are made, so they never cost a place."""
     from kestrel.session import cut_lineage
     index = index or DenseIndex(docs, doc_key, dvec, order)
-    lists = excluded.groupBy(F.col(qid).alias("q")).agg(F.count(F.lit(1)).alias("_n"))
-    longest = lists.agg(F.max("_n")).first()[0] or 0
-    q = queries.select(F.col(qid).alias("q"), F.col(qvec).alias("v")).filter(F.col("v").isNotNull())
-    q = q.join(lists, "q", "left").select("q", "v", (F.lit(k) + F.coalesce(F.col("_n"), F.lit(0))).alias("need"))
+    name = exclusion_list or qid
+    barred = excluded.select(F.col(name).alias("x"), F.col(doc_key).alias("d")).filter(F.col("x").isNotNull() & F.col("d").isNotNull())
+    lists = cut_lineage(barred.groupBy("d").agg(F.collect_set("x").alias("xs")), "dense-excluded")
+    lengths = lists.select(F.explode("xs").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("_n"))
+    q = queries.select(F.col(qid).alias("q"), F.col(qvec).alias("v"), F.col(name).alias("x")).filter(F.col("v").isNotNull())
+    q = cut_lineage(q.join(lengths, "x", "left").select("q", "v", "x", (F.lit(k) + F.coalesce(F.col("_n"), F.lit(0))).alias("need")), "dense-queries")
+    lists = None if lists.isEmpty() else lists
     q_blocks = max(1, -(-q.count() // max_queries))
-    out = lambda s: exclude(s.select(F.col("q").alias(qid), F.col("d").alias(doc_key), "score", F.col("o").alias("doc_order")), excluded, qid, doc_key)
-    near = cut_lineage(index.visits(q.withColumn("threshold", F.lit(None))), "dense-near")
-    first = cut_lineage(out(index.scores(near, k + int(longest), q_blocks)), "dense-first")
-    best = Window.partitionBy(qid).orderBy(F.desc("score"))
-    kth = (first.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == k)
-           .select(F.col(qid).alias("q"), (F.col("score") - 1e-8).alias("threshold")))  # covers rounded scores
-    # fewer than k so far means that every cell was visited, or that exclusions are of other documents: visit all
-    more = q.join(kth, "q", "left").withColumn("threshold", F.coalesce("threshold", F.lit(-2.0)))
-    far = cut_lineage(index.visits(more), "dense-far")
-    index.visited = near.select("q", "cell").unionByName(far.select("q", "cell"))
-    return first.unionByName(out(index.scores(far, k + int(longest), q_blocks)))
+
+    def visits(bounds: DataFrame | None) -> DataFrame:
+        # fewer than k so far means that every cell was visited, or that exclusions are of other documents: visit all
+        own = q.withColumn("threshold", F.lit(None)) if bounds is None else q.join(bounds, "q", "left").withColumn("threshold", F.coalesce("threshold", F.lit(-2.0)))
+        return index.visits(own)
+
+    near = visits(None)
+    rest = visits(cut_lineage(index.bounds(near, lists, k, q_blocks), "dense-near"))
+    index.visited = near.unionByName(rest).select("q", F.explode("cells").alias("cell")).distinct()
+    last = visits(cut_lineage(index.bounds(rest, lists, k, q_blocks), "dense-bounds"))
+    return (index.scores(last, lists, k, q_blocks)
+            .select(F.col("q").alias(qid), F.col("d").alias(doc_key), "score", F.col("o").alias("doc_order")))
 
 
 def hashed_bow_encoder(dim: int = 64, seed: int = 0, element: str = "float"):
@@ -566,8 +647,8 @@ def dense_ndcg(texts: DataFrame, docs: DataFrame, qrels: DataFrame, excluded: Da
     whose item has no relevant document are dropped."""
     item = texts.select(F.col(key).alias("_key"), F.col(qid).alias("_item"))
     own = lambda df, *more: df.join(item, F.col(qid) == F.col("_item")).select(F.col("_key").alias(qid), "doc_id", *more)
-    asked = texts.select(F.col(key).alias(qid), encode(F.col("text")).alias("vec"))
-    found = dense_run(asked, docs, own(excluded), k, qid=qid, order="doc_id", index=index)
+    asked = texts.select(F.col(key).alias(qid), encode(F.col("text")).alias("vec"), F.col(qid).alias("_item"))
+    found = dense_run(asked, docs, excluded.select(F.col(qid).alias("_item"), "doc_id"), k, qid=qid, order="doc_id", index=index, exclusion_list="_item")
     run = top_k(found.withColumn("score", F.round("score", 9)), k, qid=qid)
     return ndcg_at_k(run.select(qid, "doc_id", "score"), own(qrels, "rel"), cut, qid=qid).withColumnRenamed(qid, key)
 

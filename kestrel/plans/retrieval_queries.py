@@ -323,9 +323,9 @@ def dense_inputs(spark, sf):
                                                       "label", F.lit("all").alias("task"))
     qrels_d = qs.join(docs.select("doc_id", F.col("label").alias("qlabel")), "qlabel") \
         .select("qid", "doc_id", F.lit(1).alias("rel"))
-    excl = qs.join(docs.select("doc_id", (F.col("doc_id") % 37).alias("m")), (F.col("qid") % 37) == F.col("m")) \
-        .select("qid", "doc_id")
-    return qs, docs, qrels_d, excl
+    # a query excludes the documents of its remainder: one list per remainder, shared by its queries
+    excl = docs.select((F.col("doc_id") % 37).alias("exclusion_list"), "doc_id")
+    return qs.withColumn("exclusion_list", F.col("qid") % 37), docs, qrels_d, excl
 
 
 DENSE_SQL = """
@@ -350,10 +350,9 @@ nd AS (SELECT idcg.qid, coalesce(dcg, 0) / idcg AS ndcg FROM idcg LEFT JOIN dcg
 def _dense_run(spark, sf, qs=None):
     q0, docs, qrels_d, excl = dense_inputs(spark, sf)
     qs = q0 if qs is None else qs
-    s = RT.dense_run(qs, docs, excl, 1000)
+    s = RT.dense_run(qs, docs, excl, 1000, exclusion_list="exclusion_list")
     s = s.withColumn("score", F.round("score", 9)).withColumn("task", F.lit("all"))
-    run = RT.ranked_run(s.drop("doc_order"), qs, excl, docs, 1000, fill=False)
-    return run, qrels_d
+    return RT.top_k(s, 1000), qrels_d
 
 
 @reg("R8_l2_normalize", """
