@@ -1,9 +1,10 @@
 """Incremental jobs (ST*) with Structured Streaming.
 
-ST1: rollout files arrive in a folder; a training batch is held in state until
-all its rows are there, however many files and micro-batches they span, then
-scored with the batch functions and written once (``foreachBatch``,
-exactly-once through the checkpoint).
+ST1: rollout files arrive in a folder; the rows of a training batch are held
+in a table beside the checkpoint until all are there, however many files and
+micro-batches they span, then scored with the batch functions and written once
+(``foreachBatch``, exactly-once through the checkpoint).  State has the counts
+and timers of batches, not their rows, so a batch may be of any size.
 
 ST2: the adaptive KL coefficient as running state per run: steps may arrive
 out of order; they wait in state until contiguous, then apply in order.
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegralType, LongType, StringType, StructField, StructType
 
 from kestrel.operators import metrics as M
 from kestrel.operators import rl as R
@@ -52,7 +53,7 @@ HOLD_STATE = "rows string, closed boolean, deadline long"
 
 
 def hold_batch_fn(names: list[str], expected: str, wait_ms: int):
-    """ST1 state function per batch: its rows until ``expected`` of them are there.
+    """State function per batch small enough for one state row: its rows until ``expected`` of them are there.
 
     Rows leave together with ``status`` ``complete``, or ``partial`` when
     ``wait_ms`` have passed since the first; rows that come after that leave
@@ -87,8 +88,95 @@ def hold_batch_fn(names: list[str], expected: str, wait_ms: int):
     return fn
 
 
+COUNT_STATE = "n long, most long, closed boolean, deadline long"
+
+
+def count_batch_fn(names: list[str], whole: set[str], key_name: str, expected: str, wait_ms: int):
+    """ST1 state function per batch, by the rules of ``hold_batch_fn``, but with
+    counts for state.  Rows go through with ``status`` ``held`` (``late`` after
+    the batch has closed), chunk by chunk; the micro-batch that closes a batch
+    gets one more row, with the key and ``complete`` or ``partial`` alone.
+    ``whole``: columns of whole numbers, which may have nulls."""
+    def typed(f):
+        return f.astype({c: "Int64" for c in names if c in whole})
+
+    def mark(key, status):
+        return typed(pd.DataFrame({c: pd.Series([key[0] if c == key_name else None], dtype="Int64" if c in whole else object) for c in names})).assign(status=status)
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        n, most, closed, deadline = state.get if state.exists else (0, 0, False, 0)
+        if state.hasTimedOut:
+            if not closed:
+                state.update((n, most, True, 0))
+                yield mark(key, "partial")
+            return
+        last = 0
+        for f in pdfs:
+            top = f[expected].max()
+            n, most, last = n + len(f), most if pd.isna(top) else max(most, int(top)), max(last, _last([f]))
+            yield typed(f[names]).assign(status="late" if closed else "held")
+        if closed:
+            return
+        if n >= most:
+            state.update((n, most, True, 0))
+            yield mark(key, "complete")
+            return
+        deadline = deadline or last + wait_ms
+        state.update((n, most, False, deadline))
+        _set_timer(state, deadline)
+    return fn
+
+
+def counted_batches(stream: DataFrame, key: str = "batch_id", expected: str = "n_expected", wait_ms: int = 600_000) -> DataFrame:
+    """The rows of ``stream`` with ``status``, as they come, and a row for each batch that closes."""
+    fields = [StructField(f.name, f.dataType) for f in stream.schema.fields if f.name != ARRIVED]
+    whole = {f.name for f in fields if isinstance(f.dataType, IntegralType)}
+    return stream.groupBy(key).applyInPandasWithState(
+        count_batch_fn([f.name for f in fields], whole, key, expected, wait_ms), StructType([*fields, StructField("status", StringType())]),
+        COUNT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class HeldRows:
+    """Rows of open batches as a table of folders, one per micro-batch and
+    status; a micro-batch that runs again replaces its own."""
+
+    def __init__(self, path: str, key: str):
+        self.path, self.key = path, key
+
+    def add(self, got: DataFrame, epoch_id: int) -> None:
+        got.write.mode("overwrite").partitionBy("status").parquet(f"{self.path}/epoch={epoch_id}")
+        schema = StructType([*got.schema.fields, StructField("epoch", LongType())])
+        self.rows = got.sparkSession.read.schema(schema).parquet(self.path).filter(F.col("epoch") <= epoch_id)
+
+    def closed(self) -> DataFrame:
+        """(key, epoch, status) of the batches closed so far."""
+        return self.rows.filter(F.col("status").isin("complete", "partial")).select(F.col(self.key).alias("_key"), F.col("epoch").alias("_epoch"), F.col("status").alias("_status"))
+
+    def closing(self, epoch_id: int) -> DataFrame:
+        """All rows, with ``status``, of the batches that this micro-batch closes."""
+        now = F.broadcast(self.closed().filter(F.col("_epoch") == epoch_id))
+        held = self.rows.filter(F.col("status") == "held").drop("status", "epoch")
+        return held.join(now, F.col(self.key).eqNullSafe(F.col("_key"))).withColumnRenamed("_status", "status").drop("_key", "_epoch")
+
+    def late(self, epoch_id: int) -> DataFrame:
+        return self.rows.filter((F.col("status") == "late") & (F.col("epoch") == epoch_id)).drop("epoch")
+
+    def drop_done(self, epoch_id: int) -> None:
+        """Delete the rows of earlier micro-batches without an open batch; what
+        earlier ones closed is committed by now, what this one closes is not."""
+        done = F.broadcast(self.closed().filter(F.col("_epoch") < epoch_id))
+        held = self.rows.filter((F.col("status") == "held") & (F.col("epoch") < epoch_id)).select(self.key, "epoch").distinct()
+        there = {r.epoch for r in held.select("epoch").distinct().collect()}
+        needed = {r.epoch for r in held.join(done, F.col(self.key).eqNullSafe(F.col("_key")), "left_anti").select("epoch").distinct().collect()}
+        spark = self.rows.sparkSession
+        for epoch in there - needed:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/epoch={epoch}/status=held")
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def whole_batches(stream: DataFrame, key: str = "batch_id", expected: str = "n_expected", wait_ms: int = 600_000) -> DataFrame:
-    """The rows of ``stream`` with ``status``, batch by batch as each closes."""
+    """The rows of ``stream`` with ``status``, batch by batch as each closes,
+    for batches that fit one state row; ``counted_batches`` has no such bound."""
     schema = StructType([f for f in stream.schema.fields if f.name != ARRIVED])
     return stream.groupBy(key).applyInPandasWithState(
         hold_batch_fn(schema.fieldNames(), expected, wait_ms), StructType([*schema.fields, StructField("status", StringType())]),
@@ -106,9 +194,11 @@ def stream_step_metrics(spark: SparkSession, source_dir: str, schema, sink_dir:
     go to ``late_dir``.  Runs until the folder is drained (``availableNow``);
     what is not complete stays in state for the next run."""
     src = arriving(spark, source_dir, schema, max_files_per_trigger)
+    held = HeldRows(f"{checkpoint_dir.rstrip('/')}/held", "batch_id")
 
     def per_batch(got: DataFrame, epoch_id: int) -> None:
-        df = got.filter(F.col("status") != "late").persist()
+        held.add(got, epoch_id)
+        df = held.closing(epoch_id)
         rm = M.reward_metrics(df, "score", by=["batch_id"])
         adv = R.grpo_advantage(df, "score", ["batch_id", "uid"]).groupBy("batch_id").agg(
             F.avg("advantage").alias("adv_mean"), F.count(F.lit(1)).alias("n_rows"))
@@ -120,10 +210,10 @@ def stream_step_metrics(spark: SparkSession, source_dir: str, schema, sink_dir:
             M.accuracy_by_source(df, "data_source", "score", target_score) \
                 .write.mode("overwrite").parquet(f"{validation_dir}/epoch={epoch_id}")
         if late_dir:
-            got.filter(F.col("status") == "late").write.mode("overwrite").parquet(f"{late_dir}/epoch={epoch_id}")
-        df.unpersist()
+            held.late(epoch_id).write.mode("overwrite").parquet(f"{late_dir}/epoch={epoch_id}")
+        held.drop_done(epoch_id)
 
-    q = (whole_batches(src, "batch_id", expected, wait_ms).writeStream.outputMode("append").foreachBatch(per_batch)
+    q = (counted_batches(src, "batch_id", expected, wait_ms).writeStream.outputMode("append").foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
 

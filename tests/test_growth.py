@@ -27,3 +27,40 @@ def test_dense_exclusions_have_a_row_per_document(spark, tmp_path):
     spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"), (F.col("id") % 10).alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
     _, docs, _, excluded = dense_inputs(spark, str(tmp_path))
     assert excluded.count() == docs.count()
+
+
+def test_batches_are_counted_in_state_and_held_beside_it(spark, tmp_path):
+    import glob
+
+    from kestrel.streaming.jobs import count_batch_fn, stream_step_metrics
+    from tests.test_streaming import FakeState
+    import pandas as pd
+    names = ["batch_id", "score", "n_expected"]
+    fn, st = count_batch_fn(names, {"batch_id", "n_expected"}, "batch_id", "n_expected", 100), FakeState()
+    chunk = lambda n: pd.DataFrame([(7, 1.0, 5000)] * n, columns=names).assign(_arrived=pd.Timestamp(st.now, unit="ms"))
+    put = lambda *n: [(len(o), o.status.iloc[0]) for o in fn((7,), iter([chunk(x) for x in n]), st)]
+    assert put(2000, 2000) == [(2000, "held"), (2000, "held")]
+    assert len(str(st.get)) < 100  # no rows in state
+    assert put(1000) == [(1000, "held"), (1, "complete")] and put(3) == [(3, "late")]
+    fn, st = count_batch_fn(names, {"batch_id", "n_expected"}, "batch_id", "n_expected", 100), FakeState()
+    put(1)
+    (timed,) = st.fire(fn)
+    assert timed.status.tolist() == ["partial"] and timed.batch_id.tolist() == [0]  # FakeState's key
+
+    schema = "batch_id int, uid long, data_source string, score double, n_expected long"
+    rows = [(b, u, None if u == 4 else "s", float(b + u % 3), 9 if u % 2 else None) for b in range(2) for u in range(9)]
+    for k in range(3):
+        spark.createDataFrame([r for r in rows if r[1] % 3 == k and (r[0] == 0 or k < 2)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: stream_step_metrics(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/ckpt", late_dir=f"{tmp_path}/late")
+    out = lambda: sorted((r.batch_id, r.n_rows, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    run()
+    assert out() == [(0, 9, "complete")]
+    # the rest of batch 1 comes in another run, and a row of batch 0 too late
+    spark.createDataFrame([r for r in rows if r[1] % 3 == 2 and r[0] == 1] + rows[:1], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    spark.createDataFrame([(9, 0, "s", 1.0, 1)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    assert out() == [(0, 9, "complete"), (1, 9, "complete"), (9, 1, "complete")]
+    assert [r.batch_id for r in spark.read.parquet(f"{tmp_path}/late").collect()] == [0]
+    held = glob.glob(f"{tmp_path}/ckpt/held/epoch=*/status=held")
+    assert len(held) <= 1, held  # at most that of the last micro-batch
