@@ -159,25 +159,28 @@ def reorder(df: DataFrame, indices: DataFrame, row_key="row_idx", src="src_idx",
 def pad_to_divisor(df: DataFrame, divisor: int, row_key="row_idx", by=()):
     """Pad rows to a multiple of ``divisor`` by repeating the first rows
     (cycling when the pad is larger than the batch).  Returns the padded
-    table with ``is_pad`` and the pad size per batch."""
+    table with ``is_pad`` and the pad size per batch.  With ``by``, row keys
+    may have gaps: pads follow the last one."""
     by = list(by)
     if by:
-        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max(row_key).alias("_top"))
         sizes = sizes.withColumn("pad_size", F.pmod(-F.col("_n"), F.lit(divisor)))
-        x = df.join(sizes, by)
+        rank = F.dense_rank().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last(row_key))).cast("bigint")
+        x = df.join(sizes, by).withColumn("_at", F.when(F.col(row_key).isNotNull(), rank - 1))
     else:  # one batch: its size is a scalar
         n = df.count()
         sizes = df.sparkSession.createDataFrame([(n, (-n) % divisor)], "_n bigint, pad_size bigint")
         x = df.withColumn("_n", F.lit(n).cast("bigint")).withColumn("pad_size", F.lit((-n) % divisor).cast("bigint"))
+        x = x.withColumn("_at", F.col(row_key)).withColumn("_top", F.lit(None).cast("bigint"))
     # each source row i is copied for k = i, i+n, i+2n, ... < pad_size
-    copies = x.withColumn("_k", F.explode(F.sequence(F.col(row_key),
-                                                    F.greatest(F.col("pad_size") - 1, F.col(row_key)),
+    copies = x.withColumn("_k", F.explode(F.sequence(F.col("_at"),
+                                                    F.greatest(F.col("pad_size") - 1, F.col("_at")),
                                                     F.greatest(F.col("_n"), F.lit(1)))))
     copies = copies.filter(F.col("_k") < F.col("pad_size"))
-    pads = copies.withColumn(row_key, F.col("_n") + F.col("_k")).withColumn("is_pad", F.lit(True)).drop("_k")
+    pads = copies.withColumn(row_key, F.greatest(F.col("_n"), F.col("_top") + 1) + F.col("_k")).withColumn("is_pad", F.lit(True)).drop("_k")
     base = x.withColumn("is_pad", F.lit(False))
-    out = base.unionByName(pads).drop("_n")
-    return out, sizes.drop("_n")
+    out = base.unionByName(pads).drop("_n", "_at", "_top")
+    return out, sizes.drop("_n", "_top")
 
 
 def unpad(df: DataFrame, pad_size: int | Column, n: int | Column, row_key="row_idx") -> DataFrame:

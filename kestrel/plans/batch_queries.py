@@ -254,12 +254,13 @@ def l5(spark, sf):
 
 @reg("L6_reverse_index", "SELECT batch_id, CAST(row_idx AS BIGINT) AS row_idx, row_id FROM fx_lengths", ("fx_lengths",))
 def l6(spark, sf):
-    d = lengths(spark, sf)
-    bal = L.balance_batch(d, 2)
+    # equal rows per rank: padded as for L7, and the pads removed at the end
+    padded, _ = B.pad_to_divisor(lengths(spark, sf), 2, by=["batch_id"])
+    bal = L.balance_batch(padded, 2)
     rev = L.reverse_index(bal.select("batch_id", "row_idx", "new_idx"))
     # applying the inverse restores the original order
-    restored = bal.select("batch_id", F.col("new_idx").alias("row_idx"), "row_id").join(rev, ["batch_id", "row_idx"])
-    return restored.select("batch_id", F.col("reverse_idx").alias("row_idx"), "row_id")
+    restored = bal.select("batch_id", F.col("new_idx").alias("row_idx"), "row_id", "is_pad").join(rev, ["batch_id", "row_idx"])
+    return restored.filter(~F.col("is_pad")).select("batch_id", F.col("reverse_idx").alias("row_idx"), "row_id")
 
 
 @reg("L7_balance_batch", PADDED2 + """

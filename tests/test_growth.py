@@ -64,3 +64,13 @@ def test_batches_are_counted_in_state_and_held_beside_it(spark, tmp_path):
     assert [r.batch_id for r in spark.read.parquet(f"{tmp_path}/late").collect()] == [0]
     held = glob.glob(f"{tmp_path}/ckpt/held/epoch=*/status=held")
     assert len(held) <= 1, held  # at most that of the last micro-batch
+
+
+def test_reverse_index_of_odd_batches(spark, tmp_path):
+    from kestrel.plans.batch_queries import l6
+    docs = spark.range(513 + 7).filter(F.col("id") != 3).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), (F.col("id") * 7 % 100).alias("n_chars"))
+    docs.filter("doc_id < 515").write.parquet(f"{tmp_path}/documents.parquet")  # batches of 511 and 3
+    for name in "region nation customer supplier part orders lineitem events embeddings pages benchmark labels conversations".split():
+        spark.range(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted(map(tuple, l6(spark, str(tmp_path)).collect()))
+    assert got == [(i // 512, i % 512, i) for i in range(515) if i != 3]  # with a gap, too
