@@ -77,22 +77,24 @@ def digit_completion_prompts(spark: SparkSession, max_number: int, max_diff: int
 def digit_completion_answer(prompt) -> Column:
     """Next ``n`` terms of the modular sequence, comma-joined."""
     p = col(prompt)
-    nums, info = F.split(p, ":").getItem(0), F.split(p, ":").getItem(1)
-    a = F.split(nums, ",").getItem(0).cast("bigint")
-    b = F.split(nums, ",").getItem(1).cast("bigint")
-    m = F.split(info, ",").getItem(0).cast("bigint")
-    n = F.split(info, ",").getItem(1).cast("bigint")
-    diff = F.pmod(b - a, m)
-    terms = F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(n, F.lit(1).cast("bigint"))),
-                        lambda k: F.pmod(b + k * diff, m).cast("string"))
-    return F.when(n <= 0, F.lit("")).otherwise(F.array_join(terms, ","))
+    number = lambda text, at: F.split_part(text, F.lit(","), F.lit(at)).cast("bigint")
+    nums, info = F.split_part(p, F.lit(":"), F.lit(1)), F.split_part(p, F.lit(":"), F.lit(2))
+    parsed = F.struct(number(nums, 1).alias("a"), number(nums, 2).alias("b"), number(info, 1).alias("m"), number(info, 2).alias("n"))
+    # the prompt is parsed once; a reference inside the lambda would parse it for every term
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    terms = once(parsed, lambda q: F.when(q["n"] <= 0, F.lit("")).otherwise(once(F.pmod(q["b"] - q["a"], q["m"]), lambda diff: F.array_join(
+        F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(q["n"], F.lit(1).cast("bigint"))),
+                    lambda k: F.pmod(q["b"] + k * diff, q["m"]).cast("string")), ","))))
+    return F.when(p.isNotNull(), terms)
 
 
 def digit_completion_space(params: DataFrame, max_number="max_number", max_diff="max_diff",
                            max_n="max_num_in_response") -> DataFrame:
     """G4 per parameter row: every prompt of the space (first x diff x n),
     generated with ``explode(sequence)`` on the executors."""
-    x = params.withColumn("first", F.explode(F.sequence(F.lit(0), col(max_number).cast("int"))))
+    # few parameter rows make many prompts: they are dealt out before
+    x = params.repartition(int(params.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = x.withColumn("first", F.explode(F.sequence(F.lit(0), col(max_number).cast("int"))))
     x = x.withColumn("diff", F.explode(F.sequence(F.lit(0), col(max_diff).cast("int"))))
     x = x.withColumn("n", F.explode(F.sequence(F.lit(0), col(max_n).cast("int"))))
     second = F.pmod(F.col("first") + F.col("diff"), col(max_number))
