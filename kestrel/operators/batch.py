@@ -42,6 +42,17 @@ def global_index(df: DataFrame, order, name: str = "row_idx") -> DataFrame:
              .drop("__gi_pid", "__gi_mid", "__gi_pos", "__gi_off"))
 
 
+GROUPS_SENT = 100_000  # rows of a table with a row per group that are sent to every task
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, by) -> DataFrame:
+    """Rows joined to a table with a row per group.  Few groups, of which one
+    may be very large, are broadcast, so rows stay where they are."""
+    from kestrel.session import cut_lineage
+    groups = cut_lineage(groups, "groups")
+    return rows.join(F.broadcast(groups) if groups.count() <= GROUPS_SENT else groups, list(by))
+
+
 def index_within(df: DataFrame, by, order, name: str = "row_idx") -> DataFrame:
     """0-based index inside each ``by`` group (P17), skew-proof: a global
     index minus the group's first index (a one-row-per-group aggregate)."""
@@ -49,7 +60,7 @@ def index_within(df: DataFrame, by, order, name: str = "row_idx") -> DataFrame:
     order = [order] if isinstance(order, (str, Column)) else list(order)
     g = global_index(df, [*by, *order], "_gi")
     first = g.groupBy(*by).agg(F.min("_gi").alias("_g0"))
-    return g.join(first, by).withColumn(name, F.col("_gi") - F.col("_g0")).drop("_gi", "_g0")
+    return join_groups(g, first, by).withColumn(name, F.col("_gi") - F.col("_g0")).drop("_gi", "_g0")
 
 
 # ------------------------------------------------------------------ columns
@@ -237,7 +248,7 @@ def mini_batches(df: DataFrame, mini_batch_size: int, epochs: int = 1, seed: int
     e = e.withColumn("mini_batch_id", (F.col("_pos") / F.lit(mini_batch_size)).cast("bigint"))
     if drop_last:
         n = e.groupBy(*by, "epoch").agg(F.count(F.lit(1)).alias("_n"))
-        e = e.join(n, [*by, "epoch"]).filter(
+        e = join_groups(e, n, [*by, "epoch"]).filter(
             F.col("mini_batch_id") < F.floor(F.col("_n") / F.lit(mini_batch_size))).drop("_n")
     return e.drop("_h", "_pos")
 
