@@ -284,8 +284,10 @@ def build_dictionary(docs: DataFrame, doc_key="doc_id", tokens="tokens", by=())
     vocabulary (numbered partition by partition, never in one task).
     """
     by = list(by)
-    post = docs.select(*by, doc_key, F.explode(col(tokens)).alias("term")).distinct()
-    return dictionary_from_postings(post, by)
+    post = docs.select(*by, doc_key, F.explode(F.array_distinct(col(tokens))).alias("term"))
+    if docs.groupBy(*by, doc_key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).isEmpty():
+        return dictionary_from_postings(post, by)  # a row per document: terms are counted where they are
+    return dictionary_from_postings(post.distinct(), by)
 
 
 def dictionary_from_postings(post: DataFrame, by=()) -> DataFrame:

@@ -233,10 +233,11 @@ def t17(spark, sf):
 @reg("T18_decode", f"""
 SELECT doc_id, array_to_string({tok_sql('text')}, ' ') AS text FROM documents""")
 def t18(spark, sf):
-    from kestrel.operators.tokens import build_dictionary
+    from kestrel.operators.tokens import build_dictionary, join_terms
+    from kestrel.session import cut_lineage
     docs = corpus(spark, sf)
-    voc = build_dictionary(docs, "doc_id", "tokens")
-    long = docs.select("doc_id", F.posexplode("tokens").alias("t", "term")).join(voc.select("term", "term_id"), "term")
+    voc = cut_lineage(build_dictionary(docs, "doc_id", "tokens"), "terms")
+    long = join_terms(docs.select("doc_id", F.posexplode("tokens").alias("t", "term")), voc.select("term", "term_id", "df"))
     vocab = voc.select(F.col("term_id").alias("token_id"), F.col("term").alias("piece"))
     dec = TK.decode(long.select("doc_id", "t", F.col("term_id").alias("token_id")), vocab, row_key="doc_id")
     # documents without any token decode to the empty string
