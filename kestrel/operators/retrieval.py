@@ -28,10 +28,13 @@ Scale design
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,24 +67,37 @@ def tokenize(df: DataFrame, text="text", stopwords=STOPWORDS_EN, out="tokens", s
     return df.withColumn(out, analyse(text, stopwords, stem))
 
 
+POSTINGS_SENT = 1 << 16  # postings in an Arrow batch
+
+
 def postings(docs: DataFrame, doc_key="doc_id", tokens="tokens", task="task") -> DataFrame:
     """(task, term, doc, tf, dl): term frequencies per document and the
     document length in tokens.
 
-    A document is one row, so its term counts are computed in the row: sort
-    the tokens, mark where a run of equal tokens starts, and take run
-    lengths.  The postings come out of a narrow map (no shuffle of the token
-    stream), partitioned like the documents."""
-    x = docs.select(task, doc_key, F.sort_array(col(tokens)).alias("_s"))
-    x = x.withColumn("dl", F.size("_s"))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.col("dl"), F.lit(1))),
-                      lambda i: (F.col("dl") > 0) & ((i == 1) | (F.element_at("_s", i) != F.element_at("_s", i - 1))))
-    x = x.withColumn("_st", starts)
-    # run ends; an empty document has no runs (zip_with would pad with nulls)
-    ends = F.when(F.col("dl") > 0, F.concat(F.slice("_st", 2, F.greatest(F.size("_st"), F.lit(1))),
-                                           F.array(F.col("dl") + 1))).otherwise(F.array().cast("array<int>"))
-    runs = F.zip_with("_st", ends, lambda a, b: F.struct(F.element_at("_s", a).alias("term"), (b - a).alias("tf")))
-    return x.select(task, doc_key, "dl", F.inline(runs)).select(task, "term", doc_key, F.col("tf").cast("bigint").alias("tf"), "dl")
+    A document is one row, so its terms are counted in the row, many rows at a
+    time in Arrow batches: a term's number in the batch and its row make a key,
+    and equal keys are counted.  The postings come out of a narrow map (no
+    shuffle of the token stream), partitioned like the documents."""
+    x = docs.select(col(task).alias("task"), col(doc_key).alias("doc"), col(tokens).alias("tokens"))
+    kinds = dict(x.dtypes)
+
+    def count(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            terms = lists.flatten().dictionary_encode()
+            if not len(terms):
+                continue
+            n = len(terms.dictionary)
+            key, tf = np.unique(np.repeat(np.arange(len(length)) * n, length) + terms.indices.to_numpy(), return_counts=True)
+            for at in range(0, len(key), POSTINGS_SENT):
+                row, term = np.divmod(key[at:at + POSTINGS_SENT], n)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(row)), terms.dictionary.take(pa.array(term)), batch.column(1).take(pa.array(row)),
+                    pa.array(tf[at:at + POSTINGS_SENT].astype(np.int64)), pa.array(length[row].astype(np.int32))], ["task", "term", "doc", "tf", "dl"])
+
+    post = x.mapInArrow(count, f"task {kinds['task']}, term string, doc {kinds['doc']}, tf bigint, dl int")
+    return post.select(F.col("task").alias(task), "term", F.col("doc").alias(doc_key), "tf", "dl")
 
 
 def corpus_stats(docs: DataFrame, tokens="tokens", task="task") -> DataFrame:
@@ -436,7 +452,8 @@ class DenseIndex:
 
     def __init__(self, docs: DataFrame, doc_key="doc_id", dvec="vec", order="doc_order"):
         from kestrel.session import cut_lineage
-        d = docs.select(F.col(doc_key).alias("d"), F.col(dvec).alias("v"), F.col(order).cast("bigint").alias("o")).filter(F.col("v").isNotNull())
+        d = docs.select(F.col(doc_key).alias("d"), F.col(dvec).alias("v"), F.col(order).cast("bigint").alias("o"))
+        d = cut_lineage(d, "dense-documents").filter(F.col("v").isNotNull())  # encoded once
         n = d.agg(F.count(F.lit(1)).alias("n")).first()["n"]
         chosen = d.orderBy(F.xxhash64("d"), "d").limit(max(1, min(PIVOTS, n // 64))).select("v").collect()
         pivots = self.pivots = _unit_rows([r["v"] for r in chosen]) if chosen else np.zeros((0, 1))
@@ -620,19 +637,22 @@ def dense_run(queries: DataFrame, docs: DataFrame, excluded: DataFrame, k: int =
 
 def hashed_bow_encoder(dim: int = 64, seed: int = 0, element: str = "float"):
     """R7 default encoder: a text's words counted in ``dim`` buckets of their
-    MD5, L2-normalised, in built-in expressions (a stand-in for a sentence
-    encoder; any function of a column plugs in, such as ``predict_batch_udf``).
-    The buckets are sorted and counted as runs: one pass over the words."""
+    MD5, L2-normalised (a stand-in for a sentence encoder; any function of a
+    column plugs in, such as ``predict_batch_udf``).  Words are split in
+    built-in expressions; Arrow batches hash each distinct word once."""
+    kind = {"float": np.float32, "double": np.float64}[element]
+
+    @F.arrow_udf(f"array<{element}>")
+    def counted(lists: pa.Array) -> pa.Array:
+        length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        bucket = np.array([int(hashlib.md5(f"{seed}:{w}".encode()).hexdigest()[:7], 16) % dim for w in words.dictionary.to_pylist()], np.int64)
+        at = np.repeat(np.arange(len(length)) * dim, length) + bucket[words.indices.to_numpy()]
+        unit = _unit_rows(np.bincount(at, minlength=len(length) * dim).reshape(-1, dim)) if len(length) else np.zeros((0, dim))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(length) + 1) * dim, pa.int32()), pa.array(unit.astype(kind).ravel()))
+
     def encode(text) -> Column:
-        words = F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != "")
-        at = F.transform(words, lambda w: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), w)), 1, 7), 16, 10).cast("bigint") % dim)
-        once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
-        none = F.array().cast("array<int>")
-        ends = lambda b: F.when(F.size(b) > 0, F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: (i == F.size(b)) | (F.get(b, i - 1) != F.get(b, i)))).otherwise(none)
-        runs = lambda b: once(ends(b), lambda e: F.map_from_arrays(
-            F.transform(e, lambda i: F.get(b, i - 1)), F.zip_with(e, F.slice(F.concat(F.array(F.lit(0)), e), F.lit(1), F.size(e)), lambda x, y: (x - y).cast("double"))))
-        full = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i.cast("bigint")), F.lit(0.0)))
-        return once(F.array_sort(at), lambda b: once(runs(b), lambda m: once(full(m), lambda v: l2_normalize(v).cast(f"array<{element}>"))))
+        return counted(F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != ""))
     return encode
 
 

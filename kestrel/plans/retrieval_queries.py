@@ -209,9 +209,11 @@ adf AS (SELECT task, term, count(*) AS df FROM p GROUP BY task, term)
 SELECT doc_id, term, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + {K1} * (1 - {B} + {B} * dl / avgdl)), 6) + 0.0 AS w
 FROM p JOIN adf USING (task, term) JOIN st USING (task)""")
 def r3(spark, sf):
+    from kestrel.session import cut_lineage
     docs = corpus(spark, sf)
-    post = RT.postings(docs)
-    w = RT.document_weights(post, RT.corpus_stats(docs), RT.document_frequency(post), K1, B)
+    post = cut_lineage(RT.postings(docs))  # read for the frequencies, the lengths and the weights
+    stats = RT.corpus_stats_from_postings(post, docs.select("task", "doc_id"))
+    w = RT.document_weights(post, stats, RT.document_frequency(post), K1, B)
     return w.select("doc_id", "term", r6(F.col("w")).alias("w"))
 
 
