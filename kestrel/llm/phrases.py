@@ -35,10 +35,12 @@ from kestrel.llm.words import BASES, LOWER, PIECE_BYTES, mix, powers, utf8
 from kestrel.session import cut_lineage
 
 PART_BYTES = 1 << 24      # bytes of text for one hash partition of n-grams
-FLUSH_WORDS = 1_000_000   # words whose n-grams a task counts together
+FLUSH_WORDS = 750_000     # words whose n-grams a task counts together
 ID_BITS = 21              # of a word's number among them
 MERGE = 1 << 18           # keys, or n-grams, gathered before they are summed: or as many as the sum has
 MASS, KEYS, WORDS = 0, 1, 2  # kinds of rows, in the order they are read
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SENT_BYTES = 4 << 20      # of rows sent to Python together
 NONE = (1 << ID_BITS) - 1
 SHIFTS = (np.uint64(2 * ID_BITS), np.uint64(ID_BITS), np.uint64(0))
 CHUNK = 1 << 19           # n-grams keyed together
@@ -423,7 +425,13 @@ def collocations(docs: DataFrame, threshold: int = 10, inside_pct: int = 50, fir
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
     parts = max(1, -(-size // PART_BYTES))
     rows = count_rows(docs, lang_col, text_col, parts).repartition("lang", "part").sortWithinPartitions("lang", "part", "kind")
-    counts = cut_lineage(frequent(rows, threshold), "phrases")
+    spark = docs.sparkSession
+    before = spark.conf.get(ARROW_BYTES, None)
+    spark.conf.set(ARROW_BYTES, str(SENT_BYTES))  # the rows of a partition are long: few at a time
+    try:
+        counts = cut_lineage(frequent(rows, threshold), "phrases")
+    finally:
+        spark.conf.set(ARROW_BYTES, before) if before else spark.conf.unset(ARROW_BYTES)
     grams = counts.filter(F.col("phrase").isNotNull())
     totals = counts.filter(F.col("phrase").isNull()).groupBy("lang").agg(F.sum("f").alias("n"))
     return ranked(scored(grams, inside_pct), totals, first)
