@@ -18,10 +18,11 @@ import re
 import sys
 import types
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import chain, pairwise, repeat
 from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: The pre-tokenisation of the two vocabularies, for Latin-1 text (fixed values).
@@ -33,6 +34,11 @@ MEMO_MAX = 700_000          # entries of a worker's memo; it starts anew beyond
 SEGMENT_CHARS = 1_000_000   # longer texts are encoded segment by segment
 BATCH_CHARS = 2_000_000     # texts encoded together
 TOKEN_ID = attrgetter("id")
+START = b"\xff"             # before a text's first chunk: no byte of UTF-8
+SPACE, LINE_FEED = 32, 10
+SHOWN = np.array([not chr(i).isspace() if i < 0x80 else i < 0xFF for i in range(256)])  # a byte that ASCII white space or START is not
+WHITE_2, WHITE_3 = (np.array([int.from_bytes(chr(i).encode(), "big") for i in r if chr(i).isspace()], np.int32)
+                    for r in (range(0x80, 0x800), range(0x800, 0xD800)))
 
 
 def worker_state(name: str) -> dict:
@@ -49,6 +55,31 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def chunked(texts: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The chunks of all texts, as CUT cuts them, in UTF-8, and the number of
+    each text's first chunk.  A chunk begins with the space or line feed it
+    was cut at, a text's first chunk with START."""
+    data = [t.encode() for t in texts]
+    joined = START + START.join(data) + 4 * START
+    size = np.fromiter(map(len, data), np.int64, len(data)) + 1
+    first, total = np.cumsum(size) - size, int(size.sum())
+    b = np.frombuffer(joined, np.uint8)
+    at = np.flatnonzero((b[:total] == SPACE) | (b[:total] == LINE_FEED))
+    at = at[SHOWN[b[at - 1]] & SHOWN[b[at + 1]]]
+    wide = (b[at - 1] >= 0x80) | (b[at + 1] >= 0x80)
+    if wide.any():  # white space of two or three bytes
+        p = at[wide]
+        before, after = ((b[p + i].astype(np.int32) << 16) + (b[p + i + 1].astype(np.int32) << 8) + b[p + i + 2] for i in (-3, 1))
+        white = np.isin(before, WHITE_3) | np.isin(before & 0xFFFF, WHITE_2) | np.isin(after, WHITE_3) | np.isin(after >> 8, WHITE_2)
+        wide[wide] = white
+        at = at[~wide]
+    begins = np.zeros(total + 1, bool)
+    begins[at] = begins[first] = begins[total] = True
+    offsets = np.flatnonzero(begins)
+    chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
+    return chunks, np.searchsorted(offsets, first)
+
+
 class Encoder:
     """``encode(texts)``: all ids, and the number of ids of each text."""
 
@@ -80,99 +111,111 @@ class Encoder:
         return "whole"
 
     def _clear(self) -> None:
-        self.memo: dict = {}
-        self.of_piece: dict[str, tuple[int, ...]] = {}  # tuples of numbers: the garbage collector does not walk them
+        self.memo: dict[bytes, int] = {}
+        self.of_piece: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _keys(self, text: str) -> list:
-        """Chunks of a text: ``x`` stands for a space and ``x``; one that
-        starts with a line feed, or in a tuple, for itself."""
-        if not text:
-            return []
-        words: list = text.split()
-        lines = "\n" in text
-        if (text.replace("\n", " ") if lines else text) != " ".join(words):  # other white space, or more than one
-            return [c[1:] if c[0] == " " and len(c) > 1 and not c[1].isspace() else c if c[0] == "\n" and len(c) > 1 and not c[1].isspace() else (c,) for c in CUT.split(text)]
-        keys = text.replace("\n", " \n").split(" ") if lines else words
-        keys[0] = (keys[0],)
-        return keys
-
-    def _piece_ids(self, piece: str) -> tuple[int, ...]:
-        if not piece.isascii():
-            shown = piece.encode().decode("latin-1").translate(self.alphabet)
-        else:  # a space or line feed can only be the first character
-            shown = self.alphabet[ord(piece[0])] + piece[1:] if piece[0] in " \n" else piece
-        ids = self.of_piece[piece] = tuple(map(TOKEN_ID, self.model.tokenize(shown)))
-        return ids
-
-    def _learn(self, keys: list) -> None:
+        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)  # a chunk's ids in flat
+        self.piece_at, self.piece_size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _hold(self, name: str, at: int, values) -> None:
+        """Write values into one of the arrays, which grows as needed."""
+        a = getattr(self, name)
+        while len(a) < at + len(values):
+            a = np.resize(a, 2 * len(a))
+        a[at:at + len(values)] = values
+        setattr(self, name, a)
+
+    def _hold_ids(self, ids, size: np.ndarray, name: str, n: int) -> None:
+        """Append ids, ``size`` of them for every entry from number ``n`` on."""
+        self._hold("flat", self.used, ids)
+        self._hold(f"{name}at", n, self.used + np.cumsum(size) - size)
+        self._hold(f"{name}size", n, size)
+        self.used += len(ids)
+
+    def _gather(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(at - (ends - size), size)]
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The pieces' numbers; new ones go through the tokenizer's model."""
+        got = np.fromiter(map(self.of_piece.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(got < 0)
+        if missing.size:
+            absent = [pieces[i] for i in missing]
+            new, n = list(dict.fromkeys(absent)), len(self.of_piece)
+            ascii_only = [p for p in new if p.isascii()]  # of these only a leading space or line feed looks different
+            wide = [p for p in new if not p.isascii()]
+            shown = "\t".join(ascii_only).replace(" ", self.alphabet[SPACE]).replace("\n", self.alphabet[LINE_FEED]).split("\t") if ascii_only else []
+            shown += [p.encode().decode("latin-1").translate(self.alphabet) for p in wide]
+            tokens = list(map(self.model.tokenize, shown))
+            size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            self._hold_ids(np.fromiter(map(TOKEN_ID, chain.from_iterable(tokens)), np.uint32, int(size.sum())), size, "piece_", n)
+            self.of_piece.update(zip(chain(ascii_only, wide), range(n, n + len(new))))
+            got[missing] = np.fromiter(map(self.of_piece.__getitem__, absent), np.int64, len(absent))
+        return got
+
+    def _learn(self, keys: list[bytes]) -> None:
         """Encode chunks and append them to the memo."""
-        odd, new, ends = [], [], []
-        lower, split, plain, known = self.kind == "word", self.pieces.findall, self.plain.fullmatch, self.of_piece.get
-        n = first = len(self.memo)
-        every = " ".join([k[0] if isinstance(k, tuple) else k for k in keys]).lower()
+        lower, split, plain = self.kind == "word", self.pieces.findall, self.plain.fullmatch
+        every = b"".join(keys).replace(START, b" ").decode().lower()
         added = [a for a in self.added if a in every]  # in any of these chunks
         letters = not any(a.isalpha() for a in added)
+        single, mixed, odd, texts, odd_texts = [], [], [], [], []
         for k in keys:
-            if letters and type(k) is str and k.isascii() and k.isalpha():  # one piece
-                text = k.lower() if lower else " " + k
-                new += known(text) or self._piece_ids(text)
+            if letters and k[0] == SPACE and k[1:].isalpha():  # one piece
+                single.append(k)
+                continue
+            text = k[1:].decode() if k[0] == START[0] else k.decode()
+            if not plain(text) or (added and any(a in text.lower() for a in added)):
+                odd.append(k)
+                odd_texts.append(text)
             else:
-                text = k[0] if isinstance(k, tuple) else k if lower or k[0] == "\n" else " " + k
-                if not plain(text) or (added and any(a in text.lower() for a in added)):
-                    odd.append((k, text))
-                    continue
-                for p in split(text.lower() if lower else text):
-                    new += known(p) or self._piece_ids(p)
-            ends.append(len(new))
-            self.memo[k] = n
-            n += 1
+                mixed.append(k)
+                texts.append(text.lower() if lower else text)
+        words = b"".join(single).decode()
+        pieces = words.lower().split() if lower else words.replace(" ", "\t ").split("\t")[1:]
+        found = [split(t) for t in texts]
+        number = self._numbers([*pieces, *chain.from_iterable(found)])
+        n, own, rest = len(self.memo), number[:len(single)], number[len(single):]
+        self._hold("at", n, self.piece_at[own])
+        self._hold("size", n, self.piece_size[own])
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        size = self.piece_size[rest]
+        self._hold_ids(self._gather(self.piece_at[rest], size), np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])]), "", n + len(single))
         if odd:
-            for (k, _), e in zip(odd, self.tok.encode_batch([t for _, t in odd], add_special_tokens=False), strict=True):
-                new += e.ids
-                ends.append(len(new))
-                self.memo[k] = n
-                n += 1
-        while len(self.at) < n:
-            self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
-        while len(self.flat) < self.used + len(new):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        cuts = np.array([0, *ends], np.int64)
-        self.at[first:n], self.size[first:n] = self.used + cuts[:-1], np.diff(cuts)
-        self.flat[self.used:self.used + len(new)] = new
-        self.used += len(new)
+            got = [e.ids for e in self.tok.encode_batch(odd_texts, add_special_tokens=False)]
+            self._hold_ids(list(chain.from_iterable(got)), np.fromiter(map(len, got), np.int64, len(got)), "", n + len(single) + len(mixed))
+        self.memo.update(zip(chain(single, mixed, odd), range(n, n + len(keys))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if self.kind == "whole":
             got = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(g) for g in got], np.int64)
         if len(self.memo) > MEMO_MAX:
             self._clear()
-        keys: list = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            own = self._keys(t)
-            counts[i] = len(own)
-            keys += own
-        idx = np.fromiter(map(self.memo.get, keys, repeat(-1)), np.int64, len(keys))
-        missing = np.flatnonzero(idx < 0)
+        chunks, first = chunked(texts)
+        chunks = chunks.dictionary_encode()  # a chunk that repeats in the batch is looked up once
+        at, blob = np.frombuffer(chunks.dictionary.buffers()[1], np.int64), chunks.dictionary.buffers()[2].to_pybytes()
+        keys = [blob[i:j] for i, j in pairwise(at[:len(chunks.dictionary) + 1].tolist())]
+        own = np.fromiter(map(self.memo.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(own < 0)
         if missing.size:
             absent = [keys[i] for i in missing]
             collecting = gc.isenabled()
             gc.disable()  # nothing made there is cyclic, and the memo is large to walk
             try:
-                self._learn(list(dict.fromkeys(absent)))
+                self._learn(absent)
             finally:
                 if collecting:
                     gc.enable()
-            idx[missing] = np.fromiter(map(self.memo.__getitem__, absent), np.int64, len(absent))
+            own[missing] = np.fromiter(map(self.memo.__getitem__, absent), np.int64, len(absent))
+        idx = own[chunks.indices.to_numpy()]
         size = self.size[idx]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        take = np.arange(total) + np.repeat(self.at[idx] - (ends - size), size)
-        per_text = np.diff(np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]]))
-        return self.flat[take], per_text
+        per_text = np.diff(np.concatenate([[0], np.cumsum(size)])[[*first, len(idx)]])
+        return self._gather(self.at[idx], size), per_text
 
 
 def encoder(path: str) -> Encoder:

@@ -29,6 +29,38 @@ def test_memo_encoding_equals_whole_text_encoding(name, base_rows, monkeypatch):
         assert ids.tolist() == want(text)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_chunk_that_repeats_is_looked_up_once_a_batch(name):
+    class Memo(dict):
+        asked = 0
+
+        def get(self, *a):
+            Memo.asked += 1
+            return super().get(*a)
+
+    enc, want = Encoder(P.path(name)), reference(name)
+    enc.memo = Memo()
+    texts = ["one two, two\ntwo one two"] * 50
+    assert [x.tolist() for x in encode_each(enc, texts)] == [want(t) for t in texts]
+    assert Memo.asked <= 5  # "one" at a start, " two,", " two", "\ntwo", " one"
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_cut_beside_any_white_space(name, monkeypatch):
+    monkeypatch.setattr(text_tokens, "SEGMENT_CHARS", 60)
+    monkeypatch.setattr(text_tokens, "BATCH_CHARS", 500)
+    rnd = random.Random(7)
+    bits = ["", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000",
+            "a", "B", "word", "Wort", "don't", "'S", "12", ".", "\x00", "\x7f", "ÿ", "é", "×", "Ā", "“", "—", "、", "中", "Σ", "İ", "e\u0301", "\U0001F600", "\ufeff", "\ufffd"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(60))) for _ in range(1500)]
+    want = reference(name)
+    for text, ids in zip(texts, encode_each(Encoder(P.path(name)), texts), strict=True):
+        assert ids.tolist() == want(text), repr(text)
+    for text in texts[:300]:
+        chunks, first = text_tokens.chunked(["x", text])
+        assert [c.lstrip(b"\xff").decode() for c in chunks.to_pylist()[first[1]:]] == text_tokens.CUT.split(text)
+
+
 def test_plan_is_gapless_and_tight():
     rnd = random.Random(2)
     hist = Counter(min(100, int(rnd.expovariate(0.05)) + 1) for _ in range(5000))
