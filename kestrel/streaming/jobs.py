@@ -222,13 +222,14 @@ KL_STATE = "next_step int, coef double, pending string, deadline long"
 KL_OUT = "run int, step int, kl_coef double, status string"
 
 
-def kl_state_fn(init: float, target: float, horizon: float, wait_ms: int = 600_000, max_pending: int = 10_000):
+def kl_state_fn(init: float, target: float, horizon: float, wait_ms: int = 600_000, max_pending: int | None = None):
     """ST2 state function: per run, apply steps strictly in order.
 
-    A gap is released ``wait_ms`` after it opened, or as soon as more than
-    ``max_pending`` steps wait: the missing steps count as not having changed
-    the coefficient, a row with status ``gap`` names the first of them, and
-    the run goes on.  Steps that come after that, or twice, and rows with a
+    Steps wait in state, however many, until those before them are there.  A
+    gap is released ``wait_ms`` after it opened (with ``max_pending``, also as
+    soon as more steps than that wait): the missing steps count as not having
+    changed the coefficient, a row with status ``gap`` names the first of them,
+    and the run goes on.  Steps that come after that, or twice, and rows with a
     null change nothing."""
     def advance(run, nxt, coef, pending, out):
         while nxt in pending:
@@ -254,7 +255,7 @@ def kl_state_fn(init: float, target: float, horizon: float, wait_ms: int = 600_0
                     if step >= nxt:
                         pending.setdefault(int(step), (float(kl), int(n)))
                     nxt, coef = advance(run, nxt, coef, pending, out)
-                    while len(pending) > max_pending:
+                    while max_pending is not None and len(pending) > max_pending:
                         skip()
                         nxt, coef = advance(run, min(pending), coef, pending, out)
         if not pending:
@@ -270,7 +271,7 @@ def kl_state_fn(init: float, target: float, horizon: float, wait_ms: int = 600_0
 
 
 def stream_kl_coefficients(spark: SparkSession, source_dir: str, schema, sink_dir: str, checkpoint_dir: str,
-                           init: float, target: float, horizon: float, wait_ms: int = 600_000, max_pending: int = 10_000) -> None:
+                           init: float, target: float, horizon: float, wait_ms: int = 600_000, max_pending: int | None = None) -> None:
     """ST2: running adaptive KL coefficient per run from a stream of
     (run, step, current_kl, n_rows) rows; output = coefficient used at each
     step, identical to the batch result of A13 where no step is missing, with

@@ -85,6 +85,16 @@ def test_waiting_steps_are_bounded():
     assert [r[1] for r in got if r[3] == "step"] == list(range(5, 35, 2))
 
 
+def test_many_steps_wait_for_earlier_ones():
+    steps = [(s, 0.01 * (s % 4 + 1), 16) for s in range(30_000)]
+    fn, st = kl_state_fn(0.2, 0.02, 1e6), FakeState()
+    got = [r for first in (2, 1, 0) for r in feed(fn, st, steps[first::3])]  # 20,000 wait for step 0
+    assert [r[1] for r in got] == list(range(30_000)) and {r[3] for r in got} == {"step"}
+    exp = batch_coefs(steps, 0.2, 0.02, 1e6)
+    assert [r[2] for r in got] == pytest.approx([exp[s] for s in range(30_000)])
+    assert st.get[2] == "[]"
+
+
 def test_batch_is_held_until_complete_or_late():
     names = ["batch_id", "score", "n_expected"]
     fn, st = hold_batch_fn(names, "n_expected", 100), FakeState()
