@@ -144,15 +144,16 @@ def document_weights(post: DataFrame, stats: DataFrame, dfs: DataFrame, k1: floa
 
 def query_weights(queries: DataFrame, post: DataFrame, stats: DataFrame, qid="qid", tokens="tokens",
                   task="task", k1: float = 0.9, b: float = 0.4, query_weighting: str = "bm25") -> DataFrame:
-    """R4 query side: (task, qid, term, wq, idf) over known terms only.
+    """R4 query side: (task, qid, term, wq, idf, avgdl, df) over known terms only.
 
     ``bm25`` weights the query with the same model (idf enters twice and the
     query length term uses known tokens only); ``tf`` uses raw counts.
     """
+    from kestrel.session import cut_lineage
     qt = queries.select(task, qid, F.explode(tokens).alias("term")).groupBy(task, qid, "term") \
         .agg(F.count(F.lit(1)).alias("tfq"))
     dfs = document_frequency(post, qt)
-    known = qt.join(dfs, [task, "term"])
+    known = cut_lineage(qt.join(dfs, [task, "term"]), "known-terms")  # a row per query and term, read twice
     ql = known.groupBy(task, qid).agg(F.sum("tfq").alias("ql"))
     k = known.join(ql, [task, qid]).join(F.broadcast(stats), task)
     idf = lucene_idf("n_docs", "df")
@@ -162,7 +163,7 @@ def query_weights(queries: DataFrame, post: DataFrame, stats: DataFrame, qid="qi
         wq = F.col("tfq").cast("double")
     else:
         raise ValueError(f"unknown query weighting {query_weighting!r}")
-    return k.select(task, qid, "term", wq.alias("wq"), idf.alias("idf"), "avgdl")
+    return k.select(task, qid, "term", wq.alias("wq"), idf.alias("idf"), "avgdl", "df")
 
 
 def query_term_rows(queries: DataFrame, qid="qid", tokens="tokens", task="task") -> int:
@@ -200,7 +201,10 @@ def _allowed(scores: DataFrame, excluded: DataFrame, qid: str, doc_key: str, tas
     return scores.withColumn("_x", F.col(doc_key).cast("string")).join(ex, [*keys, "_x"], "left_anti").drop("_x")
 
 
-DIRECT_SHARE = 0.5  # of a run's postings: heads of that many make bounds dearer than scoring every pair
+DIRECT_SHARE = 0.5  # of the rows that scoring every pair makes: candidates that make as many are dearer
+PAIR_ROWS = 2_000_000  # (posting, query) rows of a task that scores every pair
+SLICES = 16  # the best of one slice of the documents bound the best of all
+SCORE_DIGITS = 9  # scores are ranked rounded to so many
 
 
 def _small(df: DataFrame, query_rows: int | None) -> DataFrame:
@@ -259,28 +263,95 @@ def bm25_cuts(plan: DataFrame, post: DataFrame, excluded: DataFrame, k: int = 10
             .select(task, qid, "term", "cut"))
 
 
+def _every_pair(terms: DataFrame, post: DataFrame, excluded: DataFrame, k: int, qid: str, doc_key: str, task: str,
+                order: str | None, rows: int) -> DataFrame:
+    """The best ``k`` of queries whose ``terms`` (task, qid, term, g) can be
+    broadcast, every pair scored.  Postings of query terms and exclusions are
+    dealt by document, so a task has all of a document's rows: pairs are made,
+    summed and ranked where they are and never sent or written.  The k-th best
+    score of one slice of the documents is reached by ``k`` of all; only pairs
+    that reach it are sorted, and a task sends ``k`` of a query at most."""
+    from kestrel.session import cut_lineage
+    keys = query_keys(qid, task, terms, excluded)
+    kind, by = dict(post.dtypes)[doc_key], dict(terms.dtypes)[qid]
+    barred = (excluded.select(*keys, F.col(doc_key).cast("string").alias("_x")).filter(F.col("_x") != "N/A")
+              .withColumn(doc_key, F.col("_x").try_cast(kind)).filter(F.col(doc_key).cast("string") == F.col("_x"))
+              .join(F.broadcast(terms.select(task, qid).distinct()), keys))
+    own = post.join(F.broadcast(terms.select(task, "term").distinct()), [task, "term"], "left_semi")
+    dealt = own.select(task, "term", doc_key, "tfp", F.lit(None).cast(by).alias("_by")).unionByName(
+        barred.select(task, F.lit(None).cast("string").alias("term"), doc_key, F.lit(None).cast("double").alias("tfp"), F.col(qid).cast(by).alias("_by")))
+    least = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rounded = F.round("score", SCORE_DIGITS)
+
+    def pairs(some: DataFrame, rows: int) -> DataFrame:
+        met = some.repartition(max(least, -(-rows // PAIR_ROWS)), doc_key).join(F.broadcast(terms), [task, "term"], "left")
+        return (met.groupBy(task, F.coalesce(qid, "_by").alias(qid), doc_key)
+                .agg(F.sum(F.col("g") * F.col("tfp")).alias("score"), F.max(F.col("_by").isNotNull()).alias("_barred"))
+                .filter(~F.col("_barred")).drop("_barred"))
+
+    def first(scores: DataFrame, *then) -> DataFrame:
+        turn = (F.row_number() if then else F.rank()).over(Window.partitionBy(task, qid).orderBy(F.desc("_s"), *then))
+        return scores.withColumn("_r", turn).filter(F.col("_r") <= k)
+
+    part = first(pairs(dealt.filter(F.pmod(F.xxhash64(doc_key), F.lit(SLICES)) == 0), -(-rows // SLICES)).withColumn("_s", rounded), doc_key)
+    bound = cut_lineage(part.filter(F.col("_r") == k).select(F.col(task).alias("_task"), F.col(qid).alias("_q"), F.col("_s").alias("_least")), "bm25-bounds")
+    every = pairs(dealt, rows).withColumn("_s", rounded).join(
+        F.broadcast(bound), F.col(task).eqNullSafe(F.col("_task")) & F.col(qid).eqNullSafe(F.col("_q")), "left")
+    can = every.filter(F.col("_least").isNull() | (F.col("_s") >= F.col("_least")))
+    return first(can, *([order] if order else [])).select(task, qid, doc_key, "score")
+
+
+def bm25_every_pair(terms: DataFrame, post: DataFrame, excluded: DataFrame, k: int = 1000, qid="qid", doc_key="doc_id",
+                    task="task", order: str | None = None) -> DataFrame:
+    """``bm25_top_k`` by scoring every pair, for queries of BROADCAST_MAX_ROWS
+    ``terms`` at a time (written, with ``df``)."""
+    from kestrel.session import cut_lineage
+    n = terms.count()
+    blocks = max(1, -(-n // BROADCAST_MAX_ROWS))
+    out = None
+    for block in range(blocks):
+        some = terms if blocks == 1 else terms.filter(F.pmod(F.xxhash64(task, qid), F.lit(blocks)) == block)
+        rows = some.agg(F.sum("df")).first()[0] or 0
+        best = _every_pair(some.select(task, qid, "term", "g"), post, excluded, k, qid, doc_key, task, order, int(rows))
+        best = best if blocks == 1 else cut_lineage(best, "bm25-best")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def bm25_top_k(qw: DataFrame, post: DataFrame, excluded: DataFrame, k: int = 1000, qid="qid", doc_key="doc_id",
-               task="task", query_rows: int | None = None) -> DataFrame:
-    """R4 + R6 without scoring every pair: (task, qid, doc, score) with the
+               task="task", query_rows: int | None = None, order: str | None = None) -> DataFrame:
+    """R4 + R6 without a table of every pair: (task, qid, doc, score) with the
     exact scores of all documents that can be among a query's first ``k``,
-    excluded ones left out, ties with the k-th score included.  ``post``:
-    ``impact_postings`` of a written table.  Candidates come from the impact blocks
-    that ``bm25_cuts`` leaves; they get their full scores by an equi-join on
-    (document, term), so a common term's postings meet candidates only.  Where
-    the plan counts DIRECT_SHARE of the run's postings in the heads (``k`` near
-    the number of matches), bounds leave little out: every pair is scored."""
+    excluded ones left out, ties with the k-th score (rounded to SCORE_DIGITS)
+    included; with ``order``, a column of ``post`` that breaks ties, no more
+    than ``k`` where every pair is scored.  ``qw``: of ``query_weights``; ``post``:
+    ``impact_postings`` of a written table.
+
+    Candidates come from the impact blocks that ``bm25_cuts`` leaves; they get
+    their full scores by an equi-join on (document, term), so a common term's
+    postings meet candidates only.  That sends a row per candidate and query
+    term.  Where the frequencies, the plan or the cuts tell that these would be
+    DIRECT_SHARE of all (posting, query) rows (``k`` near the number of matches,
+    long queries of common words), every pair is scored in memory instead."""
     from kestrel.session import cut_lineage
-    terms = cut_lineage(qw.select(task, qid, "term", (F.col("wq") * F.col("idf")).alias("g")), "bm25-terms")
-    plan = bm25_plan(terms, post, excluded, k, qid, doc_key, task, query_rows)
-    heads, every = plan.agg(F.sum("n_head"), F.sum("n_all")).first()
-    if (heads or 0) >= DIRECT_SHARE * (every or 0):
-        scores = (post.select(task, "term", doc_key, "tfp").join(_small(terms, query_rows), [task, "term"])
-                  .groupBy(task, qid, doc_key).agg(F.sum(F.col("g") * F.col("tfp")).alias("score")))
-        return _allowed(scores, excluded, qid, doc_key, task)
+    terms = cut_lineage(qw.select(task, qid, "term", (F.col("wq") * F.col("idf")).alias("g"), "df"), "bm25-terms")
+    lengths = terms.groupBy(F.col(task).alias("_task"), F.col(qid).alias("_q")).agg(F.count(F.lit(1)).alias("_terms"))
+    of_query = lambda df: df.join(lengths, F.col(task).eqNullSafe(F.col("_task")) & F.col(qid).eqNullSafe(F.col("_q")))
+    enough = lambda made, every: (made or 0) >= DIRECT_SHARE * (every or 0)
+    direct = lambda: bm25_every_pair(terms, post, excluded, k, qid, doc_key, task, order)
+    if enough(*of_query(terms).agg(F.sum(F.least("df", F.lit(k) * F.col("_terms"))), F.sum("df")).first()):
+        return direct()
+    weights = terms.drop("df")
+    plan = bm25_plan(weights, post, excluded, k, qid, doc_key, task, query_rows)
+    made, every = of_query(plan).agg(F.sum(F.least("n_all", F.col("n_head") * F.col("_terms"))), F.sum("n_all")).first()
+    if enough(made, every):
+        return direct()
     cuts = _small(cut_lineage(bm25_cuts(plan, post, excluded, k, qid, doc_key, task, query_rows), "bm25-cuts"), query_rows)
     found = post.select(task, "term", doc_key, "level").join(cuts, [task, "term"]).filter(F.col("level") >= F.col("cut"))
+    if enough(min(every, of_query(found.groupBy(task, qid).agg(F.count(F.lit(1)).alias("n"))).agg(F.sum(F.col("n") * F.col("_terms"))).first()[0] or 0), every):
+        return direct()
     candidates = _allowed(found.select(task, qid, doc_key).distinct(), excluded, qid, doc_key, task)
-    return (candidates.join(terms, [task, qid])
+    return (candidates.join(weights, [task, qid])
             .join(post.select(task, "term", doc_key, "tfp"), [task, "term", doc_key])
             .groupBy(task, qid, doc_key).agg(F.sum(F.col("g") * F.col("tfp")).alias("score")))
 

@@ -53,3 +53,57 @@ def test_few_postings_are_read(spark, index):
     read = impact.join(cuts, ["task", "term"]).filter(F.col("level") >= F.col("cut")).count()
     every = post.join(qw, ["task", "term"]).count()
     assert 10 * read < every, (read, every)
+
+
+def sent(df):
+    """Rows that the result's shuffles write."""
+    df.collect()
+    plans, n = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        p = plans.pop()
+        name = p.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            n += p.metrics().apply("shuffleRecordsWritten").value()
+        if name == "AdaptiveSparkPlanExec":
+            plans.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plans.append(p.plan())
+        kids = p.children()
+        plans += [kids.apply(i) for i in range(kids.size())]
+    return n
+
+
+def test_pairs_are_not_sent(spark, index):
+    """Long queries of common words: nearly every document can be a candidate."""
+    rnd, k = random.Random(5), 5
+    rows = index[2].select("term", "doc_id", "tfp").collect()
+    df = {w: sum(r.term == w for r in rows) for w in {f"w{i}" for i in range(40)}}
+    asked = {q: {w: rnd.uniform(1, 2) for w in rnd.sample(sorted(df), 20)} for q in range(60)}
+    qw = cut_lineage(spark.createDataFrame([("t", q, w, g, 1.0, df[w]) for q, ws in asked.items() for w, g in ws.items()], "task string, qid long, term string, wq double, idf double, df long"))
+    want = []
+    for q, ws in asked.items():
+        scores = {}
+        for r in rows:
+            if r.term in ws and r.doc_id % 60 != q:
+                scores[r.doc_id] = scores.get(r.doc_id, 0.0) + ws[r.term] * r.tfp
+        want += [(q, d) for d, x in sorted(scores.items(), key=lambda e: (-round(e[1], 9), e[0]))[:k]]
+    excluded = spark.range(3041).select((F.col("id") % 60).alias("qid"), F.col("id").alias("doc_id"))
+    best = RT.bm25_top_k(qw, index[2], excluded, k)
+    n, postings = sent(best), sum(r.term in df for r in rows)
+    assert n < 2 * postings < len(asked) * 3000 / 2, (n, postings)  # about 180,000 pairs
+    got = RT.top_k(best.withColumn("score", F.round("score", 9)).withColumn("doc_order", F.col("doc_id")), k)
+    assert sorted((r.qid, r.doc_id) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [50, 2_000_000])
+def test_queries_in_blocks_exclusions_of_other_types(spark, index, monkeypatch, most):
+    monkeypatch.setattr(RT, "DIRECT_SHARE", 0.0)
+    monkeypatch.setattr(RT, "BROADCAST_MAX_ROWS", most)
+    monkeypatch.setattr(RT, "PAIR_ROWS", 500)
+    post, qw, impact = index
+    none = spark.createDataFrame([], "qid long, doc_id long")
+    named = [(q, x) for q in range(29) for x in ("N/A", "7x", "007", None, *map(str, range(0, 3000, 7)))]
+    excluded = spark.createDataFrame(named, "qid long, doc_id string")
+    want = run(RT.bm25_scores(qw, post).filter((F.col("doc_id") % 7 != 0) | (F.col("doc_id") >= 3000)), none, 15)
+    best = RT.bm25_top_k(qw, impact, excluded, 15, order="doc_id")
+    assert run(best, none, 15) == want and best.count() == len(want)
