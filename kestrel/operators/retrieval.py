@@ -802,12 +802,12 @@ def bm25_rewards(rollouts: DataFrame, docs: DataFrame, qrels: DataFrame, exclude
                          tags_in_order(h["processed"], THINK_QUERY_TAGS).alias("format_ok"))
     own = ro.select(F.col("_key").alias("qid"), "_item")
     of_item = lambda df, *cols: df.withColumnRenamed(item, "_item").join(own, "_item").select("qid", *cols)
-    ex = of_item(excluded.select(item, doc_key), doc_key)
+    ex = cut_lineage(of_item(excluded.select(item, doc_key), doc_key), "excluded")  # read several times
     queries = tokenize(ro.select(F.col("_key").alias("qid"), task, "text"), stem=stem)
     post = cut_lineage(postings(docs, doc_key, task=task))
     stats = cut_lineage(corpus_stats_from_postings(post, docs.select(task, doc_key), doc_key, task))
     qw = query_weights(queries, post, stats, task=task, k1=k1, b=b)
-    scores = bm25_top_k(qw, impact_postings(post, stats, k1, b, task), ex, k, "qid", doc_key, task, query_term_rows(queries, task=task))
+    scores = bm25_top_k(qw, impact_postings(post, stats, k1, b, task), ex, k, "qid", doc_key, task, query_term_rows(queries, task=task), doc_key)
     scores = scores.withColumn("score", F.round("score", 9))
     run = ranked_run(scores, queries, ex, docs.select(task, doc_key), k, "qid", doc_key, task)
     nd = ndcg_at_k(run, of_item(qrels.select(item, doc_key, rel), doc_key, rel), at, "qid", doc_key, rel, task)
