@@ -77,6 +77,7 @@ def written_excluded(spark, sf):
 
 
 KEY_CHARS = 4  # of a short passage's key
+PASSAGE_CHARS = 16 << 20  # of all passages together, to be sent to the documents
 
 
 def char_grams(text: str, n: int):
@@ -96,7 +97,9 @@ def qrels(spark, sf):
     nested-loop join: a passage contained in a document has each of its
     interior space-delimited words as a whole word of that document, so an
     equi-join on the passage's longest interior word gives exact candidates,
-    verified with ``contains``.  Passages of fewer than three words are found
+    verified with ``contains``.  Passages of PASSAGE_CHARS in all are sent to
+    the documents, which stay where they are; more are joined by word first and
+    meet the text after that.  Passages of fewer than three words are found
     the same way by their first KEY_CHARS characters (all, if fewer) among the
     character n-grams of the documents; an empty passage is in every document."""
     b = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("ptext"))
@@ -104,11 +107,14 @@ def qrels(spark, sf):
     toks = F.split("ptext", " ")
     interior = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(1)))
     anchor = F.element_at(F.array_sort(F.transform(interior, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    anchors = b.filter(F.size(toks) >= 3).select("qid", anchor.alias("word"))
-    words = d.select("doc_id", F.explode(F.array_distinct(F.split("dtext", " "))).alias("word"))
-    cand = words.join(RT.bounded_broadcast(anchors), "word").select("qid", "doc_id").distinct()
-    hits = (cand.join(b, "qid").join(d, "doc_id").filter(F.col("dtext").contains(F.col("ptext")))
-            .select("qid", "doc_id"))
+    anchors = b.filter(F.size(toks) >= 3).select("qid", "ptext", anchor.alias("word"))
+    words = d.select("doc_id", "dtext", F.explode(F.array_distinct(F.split("dtext", " "))).alias("word"))
+    if (anchors.agg(F.sum(F.length("ptext"))).first()[0] or 0) <= PASSAGE_CHARS:
+        hits = words.join(F.broadcast(anchors), "word")
+    else:
+        cand = words.drop("dtext").join(RT.bounded_broadcast(anchors.drop("ptext")), "word").select("qid", "doc_id").distinct()
+        hits = cand.join(b, "qid").join(d, "doc_id")
+    hits = hits.filter(F.col("dtext").contains(F.col("ptext"))).select("qid", "doc_id")
     short = b.filter(F.size(toks) < 3).withColumn("n", F.least(F.length("ptext"), F.lit(KEY_CHARS)))
     for n in sorted(r["n"] for r in short.select("n").distinct().collect()):  # at most KEY_CHARS + 1 lengths
         keys = short.filter(F.col("n") == n).select("qid", "ptext", F.substring("ptext", 1, n).alias("key"))
@@ -117,6 +123,12 @@ def qrels(spark, sf):
     return hits.select("qid", "doc_id", F.lit(1).alias("rel"))
 
 
+def written_qrels(spark, sf):
+    """The judgments of an evaluation, which reads them twice; the documents are searched once."""
+    from kestrel.session import cut_lineage
+    return cut_lineage(qrels(spark, sf), "qrels")
+
+
 # ------------------------------------------------------------ DuckDB twins
 
 def bm25_sql(tasks: int = 1, query_source: str = "SELECT item_id AS qid, text FROM benchmark",
@@ -253,7 +265,7 @@ def r11(spark, sf):
     ex = written_excluded(spark, sf)
     docs, qs, s = bm25_hits(spark, sf, ex)
     run = RT.ranked_run(s, qs, ex, docs, 1000)
-    nd = RT.ndcg_at_k(run, qrels(spark, sf), 10)
+    nd = RT.ndcg_at_k(run, written_qrels(spark, sf), 10)
     return nd.select("qid", r6(F.col("ndcg")).alias("ndcg"))
 
 
@@ -263,7 +275,7 @@ def r16(spark, sf):
     ex = written_excluded(spark, sf)
     docs, qs, s = bm25_hits(spark, sf, ex, tasks=2)
     run = RT.ranked_run(s, qs, ex, docs, 1000)
-    nd = RT.ndcg_at_k(run, qrels(spark, sf), 10)
+    nd = RT.ndcg_at_k(run, written_qrels(spark, sf), 10)
     return nd.select("qid", r6(F.col("ndcg")).alias("ndcg"))
 
 
@@ -320,7 +332,7 @@ FROM ro JOIN fmt USING (rollout_id) JOIN nd ON nd.qid = ro.rollout_id""")
 def r12(spark, sf):
     docs = corpus(spark, sf)
     ro = _retrieval_rollouts(spark, sf).withColumn("task", F.lit("t0"))
-    out = RT.bm25_rewards(ro, docs, qrels(spark, sf), excluded(spark, sf), k1=K1, b=B)
+    out = RT.bm25_rewards(ro, docs, written_qrels(spark, sf), excluded(spark, sf), k1=K1, b=B)
     return out.select("rollout_id", r6(F.col("reward")).alias("reward"))
 
 

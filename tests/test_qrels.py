@@ -10,3 +10,17 @@ def test_short_passages(spark, tmp_path):
     spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted((r.qid, r.doc_id, r.rel) for r in qrels(spark, str(tmp_path)).collect())
     assert got == sorted((q, d, 1) for q, p in enumerate(passages) for d, t in enumerate(docs) if t is not None and p in t)
+
+
+def test_documents_stay_where_they_are(spark, tmp_path, monkeypatch):
+    import kestrel.plans.retrieval_queries as RQ
+    docs = [(1, "a long word here and a long word there"), (1, "no such"), (2, "a long word here and a long word there"), (2, "a long word here and a long word there"), (3, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    passages = [(5, "long word here"), (5, "long word here"), (6, "word there and"), (7, None), (8, "a long word")]
+    spark.createDataFrame(passages, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = sorted((q, d, 1) for q, p in passages for d, t in docs if p and t and p in t)
+    found = RQ.qrels(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == want
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(RQ, "PASSAGE_CHARS", 1)
+    assert sorted(map(tuple, RQ.qrels(spark, str(tmp_path)).collect())) == want
