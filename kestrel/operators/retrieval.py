@@ -202,6 +202,7 @@ def _allowed(scores: DataFrame, excluded: DataFrame, qid: str, doc_key: str, tas
 
 
 DIRECT_SHARE = 0.5  # of the rows that scoring every pair makes: candidates that make as many are dearer
+SENT_ROW = 8  # (posting, query) rows that are made in memory for the cost of one that is sent
 PAIR_ROWS = 2_000_000  # (posting, query) rows of a task that scores every pair
 SLICES = 16  # the best of one slice of the documents bound the best of all
 SCORE_DIGITS = 9  # scores are ranked rounded to so many
@@ -330,25 +331,26 @@ def bm25_top_k(qw: DataFrame, post: DataFrame, excluded: DataFrame, k: int = 100
     Candidates come from the impact blocks that ``bm25_cuts`` leaves; they get
     their full scores by an equi-join on (document, term), so a common term's
     postings meet candidates only.  That sends a row per candidate and query
-    term.  Where the frequencies, the plan or the cuts tell that these would be
-    DIRECT_SHARE of all (posting, query) rows (``k`` near the number of matches,
-    long queries of common words), every pair is scored in memory instead."""
+    term.  Where the frequencies, the plan or the cuts tell that these would
+    cost DIRECT_SHARE of all (posting, query) rows (``k`` near the number of
+    matches, long queries of common words), every pair is scored in memory."""
     from kestrel.session import cut_lineage
     terms = cut_lineage(qw.select(task, qid, "term", (F.col("wq") * F.col("idf")).alias("g"), "df"), "bm25-terms")
     lengths = terms.groupBy(F.col(task).alias("_task"), F.col(qid).alias("_q")).agg(F.count(F.lit(1)).alias("_terms"))
     of_query = lambda df: df.join(lengths, F.col(task).eqNullSafe(F.col("_task")) & F.col(qid).eqNullSafe(F.col("_q")))
     enough = lambda made, every: (made or 0) >= DIRECT_SHARE * (every or 0)
     direct = lambda: bm25_every_pair(terms, post, excluded, k, qid, doc_key, task, order)
-    if enough(*of_query(terms).agg(F.sum(F.least("df", F.lit(k) * F.col("_terms"))), F.sum("df")).first()):
+    if enough(*of_query(terms).agg(F.sum(F.least("df", F.lit(SENT_ROW * k) * F.col("_terms"))), F.sum("df")).first()):
         return direct()
     weights = terms.drop("df")
     plan = bm25_plan(weights, post, excluded, k, qid, doc_key, task, query_rows)
-    made, every = of_query(plan).agg(F.sum(F.least("n_all", F.col("n_head") * F.col("_terms"))), F.sum("n_all")).first()
+    made, every = of_query(plan).agg(F.sum(F.least("n_all", SENT_ROW * F.col("n_head") * F.col("_terms"))), F.sum("n_all")).first()
     if enough(made, every):
         return direct()
     cuts = _small(cut_lineage(bm25_cuts(plan, post, excluded, k, qid, doc_key, task, query_rows), "bm25-cuts"), query_rows)
     found = post.select(task, "term", doc_key, "level").join(cuts, [task, "term"]).filter(F.col("level") >= F.col("cut"))
-    if enough(min(every, of_query(found.groupBy(task, qid).agg(F.count(F.lit(1)).alias("n"))).agg(F.sum(F.col("n") * F.col("_terms"))).first()[0] or 0), every):
+    looks = of_query(found.groupBy(task, qid).agg(F.count(F.lit(1)).alias("n"))).agg(F.sum(F.col("n") * F.col("_terms"))).first()[0] or 0
+    if enough(min(every or 0, SENT_ROW * looks), every):
         return direct()
     candidates = _allowed(found.select(task, qid, doc_key).distinct(), excluded, qid, doc_key, task)
     return (candidates.join(weights, [task, qid])
